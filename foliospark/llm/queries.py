@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import simhash
+from foliospark.llm import decontaminate, simhash
 from foliospark.llm.common import table
 
 
@@ -16,6 +16,9 @@ def _on(name: str, op: Callable[..., DataFrame], *others: str) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": _on("documents", simhash.op6),
+    "op10_decontaminate": _on("documents", decontaminate.op10, "benchmark"),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": decontaminate.ORACLE,
+}

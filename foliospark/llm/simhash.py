@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize, small_batches
+from foliospark.llm.common import Shared, materialize, small_batches
 from foliospark.llm.components import connected_components
 
 #: Fingerprints of the sample that shapes the routing tree.
@@ -163,7 +163,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE
     total = distinct.count()
     some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = RoutingTree(some, total, shard, radius)
-    known = distinct.sparkSession.sparkContext.broadcast(tree)  # at most a node for each sampled fingerprint
+    known = Shared(distinct.sparkSession, tree)  # at most a node for each sampled fingerprint
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
