@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, quality, simhash
+from foliospark.llm import decontaminate, mixture, quality, simhash
 from foliospark.llm.common import table
 
 
@@ -15,11 +15,13 @@ def _on(name: str, op: Callable[..., DataFrame], *others: str) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixture": _on("documents", mixture.op1),
     "op4_quality": _on("documents", quality.op4, "labels"),
     "op6_simhash": _on("documents", simhash.op6),
     "op10_decontaminate": _on("documents", decontaminate.op10, "benchmark"),
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixture": mixture.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
