@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, mixture, quality, simhash
+from foliospark.llm import decontaminate, hilbert, mixture, quality, simhash, url_filter
 from foliospark.llm.common import table
 
 
@@ -18,10 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": _on("documents", mixture.op1),
     "op4_quality": _on("documents", quality.op4, "labels"),
     "op6_simhash": _on("documents", simhash.op6),
+    "op7_hilbert": _on("documents", hilbert.op7),
+    "op8_url_filter": _on("pages", url_filter.op8),
     "op10_decontaminate": _on("documents", decontaminate.op10, "benchmark"),
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixture": mixture.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
