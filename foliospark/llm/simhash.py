@@ -17,7 +17,7 @@ from foliospark.llm.components import connected_components
 #: Fingerprints of the sample that shapes the routing tree.
 SAMPLE = 8192
 #: Fingerprints aimed at in a shard (a leaf of the routing tree), visitors included.
-SHARD = 8192
+SHARD = 32768
 #: Fingerprints below which a branch inside a shard is compared pair by pair.
 LEAF = 256
 
