@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, hilbert, mixture, quality, simhash, sketch, url_filter
+from foliospark.llm import decontaminate, hilbert, mixture, quality, simhash, sketch, url_filter, warc
 from foliospark.llm.common import table
 
 
@@ -21,11 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": _on("documents", simhash.op6),
     "op7_hilbert": _on("documents", hilbert.op7),
     "op8_url_filter": _on("pages", url_filter.op8),
+    "op9_warc": _on("pages", warc.op9),
     "op10_decontaminate": _on("documents", decontaminate.op10, "benchmark"),
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixture": mixture.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op9_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
