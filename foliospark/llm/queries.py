@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, hilbert, mixture, quality, simhash, sketch, url_filter, warc
+from foliospark.llm import decontaminate, hilbert, mixture, quality, secrets, simhash, sketch, url_filter, warc
 from foliospark.llm.common import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, op: Callable[..., DataFrame], *others: str) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": _on("documents", mixture.op1),
+    "op2_secrets": _on("documents", secrets.op2),
     "op3_sketch": _on("documents", sketch.op3),
     "op4_quality": _on("documents", quality.op4, "labels"),
     "op6_simhash": _on("documents", simhash.op6),
