@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, hilbert, mixture, quality, secrets, simhash, sketch, url_filter, warc
+from foliospark.llm import decontaminate, hilbert, html_text, mixture, quality, secrets, simhash, sketch, url_filter, warc
 from foliospark.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": _on("documents", secrets.op2),
     "op3_sketch": _on("documents", sketch.op3),
     "op4_quality": _on("documents", quality.op4, "labels"),
+    "op5_html_text": _on("pages", html_text.op5),
     "op6_simhash": _on("documents", simhash.op6),
     "op7_hilbert": _on("documents", hilbert.op7),
     "op8_url_filter": _on("pages", url_filter.op8),
