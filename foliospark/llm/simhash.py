@@ -181,12 +181,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """``id_col``, ``keep``, ``fp`` and ``component_id`` of every row of ``docs``.
+    """``id_col``, ``keep``, ``fp``, ``component_id`` and ``root`` of every row of ``docs``.
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space and into shingles, repeats included; a
     text of fewer words is one shingle; one without words, or a null, has fingerprint 0, which links like
     any other. Fingerprints within ``radius`` bits are linked; ``component_id`` is the least id reachable
-    (null if all ids there are null). Equal fingerprints are joined first, so copies cost one comparison.
+    (null if all ids there are null), ``root`` the least fingerprint. Equal fingerprints are joined first, so copies cost one comparison.
     Repeated rows come back as often as they came; an empty table gives an empty one; other columns are
     not read, whatever their names.
     """
@@ -195,8 +195,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = materialize(connected_components(fingerprint_links(distinct.select("fp"), radius, sample, shard)), "roots")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_").alias("component_id"))
-    classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(id_col, *keep, "fp", "component_id")
+    classes = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return rows.join(classes, "fp").select(id_col, *keep, "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id (null last), or of repeated ids the one whose
+    row hashes least. Whole rows that repeat count once."""
+    spark_row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.withColumn("row_", spark_row)
+    classes = near_duplicates(marked, id_col, text_col, keep=("row_",), **how)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row_")).alias("f"))
+    first = first.select(F.col("f.id").alias("first_id_"), F.col("f.row_").alias("first_row_"))
+    kept = marked.join(first, (F.col("row_") == F.col("first_row_")) & F.col(id_col).eqNullSafe(F.col("first_id_")), "left_semi")
+    return kept.dropDuplicates(["row_", id_col]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op6(docs: DataFrame) -> DataFrame:
