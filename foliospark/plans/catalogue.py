@@ -5,6 +5,497 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.operators import forms, graph, models, pages, rows, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# --- search and replacement
+
+
+_SEARCH = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+m AS (SELECT doc_id, line_no, list_filter(regexp_extract_all(line, '{pattern}'), lambda x: length(x) > 0) AS hits FROM l)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(generate_subscripts(hits, 1) AS INTEGER) AS match_no, unnest(hits) AS match FROM m WHERE len(hits) > 0
+"""
+
+
+@query(_SEARCH.format(pattern="token ="))
+def search_literal(spark, sf):
+    return text.search(read(spark, sf, "documents"), "token =")
+
+
+@query(_SEARCH.format(pattern="(?i)thing"))
+def search_ci(spark, sf):
+    return text.search(read(spark, sf, "documents"), "THING", ignore_case=True)
+
+
+@query(_SEARCH.format(pattern="[0-9a-f]{6,}|[A-Z]{3,}!"))
+def search_regex(spark, sf):
+    return text.search(read(spark, sf, "documents"), "[0-9a-f]{6,}|[A-Z]{3,}!", regex=True)
+
+
+@query("""
+WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {'n': len(regexp_extract_all(x, '(?i)\\bof\\b')), 't': regexp_replace(x, '(?i)\\bof\\b', 'OF', 'g')}) AS p FROM documents)
+SELECT doc_id, CAST(list_sum(list_transform(p, lambda x: x.n)) AS INTEGER) AS n_replaced, sha256(array_to_string(list_transform(p, lambda x: x.t), chr(10))) AS text_sha256 FROM l
+""")
+def replace_count(spark, sf):
+    out = text.replace(read(spark, sf, "documents").select("doc_id", "text"), r"\bof\b", "OF", regex=True, ignore_case=True)
+    return out.select("doc_id", "n_replaced", F.sha2("text", 256).alias("text_sha256"))
+
+
+# --- text
+
+
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, rtrim(unnest(string_split(text, chr(10))), ' ' || chr(9)) AS line FROM documents),
+i AS (SELECT *, sum(CASE WHEN line <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island, line = '' ORDER BY k) AS nth FROM i)
+SELECT doc_id, sha256(trim(string_agg(line, chr(10) ORDER BY k), ' ' || chr(9) || chr(10) || chr(13))) AS clean_sha256 FROM r WHERE line <> '' OR nth <= 2 GROUP BY doc_id
+""")
+def clean_text(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.sha2(text.clean(F.col("text")), 256).alias("clean_sha256"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+b AS (SELECT *, trim(line, ' ' || chr(9)) = '' AS blank FROM l),
+i AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM b),
+p AS (SELECT doc_id, island, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS t FROM i WHERE NOT blank GROUP BY doc_id, island)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) AS INTEGER) AS par_no, CAST(n AS INTEGER) AS n_lines, sha256(t) AS sha FROM p
+""")
+def paragraph_split(spark, sf):
+    return text.paragraphs(read(spark, sf, "documents")).select("doc_id", "par_no", "n_lines", F.sha2("paragraph", 256).alias("sha"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 1 WHEN o_totalprice / 50000.0 >= 1.7 THEN 1 WHEN o_totalprice / 50000.0 >= 1.35 THEN 2 WHEN o_totalprice / 50000.0 >= 1.14 THEN 3 ELSE 0 END AS level FROM orders
+""")
+def heading_levels(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", text.heading_level(F.col("o_totalprice"), F.lit(50000.0), F.col("o_orderpriority")).alias("level"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, ['$', '', '€', ''][l_linenumber % 4 + 1] || CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || ['', '.5', ',25', '.125'][l_linenumber % 4 + 1] || CASE WHEN l_linenumber % 4 = 3 THEN '%' ELSE '' END AS cell FROM lineitem)
+SELECT l_orderkey, l_linenumber, cell, CASE WHEN l_linenumber % 4 = 3 AND length(regexp_extract(cell, '([0-9]+)', 1)) > 3 THEN NULL
+  ELSE CASE WHEN l_linenumber % 4 = 3 THEN CAST(regexp_extract(cell, '([0-9]+)', 1) || '125' AS DOUBLE) / 100
+  ELSE CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * (CAST(regexp_extract(cell, '([0-9]+)', 1) AS DOUBLE) + [0, 0.5, 0.25, 0][l_linenumber % 4 + 1]) END END AS value FROM t
+""")
+def number_parse(spark, sf):
+    n = F.col("l_linenumber") % 4
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), n + 1)
+    cell = F.concat(pick("$", "", "€", ""), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise(""), F.floor("l_extendedprice").cast("string"), pick("", ".5", ",25", ".125"), F.when(n == 3, "%").otherwise(""))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell")).withColumn("value", text.number(F.col("cell")))
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_type, ' ', ', ;'), ','), lambda x: trim(trim(trim(x), ';'))), lambda x: x <> ''), '|') AS keys,
+       replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM part
+""")
+def keywords_and_escapes(spark, sf):
+    parts = text.keywords(F.replace(F.col("p_type"), F.lit(" "), F.lit(", ;")))
+    return read(spark, sf, "part").select("p_partkey", F.array_join(parts, "|").alias("keys"), text.xml_escape(F.col("p_name")).alias("escaped"))
+
+
+@query("""
+SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || ['Z', '+02''00''', ''][CAST(o_orderkey % 3 AS INTEGER) + 1] AS raw,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ['Z', '+02:00', ''][CAST(o_orderkey % 3 AS INTEGER) + 1] AS iso FROM orders
+""")
+def document_dates(spark, sf):
+    zone = F.element_at(F.array(F.lit("Z"), F.lit("+02'00'"), F.lit("")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    raw = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), zone)
+    return read(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).withColumn("iso", text.document_date(F.col("raw")))
+
+
+@query("""
+SELECT CAST(n AS INTEGER) AS n, array_to_string(list_transform(range(0, 4), lambda i: CASE i WHEN 0 THEN repeat('m', CAST(n // 1000 AS INTEGER))
+  WHEN 1 THEN ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][CAST(n // 100 % 10 AS INTEGER) + 1]
+  WHEN 2 THEN ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][CAST(n // 10 % 10 AS INTEGER) + 1]
+  ELSE ['','i','ii','iii','iv','v','vi','vii','viii','ix'][CAST(n % 10 AS INTEGER) + 1] END), '') AS roman,
+  CASE WHEN n <= 26 THEN chr(CAST(96 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(96 + (n - 1) // 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER))
+  ELSE chr(CAST(96 + (n - 27) // 676 AS INTEGER)) || chr(CAST(97 + (n - 27) // 26 % 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) END AS alpha
+FROM range(1, 3001) t(n)
+""")
+def number_styles(spark, sf):
+    n = F.col("id").cast("int")
+    return spark.range(1, 3001).select(n.alias("n"), text.roman(n).alias("roman"), text.alphabetic(n).alias("alpha"))
+
+
+# --- pages
+
+
+def _numbered(spark, sf):
+    """The pages of each site as a document's pages."""
+    site = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return pages.number_pages(read(spark, sf, "pages").select("page_id", site.alias("site")), ["site"], ["page_id"])
+
+
+_NUMBERED = "n AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS site, CAST(row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id) AS INTEGER) AS page_no FROM pages)"
+
+
+@query(f"WITH {_NUMBERED}" + """
+, r(a, b, before) AS (VALUES (2, 3, 0), (1, 2, 2))
+SELECT page_id, site, page_no, CAST(before + page_no - a + 1 AS INTEGER) AS new_no FROM n JOIN r ON page_no BETWEEN a AND b
+""")
+def extract_ranges(spark, sf):
+    return pages.extract(_numbered(spark, sf), [(2, 3), (1, 2)])
+
+
+@query(f"WITH {_NUMBERED}" + ", o(p, new_no) AS (VALUES (3, 1), (1, 2), (3, 3)) SELECT page_id, site, page_no, CAST(new_no AS INTEGER) AS new_no FROM n JOIN o ON page_no = p")
+def reorder(spark, sf):
+    return pages.reorder(_numbered(spark, sf), [3, 1, 3])
+
+
+@query(f"WITH {_NUMBERED} SELECT page_id, site, page_no, CAST(row_number() OVER (PARTITION BY site ORDER BY page_no) AS INTEGER) AS new_no FROM n WHERE page_no NOT IN (1, 3)")
+def delete_pages(spark, sf):
+    return pages.delete(_numbered(spark, sf), [1, 3, 3], ["site"])
+
+
+@query(f"WITH {_NUMBERED} SELECT page_id, CAST((page_no * 90 - 180 + 3600) % 360 AS INTEGER) AS rotation FROM n")
+def rotate_pages(spark, sf):
+    return _numbered(spark, sf).select("page_id", pages.rotate(F.col("page_no") * 90, -180).alias("rotation"))
+
+
+@query(f"WITH {_NUMBERED}" + """
+SELECT page_id, (page_no - 1) // 6 AS sheet, (page_no - 1) % 6 // 3 AS sheet_row, (page_no - 1) % 3 AS sheet_col, (page_no - 1) % 6 % 2 AS down_row, (page_no - 1) % 6 // 2 AS down_col FROM n
+""")
+def nup(spark, sf):
+    across, down = pages.n_up(F.col("page_no"), 2, 3), pages.n_up(F.col("page_no"), 2, 3, True)
+    return _numbered(spark, sf).select("page_id", *(c.alias(k) for k, c in across.items()), down["sheet_row"].alias("down_row"), down["sheet_col"].alias("down_col"))
+
+
+@query(f"WITH {_NUMBERED}" + """
+, c AS (SELECT site, count(*) AS n, (count(*) + 3) // 4 * 4 AS padded FROM n GROUP BY site),
+s AS (SELECT site, n, i, CASE WHEN i % 2 = 0 THEN padded - i ELSE i + 1 END AS l, CASE WHEN i % 2 = 0 THEN i + 1 ELSE padded - i END AS r FROM c, range(0, 100000) t(i) WHERE i < padded // 2)
+SELECT page_id, site, i AS side, half FROM (SELECT site, i, l AS p, 'left' AS half FROM s WHERE l <= n UNION ALL SELECT site, i, r, 'right' FROM s WHERE r <= n) JOIN n USING (site) WHERE page_no = p
+""")
+def booklet(spark, sf):
+    numbered = _numbered(spark, sf)
+    counted = numbered.join(numbered.groupBy("site").agg(F.count("*").alias("n")), "site")
+    return counted.select("page_id", "site", *(c.alias(k) for k, c in pages.booklet(F.col("page_no"), F.col("n")).items()))
+
+
+@query("""
+WITH r AS (SELECT page_id, page_id AS i FROM pages)
+SELECT page_id, CASE WHEN i < 4 THEN ['i', 'ii', 'iii', 'iv'][i + 1] WHEN i < 20 THEN CAST(i - 4 + 5 AS VARCHAR)
+  WHEN i < 60 THEN 'A-' || CASE WHEN i - 20 < 26 THEN chr(CAST(97 + i - 20 AS INTEGER)) ELSE chr(CAST(96 + (i - 20) // 26 AS INTEGER)) || chr(CAST(97 + (i - 20) % 26 AS INTEGER)) END ELSE 'x' END AS label FROM r
+""")
+def page_label(spark, sf):
+    at = read(spark, sf, "pages").select("page_id", (F.col("page_id") + 1).alias("page_no"))
+    return pages.labels(at, [(0, "r", "", 1), (4, "D", "", 5), (20, "a", "A-", 1), (60, None, "x", 1)]).select("page_id", "label")
+
+
+@query("""
+SELECT doc_id, n_chars FROM documents UNION ALL SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents), n_chars FROM documents WHERE lang = 'de'
+""")
+def append_rebase(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    return pages.append(docs.drop("lang"), docs.where("lang = 'de'").drop("lang"), "doc_id")
+
+
+# --- rows
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS s FROM events)
+SELECT event_id, user_id, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run_no FROM g
+""")
+def sessionise(spark, sf):
+    events = read(spark, sf, "events")
+    out = rows.sessions(events, ["user_id"], ["ts", "event_id"], lambda lag: F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lag("ts").cast("timestamp")) > 1_800_000_000)
+    return out.select("event_id", "user_id", "run_no")
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS lo, epoch_us(ts) // 1000000 + 60 + event_id % 3000 AS hi FROM events),
+m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+r AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach + 300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT user_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM r GROUP BY user_id, run HAVING max(hi) - min(lo) >= 120
+""")
+def interval_merge(spark, sf):
+    lo = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    spans = read(spark, sf, "events").select("user_id", lo.alias("lo"), (lo + 60 + F.col("event_id") % 3000).alias("hi"))
+    return rows.merge_intervals(spans, ["user_id"], "lo", "hi", 300, 120)
+
+
+@query("""
+WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+l AS (SELECT user_id, list(gap ORDER BY gap) AS gaps FROM g WHERE gap IS NOT NULL GROUP BY user_id)
+SELECT user_id, gaps[len(gaps) // 2 + 1] AS median FROM l
+""")
+def upper_median(spark, sf):
+    from pyspark.sql import Window
+
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    gaps = read(spark, sf, "events").select("user_id", (us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap"))
+    return rows.upper_median(gaps, ["user_id"], "gap")
+
+
+@query("""
+WITH s AS (SELECT p_brand, p_size, sum(p_retailprice) AS w FROM part GROUP BY p_brand, p_size),
+c AS (SELECT *, sum(w) OVER (PARTITION BY p_brand ORDER BY p_size) AS u, sum(w) OVER (PARTITION BY p_brand) AS t FROM s)
+SELECT p_brand, min(p_size) AS median FROM c WHERE 2 * u >= t GROUP BY p_brand
+""")
+def weighted_median(spark, sf):
+    return rows.weighted_median(read(spark, sf, "part"), ["p_brand"], "p_size", "p_retailprice")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_quantity AS mode, n FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, l_quantity DESC) = 1
+""")
+def modal_ties_high(spark, sf):
+    return rows.mode(read(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity")
+
+
+@query("""
+WITH c AS (SELECT l_suppkey, l_linenumber, CAST(sum(l_quantity) AS DOUBLE) AS n FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_linenumber AS mode, n FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_linenumber) = 1
+""")
+def dominant_ties_low(spark, sf):
+    return rows.mode(read(spark, sf, "lineitem"), ["l_suppkey"], "l_linenumber", F.col("l_quantity"), high=False)
+
+
+@query("""
+WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)
+SELECT p_brand, p_type AS exemplar, n FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1
+""")
+def top_exemplar(spark, sf):
+    return rows.mode(read(spark, sf, "part"), ["p_brand"], "p_type", high=False, out="exemplar")
+
+
+@query("SELECT l_orderkey, 2 * sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) > count(*) AS mostly FROM lineitem GROUP BY l_orderkey")
+def majority_vote(spark, sf):
+    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg((2 * F.sum(F.when(F.col("l_returnflag") == "N", 1).otherwise(0)) > F.count("*")).alias("mostly"))
+
+
+@query("""
+SELECT p_partkey, p_size, (SELECT m FROM (VALUES (5), (15), (25), (40)) t(m) WHERE abs(p_size - m) <= 5 ORDER BY abs(p_size - m), m LIMIT 1)::DOUBLE AS first_mark,
+       (SELECT m FROM (VALUES (5), (15), (25), (40)) t(m) WHERE abs(p_size - m) <= 5 ORDER BY abs(p_size - m), m DESC LIMIT 1)::DOUBLE AS last_mark FROM part
+""")
+def nearest_tolerance(spark, sf):
+    marks = spark.createDataFrame([(5,), (15,), (25,), (40,)], "m int")
+    out = rows.nearest(read(spark, sf, "part").select("p_partkey", "p_size"), "p_size", marks, "m", 5).withColumnRenamed("nearest", "first_mark")
+    return rows.nearest(out, "p_size", marks, "m", 5, last=True).withColumnRenamed("nearest", "last_mark")
+
+
+@query("""
+WITH r(k, rate) AS (VALUES (0, 1.0::DOUBLE), (2000, 1.1::DOUBLE), (4500, 1.25::DOUBLE), (8000, 0.9::DOUBLE))
+SELECT e.event_id, rate FROM events e ASOF LEFT JOIN r ON e.event_id >= r.k
+""")
+def asof_rate(spark, sf):
+    rates = spark.createDataFrame([(0, 1.0), (2000, 1.1), (4500, 1.25), (8000, 0.9)], "k long, rate double")
+    by_type = read(spark, sf, "events").select("event_id", "event_type")
+    wide = rates.crossJoin(F.broadcast(by_type.select("event_type").distinct().limit(1000)))  # four rows a type
+    return rows.as_of(by_type, "event_id", wide, "k", ["rate"], ["event_type"]).select("event_id", "rate")
+
+
+@query("""
+WITH b AS (SELECT event_type, least(floor(value / 5.0)::BIGINT, 239) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 1200 GROUP BY ALL HAVING count(*) >= 2),
+g AS (SELECT *, lag(bin) OVER (PARTITION BY event_type ORDER BY bin) AS p FROM b)
+SELECT event_type, p + 1 AS first_bin, bin - 1 AS last_bin FROM g WHERE bin - p - 1 >= 2
+""")
+def histogram_gutters(spark, sf):
+    return rows.gutters(read(spark, sf, "events"), ["event_type"], "value", 0.0, 1200.0, 240, 2, 2)
+
+
+_REGIONS = [("a", 5.0, 0.0, 20.0, 0.05), ("b", 15.0, 0.04, 40.0, 0.08), ("c", 45.0, 0.0, 60.0, 0.2)]
+
+
+@query("""
+WITH r(region_id, llx, lly, urx, ury) AS (VALUES ('a', 5.0::DOUBLE, 0.0::DOUBLE, 20.0::DOUBLE, 0.05::DOUBLE), ('b', 15.0, 0.04, 40.0, 0.08), ('c', 45.0, 0.0, 60.0, 0.2))
+SELECT region_id, count(*) AS n, sum(l_linenumber) AS lines FROM lineitem, r WHERE l_quantity < urx AND l_quantity + 2 > llx AND l_discount < ury AND l_discount + 0.005 > lly GROUP BY region_id
+""")
+def rect_overlap(spark, sf):
+    boxes = read(spark, sf, "lineitem").select("l_linenumber", F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), (F.col("l_quantity") + 2).alias("x1"), (F.col("l_discount") + 0.005).alias("y1"))
+    regions = spark.createDataFrame(_REGIONS, "region_id string, llx double, lly double, urx double, ury double")
+    return rows.overlaps(boxes, "x0", "y0", "x1", "y1", regions).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 1 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 30 THEN 1 WHEN l_quantity >= 30 AND l_quantity < 45 THEN 2 END AS cell_col,
+       CASE WHEN l_tax >= 0 AND l_tax < 0.03 THEN 0 WHEN l_tax >= 0.03 AND l_tax < 0.07 THEN 1 END AS cell_row FROM lineitem
+""")
+def point_in_cell(spark, sf):
+    return rows.cell_of(read(spark, sf, "lineitem"), "l_quantity", "l_tax", [1.0, 10.0, 30.0, 45.0], [0.0, 0.03, 0.07]).select("l_orderkey", "l_linenumber", "cell_col", "cell_row")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS keep_id FROM documents")
+def dedupe_exact(spark, sf):
+    return rows.canonical(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.sha2("text", 256)).select("doc_id", "keep_id")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT source, doc_id, regexp_replace(trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS key FROM documents),
+t AS (SELECT source, count(*) AS rows_ FROM documents GROUP BY source)
+SELECT source, key, count(*) AS n FROM l JOIN t USING (source) WHERE length(key) BETWEEN 1 AND 120 GROUP BY source, key, rows_ HAVING count(*) >= greatest(3, floor(rows_ * 0.01) + 1)
+""")
+def furniture_lines(spark, sf):
+    return rows.repeated_lines(read(spark, sf, "documents"), "source", "doc_id", "text", 0.01)
+
+
+@query("""
+WITH g AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_partkey % 3 AS sig, lag(l_linenumber) OVER w AS p, lag(l_partkey % 3) OVER w AS ps FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey))
+SELECT l_orderkey, l_linenumber, l_suppkey, CAST(sum(CASE WHEN l_linenumber = p + 1 AND sig = ps THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS table_group FROM g
+""")
+def stitch_tables(spark, sf):
+    items = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", (F.col("l_partkey") % 3).alias("sig"))
+    return rows.stitch(items, ["l_orderkey"], "l_linenumber", "sig", ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "table_group")
+
+
+# --- graphs
+
+
+def _edges(spark, sf):
+    """Orders that lead to others of the same customer: a sparse reference graph with cycles."""
+    o = read(spark, sf, "orders")
+    return o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000 + 1).alias("dst")).where("src % 7 = 1")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 1000 + 1 AS dst FROM orders WHERE o_custkey % 7 = 1),
+t(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM t JOIN e ON node = src WHERE depth < 12)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY node
+""")
+def closure(spark, sf):
+    return graph.reachable(_edges(spark, sf), spark.createDataFrame([(1,)], "node long"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 100000000 + l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+t(node, reach) AS (SELECT DISTINCT a, a FROM s UNION SELECT t.node, s.b FROM t JOIN s ON t.reach = s.a)
+SELECT node, min(reach) AS component FROM t GROUP BY node
+""")
+def components(spark, sf):
+    items = read(spark, sf, "lineitem").where("l_orderkey % 40 = 0")
+    return graph.components(items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 100_000_000).alias("dst")))
+
+
+def _tree(spark, sf):
+    """Regions, nations and customers' segments as an outline."""
+    region = read(spark, sf, "region").selectExpr("cast(r_regionkey as long) AS id", "cast(null as long) AS parent", "cast(r_regionkey as int) AS seq", "r_name AS title")
+    nation = read(spark, sf, "nation").selectExpr("cast(100 + n_nationkey as long) AS id", "cast(n_regionkey as long) AS parent", "cast(n_nationkey as int) AS seq", "n_name AS title")
+    supplier = read(spark, sf, "supplier").selectExpr("cast(1000 + s_suppkey as long) AS id", "cast(100 + s_nationkey as long) AS parent", "cast(s_suppkey as int) AS seq", "s_name AS title")
+    return region.unionByName(nation).unionByName(supplier)
+
+
+@query("""
+SELECT r_regionkey::BIGINT AS id, r_name AS title, 1 AS level, r_name AS path, lpad(r_regionkey::VARCHAR, 6, '0') AS place FROM region
+UNION ALL SELECT 100 + n_nationkey, n_name, 2, r_name || ' / ' || n_name, lpad(r_regionkey::VARCHAR, 6, '0') || '.' || lpad(n_nationkey::VARCHAR, 6, '0') FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 1000 + s_suppkey, s_name, 3, r_name || ' / ' || n_name || ' / ' || s_name, lpad(r_regionkey::VARCHAR, 6, '0') || '.' || lpad(n_nationkey::VARCHAR, 6, '0') || '.' || lpad(s_suppkey::VARCHAR, 6, '0')
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def toc_outline(spark, sf):
+    return graph.outline(_tree(spark, sf))
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) = 1")
+def xref_first_wins(spark, sf):
+    items = read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return graph.first_wins(items, ["l_partkey"], "l_orderkey")
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) = 1")
+def xref_last_wins(spark, sf):
+    items = read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return graph.last_wins(items, ["l_partkey"], "l_orderkey")
+
+
+# --- forms and models
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type AS name, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+SELECT user_id, '{' || string_agg('"' || name || '":{"type":"text","value":"' || value || '"}', ',' ORDER BY name) || '}' AS form FROM f GROUP BY user_id
+""")
+def form_json(spark, sf):
+    fields = read(spark, sf, "events").select("user_id", F.col("event_type").alias("name"), F.lit("text").alias("type"), F.get_json_object("props", "$.k").alias("value"), F.col("event_id").alias("seq"))
+    return forms.export_json(fields, ["user_id"])
+
+
+@query("""
+SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events
+""")
+def form_import(spark, sf):
+    wrapped = F.concat(F.lit('{"k":{"type":"text","value":"'), F.get_json_object("props", "$.k"), F.lit('"}}'))
+    return forms.import_json(read(spark, sf, "events").select("event_id", wrapped.alias("form")), ["event_id"], "form").select("event_id", "name", "value")
+
+
+@query("""
+WITH c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(substr(whole, 1, 500)) AS history_sha256, length(whole) > 500 AS truncated FROM c
+""")
+def chat_assemble(spark, sf):
+    out = models.conversation(read(spark, sf, "conversations"), ["conv_id"], "turn", "role", "text", 500)
+    return out.select("conv_id", "n_turns", F.sha2("history", 256).alias("history_sha256"), "truncated")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+t AS (SELECT source, doc_id, k, n_chars AS held, 1 AS chunk_no FROM d WHERE k = 1
+      UNION ALL SELECT d.source, d.doc_id, d.k, CASE WHEN held > 0 AND held + n_chars > 24000 THEN n_chars ELSE held + n_chars END, CASE WHEN held > 0 AND held + n_chars > 24000 THEN chunk_no + 1 ELSE chunk_no END
+      FROM t JOIN d ON d.source = t.source AND d.k = t.k + 1)
+SELECT source, doc_id, CAST(chunk_no AS INTEGER) AS chunk_no FROM t
+""")
+def chunk_pack(spark, sf):
+    return models.pack(read(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars").select("source", "doc_id", "chunk_no")
+
+
+@query("""
+SELECT 0 AS part, doc_id AS seq, length(text) AS n FROM documents WHERE trim(text) <> '' UNION ALL SELECT 1, item_id, length(text) FROM benchmark WHERE trim(text) <> ''
+""")
+def gather_texts(spark, sf):
+    docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return models.gather(docs, items, "doc_id", "text").select("part", "seq", F.length("text").cast("long").alias("n"))
+
+
+# --- validation
+
+
+@query("""
+SELECT 'documents' AS part, doc_id AS id, 'length' AS rule FROM documents WHERE n_chars <> length(text)
+UNION ALL SELECT 'documents', doc_id, 'short' FROM documents WHERE length(text) < 50
+UNION ALL SELECT 'documents', d.doc_id, 'unlabelled' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+UNION ALL SELECT 'pages', page_id, 'unclosed' FROM pages WHERE html NOT LIKE '%</html>%'
+UNION ALL SELECT 'pages', page_id, 'insecure' FROM pages WHERE url LIKE 'http://%'
+""")
+def issues_union(spark, sf):
+    docs, web, labels = (read(spark, sf, t) for t in ("documents", "pages", "labels"))
+    rule = lambda df, part, key, name: df.select(F.lit(part).alias("part"), F.col(key).alias("id"), F.lit(name).alias("rule"))
+    checks = [
+        rule(docs.where(F.col("n_chars") != F.length("text")), "documents", "doc_id", "length"),
+        rule(docs.where(F.length("text") < 50), "documents", "doc_id", "short"),
+        rule(docs.join(labels, "doc_id", "left_anti"), "documents", "doc_id", "unlabelled"),
+        rule(web.where(~F.col("html").contains("</html>")), "pages", "page_id", "unclosed"),
+        rule(web.where(F.col("url").startswith("http://")), "pages", "page_id", "insecure"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("SELECT o_orderkey, (o_orderkey & 4) <> 0 AS can_print, (o_orderkey & 8) <> 0 AS can_modify, (o_orderkey & 16) <> 0 AS can_copy, (o_orderkey & 32) <> 0 AS can_annotate FROM orders")
+def permission_bits(spark, sf):
+    bit = lambda n: F.col("o_orderkey").bitwiseAND(n) != 0
+    return read(spark, sf, "orders").select("o_orderkey", bit(4).alias("can_print"), bit(8).alias("can_modify"), bit(16).alias("can_copy"), bit(32).alias("can_annotate"))
