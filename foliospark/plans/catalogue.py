@@ -354,12 +354,12 @@ def furniture_lines(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_partkey % 3 AS sig, lag(l_linenumber) OVER w AS p, lag(l_partkey % 3) OVER w AS ps FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey))
-SELECT l_orderkey, l_linenumber, l_suppkey, CAST(sum(CASE WHEN l_linenumber = p + 1 AND sig = ps THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS table_group FROM g
+WITH g AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_partkey % 3 AS sig, lag(l_linenumber) OVER w AS p, lag(l_partkey % 3) OVER w AS ps FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+SELECT l_orderkey, l_linenumber, l_suppkey, CAST(sum(CASE WHEN l_linenumber = p + 1 AND sig = ps THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS table_group FROM g
 """)
 def stitch_tables(spark, sf):
     items = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", (F.col("l_partkey") % 3).alias("sig"))
-    return rows.stitch(items, ["l_orderkey"], "l_linenumber", "sig", ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "table_group")
+    return rows.stitch(items, ["l_orderkey"], "l_linenumber", "sig", ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "table_group")
 
 
 # --- graphs
