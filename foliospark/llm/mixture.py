@@ -31,15 +31,14 @@ def random_odds(doc_id: Column, seed: int) -> Column:
     return u / (1.0 - u)
 
 
-def _until_capped(order: list[Column], within: list[str], part: Column, cap: Column, whole: Column) -> Column:
-    """The level at which ``least(cap, level * part)`` adds up to ``whole``: rows come in order of cap by part.
-
-    The first row that its level doesn't cap has the level of all later ones; null if all are capped.
-    """
+def _until_capped(order: list[Column], within: list[str], part: Column, cap: Column, whole: Column) -> tuple[Column, Window]:
+    """The level at which ``least(cap, level * part)`` adds up to ``whole``, on each row as if all before it were
+    capped, and the order: that of cap by part. The first row that its level doesn't cap has the level of all.
+    Null where nothing is left to part."""
     w = Window.partitionBy(*within).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    level = (whole - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum(part).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return level, w
+    left = whole - F.coalesce(F.sum(cap).over(before), F.lit(0))
+    return F.try_divide(left, F.sum(part).over(w.rowsBetween(0, Window.unboundedFollowing))), w
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
