@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import forms, graph, models, pages, rows, text
+from foliospark.operators import forms, graph, layout, models, pages, rows, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -499,3 +499,62 @@ def issues_union(spark, sf):
 def permission_bits(spark, sf):
     bit = lambda n: F.col("o_orderkey").bitwiseAND(n) != 0
     return read(spark, sf, "orders").select("o_orderkey", bit(4).alias("can_print"), bit(8).alias("can_modify"), bit(16).alias("can_copy"), bit(32).alias("can_annotate"))
+
+
+# --- layout: order lines as fragments of a page
+
+
+def _fragments(spark, sf):
+    """Each order is a page; its lines are fragments on a grid with some jitter."""
+    return read(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS page", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq",
+        "cast(20 + (l_partkey % 5) * 70 as double) AS x", "cast(700 - (l_suppkey % 6) * 14 + (l_linenumber % 2) * 0.25 as double) AS y", "cast(20 + (l_partkey % 5) * 70 + 20 + l_quantity as double) AS end_x",
+        "cast(8 + (l_linenumber % 3) * 2 as double) AS size", "'/ABCDEF+Sans' AS font", "concat(l_returnflag, cast(l_linenumber as string)) AS text", "0.0D AS rotation",
+    )
+
+
+_FRAGMENTS = """
+WITH f AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, (20 + (l_partkey % 5) * 70)::DOUBLE AS x,
+  (700 - (l_suppkey % 6) * 14 + (l_linenumber % 2) * 0.25)::DOUBLE AS y, (20 + (l_partkey % 5) * 70 + 20 + l_quantity)::DOUBLE AS end_x, (8 + (l_linenumber % 3) * 2)::DOUBLE AS size, l_returnflag || l_linenumber AS text FROM lineitem),
+g AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) > greatest(1, 0.3 * size) OR lag(y) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM f WINDOW w AS (PARTITION BY page ORDER BY -round(y * 2), x, seq)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY page ORDER BY -round(y * 2), x, seq) AS line FROM g),
+p AS (SELECT *, CASE WHEN x - lag(end_x) OVER v > greatest(1, 0.2 * least(size, lag(size) OVER v)) THEN ' ' || text ELSE text END AS piece, row_number() OVER v AS nth FROM n WINDOW v AS (PARTITION BY page, line ORDER BY x, seq)),
+l AS (SELECT page, line, string_agg(piece, '' ORDER BY nth) AS text, arg_min(y, {'s': -size, 'n': nth}) AS y, arg_min(size, nth) AS size FROM p GROUP BY page, line),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y DESC, line) AS line_no FROM l)
+"""
+
+
+@query(_FRAGMENTS + "SELECT page, CAST(line_no AS INTEGER) AS line_no, y, size, text FROM o")
+def layout_lines(spark, sf):
+    return layout.assemble(layout.with_lines(_fragments(spark, sf), ["page"]), ["page"]).select("page", "line_no", "y", "size", "text")
+
+
+@query(_FRAGMENTS + """, t AS (SELECT *, CASE WHEN line_no = 1 THEN '' WHEN lag(y) OVER (PARTITION BY page ORDER BY line_no) - y > 1.5 * size THEN chr(10) || chr(10) ELSE chr(10) END || text AS led FROM o)
+SELECT page, string_agg(led, '' ORDER BY line_no) AS text FROM t GROUP BY page""")
+def layout_text(spark, sf):
+    return layout.page_text(layout.assemble(layout.with_lines(_fragments(spark, sf), ["page"]), ["page"]), ["page"])
+
+
+@query(_FRAGMENTS + """, r AS (SELECT page, seq, CASE WHEN abs(y - lag(y) OVER w) > 0.5 * size THEN chr(10) WHEN x - lag(end_x) OVER w > 0.2 * size THEN ' ' ELSE '' END || text AS led FROM f WINDOW w AS (PARTITION BY page ORDER BY seq))
+SELECT page, string_agg(led, '' ORDER BY seq) AS text FROM r GROUP BY page""")
+def layout_raw_text(spark, sf):
+    return layout.raw_text(_fragments(spark, sf), ["page"])
+
+
+@query(_FRAGMENTS + """, b AS (SELECT DISTINCT page, floor(y + 0.5) AS line, unnest(range(least(floor(x / 1.6)::INTEGER, 239), least(floor(end_x / 1.6)::INTEGER, 239) + 1)) AS bin FROM f),
+c AS (SELECT page, bin, count(*) AS n, (SELECT count(DISTINCT line) FROM b b2 WHERE b2.page = b.page) AS lines FROM b GROUP BY page, bin),
+d AS (SELECT *, lag(bin) OVER (PARTITION BY page ORDER BY bin) AS prev FROM c WHERE n >= CASE WHEN lines >= 6 THEN 2 ELSE 1 END),
+e AS (SELECT *, sum(CASE WHEN prev IS NULL OR bin - prev - 1 >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY bin) AS col FROM d)
+SELECT page, CAST(col AS BIGINT) AS col_no, min(bin) * 384.0::DOUBLE / 240 AS x0, (max(bin) + 1) * 384.0::DOUBLE / 240 AS x1 FROM e GROUP BY page, col""")
+def layout_columns(spark, sf):
+    return layout.columns(_fragments(spark, sf), ["page"], F.lit(384.0))
+
+
+@query(_FRAGMENTS + """, k AS (SELECT *, lag(y) OVER w - y AS gap, lag(size) OVER w AS before FROM o WINDOW w AS (PARTITION BY page ORDER BY line_no)),
+m AS (SELECT page, list(gap ORDER BY gap) AS gaps FROM k WHERE gap IS NOT NULL GROUP BY page),
+q AS (SELECT k.*, coalesce(gaps[len(gaps) // 2 + 1], 0) AS typical FROM k LEFT JOIN m USING (page)),
+z AS (SELECT *, sum(CASE WHEN before IS NULL OR (typical > 0 AND gap > 1.6 * typical) OR size > 1.3 * before OR size < 0.7 * before THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line_no) AS par FROM q)
+SELECT page, CAST(par AS BIGINT) AS par_no, string_agg(text, ' ' ORDER BY line_no) AS text, count(*) AS n_lines FROM z GROUP BY page, par""")
+def layout_paragraphs(spark, sf):
+    lines = layout.assemble(layout.with_lines(_fragments(spark, sf), ["page"]), ["page"])
+    return layout.paragraphs(lines, ["page"]).select("page", "par_no", "text", "n_lines")
