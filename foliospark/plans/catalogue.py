@@ -558,3 +558,56 @@ SELECT page, CAST(par AS BIGINT) AS par_no, string_agg(text, ' ' ORDER BY line_n
 def layout_paragraphs(spark, sf):
     lines = layout.assemble(layout.with_lines(_fragments(spark, sf), ["page"]), ["page"])
     return layout.paragraphs(lines, ["page"]).select("page", "par_no", "text", "n_lines")
+
+
+# --- files
+
+
+def _as_files(spark, sf):
+    """Every document as a file of its own: a text line a line, fifty to a page."""
+    from foliospark.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                lines = (t or "").split("\n")
+                sheets = [lines[k : k + 50] for k in range(0, len(lines), 50)]
+                out.append(pdf.write([[(40, 760 - 14 * i, 10, x) for i, x in enumerate(s)] for s in sheets], info={"Title": str(len(lines))}))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    return read(spark, sf, "documents").select("doc_id", "text").mapInArrow(made, "doc_id bigint, content binary")
+
+
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, CAST((k - 1) // 50 + 1 AS INTEGER) AS page_no, sha256(string_agg(line, chr(10) ORDER BY k)) AS text_sha256 FROM l WHERE line <> '' GROUP BY ALL
+""")
+def pdf_text(spark, sf):
+    from foliospark.sources import scan
+
+    frags = scan.fragments(_as_files(spark, sf), ["doc_id"])
+    by = ["doc_id", "page_no"]
+    lines = layout.assemble(layout.with_lines(frags, by), by)
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda t: t["text"]), "\n")
+    return lines.groupBy(*by).agg(F.sha2(text_of, 256).alias("text_sha256"))
+
+
+@query("""
+SELECT doc_id, 'ok' AS status, '1.7' AS version, CAST((len(string_split(text, chr(10))) + 49) // 50 AS INTEGER) AS n_pages, CAST(len(string_split(text, chr(10))) AS VARCHAR) AS title FROM documents
+""")
+def pdf_documents(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.documents(_as_files(spark, sf), ["doc_id"]).select("doc_id", "status", "version", "n_pages", F.col("info")["Title"].alias("title"))
+
+
+@query("""
+SELECT doc_id, 'language' AS rule, 'missing' AS detail FROM documents UNION ALL SELECT doc_id, 'tagged', 'no structure tree' FROM documents
+""")
+def pdf_issues(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.issues(_as_files(spark, sf), ["doc_id"])
