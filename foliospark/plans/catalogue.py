@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import forms, graph, layout, models, pages, rows, text
+from foliospark.operators import forms, graph, layout, models, pages, rows, tables, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -611,3 +611,71 @@ def pdf_issues(spark, sf):
     from foliospark.sources import scan
 
     return scan.issues(_as_files(spark, sf), ["doc_id"])
+
+
+# --- tables
+
+
+def _ruled_files(spark, sf):
+    """Every nation with its suppliers as a ruled table: one sheet a nation, a hundred rows to a page."""
+    from foliospark.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for rows_of in b.column(1).to_pylist():
+                pages_of, grids = [], []
+                for k in range(0, len(rows_of), 40):
+                    part = [("name", "balance"), *((r["name"], r["balance"]) for r in rows_of[k : k + 40])]
+                    pages_of.append([(55 + 200 * c, 743 - 16 * i, 9, v) for i, row in enumerate(part) for c, v in enumerate(row)])
+                    bottom = 754 - 16 * len(part)
+                    grids.append(" ".join([*(f"50 {754 - 16 * i} m 450 {754 - 16 * i} l S" for i in range(len(part) + 1)), *(f"{x} 754 m {x} {bottom} l S" for x in (50, 250, 450))]))
+                assert len(pages_of) == 1
+                out.append(pdf.write(pages_of, extra=grids[0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["nation", "content"])
+
+    listed = read(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), (F.col("s_suppkey") % 1000 / 40).cast("int").alias("sheet"), F.struct("s_suppkey", F.col("s_name").alias("name"), F.col("s_acctbal").cast("string").alias("balance")).alias("r"))
+    listed = listed.groupBy((F.col("nation") * 100000 + F.col("sheet")).alias("nation")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return listed.mapInArrow(made, "nation bigint, content binary")
+
+
+@query("""
+WITH s AS (SELECT s_nationkey * 100000 + CAST(trunc(s_suppkey % 1000 / 40) AS INTEGER) AS nation, s_name, s_acctbal, row_number() OVER (PARTITION BY s_nationkey * 100000 + CAST(trunc(s_suppkey % 1000 / 40) AS INTEGER) ORDER BY s_suppkey) AS k FROM supplier)
+SELECT CAST(nation AS BIGINT) AS nation, CAST(k AS INTEGER) AS row, 0 AS col, s_name AS text FROM s UNION ALL SELECT nation, CAST(k AS INTEGER), 1, CAST(s_acctbal AS VARCHAR) FROM s
+UNION ALL SELECT DISTINCT nation, 0, 0, 'name' FROM s UNION ALL SELECT DISTINCT nation, 0, 1, 'balance' FROM s
+""")
+def table_cells(spark, sf):
+    from foliospark.sources import scan
+
+    files = _ruled_files(spark, sf)
+    by = ["nation", "page_no"]
+    return tables.detect(scan.fragments(files, ["nation"]), scan.rules(files, ["nation"]), by).where("kind = 'lattice'").select("nation", "row", "col", "text")
+
+
+@query("""
+WITH r AS (SELECT user_id AS page, event_id % 2 = 0 AS vertical, CAST(event_id % 7 * 50 AS DOUBLE) AS pos, CAST(floor(value) AS DOUBLE) AS lo, CAST(floor(value) + 10 + event_id % 90 AS DOUBLE) AS hi FROM events),
+m AS (SELECT *, max(hi) OVER (PARTITION BY page, vertical, pos ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+k AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY page, vertical, pos ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT page, vertical, pos, min(lo) AS lo, max(hi) AS hi FROM k GROUP BY page, vertical, pos, run HAVING max(hi) - min(lo) >= 8
+""")
+def table_rules(spark, sf):
+    e = read(spark, sf, "events")
+    v, pos, lo = F.col("event_id") % 2 == 0, (F.col("event_id") % 7 * 50).cast("double"), F.floor("value").cast("double")
+    hi = lo + 10 + F.col("event_id") % 90
+    rules = e.select(F.col("user_id").alias("page"), F.when(v, pos).otherwise(lo).alias("x0"), F.when(v, lo).otherwise(pos).alias("y0"), F.when(v, pos).otherwise(hi).alias("x1"), F.when(v, hi).otherwise(pos).alias("y1"))
+    return tables.normalise_rules(rules, ["page"])
+
+
+@query("""
+WITH c AS (SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_name, n_nationkey FROM nation)
+SELECT CAST(region AS BIGINT) AS region, '| name | key |' || chr(10) || '| --- | ---: |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY k) AS markdown FROM c GROUP BY region
+""")
+def table_markdown(spark, sf):
+    n = read(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("region"), "n_nationkey", "n_name")
+    n = pages.number_pages(n, ["region"], ["n_nationkey"], "row")
+    head = n.select("region").distinct()
+    cells = n.select("region", "row", F.lit(0).alias("col"), F.col("n_name").alias("text")).unionByName(n.select("region", "row", F.lit(1).alias("col"), F.col("n_nationkey").cast("string").alias("text")))
+    cells = cells.unionByName(head.select("region", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("name").alias("text"))).unionByName(head.select("region", F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit("key").alias("text")))
+    return tables.markdown(cells, ["region"])
