@@ -679,3 +679,98 @@ def table_markdown(spark, sf):
     cells = n.select("region", "row", F.lit(0).alias("col"), F.col("n_name").alias("text")).unionByName(n.select("region", "row", F.lit(1).alias("col"), F.col("n_nationkey").cast("string").alias("text")))
     cells = cells.unionByName(head.select("region", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("name").alias("text"))).unionByName(head.select("region", F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit("key").alias("text")))
     return tables.markdown(cells, ["region"])
+
+
+# --- flow and Markdown
+
+
+def _flow(spark, sf):
+    """Brands as chapters, their parts as items and paragraphs."""
+    p = read(spark, sf, "part")
+    head = p.groupBy("p_brand").agg(F.min("p_partkey").alias("k")).selectExpr("'all' AS doc", "concat(p_brand, '!') AS o", "'heading' AS kind", "1 AS level", "p_brand AS content")
+    body = p.selectExpr("'all' AS doc", "concat(p_brand, '#', lpad(cast(p_partkey as string), 8, '0')) AS o", "case when p_size % 2 = 0 then 'bullet' else 'paragraph' end AS kind", "0 AS level", "p_name AS content")
+    return head.unionByName(body).withColumn("doc", F.substring("o", 1, 7))
+
+
+_FLOW = """
+WITH f AS (SELECT substr(p_brand, 1, 7) AS doc, p_brand || '!' AS o, 'heading' AS kind, 1 AS level, p_brand AS content FROM part GROUP BY p_brand
+UNION ALL SELECT substr(p_brand, 1, 7), p_brand || '#' || lpad(p_partkey::VARCHAR, 8, '0'), CASE WHEN p_size % 2 = 0 THEN 'bullet' ELSE 'paragraph' END, 0, p_name FROM part)
+"""
+
+
+@query(_FLOW + """, g AS (SELECT *, regexp_replace(content, '([\\\\`*_\\[\\]<>|#])', '\\\\\\1', 'g') AS safe, lag(kind) OVER (PARTITION BY doc ORDER BY o) AS before, row_number() OVER (PARTITION BY doc ORDER BY o) AS n FROM f)
+SELECT doc, string_agg(CASE WHEN n = 1 THEN '' WHEN before = kind AND kind = 'bullet' THEN chr(10) ELSE chr(10) || chr(10) END || CASE kind WHEN 'heading' THEN '# ' WHEN 'bullet' THEN '- ' ELSE '' END || safe, '' ORDER BY n) || chr(10) AS markdown FROM g GROUP BY doc""")
+def markdown_export(spark, sf):
+    from foliospark.operators import flow
+
+    return flow.to_markdown(_flow(spark, sf), "doc", "o")
+
+
+@query(_FLOW + "SELECT doc, o, CAST(sum(CASE WHEN kind = 'heading' AND level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY o) AS BIGINT) AS chapter_no FROM f")
+def chapter_split(spark, sf):
+    from foliospark.operators import flow
+
+    return flow.chapters(_flow(spark, sf), "doc", "o").select("doc", "o", "chapter_no")
+
+
+@query(_FLOW + """, g AS (SELECT *, lag(kind) OVER w AS before, lead(kind) OVER w AS after, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY doc ORDER BY o))
+SELECT doc, string_agg(CASE kind WHEN 'heading' THEN '<h1>' || content || '</h1>' || chr(10) WHEN 'bullet' THEN CASE WHEN before IS DISTINCT FROM 'bullet' THEN '<ul>' || chr(10) ELSE '' END || '<li>' || content || '</li>' || chr(10) || CASE WHEN after IS DISTINCT FROM 'bullet' THEN '</ul>' || chr(10) ELSE '' END
+  ELSE '<p>' || content || '</p>' || chr(10) END, '' ORDER BY n) AS html FROM g GROUP BY doc""")
+def html_export(spark, sf):
+    from foliospark.operators import flow
+
+    return flow.to_html(_flow(spark, sf), "doc", "o")
+
+
+@query("""
+SELECT p_partkey, b.seq, b.depth, b.kind, b.level, b.block_text FROM part, LATERAL (VALUES (0, 0, 'heading', 2, p_name), (1, 0, 'list', 0, ''), (2, 1, 'item', 0, ''), (3, 2, 'paragraph', 0, p_type), (4, 1, 'item', 0, ''), (5, 2, 'paragraph', 0, p_brand), (6, 0, 'quote', 0, ''), (7, 1, 'paragraph', 0, CAST(p_size AS VARCHAR) || chr(10) || 'lazy')) b(seq, depth, kind, level, block_text)
+""")
+def markdown_blocks(spark, sf):
+    from foliospark.functions import markdown
+
+    text_of = F.concat(F.lit("## "), "p_name", F.lit("\n- *"), "p_type", F.lit("*\n- `"), "p_brand", F.lit("`\n\n> "), F.col("p_size").cast("string"), F.lit("\nlazy\n"))
+    return markdown.blocks(read(spark, sf, "part").select("p_partkey", text_of.alias("md")), ["p_partkey"], "md").select("p_partkey", "seq", "depth", "kind", "level", "block_text")
+
+
+@query()
+def markdown_documents(spark, sf):
+    """The blocks of whole documents read as Markdown."""
+    from foliospark.functions import markdown
+
+    return markdown.blocks(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+
+
+@query("""
+WITH c AS (SELECT user_id, CAST(round(value * 10) AS INTEGER) % 7 AS tenths, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, tenths FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tenths) = 1
+""")
+def dominant_size(spark, sf):
+    return rows.mode(read(spark, sf, "events").select("user_id", (F.round(F.col("value") * 10).cast("int") % 7).alias("tenths")), ["user_id"], "tenths", high=False, out="tenths").select("user_id", "tenths")
+
+
+@query("""
+SELECT user_id, event_type, CASE WHEN event_type = 'click' THEN 1 ELSE value END AS value FROM events WHERE event_type <> 'view'
+""")
+def edited_rows(spark, sf):
+    from foliospark.operators import edits
+
+    e = edits.remove(read(spark, sf, "events").select("user_id", "event_type", "value"), F.col("event_type") == "view")
+    return edits.update(e, F.col("event_type") == "click", {"value": F.lit(1)})
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def alt_audit(spark, sf):
+    from foliospark.operators import edits
+
+    alt = read(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "text").otherwise(" ").alias("alt"))
+    return edits.without_alt(read(spark, sf, "documents").select("doc_id"), alt, ["doc_id"])
+
+
+@query("""
+SELECT p.page_id, strlen(trim(coalesce(d.text, ''))) < 3 AND coalesce(m.area >= 0.7 * 1000, false) AS needs_ocr FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id LEFT JOIN (SELECT o_custkey AS page_id, max(o_totalprice / 200) AS area FROM orders GROUP BY o_custkey) m ON m.page_id = p.page_id
+""")
+def scanned_pages(spark, sf):
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    web = read(spark, sf, "pages").select("page_id").join(docs, "page_id", "left").withColumn("page_area", F.lit(1000.0))
+    images = read(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), (F.col("o_totalprice") / 200).alias("area"))
+    return models.needs_ocr(web, images, ["page_id"], "text", "page_area", "area").select("page_id", "needs_ocr")
