@@ -18,7 +18,7 @@ from foliospark.sources.pdf import Document, Interpreter, Name, Ref, Stream
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """``path, modificationTime, length, content`` of the files in a folder and those below it."""
+    """``path, modificationTime, length, content`` of the files in a folder and those below it. Files without a byte aren't listed."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
@@ -29,6 +29,8 @@ BATCH = 16
 def layer(df: DataFrame, by: list[str], content: str, schema: str, rows: Callable[[Document], Iterator[tuple]], password: str = "") -> DataFrame:
     """The rows that ``rows`` finds in each file, after the columns of ``by``. A file that can't be read has none."""
     kinds = StructType.fromDDL(schema)
+    if clash := {*by} & {*kinds.names}:
+        raise ValueError(f"the layer has columns {sorted(clash)} of its own; rename the key")
     wanted = df.select(*by, content)
     full = StructType([wanted.schema[c] for c in by] + list(kinds))
     arrow = to_arrow_schema(full)
