@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,33 +75,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_ranges(df: DataFrame, column: str, target_rows: int, bins: int = 4096) -> list[int]:
+def least_hashed(df: DataFrame, key: str, rows: int, total: int | None = None, *order: str) -> DataFrame:
+    """The ``rows`` rows with the least hash of ``key``, then by ``order``: a fixed sample, whatever the partitions.
+
+    A sort for a few rows sends that many from each partition to one task, so most rows are filtered out by their
+    hash first; where the filter leaves too few, which is all but impossible, it is left out.
+    """
+    total = df.count() if total is None else total
+    few = df
+    if total > 2 * rows:
+        few = df.where(F.xxhash64(key) < F.lit(int(-(2**63) + 1.5 * rows / total * 2**64)))
+        few = few if few.count() >= rows else df
+    return few.orderBy(F.xxhash64(key), key, *order).limit(rows)
+
+
+def id_ranges(df: DataFrame, column: str, target_rows: int) -> list[int]:
     """Upper bounds (inclusive) of consecutive ranges of an integer column, of about ``target_rows`` each.
 
-    Bounds depend on the values alone, not on their partitions. Equal-width bins are counted; a bin that
-    holds more than two targets is counted anew over its own width, until one value fills it. What
-    reaches the driver is at most ``bins`` counts a pass.
+    Bounds depend on the values alone, not on their partitions. Equal-width bins are counted, about four a range; all
+    bins that hold over two targets are counted anew over their own width, in one pass a level, until one value fills
+    them. What reaches the driver is a count for each bin in use, so the caller's target bounds it.
     """
     lo, hi, rows = df.select(F.min(column), F.max(column), F.count(column)).first()
     if not rows:
         return []
-
-    def cut(lo: int, hi: int) -> list[tuple[int, int]]:
-        width = max(1, -(-(hi - lo + 1) // bins))
-        slot = F.expr(f"div(cast(`{column}` as decimal(20,0)) - {lo}, {width})").cast("long")
-        found = df.where(F.col(column).between(lo, hi)).groupBy(slot.alias("slot")).count().collect()
-        out = []
-        for r in sorted(found):
-            first, last = lo + r["slot"] * width, min(hi, lo + (r["slot"] + 1) * width - 1)
-            out += cut(first, last) if r["count"] > 2 * target_rows and last > first else [(last, r["count"])]
-        return out
-
+    keys, known, todo = df.where(F.col(column).isNotNull()).select(F.col(column).alias("k")), {}, [(lo, hi, rows)]
+    while todo:
+        starts = np.array([t[0] for t in todo], np.int64)
+        ends = np.array([t[1] for t in todo], np.int64)
+        parts = [max(2, -(-4 * n // target_rows)) for _, _, n in todo]
+        widths = np.array([max(1, -(-(b - a + 1) // p)) for (a, b, _), p in zip(todo, parts)], np.int64)
+        sent = Shared(df.sparkSession, (starts, ends, widths))
+
+        @F.pandas_udf("long")
+        def bin_of(k: pd.Series) -> pd.Series:
+            starts, ends, widths = sent.value
+            k = k.to_numpy(np.int64)
+            at = np.maximum(np.searchsorted(starts, k, "right") - 1, 0)
+            first = starts[at] + (k - starts[at]) // widths[at] * widths[at]
+            return pd.Series(np.where((k >= starts[at]) & (k <= ends[at]), first, -(2**63)))
+
+        found = keys.select(bin_of("k").alias("first")).where(F.col("first") != -(2**63)).groupBy("first").count().collect()
+        todo = []
+        for first, count in sorted(found):
+            at = int(np.searchsorted(starts, first, "right")) - 1
+            last = min(int(ends[at]), first + int(widths[at]) - 1)
+            if count > 2 * target_rows and last > first:
+                todo.append((first, last, count))
+            else:
+                known[last] = count
     bounds, held = [], 0
-    for last, count in cut(lo, hi):
-        held += count
+    for last in sorted(known):
+        held += known[last]
         if held >= target_rows:
             bounds.append(last)
             held = 0
-    if not bounds or bounds[-1] < hi:
+    if held:
         bounds.append(hi)
     return bounds

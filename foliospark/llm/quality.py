@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import small_batches
+from foliospark.llm.common import least_hashed, small_batches
 
 #: Labelled rows that a model is fitted on at most.
 FIT_ROWS = 20_000
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels without an id or a value are ignored. A document labelled twice counts twice, as does a repeated one.
     """
     some = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("label_"))
-    some = some.orderBy(F.xxhash64("id_"), "id_", "label_").limit(rows)
+    some = least_hashed(some, "id_", rows, None, "label_")
     # At most ``rows`` ids and labels, so a broadcast is bounded.
     known = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(some), "id_")
     found = with_statistics(known, "text_").select("id_", "label_", "stats_.*").orderBy(F.xxhash64("id_"), "id_", "label_", *STATISTICS).limit(rows).toPandas()

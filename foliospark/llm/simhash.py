@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Shared, materialize, small_batches
+from foliospark.llm.common import Shared, least_hashed, materialize, small_batches
 from foliospark.llm.components import connected_components
 
 #: Fingerprints of the sample that shapes the routing tree.
@@ -161,7 +161,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE
     for each fingerprint that it holds; no list of pairs leaves it.
     """
     total = distinct.count()
-    some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    some = least_hashed(distinct, "fp", sample, total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = RoutingTree(some, total, shard, radius)
     known = Shared(distinct.sparkSession, tree)  # at most a node for each sampled fingerprint
 

@@ -619,3 +619,28 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     shards = Counter(x.shard for x in out)
     assert len(shards) == 16 and max(shards.values()) - min(shards.values()) <= 1
     assert len({(x.shard, x.slot) for x in out}) == len(out)
+
+
+# helpers
+
+
+@pytest.mark.parametrize("ids", [list(range(1000)), [i * i * i for i in range(1000)], [0] * 500 + list(range(10**15, 10**15 + 500)), [-(2**62), 5, 2**62], [7], []])
+def test_id_ranges(spark, ids):
+    from foliospark.llm.common import id_ranges
+
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "k bigint")
+    bounds = id_ranges(df, "k", 50)
+    assert bounds == id_ranges(df.repartition(5), "k", 50) == sorted(set(bounds))
+    counts = Counter(int(np.searchsorted(bounds, i)) for i in ids)
+    assert set(counts) == set(range(len(bounds)))
+    most = Counter(ids).most_common(1)[0][1] if ids else 0
+    assert all(n <= max(150, most + 100) for n in counts.values())
+
+
+def test_least_hashed_is_a_fixed_sample(spark):
+    from foliospark.llm.common import least_hashed
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    some = {r.k for r in least_hashed(df, "k", 100).collect()}
+    assert some == {r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(100).collect()} == {r.k for r in least_hashed(df.repartition(9), "k", 100, 5000).collect()}
+    assert least_hashed(df, "k", 4000).count() == 4000
