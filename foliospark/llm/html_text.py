@@ -30,7 +30,7 @@ MARKS = frozenset(
 )
 #: Words that mark boilerplate outside an article; inside one they may name its own head.
 OUTER_MARKS = frozenset(("header", "head", "topbar", "top"))
-COMMENTS = frozenset(("comment", "comments", "disqus", "replies"))
+COMMENTS = frozenset(("comment", "comments", "disqus", "replies", "respond"))
 
 #: Width of the smoothing in blocks.
 SIGMA = 1.0
@@ -93,7 +93,7 @@ class Events(HTMLParser):
         words = {w.lower() for n in _WORDS.findall(names) for w in (n, *re.findall(r"[A-Z]?[a-z]+", n))}
         if tag == "article":
             return bool(words & COMMENTS)
-        return bool(words & MARKS) or (not inside and bool(words & OUTER_MARKS))
+        return bool(words & (MARKS | COMMENTS)) or (not inside and bool(words & OUTER_MARKS))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1

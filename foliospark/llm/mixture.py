@@ -76,8 +76,9 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
     """What each class of each source takes: ``whole`` certain copies, the ``chance`` of one more, and where the sample's order is cut.
 
     ``rows`` has id, source, size, likelihood and odds. The sample is of fixed size in words: the order is cut
-    where the words so far come up to what the whole copies leave of the target; then the one document beyond
-    the cut that best fills what is still missing is added, if it lessens the error. Sources are ranked in
+    where the words so far come up to what the whole copies leave of the target. What the document at the cut leaves
+    open is filled from beyond it: of each quarter of a doubling of size, from the largest down, the next document in
+    order is taken if it fits. Sources are ranked in
     ``BINS`` counted bins, and only the bin with the cut is put in order, so no source is sorted as a whole.
     """
     classes = materialize(rows.groupBy("source", "likelihood").agg(F.sum("size").alias("class_size")), "classes")
@@ -104,13 +105,26 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
 
     beyond = ranked.join(cuts, F.col("source").eqNullSafe(F.col("source_"))).where(~before_cut())
     beyond = beyond.groupBy("source", "left", "upto", "rank", "id").agg(F.sum("size").alias("size"))
-    error = F.abs(F.col("left") - F.col("upto") - F.col("size"))
-    close = beyond.where(error < F.col("left") - F.col("upto")).groupBy(F.col("source").alias("close_source")).agg(F.min(F.struct(error.alias("error"), "rank", "id")).alias("c"))
-    close = close.select("close_source", F.col("c.rank").alias("close_rank"), F.col("c.id").alias("close_id"))
+    bits = F.length(F.bin("size"))
+    quarter = bits * 8 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 3, F.lit(0))).cast("int")
+    first = beyond.groupBy("source", "left", "upto", quarter.alias("quarter")).agg(F.min(F.struct("rank", "id", "size")).alias("first"))
+    listed = first.groupBy(F.col("source").alias("close_source"), "left", "upto").agg(F.sort_array(F.collect_list(F.struct("quarter", "first")), asc=False).alias("firsts"))
+    none = F.struct((F.col("left") - F.col("upto")).alias("gap"), F.array().cast(rows_type(beyond)).alias("taken"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = x["first"]["size"] <= acc["gap"]
+        more = F.struct((acc["gap"] - x["first"]["size"]).alias("gap"), F.concat(acc["taken"], F.array(F.struct(x["first"]["rank"].alias("rank"), x["first"]["id"].alias("id")))).alias("taken"))
+        return F.when(fits, more).otherwise(acc)
+
+    close = listed.select("close_source", F.aggregate("firsts", none, step)["taken"].alias("closing"))
     out = wide.join(cuts.drop("upto"), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     return materialize(out.join(close, F.col("source").eqNullSafe(F.col("close_source")), "left").drop("close_source"), "plan")
 
 
+def rows_type(df: DataFrame) -> str:
+    return f"array<struct<rank:double,id:{df.schema['id'].dataType.simpleString()}>>"
+
+
 def before_cut() -> Column:
     """Whether a ranked row comes before its source's cut. Without a cut, all of the source does."""
     same = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("id").eqNullSafe(F.col("cut_id")) | F.coalesce(F.col("id") <= F.col("cut_id"), F.col("cut_id").isNull())))
@@ -138,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.struct(*(F.col(f"`{k}`") for k in keep)).alias("kept"))
         sized = whole.withColumns({"likelihood": likely(F.col("size")), "odds": random_odds(F.col("id"), seed)})
     ranked = _ranked(sized, found, seed)
-    more = F.col("rank").isNotNull() & (F.col("size") > 0) & (before_cut() | F.coalesce((F.col("rank") == F.col("close_rank")) & F.col("id").eqNullSafe(F.col("close_id")), F.lit(False)))
+    more = F.col("rank").isNotNull() & (F.col("size") > 0) & (before_cut() | F.coalesce(F.exists("closing", lambda c: (c["rank"] == F.col("rank")) & c["id"].eqNullSafe(F.col("id"))), F.lit(False)))
     copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")
     return ranked.select("id", "source", "size", "source_size", "target", copies.alias("copies"), *([] if not keep else ["kept"]))
 
@@ -150,7 +164,7 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                   (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
 r AS (SELECT *, CASE WHEN size < 16 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS p, u / (1.0::DOUBLE - u) AS odds FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM r GROUP BY source),
@@ -167,7 +181,12 @@ q AS (SELECT r.doc_id, r.source, r.size, ss, target, whole, rest, CASE WHEN chan
       FROM r JOIN cp ON r.source IS NOT DISTINCT FROM cp.source AND r.p = cp.p),
 f AS (SELECT *, sum(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST) AS upto FROM q),
 g AS (SELECT *, rank IS NOT NULL AND upto <= rest AS inside, coalesce(max(CASE WHEN rank IS NOT NULL AND upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS reached FROM f),
-h AS (SELECT *, CASE WHEN rank IS NOT NULL AND NOT inside AND abs(rest - reached - size) < rest - reached THEN row_number() OVER (PARTITION BY source, rank IS NOT NULL AND NOT inside AND abs(rest - reached - size) < rest - reached ORDER BY abs(rest - reached - size), rank, doc_id) END AS closing FROM g)
-SELECT doc_id, size, ss AS source_size, target, CAST(whole + CASE WHEN inside OR closing = 1 THEN 1 ELSE 0 END AS BIGINT) * size AS taken,
-       source, CAST(whole + CASE WHEN inside OR closing = 1 THEN 1 ELSE 0 END AS INTEGER) AS copies FROM h
+h AS (SELECT source, rest - reached AS gap, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS quarter, doc_id, size FROM g WHERE rank IS NOT NULL AND NOT inside
+      QUALIFY row_number() OVER (PARTITION BY source, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) ORDER BY rank, doc_id) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quarter DESC) AS nth FROM h),
+c2(source, nth, doc_id, fits, gap) AS (
+  SELECT source, nth, doc_id, size <= gap, CASE WHEN size <= gap THEN gap - size ELSE gap END FROM k WHERE nth = 1
+  UNION ALL SELECT k.source, k.nth, k.doc_id, k.size <= c2.gap, CASE WHEN k.size <= c2.gap THEN c2.gap - k.size ELSE c2.gap END FROM c2 JOIN k ON k.source IS NOT DISTINCT FROM c2.source AND k.nth = c2.nth + 1),
+t AS (SELECT g.*, CASE WHEN inside OR (rank IS NOT NULL AND EXISTS (SELECT 1 FROM c2 WHERE c2.fits AND c2.doc_id = g.doc_id AND c2.source IS NOT DISTINCT FROM g.source)) THEN 1 ELSE 0 END AS more FROM g)
+SELECT doc_id, size, ss AS source_size, target, CAST(whole + more AS BIGINT) * size AS taken, source, CAST(whole + more AS INTEGER) AS copies FROM t
 """

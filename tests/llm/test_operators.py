@@ -95,8 +95,8 @@ def test_mixture_order_is_paretos(spark):
         for low in (True, False):
             group = sorted((r for r in mine if (r.size < 16) == low), key=lambda r: rank[r.id])
             copies = [again[r.id] for r in group]
-            drops = sum(a < b for a, b in zip(copies, copies[1:]))
-            assert drops <= 1, (source, low, floor)
+            cut = next((k for k, c in enumerate(copies) if c < copies[0]), len(copies))
+            assert sum(c == copies[0] for c in copies[cut:]) <= 30 < cut, (source, low, floor)
 
 
 def test_mixture_of_nothing(none):
