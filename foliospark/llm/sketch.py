@@ -34,8 +34,8 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 class Hasher:
     """Hashes a text's shingles; remembers the hashes of words."""
 
-    def __init__(self, shingle: int = SHINGLE):
-        self.shingle, self.known = shingle, {}
+    def __init__(self, shingle: int = SHINGLE, bits: int = BITS):
+        self.shingle, self.bits, self.known = shingle, bits, {}
 
     def _word(self, w: bytes) -> int:
         if len(self.known) >= REMEMBERED:
@@ -44,7 +44,7 @@ class Hasher:
         return h
 
     def hashes(self, text: str | None) -> np.ndarray:
-        """Hashes of ``BITS`` bits, one for each shingle, repeats included. A text of fewer words is one shingle."""
+        """Hashes of ``bits`` bits, one for each shingle, repeats included. A text of fewer words is one shingle."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
@@ -57,7 +57,7 @@ class Hasher:
             out ^= out >> np.uint64(31)
         out = (out ^ (out >> np.uint64(30))) * _B  # so that the least hashes are a fair sample
         out = (out ^ (out >> np.uint64(27))) * _C
-        return (out ^ (out >> np.uint64(31))) >> np.uint64(64 - BITS)
+        return (out ^ (out >> np.uint64(31))) >> np.uint64(64 - self.bits)
 
 
 def bottom_k(hashes: np.ndarray, k: int = K) -> np.ndarray:

@@ -644,3 +644,38 @@ def test_least_hashed_is_a_fixed_sample(spark):
     some = {r.k for r in least_hashed(df, "k", 100).collect()}
     assert some == {r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(100).collect()} == {r.k for r in least_hashed(df.repartition(9), "k", 100, 5000).collect()}
     assert least_hashed(df, "k", 4000).count() == 4000
+
+
+def five(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    n = min(5, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+
+
+def test_resembling_texts_are_found(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choices([f"v{i}" for i in range(5000)], k=r.randint(60, 400))) for _ in range(120)]
+    hot = texts[0].split()
+    for k in range(240):  # copies with a few changed words; the first text has many
+        base = (hot if k % 2 else r.choice(texts[:120]).split())[:]
+        for _ in range(r.randint(1, max(1, len(base) // 60))):
+            base[r.randrange(len(base))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(base))
+    texts += [texts[5], texts[130], None, "", "a b"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, resembling=0.8).collect()}
+    sets, found, total = [five(t) for t in texts], 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            like = len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+            if like >= 0.8:
+                total, found = total + 1, found + (got[i] == got[j])
+    assert total > 1000 and found / total > 0.97, (found, total)
+    groups = defaultdict(set)
+    for i, c in got.items():
+        groups[c].add(i)
+    for members in groups.values():
+        origins = {i for i in members if i < 120}
+        assert len(origins) <= 1, origins
+    kept = simhash.keep_one(docs, resembling=0.8)
+    assert kept.count() == len(groups)
