@@ -834,3 +834,14 @@ def blocks(df: DataFrame, by: list[str], text_col: str) -> DataFrame:
 def escape(text: str) -> str:
     """Plain text as Markdown."""
     return re.sub(r"([\\`*_\[\]<>|#])", r"\\\1", text)
+
+
+def register(spark) -> None:
+    """Makes ``md_blocks(text)`` a table function of the session's SQL."""
+    from pyspark.sql.functions import udtf
+
+    class MdBlocks:
+        def eval(self, text: str):
+            yield from block_rows(text)
+
+    spark.udtf.register("md_blocks", udtf(MdBlocks, returnType=BLOCKS))

@@ -123,3 +123,64 @@ def page_paragraphs(frags: DataFrame, by: list[str], width: Column) -> DataFrame
 def nest_depth(x: Column, left: Column, step: float = 18.0, slack: float = 6.0) -> Column:
     """How deep a list item is nested by its indent."""
     return F.greatest(F.lit(0), F.floor((x - left + slack) / step)).cast("int")
+
+
+
+MATCHES = "line_no int, match_no int, match string, llx double, lly double, urx double, ury double"
+
+
+def search(lines: DataFrame, by: list[str], pattern: str, ignore_case: bool = False) -> DataFrame:
+    """Matches of a regular expression within lines, with their boxes: by, then ``MATCHES``.
+
+    The ends of a match lie inside their fragments in proportion to the characters. Empty matches are dropped; lines
+    without a match aren't handed to Python.
+    """
+    import re
+
+    from foliospark.operators.text import compile_pattern
+
+    likely = lines.where(F.col("text").rlike(compile_pattern(pattern, True, ignore_case)))
+    rows = likely.select(*by, "line_no", "text", "fragments")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(by)]), MATCHES])
+    names = [*by, *(c.split()[0] for c in MATCHES.split(", "))]
+
+    def boxes(text: str, fragments: list[dict]) -> list[tuple]:
+        edges, at = [], 0  # of each character: left, right, bottom, top
+        for f in fragments:
+            gap = text.startswith(" ", at) and not f["text"].startswith(" ") and text[at + 1 : at + 1 + len(f["text"])] == f["text"]
+            if gap:
+                left = edges[-1][1] if edges else f["x"]
+                edges.append((left, f["x"], f["y"], f["y"] + f["size"]))
+                at += 1
+            wide = f["width"] / max(1, len(f["text"]))
+            edges += [(f["x"] + k * wide, f["x"] + (k + 1) * wide, f["y"], f["y"] + f["size"]) for k in range(len(f["text"]))]
+            at += len(f["text"])
+        return edges
+
+    def run(batches):
+        import pyarrow as pa
+
+        found = re.compile(pattern, re.I if ignore_case else 0)
+        kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 4]
+        for b in batches:
+            at, out = [], []
+            for k, (no, text, fragments) in enumerate(zip(*(b.column(len(by) + i).to_pylist() for i in range(3)))):
+                edges = boxes(text, fragments)
+                for nth, m in enumerate((m for m in found.finditer(text) if m[0]), 1):
+                    e = edges[m.start() : m.end()]
+                    at.append(k)
+                    out.append((no, nth, m[0], min(x[0] for x in e), min(x[2] for x in e), max(x[1] for x in e), max(x[3] for x in e)))
+            if out:
+                keys = b.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns[: len(by)], *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def search_annotations(annotations: DataFrame, by: list[str], pattern: str, ignore_case: bool = False) -> DataFrame:
+    """Matches in annotations' contents, each with its annotation's box: by, match_no, match, llx, lly, urx, ury."""
+    from foliospark.operators.text import compile_pattern
+
+    hits = F.regexp_extract_all("contents", F.lit(compile_pattern(pattern, True, ignore_case)), F.lit(0))
+    out = annotations.select(*by, "llx", "lly", "urx", "ury", F.posexplode(hits).alias("k_", "match"))
+    return out.select(*by, (F.col("k_") + 1).alias("match_no"), "match", "llx", "lly", "urx", "ury")

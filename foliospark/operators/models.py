@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -63,6 +66,45 @@ def with_retry(call: Callable[[str], str], attempts: int = 3, wait: float = 0.5,
     return run
 
 
+class HttpClient:
+    """Asks a chat-completions service over HTTP; meant to be made once a task, inside ``complete``."""
+
+    def __init__(self, base_url: str, model: str, key: str = "", system: str = "", timeout: float = 60.0, most_bytes: int = 16 << 20, opener=None):
+        if not model:
+            raise ValueError("a model's name is required")
+        self.url, self.model, self.key, self.system, self.timeout, self.most_bytes = base_url.rstrip("/") + "/chat/completions", model, key, system, timeout, most_bytes
+        self.open = opener or urllib.request.urlopen
+
+    def __call__(self, prompt: str) -> str:
+        messages = [*([{"role": "system", "content": self.system}] if self.system else []), {"role": "user", "content": prompt}]
+        head = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})}
+        request = urllib.request.Request(self.url, json.dumps({"model": self.model, "messages": messages}).encode(), head)
+        try:
+            with self.open(request, timeout=self.timeout) as answer:
+                raw = answer.read(self.most_bytes + 1)
+        except urllib.error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                raise ConnectionError(f"HTTP {e.code}") from e
+            raise ValueError(f"HTTP {e.code}") from e
+        if len(raw) > self.most_bytes:
+            raise ValueError("the answer is too long")
+        return json.loads(raw)["choices"][0]["message"]["content"]
+
+
+def recognise(df: DataFrame, image: str, engine: Callable[[], Callable[[bytes], str]], out: str = "text") -> DataFrame:
+    """Adds the text that an engine, made once a task, reads from each image; a null image has none."""
+    names, k = [*df.columns, out], df.columns.index(image)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        see = engine()
+        for b in batches:
+            texts = [see(i) if i else None for i in b.column(k).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def complete(df: DataFrame, prompt: Column, client: Callable[[], Callable[[str], str]], out: str = "answer") -> DataFrame:
     """Adds the answer of a client, made once a task, to each prompt; a blank prompt has none."""
     rows = df.withColumn(out, prompt)

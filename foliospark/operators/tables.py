@@ -314,3 +314,33 @@ def markdown(cells: DataFrame, by: list[str], numeric=None) -> DataFrame:
     rule = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("last_")), lambda c: F.when(F.coalesce(F.element_at("align_", c), F.lit(False)), "---:").otherwise("---")), " | "), F.lit(" |"))
     return body.select(*by, F.array_join(F.concat(F.slice("lines_", 1, 1), F.array(rule), F.slice("lines_", 2, F.size("lines_"))), "\n").alias("markdown"))
 
+
+
+def edge_columns(edges: list[float], tolerance: float = 6.0) -> list[float]:
+    """Left edges that begin a column: those over the tolerance beyond the last one that did."""
+    out: list[float] = []
+    for e in sorted(edges):
+        if not out or e - out[-1] > tolerance:
+            out.append(e)
+    return out
+
+
+GRID = "row int, col int, text string"
+
+
+def full_page(frags: DataFrame, by: list[str]) -> DataFrame:
+    """Each page's whole text on one grid: a row for each line, cells where wide gaps part it, columns by their left edges."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frags.select(*by).schema.fields)
+
+    def run(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
+        page = [tuple(r) for r in texts.sort_values("seq")[["x", "y", "end_x", "size", "font", "text"]].itertuples(index=False) if r[5].strip()]
+        rows = text_rows(page)
+        cols = edge_columns([c["lo"] for r in rows for c in r["cells"]])
+        slots = defaultdict(list)
+        for n, r in enumerate(rows):
+            for c in r["cells"]:
+                nearest = min(range(len(cols)), key=lambda k: (abs(cols[k] - c["lo"]), k))
+                slots[n, nearest].append(c["text"])
+        return pd.DataFrame([(*key, n, c, " ".join(t)) for (n, c), t in sorted(slots.items())], columns=[*by, "row", "col", "text"])
+
+    return frags.groupBy(*by).applyInPandas(run, f"{kinds}, {GRID}")

@@ -12,6 +12,8 @@ import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
+from foliospark.sources import aes
+
 
 class Name(str):
     """A name object, without its slash."""
@@ -269,6 +271,20 @@ def _rc4(key: bytes, data: bytes) -> bytes:
 _PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")  # fixed by the format
 
 
+def _digest_256(password: bytes, salt: bytes, more: bytes, revision: int) -> bytes:
+    """The hash of a password: plain SHA-256 at first, hardened by rounds of AES since revision 6."""
+    k = hashlib.sha256(password + salt + more).digest()
+    if revision < 6:
+        return k
+    nth = 0
+    while True:
+        e = aes.encrypt_cbc(k[:16], (password + k + more) * 64, k[16:32])
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+        nth += 1
+        if nth >= 64 and e[-1] <= nth - 32:
+            return k[:32]
+
+
 class Document:
     """The objects of one file. ``status`` is ok, recovered, encrypted or failed."""
 
@@ -458,18 +474,29 @@ class Document:
                 break
         return data
 
-    # encryption: the standard handler with RC4; other ciphers are reported, not opened
+    # encryption: the standard handler
 
     def _unlock(self, password: str) -> None:
-        self.encrypted = True
         e = self.resolve(self.trailer["Encrypt"]) or {}
         version, revision = e.get("V", 0), e.get("R", 2)
         self.permissions = e.get("P")
         filters = self.resolve(e.get("CF")) or {}
-        method = (self.resolve(filters.get(str(e.get("StmF", "")), {})) or {}).get("CFM", "V2" if version < 4 else "None")
-        if e.get("Filter") != "Standard" or version > 4 or method != "V2":
+        method = lambda use: (self.resolve(filters.get(str(e.get(use, "")), {})) or {}).get("CFM", "None")
+        methods = ("V2", "V2") if version < 4 else (method("StmF"), method("StrF"))
+        if e.get("Filter") != "Standard" or version not in (1, 2, 4, 5) or not {*methods} <= {"V2", "AESV2", "AESV3", "None"}:
             self.status = "encrypted"
             return
+        raw = password.encode("utf-8" if revision >= 5 else "latin-1", "replace")
+        key = self._key_of_256(e, raw[:127], revision) if revision >= 5 else self._key_of_128(e, raw, version, revision)
+        if key is None:
+            self.status = "encrypted"
+            return
+        keep = self.trailer["Encrypt"]
+        self.key, self.methods, self.cache, self.packed = key, methods, {}, {}
+        if isinstance(keep, Ref):
+            self.cache[keep.num] = e
+
+    def _key_of_128(self, e: dict, password: bytes, version: int, revision: int) -> bytes | None:
         size = 5 if version == 1 else e.get("Length", 40) // 8 if version < 4 else 16
         ident = (self.resolve(self.trailer.get("ID")) or [b""])[0]
 
@@ -497,31 +524,37 @@ class Document:
             out = self.resolve(e["O"])[:32]
             for n in range(19 if revision >= 3 else 0, -1, -1):
                 out = _rc4(bytes(b ^ n for b in key[:size]), out)
-            return out.rstrip(b"\x00") if not out.endswith(_PAD[:1]) else out
-
-        raw = password.encode("latin-1", "replace")
-        for user in (raw, by_owner(raw)):
-            key = file_key(user)
-            if fits(key):
-                keep = self.trailer["Encrypt"]
-                self.key, self.cache, self.packed = key, {}, {}
-                if isinstance(keep, Ref):
-                    self.cache[keep.num] = e
-                return
-        self.status = "encrypted"
+            return out
+
+        return next((k for k in map(file_key, (password, by_owner(password))) if fits(k)), None)
+
+    def _key_of_256(self, e: dict, password: bytes, revision: int) -> bytes | None:
+        user, owner = self.resolve(e["U"])[:48], self.resolve(e["O"])[:48]
+        for entry, wrapped, more in ((user, "UE", b""), (owner, "OE", user)):
+            if _digest_256(password, entry[32:40], more, revision) == entry[:32]:
+                return aes.decrypt_cbc(_digest_256(password, entry[40:48], more, revision), self.resolve(e[wrapped])[:32], bytes(16), padded=False)
+        return None
 
     def _decrypted(self, value, num: int, gen: int):
-        key = hashlib.md5(self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little")).digest()[: min(16, len(self.key) + 5)]
+        salted = self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little")
+
+        def plain(data: bytes, method: str) -> bytes:
+            if method == "None":
+                return data
+            if method == "AESV3":
+                return aes.decrypt_cbc(self.key, data)
+            key = hashlib.md5(salted + (b"sAlT" if method == "AESV2" else b"")).digest()[: min(16, len(self.key) + 5)]
+            return aes.decrypt_cbc(key, data) if method == "AESV2" else _rc4(key, data)
 
         def walk(v):
             if isinstance(v, bytes):
-                return _rc4(key, v)
+                return plain(v, self.methods[1])
             if isinstance(v, list):
                 return [walk(x) for x in v]
             if isinstance(v, dict):
                 return {k: walk(x) for k, x in v.items()}
             if isinstance(v, Stream):
-                return v if v.head.get("Type") == "XRef" else Stream(walk(v.head), _rc4(key, v.raw))
+                return v if v.head.get("Type") == "XRef" else Stream(walk(v.head), plain(v.raw, self.methods[0]))
             return v
 
         return walk(value)

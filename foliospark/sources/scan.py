@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from foliospark.sources.pdf import Document, Interpreter, Name, Ref, Stream
+from foliospark.sources.pdf import FILTERS, Document, Interpreter, Name, Ref, Stream
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -141,6 +141,26 @@ def images(df: DataFrame, by: list[str], content: str = "content", password: str
     return layer(df, by, content, IMAGES, _images, password)
 
 
+IMAGE_DATA = "num int, width int, height int, bits int, colour_space string, encoding string, data binary"
+
+
+@readable
+def _image_data(doc: Document) -> Iterator[tuple]:
+    for num in sorted(doc.where):
+        v = doc.get(num)
+        if isinstance(v, Stream) and v.head.get("Subtype") == "Image":
+            number = lambda key: n if isinstance(n := doc.resolve(v.head.get(key)), int) else 0
+            names = doc.resolve(v.head.get("Filter")) or []
+            left = [str(n) for n in (names if isinstance(names, list) else [names]) if str(n) not in FILTERS]
+            space = doc.resolve(v.head.get("ColorSpace"))
+            yield num, number("Width"), number("Height"), number("BitsPerComponent"), doc.text(space[0] if isinstance(space, list) and space else space), left[0] if left else "raw", doc.decode(v)
+
+
+def image_data(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
+    """Images as they are stored: raw samples, or the bytes of the image format that ``encoding`` names."""
+    return layer(df, by, content, IMAGE_DATA, _image_data, password)
+
+
 def _plain(doc: Document, v, depth: int = 0):
     if isinstance(v, Ref):
         return f"{v.num} {v.gen} R"

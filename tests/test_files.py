@@ -6,8 +6,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import layout
-from foliospark.sources import pdf, scan
+from foliospark.operators import layout, tables
+from foliospark.sources import aes, conformance, pdf, scan
 from foliospark.streaming import arrivals
 
 EXTRA = [
@@ -215,3 +215,101 @@ def test_arrivals(spark, folder, tmp_path):
 def test_sniff(spark):
     df = spark.createDataFrame([(b"%PDF-1.4",), (b"\x89PNG\r\n",), (b"PK\x03\x04",), (b"",), (None,)], "b binary")
     assert [r.k for r in df.select(scan.sniff(F.col("b")).alias("k")).collect()] == ["pdf", "png", "zip", None, None]
+
+
+def test_aes_vectors():
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        keys = aes.round_keys(bytes(range(size)))
+        assert aes.encrypt_block(plain, keys).hex() == want and aes.decrypt_block(bytes.fromhex(want), keys) == plain
+    iv = bytes(range(16))
+    assert aes.decrypt_cbc(bytes(16), iv + aes.encrypt_cbc(bytes(16), b"abc" + b"\x0d" * 13, iv)) == b"abc"
+
+
+def locked_256(data, user=b"", revision=6):
+    """The file under AES-256."""
+    key, doc = bytes(range(32)), pdf.Document(data)
+    iv, salts = bytes(16), b"saltsaltkeysalt!"
+    wrap = lambda pw, more: (pdf._digest_256(pw, salts[:8], more, revision) + salts, aes.encrypt_cbc(pdf._digest_256(pw, salts[8:], more, revision), key, iv))
+    u, ue = wrap(user, b"")
+    o, oe = wrap(b"owner", u)
+    pad = lambda b: iv + aes.encrypt_cbc(key, b + bytes([16 - len(b) % 16]) * (16 - len(b) % 16), iv)
+    hexed = lambda b: b"<" + b.hex().encode() + b">"
+
+    def form(v):
+        if isinstance(v, pdf.Name):
+            return b"/" + str(v).encode()
+        if isinstance(v, pdf.Ref):
+            return b"%d %d R" % (v.num, v.gen)
+        if isinstance(v, bytes):
+            return hexed(pad(v))
+        if isinstance(v, list):
+            return b"[" + b" ".join(map(form, v)) + b"]"
+        if isinstance(v, dict):
+            return b"<<" + b" ".join(b"/" + a.encode() + b" " + form(b) for a, b in v.items()) + b">>"
+        if isinstance(v, pdf.Stream):
+            raw = pad(v.raw)
+            return form(v.head | {"Length": len(raw)}) + b"\nstream\n" + raw + b"\nendstream"
+        return str(v).encode()
+
+    out, offsets = bytearray(b"%PDF-2.0\n"), {}
+    for num in sorted(n for n in doc.where if n):
+        offsets[num] = len(out)
+        out += b"%d 0 obj\n" % num + form(doc.get(num)) + b"\nendobj\n"
+    at = len(out)
+    out += b"xref\n0 1\n0000000000 65535 f \n" + b"".join(b"%d 1\n%010d 00000 n \n" % p for p in offsets.items())
+    out += b"trailer << /Root 1 0 R /Info 4 0 R /Encrypt << /Filter /Standard /V 5 /R %d /P -4 /Length 256 /O %s /U %s /OE %s /UE %s /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF >> >>\nstartxref\n%d\n%%%%EOF" % (revision, hexed(o), hexed(u), hexed(oe), hexed(ue), at)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("revision", [5, 6])
+def test_aes_256(revision):
+    data = locked_256(sample(), "pässword".encode(), revision)
+    assert pdf.Document(data).status == "encrypted"
+    for password in ("pässword", "owner"):
+        doc = pdf.Document(data, password)
+        assert doc.status == "ok" and doc.text(doc.resolve(doc.trailer["Info"])["Title"]) == "T"
+        run = pdf.Interpreter(doc)
+        run.run(doc.content(doc.pages()[0]), doc.pages()[0]["Resources"])
+        assert run.fragments[0].text == "Hello (World) é"
+
+
+def test_profiles(spark, files):
+    plain = files.where("file in ('plain', 'open')")
+    archive = {(r.file, r.rule) for r in conformance.archive(plain, ["file"], 1, "A").collect()}
+    assert {("plain", "XMP_MISSING"), ("plain", "FONT_NOT_EMBEDDED"), ("plain", "EMBEDDED_FILES"), ("plain", "NOT_TAGGED"), ("plain", "NO_STRUCT_TREE"), ("open", "ENCRYPTED")} <= archive
+    assert ("plain", "NO_LANG") not in archive and ("plain", "ENCRYPTED") not in archive
+    ua = {r.rule for r in conformance.accessibility(plain.where("file = 'plain'"), ["file"]).collect()}
+    assert ua == {"UA_NOT_TAGGED", "UA_NO_STRUCT_TREE", "UA_DISPLAY_DOCTITLE"}
+    tree = "/Lang (en) /MarkInfo << /Marked true >> /ViewerPreferences << /DisplayDocTitle true >> /StructTreeRoot << /ParentTree << >> /RoleMap << /Pic /Figure >> /K [<< /S /P >> << /S /Pic >> << /S /Figure /Alt (a cat) >>] >>"
+    tagged = spark.createDataFrame([("t", pdf.write([[(10, 10, 9, "x")]], info={"Title": "T"}, catalog=tree))], "file string, content binary")
+    assert [r.rule for r in conformance.accessibility(tagged, ["file"]).collect()] == ["UA_FIGURE_NO_ALT"]
+    assert {(r.role, r.alt) for r in conformance.figures(tagged, ["file"]).collect()} == {("Pic", None), ("Figure", "a cat")}
+
+
+def test_signatures(spark):
+    body = pdf.write([[(10, 10, 9, "x")]], objects=[b"<< /FT /Sig /T (s) /V 6 0 R >>", b"<< /Type /Sig /Name (N) /ByteRange [0 AAAAAAAAAA BBBBBBBBBB CCCCCCCCCC] /Contents <" + b"0" * 200 + b"> >>"])
+    start = body.index(b"<" + b"0" * 200)
+    end = start + 202
+    body = body.replace(b"AAAAAAAAAA", b"%010d" % start).replace(b"BBBBBBBBBB", b"%010d" % end).replace(b"CCCCCCCCCC", b"%010d" % (len(body) - end))
+    digest = hashlib.sha256(body[:start] + body[end:]).digest()
+    tlv = lambda tag, b: bytes([tag, len(b)]) + b
+    der = tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + tlv(0x30, tlv(6, conformance.MESSAGE_DIGEST) + tlv(0x31, tlv(4, digest))))
+    signed = body[: start + 1] + der.hex().encode().ljust(200, b"0") + body[end - 1 :]
+    rows = spark.createDataFrame([("good", signed), ("changed", signed.replace(b"(x)", b"(y)").replace(b"/Name (N)", b"/Name (M)")), ("longer", signed + b"\n% more")], "file string, content binary")
+    got = {r.file: r for r in conformance.signatures(rows, ["file"]).collect()}
+    assert got["good"].covers_file and got["good"].digest_matches and got["good"].signer == "N"
+    assert not got["changed"].digest_matches and not got["longer"].covers_file and got["longer"].digest_matches
+
+
+def test_search_boxes(files):
+    by = ["file", "page_no"]
+    lines = layout.assemble(layout.with_lines(scan.fragments(files.where("file = 'plain'"), ["file"]), by), by)
+    r = layout.search(lines, by, "world", ignore_case=True).first()
+    assert (r.match, r.match_no, r.line_no) == ("World", 1, 1) and r.llx == pytest.approx(72 + 7 * 6) and r.urx == pytest.approx(72 + 12 * 6) and r.lly == 700
+
+
+def test_full_page_grid(spark):
+    texts = [(1, k, x, 700.0 - 20 * row, x + 30, 10.0, "F", f"{row}-{x:g}") for k, (row, x) in enumerate([(0, 50.0), (0, 200.0), (1, 52.0), (1, 203.0), (1, 400.0)])]
+    df = spark.createDataFrame(texts, "page int, seq int, x double, y double, end_x double, size double, font string, text string")
+    assert [tuple(r)[1:3] for r in tables.full_page(df, ["page"]).collect()] == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]

@@ -284,3 +284,36 @@ def test_redaction_and_merge(spark):
     changed = edits.merge(f, spark.createDataFrame([(0, "new"), (9, "x")], "seq int, text string"), ["seq"])
     assert {r.text for r in changed.collect()} == {"new", "secret"}
     assert edits.insert(f, spark.createDataFrame([(1, 5)], "page int, seq int")).count() == 3
+
+
+def test_http_client():
+    import io
+    import json
+    import urllib.error
+
+    asked = []
+
+    def opener(request, timeout):
+        asked.append((request.full_url, json.loads(request.data), request.headers))
+        if len(asked) < 3:
+            raise urllib.error.HTTPError(request.full_url, (429, 503)[len(asked) - 1], "", {}, None)
+        return io.BytesIO(b'{"choices": [{"message": {"content": "hi"}}]}')
+
+    ask = models.with_retry(models.HttpClient("http://h/v1/", "m", "k", "be kind", opener=opener), wait=0)
+    assert ask("hello") == "hi" and len(asked) == 3
+    assert asked[0][0] == "http://h/v1/chat/completions" and [m["role"] for m in asked[0][1]["messages"]] == ["system", "user"]
+    with pytest.raises(ValueError):
+        models.HttpClient("http://h", "")
+
+
+def test_recognition(spark):
+    df = spark.createDataFrame([(1, b"abc"), (2, None)], "id int, image binary")
+    assert {r.id: r.text for r in models.recognise(df, "image", lambda: lambda i: str(len(i))).collect()} == {1: "3", 2: None}
+
+
+def test_markdown_in_sql(spark):
+    from foliospark.functions import markdown
+
+    markdown.register(spark)
+    got = spark.sql("SELECT seq, kind, level FROM md_blocks('# a\n\nb')").collect()
+    assert [tuple(r) for r in got] == [(0, "heading", 1), (1, "paragraph", 0)]
