@@ -83,7 +83,7 @@ class Events(HTMLParser):
         inside = any(x.article for x in self.stack)
         if tag == "header" and not inside:
             return True
-        if "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
+        if "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I) or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
             return tag not in ("html", "body")
         if tag in ("html", "body", "main"):
             return False
@@ -96,7 +96,7 @@ class Events(HTMLParser):
         return bool(words & (MARKS | COMMENTS)) or (not inside and bool(words & OUTER_MARKS))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        self.tags += not self.dropped
         if tag in BLOCKS:
             self._end_block()
             self.heading = tag[0] == "h" and tag[1:] in "123456" and len(tag) == 2
@@ -122,7 +122,7 @@ class Events(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self.dropped
         if tag in BLOCKS:
             self._end_block()
             self.heading = False
@@ -130,9 +130,7 @@ class Events(HTMLParser):
             self.links = max(0, self.links - 1)
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
-                if any(x.dropped for x in self.stack[k:]):
-                    self._end_block()
-                    self.dropped -= sum(x.dropped for x in self.stack[k:])
+                self.dropped -= sum(x.dropped for x in self.stack[k:])
                 del self.stack[k:]
                 break
             if self.stack[k].article and tag not in ("body", "html", "main", "article"):
@@ -181,7 +179,7 @@ def select(blocks: list[Block], articles: set[int]) -> list[Block]:
             votes[n] = votes.get(n, 0) + len(b.text) - b.linked
     marked = [n for n in votes if n in articles] or [n for b in blocks for n in b.path if n in articles]
     if marked:
-        best = max(marked, key=lambda n: (votes.get(n, 0), -n))  # the outer one of two with the same text
+        best = max(marked, key=lambda n: (votes.get(n, 0), n))  # the inner one, if all content of the outer is in it
         return [b for b in blocks if best in b.path]
     total = sum(len(b.text) - b.linked for b, c in zip(blocks, content) if c)
     if not total:

@@ -283,7 +283,7 @@ def test_main_text(around):
     assert html_text.main_text(PAGE % (around % BODY)) == WANT
 
 
-@pytest.mark.parametrize("html, want", [(None, ""), ("", ""), ("<p>", ""), ("plain words alone", "plain words alone"), ("<script>x</script>", ""), ("<article><p>cut off in the mid", "cut off in the mid"), ("<article><p>a &lt;b&gt; &amp;amp; c</p></article>", "a <b> &amp; c"), ("<nav>a</nav>", ""), ("<article></div><p>stray end</p></article>", "stray end")])
+@pytest.mark.parametrize("html, want", [(None, ""), ("", ""), ("<p>", ""), ("plain words alone", "plain words alone"), ("<script>x</script>", ""), ("<article><p>cut off in the mid", "cut off in the mid"), ("<article><p>a &lt;b&gt; &amp;amp; c</p></article>", "a <b> &amp; c"), ("<nav>a</nav>", ""), ("<article></div><p>stray end</p></article>", "stray end"), ('<article><p>one <span class="ad">buy</span> block</p></article>', "one block"), ('<article><p>a</p><p style="display: none">b</p></article>', "a"), ("<main><p><a href=x>crumb</a></p><article><h1>T</h1><p>Some text of a paragraph that is long.</p></article></main>", "T\n\nSome text of a paragraph that is long."), ("<table><tr><td>a</td><td>b</td></tr></table>", "a\n\nb")])
 def test_main_text_edges(html, want):
     assert html_text.main_text(html) == want
 
