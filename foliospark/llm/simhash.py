@@ -243,7 +243,8 @@ def resemblance_links(rows: DataFrame, least: float) -> DataFrame:
     met = materialize(met.join(company, ["nth_", "view_"]), "met")
     typical = met.groupBy("digest_").agg(F.sum("n_").alias("company_"))
     met = materialize(met.drop("n_").join(typical, "digest_"), "met")
-    known = rows.join(typical.select("digest_"), "digest_", "left_semi").groupBy("digest_").agg(F.first("fp").alias("fp"), F.first("kept_").alias("kept_"))
+    # Copies become one row before the shuffle. A semi-join would be pushed below the aggregate, and all copies to one task.
+    known = rows.groupBy("digest_").agg(F.first("fp").alias("fp"), F.first("kept_").alias("kept_")).join(typical.select("digest_"), "digest_")
     known = materialize(known, "kept")
     links = []
     while not met.isEmpty():
