@@ -578,7 +578,8 @@ def _as_files(spark, sf):
                 out.append(pdf.write([[(40, 760 - 14 * i, 10, x) for i, x in enumerate(s)] for s in sheets], info={"Title": str(len(lines))}))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
-    return read(spark, sf, "documents").select("doc_id", "text").mapInArrow(made, "doc_id bigint, content binary")
+    # Reading a file costs far more than its bytes do, so files are dealt over all cores.
+    return read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").mapInArrow(made, "doc_id bigint, content binary")
 
 
 @query("""
