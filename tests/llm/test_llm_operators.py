@@ -679,3 +679,40 @@ def test_resembling_texts_are_found(spark):
         assert len(origins) <= 1, origins
     kept = simhash.keep_one(docs, resembling=0.8)
     assert kept.count() == len(groups)
+
+
+def linked_as_brute_force(spark, texts, least=0.8):
+    """Whether all pairs of texts that resemble each other by ``least`` end joined, and no others but by way of such, with their number."""
+    sets, root = [five(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= least * (len(sets[i]) + len(sets[j]) - common):
+                pairs += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, radius=0, resembling=least).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    return pairs
+
+
+def fresh(n, made=[0]):
+    made[0] += n
+    return [f"z{i}" for i in range(made[0] - n, made[0])]
+
+
+def test_pairs_around_a_shared_passage_are_all_found(spark):
+    """Pairs and loners that share most of their shingles."""
+    passage, texts = fresh(384), []
+    for _ in range(60):
+        own = fresh(120)
+        texts += [" ".join(passage + own), " ".join(passage + own[:75] + fresh(45)), " ".join(passage + fresh(120))]
+    assert linked_as_brute_force(spark, texts) == 60
