@@ -716,3 +716,13 @@ def test_pairs_around_a_shared_passage_are_all_found(spark):
         own = fresh(120)
         texts += [" ".join(passage + own), " ".join(passage + own[:75] + fresh(45)), " ".join(passage + fresh(120))]
     assert linked_as_brute_force(spark, texts) == 60
+
+
+def test_links_beside_the_typical_text_are_all_found(spark):
+    """Families in which A and B, and B and C, resemble each other, but A and C don't, and A has further copies."""
+    texts = []
+    for k in range(60):
+        b = fresh(204)
+        texts += [" ".join(fresh(20) + b[20:]), " ".join(b), " ".join(b[:-20] + fresh(20))]
+        texts += [" ".join([*texts[-3].split()[:-1], *fresh(1)]) for _ in range(k % 3)]
+    assert linked_as_brute_force(spark, texts) >= 120
