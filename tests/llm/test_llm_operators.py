@@ -726,3 +726,13 @@ def test_links_beside_the_typical_text_are_all_found(spark):
         texts += [" ".join(fresh(20) + b[20:]), " ".join(b), " ".join(b[:-20] + fresh(20))]
         texts += [" ".join([*texts[-3].split()[:-1], *fresh(1)]) for _ in range(k % 3)]
     assert linked_as_brute_force(spark, texts) >= 120
+
+
+def test_resemblance_of_long_texts_is_exact(spark):
+    """Texts of some 3,000 shingles just above and just below the bound."""
+    texts = []
+    for k in range(40):
+        base = fresh(3004)
+        other = fresh(315 + k)  # from 0.81 down to 0.79
+        texts += [" ".join(base), " ".join(base[: 3004 - len(other)] + other)]
+    assert 0 < linked_as_brute_force(spark, texts) < 40
