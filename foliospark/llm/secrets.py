@@ -26,6 +26,8 @@ AROUND = 64
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 #: Marginal compressed bytes per byte from which a candidate is incompressible.
 NOVELTY = 0.9
+#: Code points of the pieces that longer candidates are judged by; zstandard Huffman-codes longer literals, which hides their novelty.
+PIECE = 28
 
 #: What code is full of: identifiers, words and shapes that are long but no secrets.
 DICTIONARY = b"""
@@ -57,6 +59,16 @@ class Novelty:
         around, own = (x.encode("utf-8", "surrogatepass") for x in (before + "\n" + after + "\n", string))
         return (len(self.pack(around + own)) - len(self.pack(around))) / len(own)
 
+    def most(self, before: str, string: str, after: str, enough: float) -> float:
+        """The novelty of the whole string or of the best of its pieces, where the last one ends with it; the first that is ``enough`` ends it."""
+        best = self.of(before, string, after)
+        for at in range(0, len(string) if len(string) > PIECE else 0, PIECE):
+            if best >= enough:
+                break
+            at = min(at, len(string) - PIECE)
+            best = max(best, self.of(before, string[at : at + PIECE], after))
+        return best
+
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the fixed patterns, in code points, by start and then kind."""
@@ -73,7 +85,7 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
 
 
 def novel_spans(text: str, raw: bytes, found: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Incompressible strings in sensitive contexts that no base span covers."""
+    """Incompressible strings, or such with an incompressible piece, in sensitive contexts that no base span covers."""
     if not CONTEXT.search(raw.lower()):
         return []
     out = []
@@ -84,7 +96,7 @@ def novel_spans(text: str, raw: bytes, found: list[tuple[int, int, int]], novelt
         if any(s < m.end() and m.start() < e for s, e, _ in found):
             continue
         before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-        if CONTEXT.search((before + " " + after).encode("utf-8", "surrogatepass").lower()) and novelty.of(before, own, after) >= least:
+        if CONTEXT.search((before + " " + after).encode("utf-8", "surrogatepass").lower()) and novelty.most(before, own, after, least) >= least:
             out.append((m.start(), m.end(), 3))
     return out
 

@@ -736,3 +736,16 @@ def test_resemblance_of_long_texts_is_exact(spark):
         other = fresh(315 + k)  # from 0.81 down to 0.79
         texts += [" ".join(base), " ".join(base[: 3004 - len(other)] + other)]
     assert 0 < linked_as_brute_force(spark, texts) < 40
+
+
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"])
+def test_novel_strings_of_any_length(alphabet):
+    r, novelty = random.Random(3), secrets.Novelty()
+    for n in (16, 24, 28, 40, 64, 128, 200, 400, 1000, 2000):
+        for _ in range(10):
+            own = "K7" + "".join(r.choices(alphabet, k=n - 2))
+            text = f"the bearer credential {own} ends"
+            assert secrets.novel_spans(text, text.encode(), [], novelty) == [(22, 22 + n, 3)]
+    for own in ("user_authentication_handler_v2" * 20, "qwertyuiop1234567890" * 30):
+        text = f"the bearer credential {own} ends"
+        assert secrets.novel_spans(text, text.encode(), [], novelty) == []
