@@ -317,3 +317,10 @@ def test_markdown_in_sql(spark):
     markdown.register(spark)
     got = spark.sql("SELECT seq, kind, level FROM md_blocks('# a\n\nb')").collect()
     assert [tuple(r) for r in got] == [(0, "heading", 1), (1, "paragraph", 0)]
+
+
+def test_asof_rate_of_many_types(spark, tmp_path):
+    from foliospark.plans import catalogue
+
+    spark.range(1500).selectExpr("id AS event_id", "concat('t', id) AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.rate for r in catalogue.asof_rate(spark, str(tmp_path)).collect()] == [1.0] * 1500
