@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; long texts make wide rows.
@@ -46,7 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path_ = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch_path_", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -54,6 +65,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; what holds maps, which Spark doesn't hash, is hashed as JSON."""
+    return F.xxhash64(*(F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 class Shared:
     """A broadcast object of bounded size, sent by value: workers needn't have its class installed."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize
+from foliospark.llm.common import forget, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least).distinct(), "edges")
+        old, edges = edges, materialize(small.union(least).distinct(), "edges")
         after = _state(edges)
+        forget(old)
         if after == before:
             break
         before = after

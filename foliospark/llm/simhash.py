@@ -11,18 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Shared, least_hashed, materialize, small_batches
+from foliospark.llm.common import Shared, forget, least_hashed, materialize, row_hash, small_batches
 from foliospark.llm.components import connected_components
+from foliospark.llm.resemblance import BLOCK, JOINED, MARKS, MARKS_SCHEMA, common_shingles, marks, normal_digest, resemblance_links, shingle_set
+from foliospark.llm.resemblance import SHINGLE as LIKE_SHINGLE
 from foliospark.llm.sketch import Hasher
 
 #: Fingerprints of the sample that shapes the routing tree.
 SAMPLE = 8192
 #: Fingerprints aimed at in a shard (a leaf of the routing tree), visitors included.
 SHARD = 32768
-#: Words of a shingle where links by resemblance are asked for too.
-LIKE_SHINGLE = 5
-#: Texts whose shingles tell which are common, and common shingles told to all tasks. Both shape an order alone.
-ORDER_TEXTS, ORDER_SHINGLES = 8192, 262_144
 #: Fingerprints below which a branch inside a shard is compared pair by pair.
 LEAF = 256
 
@@ -185,147 +183,25 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE
     return distinct.mapInArrow(route, "leaf int, fp bigint").groupBy("leaf").applyInPandas(link, "u bigint, v bigint")
 
 
-def with_hashes(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """``fingerprints`` and, for links by resemblance, ``digest_`` of the text's words and ``hashes_``, all of its distinct shingles' in order."""
-    small_batches(docs.sparkSession)
+def with_marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...], least: float) -> DataFrame:
+    """``fingerprints`` and, for links by resemblance, ``digest_`` of the text's words and the marks of its five-word shingles."""
+    common = common_shingles(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(LIKE_SHINGLE, 64)
         for b in batches:
             texts = b.column(0).to_pylist()
             fps = np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(b))
-            digests = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-            hashes = [np.unique(hasher.hashes(t)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, "fp", "digest_", "hashes_"])
+            sets = [shingle_set(hasher, t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64)), *marks(sets, common.value, least)], names=[*names, "digest_", "fp", *MARKS])
 
     names = [id_col, *keep]
-    rows = docs.select(F.col(text_col).alias("text_"), *names)
+    rows = docs.select(F.col(text_col).alias("text_"), *names, normal_digest(F.col(text_col)).alias("digest_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, fp bigint, digest_ bigint, hashes_ array<bigint>")
-
-
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    """The hashes in each row of a column of lists."""
-    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
-
-
-def parities(hashes: np.ndarray) -> bytes:
-    """A bit for each place of a table twice as long as the set, rounded up to a power of two: whether an odd number of hashes falls there."""
-    size = max(128, 1 << (2 * len(hashes)).bit_length())
-    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
-
-
-def least_apart(x: bytes, y: bytes) -> int:
-    """Hashes that only one of two sets has, at least, by their parities; the longer table is folded."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)))
-    return int(np.bitwise_count(a ^ b).sum())
-
-
-def like_pairs(rows: DataFrame, held: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a_, b_) of digests those whose whole sets of shingles resemble each other by ``least``, with their fingerprints (u, v).
-
-    The whole sets are only brought together where sizes and parities leave it possible.
-    """
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = (1 - least) / (1 + least) * b.column(2).to_numpy() + 1e-6
-            near = [least_apart(x, y) <= most for x, y, most in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), sizes)]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a_", "b_"]).filter(pa.array(near, pa.bool_()))
-
-    marks = held.select("digest_", "n_", "bits_")
-    both = pairs.join(marks.toDF("a_", "an_", "x_"), "a_").join(marks.toDF("b_", "bn_", "y_"), "b_").where(F.least("an_", "bn_") >= least * F.greatest("an_", "bn_") - 1e-6)
-    pairs = materialize(both.select("a_", "b_", F.col("an_") + F.col("bn_"), "x_", "y_").mapInArrow(possible, "a_ bigint, b_ bigint"), "pairs")
-    needed = materialize(pairs.select(F.col("a_").alias("digest_")).union(pairs.select("b_")).distinct(), "needed")
-    one = [F.first("fp").alias("fp"), F.first("hashes_").alias("hashes_")]
-    if needed.count() <= 500_000:
-        known = rows.join(F.broadcast(needed), "digest_", "left_semi").groupBy("digest_").agg(*one)
-    else:  # copies become one row before the shuffle; a semi-join would be pushed below the aggregate, and all copies to one task
-        known = rows.groupBy("digest_").agg(*one).join(needed, "digest_")
-    known = materialize(known, "known")
-
-    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for x, y in zip(_lists(b.column(4)), _lists(b.column(5))):
-                both = np.sort(np.concatenate((x, y)))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                found.append(common >= least * (len(both) - common) if len(both) else True)
-            yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a_", "b_", "u", "v"]).filter(pa.array(found, pa.bool_()))
+    return rows.mapInArrow(run, f"{schema}, fp bigint, {MARKS_SCHEMA}")
 
-    both = pairs.join(known.toDF("a_", "u", "own_"), "a_").join(known.toDF("b_", "v", "other_"), "b_")
-    return materialize(both.select("a_", "b_", "u", "v", "own_", "other_").mapInArrow(like, "a_ bigint, b_ bigint, u bigint, v bigint"), "like")
 
-
-def shingle_prefixes(rows: DataFrame, least: float) -> DataFrame:
-    """Each text's (digest_, fp) number of shingles ``n_``, ``tokens_``, those of its prefix in an order with common ones last, and ``bits_``, the parities of all.
-
-    Two texts that resemble each other by ``least`` have their first common shingle within both prefixes, whatever the
-    order, as there would be too few left behind it. Which are common is told from a fixed sample of texts.
-    """
-    share = min(1.0, ORDER_TEXTS / max(rows.count(), 1))
-    some = rows.where(F.col("digest_") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).groupBy("digest_").agg(F.first("hashes_").alias("hashes_"))
-    counts = some.select(F.explode("hashes_").alias("h_")).groupBy("h_").agg(F.count("*").alias("n_")).where("n_ > 1")
-    common = np.array([r["h_"] for r in counts.orderBy(F.col("n_").desc(), "h_").limit(ORDER_SHINGLES).collect()], np.int64).view(np.uint64)
-    by_hash = np.argsort(common)
-    order = Shared(rows.sparkSession, (common[by_hash], len(common) - by_hash))  # at most ORDER_SHINGLES hashes and their places
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = order.value
-        for b in batches:
-            out, bits = [], []
-            for h in _lists(b.column(2)):
-                bits.append(parities(h))
-                most = len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1 if len(h) else 0
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, place[at], 0), kind="stable")]
-                out.append(h[:most].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).value_lengths(), pa.array(out, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["digest_", "fp", "n_", "tokens_", "bits_"])
-
-    cut = rows.select("digest_", "fp", "hashes_").mapInArrow(run, "digest_ bigint, fp bigint, n_ int, tokens_ array<bigint>, bits_ binary")
-    return cut.groupBy("digest_").agg(*(F.first(c).alias(c) for c in ("fp", "n_", "tokens_", "bits_")))
-
-
-def resemblance_links(rows: DataFrame, near: DataFrame, least: float) -> DataFrame:
-    """Links ``(u, v)`` that, with those of ``near``, join the fingerprints of all texts whose sets of five-word shingles resemble each other by ``least`` or more.
-
-    Texts meet in the shingles of their prefixes, where no such pair is missed. First each shingle's texts are held against
-    its most typical one, that with most company: in a family of copies that is what the others were made from. What
-    resembles it is linked and leaves, and the rest choose again while that links any and they have over ten pairs a
-    text, so a family takes about as many comparisons as members. Then every pair that meets and isn't joined yet is
-    compared. All is decided on whole sets.
-    """
-    texts = materialize(shingle_prefixes(rows, least), "prefixes")
-    first = F.col("at_") <= F.col("n_") - F.ceil(F.col("n_") * (2 * least / (1 + least)) - 1e-6)  # far enough for the smaller text of a pair
-    held = texts.select("digest_", "fp", "n_", F.posexplode("tokens_").alias("at_", "token_")).select("digest_", "fp", "n_", "token_", first.alias("first_"))
-    again = materialize(held.groupBy("token_").agg(F.count("*").alias("c_"), F.max("first_").alias("f_")).where("c_ > 1 AND f_").select("token_"), "again")
-    met = materialize(held.join(again, "token_"), "met")
-    left = materialize(met.join(met.groupBy("digest_").agg(F.count("*").alias("company_")), "digest_").select("token_", "digest_", "company_"), "left")
-    links = near.select("u", "v")
-    enough = 10 * texts.count()
-    while (left.groupBy("token_").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) > enough:
-        chosen = left.groupBy("token_").agg(F.max(F.struct("company_", "digest_")).alias("c_")).select("token_", F.col("c_.digest_").alias("b_"))
-        paired = materialize(left.withColumnRenamed("digest_", "a_").join(chosen, "token_").where("a_ <> b_"), "paired")
-        found = like_pairs(rows, texts, paired.select("a_", "b_").distinct(), least)
-        links = links.union(found.select("u", "v"))
-        open_ = paired.join(found.select("a_", "b_", F.lit(1).alias("like_")), ["a_", "b_"], "left")
-        going = open_.groupBy("token_").agg(F.count("like_").alias("went_"), (F.count("*") - F.count("like_")).alias("left_")).where("went_ > 0 AND left_ > 1").select("token_")
-        left = materialize(open_.where("like_ IS NULL").join(going, "token_", "left_semi").select("token_", F.col("a_").alias("digest_"), "company_"), "left")
-    roots = materialize(connected_components(links), "roots").toDF("fp", "root_")
-    met = materialize(met.join(roots, "fp", "left").select("token_", "digest_", "n_", "first_", F.coalesce("root_", "fp").alias("root_")), "met")
-    parted = met.groupBy("token_").agg(F.min("root_").alias("a_"), F.max("root_").alias("b_")).where("a_ <> b_").select("token_")
-    met = materialize(met.join(parted, "token_"), "met")
-    small = met.where("first_").select("token_", F.col("digest_").alias("s_"), F.col("n_").alias("sn_"), F.col("root_").alias("sr_"))
-    pairs = met.join(small, "token_").where((F.col("root_") != F.col("sr_")) & (F.col("sn_") <= F.col("n_")) & (F.col("sn_") >= least * F.col("n_") - 1e-6))
-    pairs = pairs.select(F.least("digest_", "s_").alias("a_"), F.greatest("digest_", "s_").alias("b_")).distinct()
-    return links.union(like_pairs(rows, texts, pairs, least).select("u", "v"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), sample: int = SAMPLE, shard: int = SHARD, resembling: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), sample: int = SAMPLE, shard: int = SHARD, resembling: float | None = None, block: int = BLOCK, joined: int = JOINED) -> DataFrame:
     """``id_col``, ``keep``, ``fp``, ``component_id`` and ``root`` of every row of ``docs``.
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space and into shingles, repeats included; a
@@ -336,13 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so copies cost one comparison. Repeated rows come back as often as they came; an empty table gives an empty one;
     other columns are not read, whatever their names.
     """
-    rows = fingerprints(docs, id_col, text_col, shingle, keep) if resembling is None else with_hashes(docs, id_col, text_col, shingle, keep)
+    small_batches(docs.sparkSession)
+    rows = fingerprints(docs, id_col, text_col, shingle, keep) if resembling is None else with_marks(docs, id_col, text_col, shingle, keep, resembling)
     rows = materialize(rows, "fps")
     distinct = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least_")), "distinct")
-    links = fingerprint_links(distinct.select("fp"), radius, sample, shard)
-    if resembling is not None:
-        links = resemblance_links(rows, materialize(links, "near"), resembling)
+    near = materialize(fingerprint_links(distinct.select("fp"), radius, sample, shard), "near")
+    links = near if resembling is None else resemblance_links(docs, text_col, rows, near, resembling, block, joined)
     roots = materialize(connected_components(links), "roots")
+    forget(near)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_").alias("component_id"))
     classes = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
@@ -351,14 +228,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component: that of the least id (null last), or of repeated ids the one whose
-    row hashes least. Whole rows that repeat count once."""
-    spark_row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    marked = docs.withColumn("row_", spark_row)
-    classes = near_duplicates(marked, id_col, text_col, keep=("row_",), **how)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row_")).alias("f"))
-    first = first.select(F.col("f.id").alias("first_id_"), F.col("f.row_").alias("first_row_"))
-    kept = marked.join(first, (F.col("row_") == F.col("first_row_")) & F.col(id_col).eqNullSafe(F.col("first_id_")), "left_semi")
-    return kept.dropDuplicates(["row_", id_col]).select(*(f"`{c}`" for c in docs.columns))
+    row hashes least. Whole rows that repeat count once. Columns of any name and kind, maps too, come through."""
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), row_hash(docs).alias("row_"))
+    classes = near_duplicates(rows, "id_", "text_", keep=("row_",), **how)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("id_").isNull().alias("last"), "id_", "row_")).alias("f"))
+    first = materialize(first.select(F.col("f.id_").alias("first_id_"), F.col("f.row_").alias("first_row_")), "kept")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.col(id_col).alias("id_"), row_hash(docs).alias("row_"))
+    same = (F.col("row_") == F.col("first_row_")) & F.col("id_").eqNullSafe(F.col("first_id_"))
+    kept = own.join(first, same, "left_semi")
+    repeated = materialize(kept.groupBy("row_", "id_").agg(F.count("*").alias("n_")).where("n_ > 1").select(F.col("id_").alias("first_id_"), F.col("row_").alias("first_row_")), "repeated")
+    if not repeated.isEmpty():  # whole texts are only shuffled of rows that repeat
+        twice = kept.join(repeated, same, "left_semi").groupBy("row_", "id_").agg(F.first("doc_").alias("doc_"))
+        kept = kept.join(repeated, same, "left_anti").select("doc_").union(twice.select("doc_"))
+    return kept.select("doc_.*")
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -681,7 +681,7 @@ def test_resembling_texts_are_found(spark):
     assert kept.count() == len(groups)
 
 
-def linked_as_brute_force(spark, texts, least=0.8):
+def linked_as_brute_force(spark, texts, least=0.8, **how):
     """Whether all pairs of texts that resemble each other by ``least`` end joined, and no others but by way of such, with their number."""
     sets, root = [five(t) for t in texts], list(range(len(texts)))
 
@@ -699,7 +699,7 @@ def linked_as_brute_force(spark, texts, least=0.8):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, radius=0, resembling=least).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, radius=0, resembling=least, **how).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
     return pairs
 
@@ -738,6 +738,34 @@ def test_resemblance_of_long_texts_is_exact(spark):
     assert 0 < linked_as_brute_force(spark, texts) < 40
 
 
+@pytest.mark.parametrize("sizes", [{"block": 48, "joined": 3}, {"block": 7, "joined": 0}, {}])
+def test_hot_families_are_compared_in_blocks(spark, sizes):
+    """A family of copies at all distances from its base, some of which only resemble each other, and texts of a common passage."""
+    r = random.Random(2)
+    base, passage, texts = fresh(150), fresh(60), []
+    for _ in range(260):
+        own = base[:]
+        for _ in range(r.randint(0, 9)):
+            own[r.randrange(len(own))] = fresh(1)[0]
+        texts.append(" ".join(own))
+    for _ in range(60):
+        texts.append(" ".join(passage + fresh(r.randint(3, 60))))
+    texts += [" ".join(x.split()[:-1]) for x in r.sample(texts, 60)]
+    assert linked_as_brute_force(spark, texts, **sizes) > 1000
+
+
+def test_pairs_of_the_given_documents_are_all_found(spark):
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()]
+    assert linked_as_brute_force(spark, [t for t in texts if t and t.split()]) > 3
+
+
+def test_keep_one_with_clashing_and_map_columns(spark, clashing):
+    docs = clashing.select("*", F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)).alias("map"), F.lit("mine").alias("first_row_"), F.lit("mine").alias("doc_"))
+    kept = simhash.keep_one(docs, resembling=0.8)
+    assert kept.columns == docs.columns and {(x.row_, x.first_row_, x.doc_) for x in kept.collect()} == {("x", "mine", "mine")}
+    assert kept.count() == simhash.keep_one(docs, resembling=0.8).select("doc_id").distinct().count()
+
+
 @pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"])
 def test_novel_strings_of_any_length(alphabet):
     r, novelty = random.Random(3), secrets.Novelty()
