@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -17,8 +17,10 @@ from foliospark.llm.common import small_batches
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
-#: Elements whose content is never main text.
+#: Elements that hold no main text.
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form frameset head iframe input label map menu meter nav noscript object option output progress script search select style svg template textarea title video".split())
+#: Elements whose content is no text of the page at all.
+SILENT = frozenset("audio canvas datalist embed head iframe noscript object script style svg template title video".split())
 #: Elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold a page's article.
@@ -32,55 +34,67 @@ MARKS = frozenset(
 OUTER_MARKS = frozenset(("header", "head", "topbar", "top"))
 COMMENTS = frozenset(("comment", "comments", "disqus", "replies", "respond"))
 
-#: Width of the smoothing in blocks.
+#: Width of the smoothing in lines.
 SIGMA = 1.0
-#: Blocks whose smoothed ratio reaches this share of the ratios' standard deviation are content.
+#: Lines whose smoothed ratio reaches this share of the ratios' standard deviation are content.
 CUT = 0.5
+#: Lines below the cut that a cluster closes over.
+GAP = 2
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-@dataclass
-class Block:
+@dataclass(slots=True)
+class Line:
+    """A block of text: its tags, the code points of it that are linked, and the innermost element around it."""
+
     text: str
     tags: int
     linked: int
     heading: bool
-    path: tuple[int, ...]
+    #: Whether it is in an element that holds no main text; such text weighs nothing.
+    outside: bool
+    element: int
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
     number: int
     dropped: bool
-    article: bool = False
-    own: list = field(default_factory=list)
+    silent: bool
+    article: bool
 
 
 class Events(HTMLParser):
-    """Turns parser events into blocks of text outside what is always boilerplate."""
+    """Turns parser events into lines and a tree of elements.
+
+    Elements are numbered as they open, so that those inside an element have the numbers from its own to its ``last``.
+    Every event takes constant time, however deep or broken the markup is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
-        self.blocks: list[Block] = []
+        self.at: dict[str, list[int]] = {}  # places on the stack by tag
+        self.lines: list[Line] = []
+        self.parents, self.last = [0], [0]  # by number; 0 is the page
         self.articles: set[int] = set()
+        self.open_articles: list[int] = []  # their places on the stack
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.count = 0
+        self.tags = self.linked = self.links = self.dropped = self.silent = 0
         self.heading = False
-        self.dropped = 0
 
-    def _end_block(self) -> None:
+    def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.tags, min(self.linked, len(text)), self.heading, tuple(x.number for x in self.stack)))
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.heading, self.dropped > 0, self.stack[-1].number if self.stack else 0))
             self.tags = 0
         self.parts, self.linked = [], 0
 
     def _boilerplate(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in DROPPED:
             return True
-        inside = any(x.article for x in self.stack)
+        inside = bool(self.open_articles)
         if tag == "header" and not inside:
             return True
         if "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I) or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
@@ -96,9 +110,9 @@ class Events(HTMLParser):
         return bool(words & (MARKS | COMMENTS)) or (not inside and bool(words & OUTER_MARKS))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += not self.dropped
+        self.tags += 1
         if tag in BLOCKS:
-            self._end_block()
+            self._end_line()
             self.heading = tag[0] == "h" and tag[1:] in "123456" and len(tag) == 2
         elif tag == "br":
             self.parts.append(" ")
@@ -108,98 +122,143 @@ class Events(HTMLParser):
             self.links += 1
         named = dict(attrs)
         dropped = self._boilerplate(tag, named)
-        if tag in BLOCKS and tag != "p" or dropped or tag in ARTICLES:
-            self.count += 1
-            article = not dropped and (tag in ARTICLES or (named.get("role") or "").lower() == "main" or "articlebody" in (named.get("itemprop") or "").lower())
-            self.stack.append(_Open(tag, self.count, dropped, article))
-            self.dropped += dropped
+        silent = tag in SILENT or dropped and tag not in BLOCKS  # boilerplate inside a line doesn't part it
+        dropped &= not silent
+        if tag in BLOCKS and tag != "p" or dropped or silent or tag in ARTICLES:
+            number = len(self.parents)
+            article = not dropped and not silent and not self.dropped and (tag in ARTICLES or (named.get("role") or "").lower() == "main" or "articlebody" in (named.get("itemprop") or "").lower())
+            self.parents.append(self.stack[-1].number if self.stack else 0)
+            self.last.append(number)
+            self.at.setdefault(tag, []).append(len(self.stack))
             if article:
-                self.articles.add(self.count)
+                self.articles.add(number)
+                self.open_articles.append(len(self.stack))
+            self.stack.append(_Open(tag, number, dropped, silent, article))
+            self.dropped += dropped
+            self.silent += silent
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _close(self) -> None:
+        x = self.stack.pop()
+        self.at[x.tag].pop()
+        self.last[x.number] = len(self.parents) - 1
+        self.dropped -= x.dropped
+        self.silent -= x.silent
+        if x.article:
+            self.open_articles.pop()
+
     def handle_endtag(self, tag: str) -> None:
-        self.tags += not self.dropped
-        if tag in BLOCKS:
-            self._end_block()
+        self.tags += 1
+        places = self.at.get(tag)
+        # A stray end tag doesn't close the article around it.
+        found = places and (places[-1] >= (self.open_articles[-1] if self.open_articles else 0) or tag in ("body", "html", "main", "article"))
+        if tag in BLOCKS or found and any(self.stack[k].dropped for k in range(places[-1], len(self.stack))):
+            self._end_line()
             self.heading = False
         if tag == "a":
             self.links = max(0, self.links - 1)
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                self.dropped -= sum(x.dropped for x in self.stack[k:])
-                del self.stack[k:]
-                break
-            if self.stack[k].article and tag not in ("body", "html", "main", "article"):
-                break  # a stray end tag doesn't close the article around it
+        if found:
+            while len(self.stack) > places[-1] + 1:
+                self._close()
+            self._close()
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped:
+        if not self.silent:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
 
-    def finish(self) -> list[Block]:
+    def finish(self) -> list[Line]:
         self.close()
-        self._end_block()
-        return self.blocks
+        self._end_line()
+        while self.stack:
+            self._close()
+        return self.lines
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing over neighbouring blocks, out to three widths."""
+    """Gaussian smoothing over neighbouring lines, out to three widths."""
     reach = max(1, round(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
-def content_blocks(blocks: list[Block], cut: float = CUT) -> np.ndarray:
-    """Which blocks are content by their smoothed ratio of text outside links to tags."""
-    own = np.array([len(b.text) - b.linked for b in blocks], float)
-    ratio = smoothed(own / np.maximum(1, [b.tags for b in blocks]))
-    return (ratio >= cut * ratio.std()) & (own > 0)
-
-
-def select(blocks: list[Block], articles: set[int]) -> list[Block]:
-    """The blocks of the main region.
+def content_lines(lines: list[Line], cut: float = CUT) -> np.ndarray:
+    """Which lines are content: their smoothed ratio of text outside links to tags reaches the cut.
 
-    Content blocks vote, by their length, for the elements around them. Where the page marks articles, the one with
-    most votes is the region, whole. Elsewhere it is the innermost element that keeps nine tenths of the
-    votes, from the first content block, or the headings before it, to the last.
+    Text in elements that hold no main text counts as tags do, not as text; a line of it is never content.
     """
-    if not blocks:
-        return []
-    content = content_blocks(blocks)
-    votes: dict[int, int] = {}
-    for b, is_content in zip(blocks, content):
-        for n in b.path if is_content else ():
-            votes[n] = votes.get(n, 0) + len(b.text) - b.linked
-    marked = [n for n in votes if n in articles] or [n for b in blocks for n in b.path if n in articles]
-    if marked:
-        best = max(marked, key=lambda n: (votes.get(n, 0), n))  # the inner one, if all content of the outer is in it
-        return [b for b in blocks if best in b.path]
-    total = sum(len(b.text) - b.linked for b, c in zip(blocks, content) if c)
-    if not total:
+    own = np.array([0 if x.outside else len(x.text) - x.linked for x in lines], float)
+    ratio = smoothed(own / np.maximum(1, [x.tags for x in lines]))
+    return (ratio >= cut * ratio.std()) & ~np.array([x.outside for x in lines], bool)
+
+
+def clusters(content: np.ndarray, lines: list[Line], gap: int = GAP) -> list[tuple[int, int]]:
+    """Runs of content lines, first and last; up to ``gap`` lines that are not, but could be, part none."""
+    out: list[tuple[int, int]] = []
+    wall = np.concatenate(([0], np.cumsum([x.outside for x in lines])))
+    for k in np.flatnonzero(content).tolist():
+        if out and k - out[-1][1] - 1 <= gap and wall[k] == wall[out[-1][1] + 1]:
+            out[-1] = out[-1][0], k
+        else:
+            out.append((k, k))
+    return out
+
+
+def select(lines: list[Line], content: np.ndarray, parents: list[int], last: list[int], articles: set[int]) -> list[Line]:
+    """The lines of the main region, given which are content.
+
+    Content lines vote, by their length, for the elements around them. The marked article with most votes is the
+    region, if it has half of all, else it is the innermost element with nine tenths of them. The clusters that lie in the
+    region, at least in part, are taken whole, if no article bounds them, and so are headings right before them. Of the
+    region's other lines, unlinked ones come too (in an unmarked region those between its clusters and those of the last
+    one's own element); runs of links and lines in elements without main text don't.
+    """
+    if not lines or not content.any():
         return []
-    region = max((n for n, v in votes.items() if v >= 0.9 * total), default=None)  # numbers grow inwards
-    inside = [k for k, b in enumerate(blocks) if region is None or region in b.path]
-    where = [k for k in inside if content[k]]
-    first, last = min(where), max(where)
-    while first - 1 in inside and blocks[first - 1].heading:
+    votes = [0] * len(parents)
+    for x, is_content in zip(lines, content):
+        votes[x.element] += (len(x.text) - x.linked) * bool(is_content)
+    total = sum(votes)
+    for n in range(len(parents) - 1, 0, -1):  # numbers grow inwards
+        votes[parents[n]] += votes[n]
+    found = clusters(content, lines)
+    plain = lambda k: content[k] or not lines[k].outside and 2 * lines[k].linked < len(lines[k].text)
+    best = max(articles, key=lambda n: (votes[n], n), default=0)  # the inner one, if all content of the outer is in it
+    if best and 2 * votes[best] >= total:
+        return [x for k, x in enumerate(lines) if best <= x.element <= last[best] and plain(k)]
+    region = max(n for n, v in enumerate(votes) if v >= 0.9 * total)
+    inside = np.array([region <= x.element <= last[region] for x in lines])
+    taken = np.zeros(len(lines), bool)
+    for first, end in found:
+        if inside[first : end + 1].any():
+            taken[first : end + 1] = True
+    where = np.flatnonzero(taken)
+    first, end = int(where[0]), int(where[-1])
+    taken[first:end] |= inside[first:end]
+    while first and lines[first - 1].heading and not lines[first - 1].outside:
         first -= 1
-    return [blocks[k] for k in inside if first <= k <= last]
+        taken[first] = True
+    while end + 1 < len(lines) and lines[end + 1].element == lines[end].element and plain(end + 1):
+        end += 1
+        taken[end] = True
+    return [x for k, x in enumerate(lines) if taken[k] and plain(k)]
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, cut: float = CUT) -> str:
     """The main text of a page; empty for a null, an empty page or one without content."""
     if not html:
         return ""
     events = Events()
     events.feed(html)
-    return "\n\n".join(b.text for b in select(events.finish(), events.articles))
+    lines = events.finish()
+    content = content_lines(lines, cut) if lines else np.zeros(0, bool)
+    return "\n\n".join(x.text for x in select(lines, content, events.parents, events.last, events.articles))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import html as html_entities
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -300,6 +302,53 @@ def test_extract(spark):
     assert html_text.op5(rows.limit(0)).count() == 0
 
 
+def article_of(html):
+    """The given pages' articles, read by patterns: lines end at paragraphs and headings."""
+    article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    lines = [" ".join(html_entities.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+    return [x for x in lines if x]
+
+
+def test_given_pages_against_a_reader_by_patterns(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {x.page_id: "\n\n".join(article_of(x.html)) for x in pages.collect()}
+    assert {x.page_id: x.text for x in html_text.op5(pages).collect()} == want
+
+
+def test_ratios_find_the_text_of_unmarked_pages(spark):
+    """The given pages with plain elements for all that names its purpose: the ratios alone tell content."""
+    found = Counter()
+    for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = set(article_of(x.html))
+        bare = re.sub("<(/?)(?:article|nav|footer)>", r"<\1div>", x.html).replace(' class="ad"', "")
+        events = html_text.Events()
+        events.feed(bare)
+        lines = events.finish()
+        for name, content in (("method", html_text.content_lines(lines)), ("all", np.ones(len(lines), bool))):
+            got = {y.text for y in html_text.select(lines, content, events.parents, events.last, events.articles)}
+            found[name, "right"] += len(got & want)
+            found[name, "wrong"] += len(got - want)
+            found[name, "lost"] += len(want - got)
+    assert found["method", "right"] > 0.97 * (found["method", "right"] + found["method", "lost"])
+    assert found["method", "wrong"] < 0.12 * found["method", "right"] < 0.5 * found["all", "wrong"]
+
+
+def test_clusters_inside_articles():
+    links = "".join(f"<li><a href=x>More of {i}</a></li>" for i in range(12))
+    text = "<p>A paragraph of a text that is long enough to be one.</p>"
+    assert html_text.main_text(f"<article>{text}<p>Short.</p><p><a href=x>A linked line</a></p>{text}<ul>{links}</ul></article>").count("More of") <= 2
+    assert "A linked line" in html_text.main_text(f"<article>{text}<p>Short.</p><p><a href=x>A linked line</a></p>{text}</article>")
+    lead = "<div><div><p>The lead of the text, of some length, in its own element.</p></div>" + f"<div>{text * 12}<p>End.</p></div></div>"
+    assert html_text.main_text(f"<ul>{links}</ul>{lead}<ul>{links}</ul>").startswith("The lead") and html_text.main_text(f"<ul>{links}</ul>{lead}<ul>{links}</ul>").endswith("End.")
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    for page in ("<div>t " * 150_000, "<article>" + "<div>t </b></section>" * 100_000, "<div>" * 100_000 + "x" + "</div>" * 100_000):
+        began = time.time()
+        assert html_text.main_text(page)
+        assert time.time() - began < 20
+
+
 def test_smoothing_is_gaussian():
     x = np.zeros(9)
     x[4] = 1
@@ -346,7 +395,7 @@ def test_simhash(docs, clashing):
     assert Counter(tuple(r) for r in simhash.op6(clashing.repartition(5)).collect()) == want
 
 
-@pytest.mark.parametrize("shard", [16, 64, 10_000])
+@pytest.mark.parametrize("shard", [2, 16, 64, 10_000])
 def test_fingerprint_links(spark, shard):
     r = random.Random(4)
     fps = [r.getrandbits(64) for _ in range(400)]
@@ -361,7 +410,7 @@ def test_fingerprint_links(spark, shard):
     distinct = spark.createDataFrame([(f,) for f in signed], "fp bigint")
     from foliospark.llm.components import connected_components
 
-    links = simhash.fingerprint_links(distinct, 3, 128, shard)
+    links = simhash.fingerprint_links(distinct, 3, 128, shard, 128)
     got = {x.node: x.root for x in connected_components(links).collect()}
     groups = defaultdict(set)
     for f, s in zip(fps, signed):
