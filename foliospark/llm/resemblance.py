@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import Shared, forget, materialize
@@ -28,10 +29,9 @@ BLOCK = 2048
 BRIEF = 1024
 
 
-def normal_digest(text: Column) -> Column:
+def normal_digest(text: str | None) -> int:
     """A hash of the text's words, so that copies that differ in case (A-Z) or white space alone are one text."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.xxhash64(F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")))
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
 
 def shingle_set(hasher: Hasher, text: str | None) -> np.ndarray:
@@ -210,13 +210,13 @@ def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
         hasher = Hasher(SHINGLE, 64)
         for b in batches:
             sets = [shingle_set(hasher, t).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["digest_", "hashes_"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), b.column(2)], names=["digest_", "hashes_", "fp"])
 
-    own = docs.select(normal_digest(F.col(text_col)).alias("digest_"), F.col(text_col).alias("text_"))
-    few = needed.count() <= 500_000  # 4 MB of numbers
-    own = own.join(F.broadcast(needed) if few else needed, "digest_", "left_semi")
+    keys = texts.join(needed, "digest_").select("digest_", "fp", "key_")
+    few = needed.count() <= 250_000  # 6 MB of numbers
+    own = docs.select(F.xxhash64(text_col).alias("key_"), F.col(text_col).alias("text_")).join(F.broadcast(keys) if few else keys, "key_").select("digest_", "text_", "fp")
     # Copies become one row before they are shuffled, by digest alone.
-    sets = materialize(own.mapInArrow(hashed, "digest_ bigint, hashes_ array<bigint>").groupBy("digest_").agg(F.first("hashes_").alias("hashes_")).join(texts.select("digest_", "fp"), "digest_"), "sets")
+    sets = materialize(own.mapInArrow(hashed, "digest_ bigint, hashes_ array<bigint>, fp bigint").groupBy("digest_").agg(F.first("hashes_").alias("hashes_"), F.first("fp").alias("fp")), "sets")
 
     def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,17 +233,17 @@ def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
     return out
 
 
-def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: DataFrame, least: float, block: int = BLOCK, joined: int = JOINED, limit: int = 8) -> DataFrame:
+def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: DataFrame, least: float, block: int = BLOCK, joined: int = JOINED, limit: int = 64) -> DataFrame:
     """Links ``(u, v)`` that, with those of ``near``, join the fingerprints of all texts whose sets of five-word shingles resemble each other by ``least`` or more.
 
-    ``rows`` has ``digest_``, ``fp`` and the ``marks`` of each row. Two such texts have their first common shingle in
+    ``rows`` has ``digest_``, ``key_`` (the hash of the text as it is), ``fp`` and the ``marks`` of each row. Two such texts have their first common shingle in
     both prefixes, so they meet. In a first round each text meets others under a few shingles and is held against its
     nearest one; that joins most. Then all texts of different components that meet are compared, ``limit`` nearest
     ones for a text and block, in rounds of a growing limit, until no text has more: then no pair is left
     that resembles and isn't joined. All is decided on whole sets.
     """
-    one = [F.first(c).alias(c) for c in ("fp", *MARKS)]
-    texts = materialize(rows.select("digest_", "fp", *MARKS).groupBy("digest_").agg(*one), "texts")
+    one = [F.first(c).alias(c) for c in ("fp", "key_", *MARKS)]
+    texts = materialize(rows.select("digest_", "fp", "key_", *MARKS).groupBy("digest_").agg(*one), "texts")
     held = texts.select("digest_", "n_", F.posexplode("tokens_").alias("at_", "token_"))
     again = held.groupBy("token_").agg(F.count("*").alias("c_")).where("c_ > 1").select("token_")
     met = materialize(held.join(again, "token_"), "met")

@@ -17,8 +17,8 @@ from foliospark.llm.resemblance import BLOCK, JOINED, MARKS, MARKS_SCHEMA, commo
 from foliospark.llm.resemblance import SHINGLE as LIKE_SHINGLE
 from foliospark.llm.sketch import Hasher
 
-#: Fingerprints of the sample that shapes the routing tree.
-SAMPLE = 8192
+#: Fingerprints of the sample that shapes the routing tree: 16 a shard, but so many at least and at most.
+SAMPLE, MOST_SAMPLE = 8192, 524_288
 #: Fingerprints aimed at in a shard (a leaf of the routing tree), visitors included.
 SHARD = 32768
 #: Fingerprints below which a branch inside a shard is compared pair by pair.
@@ -155,16 +155,17 @@ def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: int = SHARD, most: int = MOST_SAMPLE) -> DataFrame:
     """Links ``(u, v)`` that join what lies within ``radius`` bits, of distinct fingerprints ``fp``.
 
     Exact for any tree: triangle bounds send each fingerprint to all shards where a pair of its own may be
-    met. The tree is grown from ``sample`` fingerprints, until about ``shard`` of the table meet in a leaf;
-    inside a shard the tree goes on. A shard returns its components as stars, at most a row
-    for each fingerprint that it holds; no list of pairs leaves it.
+    met. The tree is grown from 16 fingerprints for each shard to be, ``sample`` at least and ``most`` at most, until about
+    ``shard`` of the table meet in a leaf; inside a shard the tree goes on. A leaf that outgrows four shards is dealt to
+    blocks of two shards, each pair of which is compared, so that no task's memory grows with the table. A shard
+    returns its components as stars, at most a row for each fingerprint that it holds; no list of pairs leaves it.
     """
     total = distinct.count()
-    some = least_hashed(distinct, "fp", sample, total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    some = least_hashed(distinct, "fp", max(sample, min(most, 16 * total // shard)), total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = RoutingTree(some, total, shard, radius)
     known = Shared(distinct.sparkSession, tree)  # at most a node for each sampled fingerprint
 
@@ -180,11 +181,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE
         apart = root != np.arange(len(fps))
         return pd.DataFrame({"u": fps[apart], "v": fps[root[apart]]})
 
-    return distinct.mapInArrow(route, "leaf int, fp bigint").groupBy("leaf").applyInPandas(link, "u bigint, v bigint")
+    routed = materialize(distinct.mapInArrow(route, "leaf int, fp bigint"), "routed")
+    sizes = routed.groupBy("leaf").agg(F.count("*").alias("n_"))
+    blocks = F.when(F.col("n_") > 4 * shard, F.ceil(F.col("n_") / (2 * shard))).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(3)), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, own).alias("i_"), F.greatest(i, own).alias("j_")))
+    # A count for each leaf, of which the tree has no more than sampled fingerprints.
+    placed = routed.join(F.broadcast(sizes), "leaf").select("leaf", "fp", F.explode(pairs).alias("p_"))
+    return placed.select("leaf", "fp", "p_.*").groupBy("leaf", "i_", "j_").applyInPandas(link, "u bigint, v bigint")
 
 
 def with_marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...], least: float) -> DataFrame:
-    """``fingerprints`` and, for links by resemblance, ``digest_`` of the text's words and the marks of its five-word shingles."""
+    """``fingerprints`` and, for links by resemblance, ``key_`` of the text, ``digest_`` of its words and the marks of its five-word shingles."""
     common = common_shingles(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +201,13 @@ def with_marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep:
             texts = b.column(0).to_pylist()
             fps = np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(b))
             sets = [shingle_set(hasher, t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64)), *marks(sets, common.value, least)], names=[*names, "digest_", "fp", *MARKS])
+            digests = np.fromiter(map(normal_digest, texts), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64)), pa.array(digests.view(np.int64)), *marks(sets, common.value, least)], names=[*names, "key_", "fp", "digest_", *MARKS])
 
     names = [id_col, *keep]
-    rows = docs.select(F.col(text_col).alias("text_"), *names, normal_digest(F.col(text_col)).alias("digest_"))
+    rows = docs.select(F.col(text_col).alias("text_"), *names, F.xxhash64(text_col).alias("key_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, fp bigint, {MARKS_SCHEMA}")
+    return rows.mapInArrow(run, f"{schema}, fp bigint, digest_ bigint, {MARKS_SCHEMA}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), sample: int = SAMPLE, shard: int = SHARD, resembling: float | None = None, block: int = BLOCK, joined: int = JOINED) -> DataFrame:
