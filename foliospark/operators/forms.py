@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators.graph import descend
+
 
 def export_json(fields: DataFrame, by: list[str], omit_empty: bool = False) -> DataFrame:
     """One JSON object a document, of name to type and value, in order of name. A name's last row (by ``seq``) holds."""
@@ -31,23 +33,21 @@ def apply_values(fields: DataFrame, values: DataFrame, by: list[str]) -> DataFra
     return fields.join(new, [*by, "name"], "left").withColumn("value", F.coalesce("new_", "value")).drop("new_").select(*fields.columns)
 
 
-def leaf_fields(nodes: DataFrame) -> DataFrame:
-    """Terminal fields of (id, parent, seq, partial, type, flags, value): dotted names, with type and flags inherited.
+def leaf_fields(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Terminal fields of (by, id, parent, seq, partial, type, flags, value): dotted names, with type and flags inherited.
 
-    A node without a partial name is a widget of the field above it.
+    A node without a partial name is a widget of the field above it. ``by`` keeps documents apart.
     """
-    nodes.createOrReplaceTempView("field_nodes_")
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE t(id, name, type, flags, value, level) AS (
-          SELECT id, partial, type, flags, value, 1 FROM field_nodes_ WHERE parent IS NULL AND partial IS NOT NULL
-          UNION ALL
-          SELECT c.id, concat(t.name, '.', c.partial), coalesce(c.type, t.type), coalesce(c.flags, t.flags), c.value, t.level + 1
-          FROM field_nodes_ c JOIN t ON c.parent = t.id WHERE c.partial IS NOT NULL AND t.level < 100)
-        SELECT id, name, type, flags, value FROM t
-        WHERE id NOT IN (SELECT parent FROM field_nodes_ WHERE parent IS NOT NULL AND partial IS NOT NULL)
-        """
-    )
+    by = by or []
+    named = nodes.where("partial IS NOT NULL").select(*by, "id", "parent", "partial", "type", "flags", "value")
+    top = named.where("parent IS NULL").select(*by, "id", F.col("partial").alias("name"), "type", "flags", "value")
+
+    def step(both: DataFrame) -> DataFrame:
+        return both.select(*(F.col(f"c.{c}").alias(c) for c in by), "c.id", F.concat("t.name", F.lit("."), "c.partial").alias("name"), F.coalesce("c.type", "t.type").alias("type"), F.coalesce("c.flags", "t.flags").alias("flags"), "c.value")
+
+    found = descend(named, by, top, step)
+    inner = named.where("parent IS NOT NULL").select(*by, F.col("parent").alias("id")).distinct()
+    return found.join(inner, [found[c].eqNullSafe(inner[c]) for c in [*by, "id"]], "left_anti").select(*by, "id", "name", "type", "flags", "value")
 
 
 def parse_xfdf(text: str) -> list[tuple[str, str]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,22 +57,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.unionByName(loops.withColumn("component", F.col("node")))
 
 
-#: A tree in pre-order with paths of titles: children in ``seq`` order, cycles and levels beyond 100 cut.
-OUTLINE = """
-WITH RECURSIVE t(id, parent, seq, title, level, path, place) AS (
-  SELECT id, parent, seq, title, 1, title, lpad(cast(seq as string), 6, '0') FROM {table} WHERE parent IS NULL
-  UNION ALL
-  SELECT c.id, c.parent, c.seq, c.title, t.level + 1, concat(t.path, '{dot}', c.title), concat(t.place, '.', lpad(cast(c.seq as string), 6, '0'))
-  FROM {table} c JOIN t ON c.parent = t.id WHERE t.level < 100)
-SELECT id, title, level, path, place FROM t
-"""
+#: Levels of a tree that are followed.
+LEVELS = 100
 
 
-def outline(df: DataFrame, dot: str = " / ") -> DataFrame:
-    """``id, title, level, path, place`` of a tree given as (id, parent, seq, title); sort by ``place`` for pre-order."""
-    name = f"outline_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(OUTLINE.format(table=name, dot=dot))
+def descend(nodes: DataFrame, by: list[str], top: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All levels of the trees of ``nodes`` (by, id, parent, …), from the ``top`` rows (by, id, …) down.
+
+    Each level's rows join the nodes below them, as ``t`` and ``c``; ``step`` makes the level's rows of the join, with the columns of ``top``.
+    A level is checkpointed, so plans stay small; cycles end at ``LEVELS``.
+    """
+    out = level = _checkpoint(top)
+    for _ in range(LEVELS - 1):
+        below = nodes.alias("c").join(level.alias("t"), [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by] + [F.col("c.parent") == F.col("t.id")])
+        level = _checkpoint(step(below))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+def outline(df: DataFrame, dot: str = " / ", by: list[str] | None = None) -> DataFrame:
+    """``by, id, title, level, path, place`` of trees given as (by, id, parent, seq, title); sort by ``place`` for pre-order.
+
+    Children come in ``seq`` order, whatever its size; cycles and levels beyond 100 are cut. ``by`` keeps documents apart.
+    """
+    by = by or []
+    place = lambda seq: F.lpad(seq.cast("string"), 19, "0")
+    top = df.where("parent IS NULL").select(*by, "id", "title", F.lit(1).alias("level"), F.col("title").alias("path"), place(F.col("seq")).alias("place"))
+
+    def step(both: DataFrame) -> DataFrame:
+        return both.select(*(F.col(f"c.{c}").alias(c) for c in by), "c.id", "c.title", (F.col("t.level") + 1).alias("level"), F.concat("t.path", F.lit(dot), "c.title").alias("path"), F.concat("t.place", F.lit("."), place(F.col("c.seq"))).alias("place"))
+
+    return descend(df.select(*by, "id", "parent", "seq", "title"), by, top, step)
 
 
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -28,20 +28,31 @@ def gather(documents: DataFrame, texts: DataFrame, order: str, text: str) -> Dat
 def pack(df: DataFrame, by: list[str], order: str, size: str, limit: int = CHUNK) -> DataFrame:
     """Adds ``chunk_no`` from 1: rows are put together in order while their sizes stay within ``limit``; a larger one stands alone.
 
-    A new chunk begins where a row no longer fits, which depends on all rows before it in its group, so sizes are
-    folded in order. A group is a document: its sizes, not its texts, are gathered.
+    A new chunk begins where a row no longer fits, which depends on all rows before it in its group, so a group's
+    sizes are read in order by one task, as a stream: keys and sizes alone, a row at a time. Nulls in ``by`` are a group;
+    ``order`` is unique in a group.
     """
-    sizes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(1).alias("chunk"), F.array().cast("array<struct<o:bigint,c:int>>").alias("out"))
+    rows = df.select(*by, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size_"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "chunk_no int"])
 
-    def step(acc: Column, row: Column) -> Column:
-        full = (acc["held"] > 0) & (acc["held"] + row["n"] > limit)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(F.when(full, row["n"]).otherwise(acc["held"] + row["n"]).alias("held"), chunk.alias("chunk"), F.concat(acc["out"], F.array(F.struct(row["o"].cast("long").alias("o"), chunk.alias("c")))).alias("out"))
-
-    folded = df.groupBy(*by).agg(F.aggregate(sizes, start, step)["out"].alias("out"))
-    placed = folded.select(*by, F.explode("out").alias("p")).select(*by, F.col("p.o").alias(order), F.col("p.c").alias("chunk_no"))
-    return df.join(placed, [*by, order])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, chunk = None, 0, 1
+        for b in batches:
+            out = []
+            for *own, n in zip(*(b.column(i).to_pylist() for i in [*range(len(by)), len(by) + 1])):
+                if own != group:
+                    group, held, chunk = own, 0, 1
+                if held and held + n > limit:
+                    held, chunk = 0, chunk + 1
+                held += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 1], pa.array(out, pa.int32())], names=[*by, order, "chunk_no"])
+
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    placed = dealt.sortWithinPartitions(*by, order).mapInArrow(run, schema)
+    keys = [*by, order]
+    placed = placed.toDF(*(f"{c}_" for c in keys), "chunk_no")
+    return df.join(placed, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys]).drop(*(f"{c}_" for c in keys))
 
 
 def conversation(df: DataFrame, by: list[str], order: str, role: str, text: str, limit: int = CONTEXT) -> DataFrame:

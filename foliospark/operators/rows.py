@@ -58,18 +58,36 @@ def nearest(df: DataFrame, value: str, marks: DataFrame, mark: str, tolerance: f
     return df.withColumn("nearest", near)
 
 
-def as_of(df: DataFrame, at: str, table: DataFrame, key: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+def as_of(df: DataFrame, at: str, table: DataFrame, key: str, values: list[str], by: list[str] | None = None, buckets: int = 256) -> DataFrame:
     """Adds ``values`` of the last row of ``table`` with ``key`` not beyond ``at``, within ``by``; null before the first.
 
-    Both sides are put in one order and the last known values are carried on, so there is no range join.
+    Both sides are put in one order and the last known values are carried on, so there is no range join. Keys are cut
+    into ranges of about equal numbers of rows, each ordered by itself, and what is known at a range's end goes on to
+    those behind it: no task holds a whole group. Of equal keys, the row with the greatest values holds.
     """
     by = by or []
-    here = df.withColumns({"k_": F.col(at), "side_": F.lit(1), **{f"v_{v}": F.lit(None).cast(table.schema[v].dataType) for v in values}, "known_": F.lit(None).cast("int")})
-    there = table.select(*by, F.col(key).alias("k_"), F.lit(0).alias("side_"), *(F.col(v).alias(f"v_{v}") for v in values), F.lit(1).alias("known_"))
-    w = Window.partitionBy(*by).orderBy("k_", "side_").rowsBetween(Window.unboundedPreceding, 0)
-    both = here.unionByName(there, allowMissingColumns=True)
-    carried = F.last(F.when(F.col("known_") == 1, F.struct(*(F.col(f"v_{v}").alias(v) for v in values))), ignorenulls=True).over(w)
-    return both.withColumn("c_", carried).where("side_ = 1").select(*df.columns, *(F.col(f"c_.{v}").alias(v) for v in values))
+    known = F.struct(*(F.col(v) for v in values))
+    numeric = buckets > 1 and df.schema[at].dataType.simpleString() not in ("string", "binary")
+    cuts = df.select(F.col(at).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if numeric else []
+    ends = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else None  # one number a range
+    bucket = lambda k: F.size(F.filter(ends, lambda e: e < F.col(k).cast("double"))) if cuts else F.lit(0)
+    here = df.select(*by, F.col(at).alias("k_"), bucket(at).alias("b_"), F.lit(1).alias("side_"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row_"), F.lit(None).cast(table.select(known.alias("v")).schema["v"].dataType).alias("v_"))
+    there = table.select(*by, F.col(key).alias("k_"), bucket(key).alias("b_"), F.lit(0).alias("side_"), F.lit(None).cast(here.schema["row_"].dataType).alias("row_"), known.alias("v_"))
+    ends_of = there.where("k_ IS NOT NULL").groupBy(*by, "b_").agg(F.max(F.struct("k_", "v_")).alias("e_"))
+    steps = here.select(*by, "b_").distinct().withColumn("e_", F.lit(None).cast(ends_of.schema["e_"].dataType)).unionByName(ends_of)
+    steps = steps.groupBy(*by, "b_").agg(F.max("e_").alias("e_"))
+    over = Window.partitionBy(*by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = steps.withColumn("e_", F.last("e_", ignorenulls=True).over(over)).select(*(F.col(c).alias(f"{c}_by_") for c in by), F.col("b_").alias("b_of_"), F.col("e_.v_").alias("first_"))
+    w = Window.partitionBy(*by, "b_").orderBy("k_", "side_", "v_").rowsBetween(Window.unboundedPreceding, 0)
+    own = here.unionByName(there.where("k_ IS NOT NULL")).withColumn("c_", F.last("v_", ignorenulls=True).over(w)).where("side_ = 1")
+    found = own.join(before, [own[c].eqNullSafe(before[f"{c}_by_"]) for c in by] + [F.col("b_") == F.col("b_of_")], "left")
+    value = F.when(F.col("k_").isNotNull(), F.coalesce("c_", "first_"))
+    return found.withColumn("c_", value).select("row_.*", *(F.col(f"c_.{v}").alias(v) for v in values))
+
+
+def majority(df: DataFrame, by: list[str], holds: Column, out: str = "majority") -> DataFrame:
+    """Whether a condition holds for more than half of each group's rows."""
+    return df.groupBy(*by).agg((2 * F.count_if(holds) > F.count("*")).alias(out))
 
 
 def gutters(df: DataFrame, by: list[str], value: str, lo: float, hi: float, bins: int, least: int = 1, wide: int = 2) -> DataFrame:

@@ -13,14 +13,19 @@ SPACE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 _REFUSED = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+)")
 
 
+_BOUNDARY = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+
+
 def compile_pattern(query: str, regex: bool = False, ignore_case: bool = False) -> str:
     """The pattern of a query; a literal is quoted. An empty query is an error, as is a pattern with look-around or back-references."""
     if not query:
         raise ValueError("the query is empty")
     if regex and _REFUSED.search(query):
         raise ValueError("look-around, back-references and possessive quantifiers aren't supported")
+    # Word boundaries are those of ASCII words, as classes are; Java's differ by version.
+    query = re.sub(r"(?<!\\)((?:\\\\)*)\\([bB])", lambda m: m[1] + _BOUNDARY[m[2]], query) if regex else query
     body = query if regex else "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return ("(?iu)" if ignore_case else "") + body
+    return ("(?diu)" if ignore_case else "(?d)" if regex else "") + body  # lines end at line feeds alone
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,10 +36,12 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def search(df: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", regex: bool = False, ignore_case: bool = False) -> DataFrame:
     """Non-overlapping matches within lines: id, ``line_no``, ``match_no`` (both from 1), ``match``. Empty matches are dropped.
 
-    Rows without any match are filtered before lines are made.
+    Rows without any match are filtered before lines are made, unless the pattern asks for a line's start or end: in
+    the whole text these are elsewhere.
     """
     pattern = compile_pattern(query, regex, ignore_case)
-    likely = df.where(F.col(text_col).rlike(pattern)) if regex or ignore_case else df.where(F.col(text_col).contains(query))
+    anchored = regex and re.search(r"(?<!\[)\^|\$|\\[AzZG]", query)
+    likely = df if anchored else df.where(F.col(text_col).rlike(pattern)) if regex or ignore_case else df.where(F.col(text_col).contains(query))
     found = F.filter(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda m: F.length(m) > 0)
     hits = lines(likely, id_col, text_col).select(id_col, "line_no", F.posexplode(found).alias("match_no", "match"))
     return hits.withColumn("match_no", F.col("match_no") + 1)
@@ -101,6 +108,11 @@ def document_date(text: Column) -> Column:
 CURRENCY = "$€£¥₽"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def number(text: Column) -> Column:
     """The value of a cell's text, whatever its locale; null for what isn't plainly a number.
 
@@ -108,22 +120,32 @@ def number(text: Column) -> Column:
     the last separator before one or two digits is the decimal one, before three it groups. At most 24 bytes and
     15 digits before the decimal separator.
     """
-    s = trim(text)
+    return _let(trim(text), _number)
+
+
+def _number(s: Column) -> Column:
     leading, trailing = F.substring(s, 1, 1), F.substring(s, -1, 1)
     has = lambda c: F.lit(CURRENCY).contains(c)
     percent = ~has(leading) & ~has(trailing) & (trailing == "%")
     body = F.when(has(leading), F.substr(s, F.lit(2))).when(has(trailing) | percent, F.substr(s, F.lit(1), F.length(s) - 1)).otherwise(s)
-    body = trim(body)
-    negative = body.rlike(r"\A[-−]")
-    bare = F.translate(F.regexp_replace(body, r"\A[-−+]", ""), " \u00a0\u2009\u202f", "")
-    whole = F.regexp_extract(bare, r"\A(.*?)(?:[.,](\d{1,2}))?\z", 1)
-    fraction = F.regexp_extract(bare, r"\A(.*?)(?:[.,](\d{1,2}))?\z", 2)
-    groups = whole.rlike(r"\A[.,]*(?:\d{1,3}(?:[.,]+\d{3})+|\d+)[.,]*\z") & (bare.rlike(r"\A[^.,]*\z") | (fraction != "") | bare.rlike(r"[.,]\d{3}\z"))
-    digits = F.translate(whole, ".,", "")
-    value = F.try_to_number(digits, F.lit("999999999999999")).cast("double") + F.when(fraction == "", 0.0).otherwise(fraction.try_cast("double") / F.pow(F.lit(10.0), F.length(fraction)))
-    value = F.when(negative, -value).otherwise(value)
-    value = F.when(percent, value / 100).otherwise(value)
-    return F.when((F.octet_length(s) <= 24) & (F.length(s) > 0) & groups & (F.length(digits) <= 15), value)
+
+    def parted(body: Column) -> Column:
+        signed = F.substring(body, 1, 1).isin("-", "−", "+")
+        bare = F.translate(F.when(signed, F.substr(body, F.lit(2))).otherwise(body), " \u00a0\u2009\u202f", "")
+        return F.struct(F.substring(body, 1, 1).isin("-", "−").alias("negative"), bare.alias("bare"), F.regexp_extract(bare, r"[.,](\d{1,2})\z", 1).alias("fraction"))
+
+    def whole(p: Column) -> Column:
+        part = F.when(p["fraction"] != "", F.substr(p["bare"], F.lit(1), F.length(p["bare"]) - F.length(p["fraction"]) - 1)).otherwise(p["bare"])
+        return F.struct(p["negative"].alias("negative"), p["bare"].alias("bare"), p["fraction"].alias("fraction"), part.alias("whole"), F.translate(part, ".,", "").alias("digits"))
+
+    def value(p: Column) -> Column:
+        grouped = p["whole"].rlike(r"\A[.,]*(?:\d{1,3}(?:[.,]+\d{3})+|\d+)[.,]*\z") & ((p["fraction"] != "") | p["bare"].rlike(r"\A[^.,]*\z|[.,]\d{3}\z"))
+        found = F.try_to_number(p["digits"], F.lit("999999999999999")).cast("double") + F.when(p["fraction"] == "", 0.0).otherwise(p["fraction"].try_cast("double") / F.pow(F.lit(10.0), F.length(p["fraction"])))
+        found = F.when(p["negative"], -found).otherwise(found)
+        return F.when(grouped & (F.length(p["digits"]) <= 15), F.when(percent, found / 100).otherwise(found))
+
+    made = _let(trim(body), lambda b: _let(parted(b), lambda p: _let(whole(p), value)))
+    return F.when((F.octet_length(s) <= 24) & (F.length(s) > 0), made)
 
 
 def heading_level(size: Column, body: Column, text: Column) -> Column:
@@ -145,10 +167,10 @@ def roman(n: Column) -> Column:
 
 
 def alphabetic(n: Column) -> Column:
-    """a to z, aa, ab and so on; empty below 1. Up to six letters."""
+    """a to z, aa, ab and so on; empty below 1. Up to six letters: numbers to 321,272,406; null beyond."""
     out, before = F.lit(""), 0  # how many have fewer letters
     for letters in range(1, 7):
         place = lambda k: F.char((97 + F.floor((n - 1 - before) / 26**k) % 26).cast("int"))  # noqa: E731, B023
         out = F.when(n > before, F.concat(*(place(k) for k in range(letters - 1, -1, -1)))).otherwise(out)
         before += 26**letters
-    return out
+    return F.when(n <= before, out)

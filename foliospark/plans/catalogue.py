@@ -54,6 +54,22 @@ def search_regex(spark, sf):
     return text.search(read(spark, sf, "documents"), "[0-9a-f]{6,}|[A-Z]{3,}!", regex=True)
 
 
+@query(_SEARCH.format(pattern="^[A-Z][a-z]+"))
+def search_line_starts(spark, sf):
+    return text.search(read(spark, sf, "documents"), "^[A-Z][a-z]+", regex=True)
+
+
+@query(_SEARCH.format(pattern="\\b[a-z]+[.]$"))
+def search_line_ends(spark, sf):
+    return text.search(read(spark, sf, "documents"), r"\b[a-z]+[.]$", regex=True)
+
+
+@query(_SEARCH.format(pattern="\\A(#.*)?"))
+def search_empty_matches(spark, sf):
+    """Of lines' starts, those with a mark; empty matches are dropped."""
+    return text.search(read(spark, sf, "documents"), r"\A(#.*)?", regex=True)
+
+
 @query("""
 WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {'n': len(regexp_extract_all(x, '(?i)\\bof\\b')), 't': regexp_replace(x, '(?i)\\bof\\b', 'OF', 'g')}) AS p FROM documents)
 SELECT doc_id, CAST(list_sum(list_transform(p, lambda x: x.n)) AS INTEGER) AS n_replaced, sha256(array_to_string(list_transform(p, lambda x: x.t), chr(10))) AS text_sha256 FROM l
@@ -285,7 +301,7 @@ def top_exemplar(spark, sf):
 
 @query("SELECT l_orderkey, 2 * sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) > count(*) AS mostly FROM lineitem GROUP BY l_orderkey")
 def majority_vote(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg((2 * F.sum(F.when(F.col("l_returnflag") == "N", 1).otherwise(0)) > F.count("*")).alias("mostly"))
+    return rows.majority(read(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "N", "mostly")
 
 
 @query("""
@@ -304,9 +320,7 @@ SELECT e.event_id, rate FROM events e ASOF LEFT JOIN r ON e.event_id >= r.k
 """)
 def asof_rate(spark, sf):
     rates = spark.createDataFrame([(0, 1.0), (2000, 1.1), (4500, 1.25), (8000, 0.9)], "k long, rate double")
-    by_type = read(spark, sf, "events").select("event_id", "event_type")
-    wide = by_type.select("event_type").distinct().crossJoin(F.broadcast(rates))  # four rows a type
-    return rows.as_of(by_type, "event_id", wide, "k", ["rate"], ["event_type"]).select("event_id", "rate")
+    return rows.as_of(read(spark, sf, "events").select("event_id"), "event_id", rates, "k", ["rate"])
 
 
 @query("""
@@ -368,26 +382,22 @@ def stitch_tables(spark, sf):
 def _edges(spark, sf):
     """Orders that lead to others of the same customer: a sparse reference graph with cycles."""
     o = read(spark, sf, "orders")
-    return o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000 + 1).alias("dst")).where("src % 7 = 1")
+    return o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000 + 1).alias("dst"))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 1000 + 1 AS dst FROM orders WHERE o_custkey % 7 = 1),
-t(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM t JOIN e ON node = src WHERE depth < 12)
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 1000 + 1 AS dst FROM orders),
+t(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM t JOIN e ON node = src WHERE depth < 40)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY node
 """)
 def closure(spark, sf):
     return graph.reachable(_edges(spark, sf), spark.createDataFrame([(1,)], "node long"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 100000000 + l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-t(node, reach) AS (SELECT DISTINCT a, a FROM s UNION SELECT t.node, s.b FROM t JOIN s ON t.reach = s.a)
-SELECT node, min(reach) AS component FROM t GROUP BY node
-""")
+@query()
 def components(spark, sf):
-    items = read(spark, sf, "lineitem").where("l_orderkey % 40 = 0")
+    """Orders and parts that order lines join. Recursive SQL takes the square of a component, so tests hold it against brute force."""
+    items = read(spark, sf, "lineitem")
     return graph.components(items.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 100_000_000).alias("dst")))
 
 
@@ -400,9 +410,9 @@ def _tree(spark, sf):
 
 
 @query("""
-SELECT r_regionkey::BIGINT AS id, r_name AS title, 1 AS level, r_name AS path, lpad(r_regionkey::VARCHAR, 6, '0') AS place FROM region
-UNION ALL SELECT 100 + n_nationkey, n_name, 2, r_name || ' / ' || n_name, lpad(r_regionkey::VARCHAR, 6, '0') || '.' || lpad(n_nationkey::VARCHAR, 6, '0') FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 1000 + s_suppkey, s_name, 3, r_name || ' / ' || n_name || ' / ' || s_name, lpad(r_regionkey::VARCHAR, 6, '0') || '.' || lpad(n_nationkey::VARCHAR, 6, '0') || '.' || lpad(s_suppkey::VARCHAR, 6, '0')
+SELECT r_regionkey::BIGINT AS id, r_name AS title, 1 AS level, r_name AS path, lpad(r_regionkey::VARCHAR, 19, '0') AS place FROM region
+UNION ALL SELECT 100 + n_nationkey, n_name, 2, r_name || ' / ' || n_name, lpad(r_regionkey::VARCHAR, 19, '0') || '.' || lpad(n_nationkey::VARCHAR, 19, '0') FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 1000 + s_suppkey, s_name, 3, r_name || ' / ' || n_name || ' / ' || s_name, lpad(r_regionkey::VARCHAR, 19, '0') || '.' || lpad(n_nationkey::VARCHAR, 19, '0') || '.' || lpad(s_suppkey::VARCHAR, 19, '0')
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """)
 def toc_outline(spark, sf):
@@ -443,10 +453,10 @@ def form_import(spark, sf):
 
 @query("""
 WITH c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(substr(whole, 1, 500)) AS history_sha256, length(whole) > 500 AS truncated FROM c
+SELECT conv_id, n_turns, sha256(substr(whole, 1, 48000)) AS history_sha256, length(whole) > 48000 AS truncated FROM c
 """)
 def chat_assemble(spark, sf):
-    out = models.conversation(read(spark, sf, "conversations"), ["conv_id"], "turn", "role", "text", 500)
+    out = models.conversation(read(spark, sf, "conversations"), ["conv_id"], "turn", "role", "text")
     return out.select("conv_id", "n_turns", F.sha2("history", 256).alias("history_sha256"), "truncated")
 
 
@@ -497,8 +507,9 @@ def issues_union(spark, sf):
 
 @query("SELECT o_orderkey, (o_orderkey & 4) <> 0 AS can_print, (o_orderkey & 8) <> 0 AS can_modify, (o_orderkey & 16) <> 0 AS can_copy, (o_orderkey & 32) <> 0 AS can_annotate FROM orders")
 def permission_bits(spark, sf):
-    bit = lambda n: F.col("o_orderkey").bitwiseAND(n) != 0
-    return read(spark, sf, "orders").select("o_orderkey", bit(4).alias("can_print"), bit(8).alias("can_modify"), bit(16).alias("can_copy"), bit(32).alias("can_annotate"))
+    from foliospark.sources import scan
+
+    return read(spark, sf, "orders").select("o_orderkey", *(scan.permission(F.col("o_orderkey"), x).alias(f"can_{x}") for x in ("print", "modify", "copy", "annotate")))
 
 
 # --- layout: order lines as fragments of a page
@@ -605,20 +616,139 @@ def pdf_documents(spark, sf):
     return scan.documents(_as_files(spark, sf), ["doc_id"]).select("doc_id", "status", "version", "n_pages", F.col("info")["Title"].alias("title"))
 
 
+def _uneven_files(spark, sf):
+    """Every document as a file with one of six states, by its id: whole, no file at all, without its table of objects, with a language, without a title, without pages."""
+    from foliospark.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                kind = doc % 6
+                data = pdf.write([[(40, 760, 10, x)] for x in (t or "").split("\n", 1)] if kind != 5 else [], info={} if kind == 4 else {"Title": "t"}, catalog="/Lang (en)" if kind == 3 else "")
+                out.append(b"no file " + str(doc).encode() if kind == 1 else data[: data.rindex(b"\nxref")] if kind == 2 else data)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    return read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").mapInArrow(made, "doc_id bigint, content binary")
+
+
 @query("""
-SELECT doc_id, 'language' AS rule, 'missing' AS detail FROM documents UNION ALL SELECT doc_id, 'tagged', 'no structure tree' FROM documents
+SELECT doc_id, rule, detail FROM documents, (VALUES (0, 'language', 'missing'), (0, 'tagged', 'no structure tree'), (1, 'header', 'no %PDF- at the start'), (1, 'structure', 'no catalogue'),
+  (2, 'cross_reference', 'rebuilt'), (2, 'language', 'missing'), (2, 'tagged', 'no structure tree'), (2, 'title', 'missing'), (3, 'tagged', 'no structure tree'), (4, 'title', 'missing'), (4, 'language', 'missing'), (4, 'tagged', 'no structure tree'),
+  (5, 'cross_reference', 'rebuilt'), (5, 'pages', 'none'), (5, 'language', 'missing'), (5, 'tagged', 'no structure tree')) i(kind, rule, detail) WHERE doc_id % 6 = kind
 """)
 def pdf_issues(spark, sf):
     from foliospark.sources import scan
 
-    return scan.issues(_as_files(spark, sf), ["doc_id"])
+    return scan.issues(_uneven_files(spark, sf), ["doc_id"])
+
+
+def _rich_files(spark, sf):
+    """Every customer as a file of two turned pages with a note, a link, an outline, a form, an attachment, a destination and page labels."""
+    from foliospark.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for key, name, segment in zip(*(b.column(i).to_pylist() for i in range(3))):
+                note = f"{name} {segment}".encode()
+                objects = [
+                    b"<< /Type /Annot /Subtype /Text /Rect [10 20 %d 60] /Contents (%s) /F 4 >>" % (30 + key % 100, note),
+                    b"<< /Type /Annot /Subtype /Link /Rect [1 2 3 4] /A << /S /URI /URI (https://example.org/%d) >> >>" % key,
+                    b"<< /First 8 0 R /Last 9 0 R /Count 2 >>",
+                    b"<< /Title (%s) /Parent 7 0 R /Next 9 0 R /First 10 0 R /Last 10 0 R /Count 1 >>" % segment.encode(),
+                    b"<< /Title (End) /Parent 7 0 R /Prev 8 0 R >>",
+                    b"<< /Title (%s) /Parent 8 0 R >>" % name.encode(),
+                    b"<< /T (who) /FT /Tx /Ff 2 /Kids [12 0 R 13 0 R] >>",
+                    b"<< /T (name) /Parent 11 0 R /V (%s) >>" % name.encode(),
+                    b"<< /T (buys) /Parent 11 0 R /FT /Btn /V /%s >>" % (b"Yes" if key % 2 else b"Off"),
+                    b"<< /Type /EmbeddedFile /Length %d >>\nstream\n%s\nendstream" % (len(note), note),
+                    b"<< /Type /Filespec /F (note.txt) /Desc (of %d) /EF << /F 14 0 R >> >>" % key,
+                ]
+                catalog = "/Outlines 7 0 R /AcroForm << /Fields [11 0 R] >> /Names << /EmbeddedFiles << /Names [(note.txt) 15 0 R] >> /Dests << /Names [(last) [18 0 R /Fit]] >> >> /PageLabels << /Nums [0 << /S /r >> 1 << /S /D /P (A-) /St 5 >>] >>"
+                out.append(pdf.write([[(40, 700, 10, name)], [(40, 700, 10, segment)]], objects=objects, catalog=catalog, page=f"/Rotate {90 * (key % 4)} /Annots [5 0 R 6 0 R]"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["custkey", "content"])
+
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name", "c_mktsegment").repartition("custkey").mapInArrow(made, "custkey bigint, content binary")
+
+
+_PAGES_OF = "SELECT c_custkey AS custkey, p AS page_no, c_name, c_mktsegment FROM customer, (VALUES (1), (2)) t(p)"
+
+
+@query("SELECT custkey, page_no, 0::DOUBLE AS llx, 612::DOUBLE AS urx, 792::DOUBLE AS ury, CAST(90 * (custkey % 4) AS INTEGER) AS rotation, 2 AS n_annotations FROM (" + _PAGES_OF + ")")
+def pdf_pages(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.pages(_rich_files(spark, sf), ["custkey"]).select("custkey", "page_no", "llx", "urx", "ury", "rotation", "n_annotations")
+
+
+@query("SELECT custkey, page_no, seq, subtype, urx, contents, uri, flags FROM (" + _PAGES_OF + """) c, LATERAL (VALUES (0, 'Text', (30 + custkey % 100)::DOUBLE, c_name || ' ' || c_mktsegment, NULL, 4::BIGINT), (1, 'Link', 3::DOUBLE, NULL, 'https://example.org/' || custkey, 0::BIGINT)) a(seq, subtype, urx, contents, uri, flags)
+""")
+def pdf_annotations(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.annotations(_rich_files(spark, sf), ["custkey"]).select("custkey", "page_no", "seq", "subtype", "urx", "contents", "uri", "flags")
+
+
+@query("SELECT custkey, page_no, 1 AS match_no, c_mktsegment AS match, 10::DOUBLE AS llx FROM (" + _PAGES_OF + ")")
+def pdf_annotation_search(spark, sf):
+    from foliospark.sources import scan
+
+    notes = scan.annotations(_rich_files(spark, sf), ["custkey"])
+    return layout.search_annotations(notes, ["custkey", "page_no"], "[A-Z]{3,}$").select("custkey", "page_no", "match_no", "match", "llx")
+
+
+@query("""
+SELECT c_custkey AS custkey, title, level, path FROM customer, LATERAL (VALUES (c_mktsegment, 1, c_mktsegment), (c_name, 2, c_mktsegment || ' / ' || c_name), ('End', 1, 'End')) o(title, level, path)
+""")
+def pdf_outlines(spark, sf):
+    """Outlines of all files at once, with their paths."""
+    from foliospark.sources import scan
+
+    found = scan.outlines(_rich_files(spark, sf), ["custkey"]).select("custkey", "id", "parent", "seq", "title")
+    return graph.outline(found, by=["custkey"]).select("custkey", "title", "level", "path")
+
+
+@query("""
+SELECT c_custkey AS custkey, name, type, flags, value FROM customer, LATERAL (VALUES ('who.name', 'Tx', 2::BIGINT, c_name), ('who.buys', 'Btn', 2::BIGINT, CASE WHEN c_custkey % 2 = 1 THEN 'Yes' ELSE 'Off' END)) f(name, type, flags, value)
+""")
+def pdf_fields(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.fields(_rich_files(spark, sf), ["custkey"])
+
+
+@query("SELECT c_custkey AS custkey, 'note.txt' AS name, 'of ' || c_custkey AS description, length(c_name || ' ' || c_mktsegment) AS size, sha256(c_name || ' ' || c_mktsegment) AS content_sha256 FROM customer")
+def pdf_attachments(spark, sf):
+    from foliospark.sources import scan
+
+    files = _rich_files(spark, sf).withColumnRenamed("content", "data")
+    return scan.embedded_files(files, ["custkey"], "data").select("custkey", "name", "description", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("SELECT c_custkey AS custkey, 'last' AS name, 2 AS page_no, 'Fit' AS fit FROM customer")
+def pdf_destinations(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.destinations(_rich_files(spark, sf), ["custkey"])
+
+
+@query("SELECT c_custkey AS custkey, first, style, prefix, start FROM customer, (VALUES (0, 'r', '', 1), (1, 'D', 'A-', 5)) l(first, style, prefix, start)")
+def pdf_page_labels(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.page_labels(_rich_files(spark, sf), ["custkey"])
 
 
 # --- tables
 
 
 def _ruled_files(spark, sf):
-    """Every nation with its suppliers as a ruled table: one sheet a nation, a hundred rows to a page."""
+    """Every nation with its suppliers as a ruled table: a sheet for forty keys, so at most forty rows, a nation."""
     from foliospark.sources import pdf
 
     def made(batches):
@@ -633,17 +763,16 @@ def _ruled_files(spark, sf):
                     pages_of.append([(55 + 200 * c, 743 - 16 * i, 9, v) for i, row in enumerate(part) for c, v in enumerate(row)])
                     bottom = 754 - 16 * len(part)
                     grids.append(" ".join([*(f"50 {754 - 16 * i} m 450 {754 - 16 * i} l S" for i in range(len(part) + 1)), *(f"{x} 754 m {x} {bottom} l S" for x in (50, 250, 450))]))
-                assert len(pages_of) == 1
-                out.append(pdf.write(pages_of, extra=grids[0]))
+                out.append(pdf.write(pages_of, extra=grids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["nation", "content"])
 
-    listed = read(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), (F.col("s_suppkey") % 1000 / 40).cast("int").alias("sheet"), F.struct("s_suppkey", F.col("s_name").alias("name"), F.col("s_acctbal").cast("string").alias("balance")).alias("r"))
-    listed = listed.groupBy((F.col("nation") * 100000 + F.col("sheet")).alias("nation")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    listed = read(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), (F.col("s_suppkey") / 40).cast("int").alias("sheet"), F.struct("s_suppkey", F.col("s_name").alias("name"), F.col("s_acctbal").cast("string").alias("balance")).alias("r"))
+    listed = listed.groupBy((F.col("nation") * 1000000000 + F.col("sheet")).alias("nation")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     return listed.mapInArrow(made, "nation bigint, content binary")
 
 
 @query("""
-WITH s AS (SELECT s_nationkey * 100000 + CAST(trunc(s_suppkey % 1000 / 40) AS INTEGER) AS nation, s_name, s_acctbal, row_number() OVER (PARTITION BY s_nationkey * 100000 + CAST(trunc(s_suppkey % 1000 / 40) AS INTEGER) ORDER BY s_suppkey) AS k FROM supplier)
+WITH s AS (SELECT CAST(s_nationkey AS BIGINT) * 1000000000 + CAST(trunc(s_suppkey / 40) AS INTEGER) AS nation, s_name, s_acctbal, row_number() OVER (PARTITION BY CAST(s_nationkey AS BIGINT) * 1000000000 + CAST(trunc(s_suppkey / 40) AS INTEGER) ORDER BY s_suppkey) AS k FROM supplier)
 SELECT CAST(nation AS BIGINT) AS nation, CAST(k AS INTEGER) AS row, 0 AS col, s_name AS text FROM s UNION ALL SELECT nation, CAST(k AS INTEGER), 1, CAST(s_acctbal AS VARCHAR) FROM s
 UNION ALL SELECT DISTINCT nation, 0, 0, 'name' FROM s UNION ALL SELECT DISTINCT nation, 0, 1, 'balance' FROM s
 """)

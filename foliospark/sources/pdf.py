@@ -994,8 +994,8 @@ class Interpreter:
 # --- writing, for fixtures
 
 
-def write(pages: list[list[tuple[float, float, float, str]]], width: float = 612, height: float = 792, compress: bool = True, info: dict[str, str] | None = None, extra: str = "", objects: list[bytes] | None = None, catalog: str = "") -> bytes:
-    """A plain file of text lines (x, y, size, text) in a Latin font; ``extra`` is drawn on each page."""
+def write(pages: list[list[tuple[float, float, float, str]]], width: float = 612, height: float = 792, compress: bool = True, info: dict[str, str] | None = None, extra: str | list[str] = "", objects: list[bytes] | None = None, catalog: str = "", page: str = "") -> bytes:
+    """A plain file of text lines (x, y, size, text) in a Latin font; ``extra`` is drawn on each page, or one of it on each; ``page`` are further entries of pages."""
     out, offsets = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
 
     def add(body: bytes) -> int:
@@ -1013,8 +1013,8 @@ def write(pages: list[list[tuple[float, float, float, str]]], width: float = 612
     for body in objects or []:
         add(body)
     for k, lines in enumerate(pages):
-        content = extra.encode("latin-1") + b"\n" + b"\n".join(b"BT /F1 %g Tf 1 0 0 1 %g %g Tm %s Tj ET" % (size, x, y, literal(text)) for x, y, size, text in lines)
-        add(f"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents {n + 2 * k + 2} 0 R >>".encode())
+        content = (extra if isinstance(extra, str) else extra[k]).encode("latin-1") + b"\n" + b"\n".join(b"BT /F1 %g Tf 1 0 0 1 %g %g Tm %s Tj ET" % (size, x, y, literal(text)) for x, y, size, text in lines)
+        add(f"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents {n + 2 * k + 2} 0 R {page} >>".encode())
         packed = zlib.compress(content) if compress else content
         add(f"<< /Length {len(packed)} {'/Filter /FlateDecode' if compress else ''} >>\nstream\n".encode() + packed + b"\nendstream")
     start = len(out)

@@ -345,23 +345,37 @@ def sniff(content: Column) -> Column:
     return out
 
 
+ISSUES = "rule string, detail string"
+
+
+def _issues(doc: Document) -> Iterator[tuple]:
+    if not doc.data.startswith(b"%PDF"):
+        yield "header", "no %PDF- at the start"
+    if doc.status == "failed":
+        yield "structure", "no catalogue"
+        return
+    if doc.status == "recovered":
+        yield "cross_reference", "rebuilt"
+    if "Encrypt" in doc.trailer:
+        yield "encrypted", None if doc.permissions is None else str(doc.permissions)
+    if doc.status not in ("ok", "recovered"):
+        return
+    info = doc.resolve(doc.trailer.get("Info"))
+    found = doc.pages()
+    if not found:
+        yield "pages", "none"
+    if not (isinstance(info, dict) and "Title" in info):
+        yield "title", "missing"
+    if "Lang" not in doc.root:
+        yield "language", "missing"
+    if "StructTreeRoot" not in doc.root:
+        yield "tagged", "no structure tree"
+    for n, p in enumerate(found, 1):
+        x0, y0, x1, y1 = doc.box(p.get("MediaBox")) or (0.0, 0.0, 612.0, 792.0)
+        if x1 <= x0 or y1 <= y0:
+            yield "media_box", str(n)
+
+
 def issues(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
-    """What is wrong with each file: by, rule, detail. A union of checks over the layers; each reads what it needs."""
-    docs = documents(df, by, content, password)
-    pgs = pages(df, by, content, password)
-    rule = lambda rows, name, detail: rows.select(*by, F.lit(name).alias("rule"), detail.cast("string").alias("detail"))
-    checks = [
-        rule(df.where(F.coalesce(sniff(F.col(content)) != "pdf", F.lit(True))), "header", F.lit("no %PDF- at the start")),
-        rule(docs.where("status = 'failed'"), "structure", F.lit("no catalogue")),
-        rule(docs.where("status = 'recovered'"), "cross_reference", F.lit("rebuilt")),
-        rule(docs.where("encrypted"), "encrypted", F.col("permissions")),
-        rule(docs.where("status in ('ok', 'recovered') AND n_pages = 0"), "pages", F.lit("none")),
-        rule(docs.where("status in ('ok', 'recovered') AND info['Title'] IS NULL"), "title", F.lit("missing")),
-        rule(docs.where("status in ('ok', 'recovered') AND language IS NULL"), "language", F.lit("missing")),
-        rule(docs.where("status in ('ok', 'recovered') AND NOT tagged"), "tagged", F.lit("no structure tree")),
-        rule(pgs.where("urx <= llx OR ury <= lly"), "media_box", F.col("page_no")),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    """What is wrong with each file: by, rule, detail. Each file is read once."""
+    return layer(df, by, content, ISSUES, _issues, password)

@@ -11,7 +11,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).columns == ["doc_id", "line_no", "match_no", "match"]
+    found = __spark_entry__.entry(spark)
+    assert found.columns == ["doc_id", "line_no", "match_no", "match"] and not found.isEmpty()
 
 
 def test_names():

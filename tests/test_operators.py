@@ -1,5 +1,7 @@
 """Operators on small hand-made tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +326,65 @@ def test_asof_rate_of_many_types(spark, tmp_path):
 
     spark.range(1500).selectExpr("id AS event_id", "concat('t', id) AS event_type").write.parquet(str(tmp_path / "events.parquet"))
     assert [r.rate for r in catalogue.asof_rate(spark, str(tmp_path)).collect()] == [1.0] * 1500
+
+
+def test_search_of_line_ends(spark):
+    df = spark.createDataFrame([(1, "first\nfoo bar"), (2, "foo x\nend"), (3, "x\r\nfoo"), (4, None), (5, "")], "doc_id int, text string")
+    found = lambda pattern: [(r.doc_id, r.line_no, r.match) for r in text.search(df, pattern, regex=True).orderBy("doc_id", "line_no").collect()]
+    assert found("^foo") == [(1, 2, "foo"), (2, 1, "foo"), (3, 2, "foo")]
+    assert found("x$") == [(2, 1, "x")]  # a line ends at its line feed; what stands before it belongs to the line
+    assert found(r"\Afoo") == found("^foo") and found(r"bar\z") == [(1, 2, "bar")] and found("q*") == []
+
+
+def test_components_and_closure_against_brute_force(spark):
+    from foliospark.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    pairs = [(r.l_orderkey, 100_000_000 + r.l_partkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert {(r.node, r.component) for r in catalogue.QUERIES["components"](spark, sf).collect()} == {(n, find(n)) for n in root}
+
+
+def test_conversations_are_cut(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a" * 30_000), (1, 1, "assistant", "b" * 30_000), (2, 0, "user", "hi")], "conv_id int, turn int, role string, text string")
+    a, b = models.conversation(df, ["conv_id"], "turn", "role", "text").orderBy("conv_id").collect()
+    assert len(a.history) == 48_000 and a.truncated and a.history.startswith("user: aaa") and (b.history, b.truncated) == ("user: hi", False)
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 256])
+def test_as_of_in_ranges(spark, buckets):
+    r = random.Random(3)
+    here = [(i, r.choice(["a", "b", None]), r.choice([None, *range(100)])) for i in range(500)]
+    there = [(r.choice(["a", "b", None]), r.randrange(100), r.random()) for _ in range(60)] + [("c", 1, 1.0)]
+    df, table = spark.createDataFrame(here, "id int, g string, at int"), spark.createDataFrame(there, "g string, k int, v double")
+    got = {x.id: x.v for x in rows.as_of(df, "at", table, "k", ["v"], ["g"], buckets).collect()}
+    assert got == {i: max(((k, v) for h, k, v in there if h == g and at is not None and k <= at), default=(0, None))[1] for i, g, at in here}
+    got = {x.id: x.v for x in rows.as_of(df.drop("g"), "at", table, "k", ["v"], None, buckets).collect()}
+    assert got == {i: max(((k, v) for _, k, v in there if at is not None and k <= at), default=(0, None))[1] for i, _, at in here}
+
+
+def test_outlines_of_many_documents(spark):
+    nodes = [(d, 1, None, 5, f"A{d}") for d in "xy"] + [(d, 2 + k, 1, seq, f"B{seq}") for d in "xy" for k, seq in enumerate((1_000_001, 1_000_002, 100_000))] + [("x", 9, 9, 1, "loop")]
+    tree = spark.createDataFrame(nodes, "doc string, id int, parent int, seq int, title string")
+    got = [(r.doc, r.path) for r in graph.outline(tree, by=["doc"]).orderBy("doc", "place").collect()]
+    assert got == [(d, p) for d in "xy" for p in (f"A{d}", f"A{d} / B100000", f"A{d} / B1000001", f"A{d} / B1000002")]
+
+
+def test_fields_of_many_documents(spark):
+    nodes = spark.createDataFrame([(d, *r) for d in ("x", "y") for r in ((1, None, 1, "top", "Tx", 2, None), (2, 1, 1, "a", None, None, f"of {d}"), (3, 2, 1, None, None, None, None))], "doc string, id int, parent int, seq int, partial string, type string, flags int, value string")
+    assert {tuple(r) for r in forms.leaf_fields(nodes, ["doc"]).collect()} == {("x", 2, "top.a", "Tx", 2, "of x"), ("y", 2, "top.a", "Tx", 2, "of y")}
+
+
+def test_packing_keeps_groups_without_a_key(spark):
+    df = spark.createDataFrame([(None, 1, 6), (None, 2, 6), ("a", 1, 20), ("a", 2, 1), ("a", 3, None)], "doc string, seq int, n int")
+    assert {(r.doc, r.seq, r.chunk_no) for r in models.pack(df, ["doc"], "seq", "n", 10).collect()} == {(None, 1, 1), (None, 2, 2), ("a", 1, 1), ("a", 2, 2), ("a", 3, 2)}
