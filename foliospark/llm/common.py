@@ -105,21 +105,32 @@ def least_hashed(df: DataFrame, key: str, rows: int, total: int | None = None, *
     return few.orderBy(F.xxhash64(key), key, *order).limit(rows)
 
 
-def id_ranges(df: DataFrame, column: str, target_rows: int) -> list[int]:
-    """Upper bounds (inclusive) of consecutive ranges of an integer column, of about ``target_rows`` each.
+#: Bytes that count as a row where rows are dealt to ranges; longer rows count as several.
+ROW_BYTES = 6144
+
+
+def units(payload: Column) -> Column:
+    """What a row weighs in ``weighted_ranges``: 1, or more if it is long."""
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(payload), F.lit(0)) / ROW_BYTES)).cast("bigint")
+
 
-    Bounds depend on the values alone, not on their partitions. Equal-width bins are counted, about four a range; all
-    bins that hold over two targets are counted anew over their own width, in one pass a level, until one value fills
-    them. What reaches the driver is a count for each bin in use, so the caller's target bounds it.
+def weighted_ranges(df: DataFrame, column: str, weight: Column, target: int) -> list[tuple[int, int]]:
+    """Upper bounds (inclusive) of consecutive ranges of an integer column, of about ``target`` weight each, and into how
+    many parts a range is to be dealt: 1, or more if one value weighs over two targets.
+
+    Bounds depend on the values alone, not on their partitions. Equal-width bins are weighed, about four a range; all
+    bins that hold over two targets are weighed anew over their own width, in one pass a level, until one value fills
+    them. What reaches the driver is a sum for each bin in use, so the caller's target bounds it.
     """
-    lo, hi, rows = df.select(F.min(column), F.max(column), F.count(column)).first()
-    if not rows:
+    keys = df.where(F.col(column).isNotNull()).select(F.col(column).alias("k"), weight.alias("w"))
+    lo, hi, whole = keys.select(F.min("k"), F.max("k"), F.sum("w")).first()
+    if not whole:
         return []
-    keys, known, todo = df.where(F.col(column).isNotNull()).select(F.col(column).alias("k")), {}, [(lo, hi, rows)]
+    known, todo = {}, [(lo, hi, whole)]
     while todo:
         starts = np.array([t[0] for t in todo], np.int64)
         ends = np.array([t[1] for t in todo], np.int64)
-        parts = [max(2, -(-4 * n // target_rows)) for _, _, n in todo]
+        parts = [max(2, -(-4 * n // target)) for _, _, n in todo]
         widths = np.array([max(1, -(-(b - a + 1) // p)) for (a, b, _), p in zip(todo, parts)], np.int64)
         sent = Shared(df.sparkSession, (starts, ends, widths))
 
@@ -131,21 +142,53 @@ def id_ranges(df: DataFrame, column: str, target_rows: int) -> list[int]:
             first = starts[at] + (k - starts[at]) // widths[at] * widths[at]
             return pd.Series(np.where((k >= starts[at]) & (k <= ends[at]), first, -(2**63)))
 
-        found = keys.select(bin_of("k").alias("first")).where(F.col("first") != -(2**63)).groupBy("first").count().collect()
+        found = keys.select(bin_of("k").alias("first"), "w").where(F.col("first") != -(2**63)).groupBy("first").agg(F.sum("w")).collect()
         todo = []
-        for first, count in sorted(found):
+        for first, held in sorted(map(tuple, found)):
             at = int(np.searchsorted(starts, first, "right")) - 1
             last = min(int(ends[at]), first + int(widths[at]) - 1)
-            if count > 2 * target_rows and last > first:
-                todo.append((first, last, count))
+            if held > 2 * target and last > first:
+                todo.append((first, last, held))
             else:
-                known[last] = count
-    bounds, held = [], 0
+                known[last] = held
+    bounds, held, before = [], 0, None
     for last in sorted(known):
-        held += known[last]
-        if held >= target_rows:
-            bounds.append(last)
+        if known[last] > 2 * target:  # one value
+            if held:
+                bounds.append((before, 1))
+            bounds.append((last, -(-known[last] // target)))
+            held = 0
+            continue
+        held, before = held + known[last], last
+        if held >= target:
+            bounds.append((last, 1))
             held = 0
     if held:
-        bounds.append(hi)
+        bounds.append((hi, 1))
     return bounds
+
+
+def id_ranges(df: DataFrame, column: str, target_rows: int) -> list[int]:
+    """Upper bounds of ``weighted_ranges`` of about ``target_rows`` rows each."""
+    return [upper for upper, _ in weighted_ranges(df, column, F.lit(1), target_rows)]
+
+
+class Places:
+    """Where the values of a column belong: the first part of their range, and its number of parts."""
+
+    def __init__(self, spark: SparkSession, ranges: list[tuple[int, int]]):
+        parts = np.array([n for _, n in ranges] or [1], np.int64)
+        self.total = int(parts.sum())
+        self._sent = Shared(spark, (np.array([u for u, _ in ranges], np.int64), np.cumsum(parts) - parts, parts))  # three numbers a range
+
+    def of(self, keys: Column) -> Column:
+        """A struct of ``base`` and ``parts``."""
+        sent = self._sent
+
+        @F.pandas_udf("base int, parts int")
+        def place(keys: pd.Series) -> pd.DataFrame:
+            upper, base, parts = sent.value
+            at = np.minimum(np.searchsorted(upper, keys.to_numpy(np.int64)), len(base) - 1)
+            return pd.DataFrame({"base": base[at].astype("int32"), "parts": parts[at].astype("int32")})
+
+        return place(keys)

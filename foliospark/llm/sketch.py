@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Shared, id_ranges, small_batches
+from foliospark.llm.common import Places, Shared, small_batches, units, weighted_ranges
 
 #: Hashes that a sketch keeps.
 K = 128
@@ -23,7 +23,7 @@ SHINGLE = 5
 BITS = 48
 #: Words whose hashes a worker remembers at once.
 REMEMBERED = 500_000
-#: Rows of one range of ids.
+#: Rows of one range of ids; those of over 6 kB count as several, so this is about 24 MB at most.
 RANGE_ROWS = 4096
 #: Ranges at most; their bounds are sent to all tasks.
 MOST_RANGES = 65_536
@@ -162,32 +162,33 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = RANGE_ROW
     """Rows (range_, guest_, key_, id, text) so placed and sorted that each document is followed by the next one
     in descending id, null last, equal ids by text.
 
-    Ranges of ids get about ``rows`` rows each, or more once there are ``MOST_RANGES``. The first rows of each
-    range also come, as guests, to the end of the range before, those of the first range to the last's. So whole
-    texts are shuffled once, and no window runs over all documents.
+    Ranges of ids get about ``rows`` rows each, long ones counting as several, or more once there are ``MOST_RANGES``. An
+    id that outweighs two ranges, as that of all nulls may, is dealt to several by the hash of the text, which is then its
+    order. The first rows of each range also come, as guests, to the end of the range before, those of the first range to
+    the last's. So whole texts are shuffled once, and no window runs over all documents.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    least, total = keyed.select(F.min("id"), F.count("*")).first()
+    least, total = keyed.select(F.min("id"), F.sum(units(F.col("text")))).first()
     keyed = keyed.withColumn("key_", F.coalesce("id", F.lit((least or 0) - 1)))
-    upper = id_ranges(keyed.select("key_"), "key_", max(rows, total // MOST_RANGES))
-    bounds, count = Shared(spark, np.array(upper, np.int64)), max(1, len(upper))  # a number a range
+    places = Places(spark, weighted_ranges(keyed, "key_", units(F.col("text")), max(rows, (total or 0) // MOST_RANGES)))
+    keyed = keyed.withColumn("p_", places.of(F.col("key_")))
+    keyed = keyed.withColumn("h_", F.when(F.col("p_.parts") > 1, F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
+    part = F.least(F.floor((F.col("h_") / float(2**64) + 0.5) * F.col("p_.parts")), F.col("p_.parts") - 1)  # grows with the hash
+    range_ = F.when(F.col("p_.parts") > 1, part).otherwise(0) + F.lit(places.total) - F.col("p_.base") - F.col("p_.parts")
+    keyed = keyed.withColumn("range_", range_.cast("int"))
 
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(count - 1 - np.searchsorted(bounds.value, keys.to_numpy(np.int64)))
-
-    firsts = keyed.select("key_").withColumn("range_", range_of("key_")).groupBy("range_").agg(F.max("key_").alias("key_"))
-    hosts = Shared(spark, {r["key_"]: (r["range_"] - 1) % count for r in firsts.collect()})  # a row a range
+    firsts = keyed.groupBy("range_").agg(F.max(F.struct("key_", F.bitwise_not("h_").alias("h_"))).alias("f_")).orderBy("range_").collect()  # a row a range
+    hosts = Shared(spark, {(r["f_"]["key_"], ~r["f_"]["h_"]): firsts[n - 1]["range_"] for n, r in enumerate(firsts)})
 
     @F.pandas_udf("int")
-    def host_of(keys: pd.Series) -> pd.Series:
-        return pd.Series([hosts.value.get(k, -1) for k in keys.tolist()], dtype="int32")
+    def host_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([hosts.value.get(k, -1) for k in zip(keys.tolist(), hashes.tolist())], dtype="int32")
 
-    at = F.struct(range_of("key_").alias("range_"), F.lit(False).alias("guest_"))
-    guest = F.struct(host_of("key_").alias("range_"), F.lit(True).alias("guest_"))
-    placed = keyed.withColumn("at", F.explode(F.filter(F.array(at, guest), lambda x: x["range_"] >= 0))).select("at.*", "key_", "id", "text")
-    return placed.repartition("range_").sortWithinPartitions("range_", "guest_", F.col("key_").desc(), "text")
+    at = F.struct(F.col("range_"), F.lit(False).alias("guest_"))
+    guest = F.struct(host_of("key_", "h_").alias("range_"), F.lit(True).alias("guest_"))
+    placed = keyed.withColumn("at", F.explode(F.filter(F.array(at, guest), lambda x: x["range_"] >= 0))).select("at.*", "key_", "id", "text", "h_")
+    return placed.repartitionById(places.total, "range_").sortWithinPartitions("range_", "guest_", F.col("key_").desc(), "h_", "text")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE, rows: int = RANGE_ROWS) -> DataFrame:
@@ -196,7 +197,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The edited text has its last third replaced by the start of the next document's, in descending id; after the
     last comes the first. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next of every row. A null text is an empty one; null ids come last; repeated rows come back as often,
-    equal ids in order of text (rows under one id share a task). A document alone is its own next. An empty
+    equal ids in order of text, or of its hash where they fill several ranges (only whole rows that repeat share a task). Ids are numbers. A document alone is its own next. An empty
     table gives an empty one; other columns are ignored.
     """
     small_batches(docs.sparkSession)

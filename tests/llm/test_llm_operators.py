@@ -197,6 +197,34 @@ def test_sketch_estimates():
         assert (sketch.merge((x, y)) == sketch.bottom_k(np.concatenate((h.hashes(a), h.hashes(b))))).all()
 
 
+def test_sketch_values_of_short_texts_are_exact(docs):
+    """Below 128 distinct shingles a sketch is the whole set, and likeness is the sets' own."""
+    rows = sorted(texts_of(docs), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    like = lambda s, t: len(s & t) / len(s | t) if s and t else float(bool(s) == bool(t))
+    want = Counter()
+    for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
+        cut = len(a) // 3
+        s, e, t = shingles(a), shingles(a[: len(a) - cut] + b[:cut]), shingles(b)
+        if max(map(len, (s | e, s | t))) < 128:
+            want[i, len(a), round(like(s, e), 9), round(like(s, t), 9)] += 1
+    got = Counter((r.id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in sketch.neighbours(docs, rows=5).collect())
+    assert len(want) > 30 and not want - got
+
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_sketch_of_a_hot_id_is_dealt_to_several_ranges(spark, hot):
+    rows = [(hot, f"t{k} " * (k % 9 + 1), None, None, 0) for k in range(120)] + [(k, f"u{k}", None, None, 0) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    placed = sketch.with_next(df, "doc_id", "text", 10).where("not guest_").groupBy("range_").count().collect()
+    assert len(placed) > 8 and max(r["count"] for r in placed) < 60
+    got = sketch.neighbours(df, rows=10).collect()
+    assert Counter((r.id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t, *_ in rows)
+    edits = {hashlib.sha256((a[1][: len(a[1]) - len(a[1]) // 3] + b[1][: len(a[1]) // 3]).encode()).hexdigest() for a in rows for b in rows}
+    assert all(r.edited_sha256 in edits for r in got)
+    least = min((k for k in range(40) if k != hot), key=lambda k: k)
+    assert [r.near_next for r in got if r.id == least + 1] == [0.0]
+
+
 def test_sketch_merges_across_parts(docs):
     prints = sketch.fingerprints(docs).join(docs.select("doc_id", "source").distinct(), "doc_id")
     got = {r.source: r.fingerprint for r in sketch.merged(prints, ["source"]).collect()}
@@ -571,9 +599,29 @@ def test_warc_edges(spark, web):
     assert got[1, "response", None] == 3 and got[2, "revisit", 1] == 1 and sum(got.values()) == 6
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_warc_of_a_hot_id_is_dealt_to_several_files(spark, tmp_path, hot):
+    rows = [(hot, f"u{k}", f"<p>{k % 50}</p>") for k in range(150)] + [(k + 10, "v", f"<p>{k}</p>") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    manifest = warc.write(df, str(tmp_path / "hot"), rows=10)
+    assert manifest.where("records > 60").count() == 0 and manifest.count() > 10
+    first = {h: min((i for i, _, x in rows if x == h and i is not None), default=None) for _, _, h in rows}
+    want = Counter((i, u, first[h] if i is not None and i != first[h] else None) for i, u, h in rows)
+    assert Counter((r.page_id, r.url, r.refers_to) for r in warc.read(spark, str(tmp_path / "hot")).collect()) == want
+
+
 # 10
 
 
+def test_contamination_with_text_ids_and_repeated_windows(spark):
+    item = " ".join(f"k{i}" for i in range(20))
+    items = spark.createDataFrame([("a", item), ("b", item), ("c", "short one"), (None, "k1 k2 q")], "item_id string, text string")
+    df = spark.createDataFrame([(1, f"x {item} {item} y"), (2, "a Short ONE here"), (3, "k1 k2 q"), (4, None)], "doc_id int, text string").withColumn("map", F.create_map(F.lit("a"), F.lit(1)))
+    for most in (10**6, 30):
+        got = {r.doc_id: (sorted(r.hit_items), [tuple(x) for x in r.hit_spans], r.n_words) for r in decontaminate.contamination(df, items, most_words=most).collect()}
+        assert got == {1: (["a", "b"], [(1, 41)], 42), 2: (["c"], [(1, 3)], 4), 3: ([], [(0, 3)], 3), 4: ([], [], 0)}
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     words, hit, who = split(text), set(), set()
