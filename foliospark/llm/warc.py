@@ -8,20 +8,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Shared, id_ranges, materialize, scratch_path, small_batches
+from foliospark.llm.common import Places, materialize, scratch_path, small_batches, units, weighted_ranges
 
 #: Compressed bytes from which a file is full.
-FILE_BYTES = 64 << 20
-#: Rows of one range of ids.
-RANGE_ROWS = 20_000
+FILE_BYTES = 16 << 20
+#: Rows of one range of ids; those of over 6 kB count as several, so this is about 64 MB at most.
+RANGE_ROWS = 10_922
 MOST_RANGES = 65_536
 #: Records carry a fixed time, so that archives are the same in every run.
 DATE = "2000-01-01T00:00:00Z"
@@ -87,7 +85,13 @@ def read_records(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str],
 
 
 def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+
+
+def _whole(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: that of Hadoop's default file system, if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class _Roller:
@@ -134,34 +138,35 @@ def decisions(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, file_bytes: int = FILE_BYTES, rows: int = RANGE_ROWS) -> DataFrame:
     """Writes a record for each row of ``pages`` to ``folder`` and returns the manifest.
 
-    Records are ordered by id in ranges cut by the ids alone, null last, so files have the same names and bytes in
-    every run. Payloads are shuffled once, next to their decision; each is at most one row in memory. Files
+    Records are ordered by id in ranges cut by ids and bytes, null last, so files have the same names and bytes in
+    every run. An id that outweighs two ranges is dealt to several by its payloads' digests; rows without an id, which
+    refer to none, by their place in the table, so that their files depend on its partitions. Payloads are shuffled once,
+    next to their decision; each is at most one row in memory. Files
     are written under temporary names and renamed when whole; a repeated attempt replaces a file by an equal one.
     The manifest, written last, commits: a folder without it is no archive.
 
     A null html is an empty payload; a null url has an empty target. Rows repeated under one id are all written:
-    the first is the response, and those equal to it too. An empty table makes an empty manifest. Other columns
+    the first is the response, and those equal to it too; only equal payloads under one id share a task. Ids are numbers. An empty table makes an empty manifest. Other columns
     are ignored.
     """
     spark = pages.sparkSession
     small_batches(spark)
     keyed = pages.select(F.col(id_col).cast("bigint").alias("id_"), F.col(url_col).alias("url_"), F.coalesce(F.col(html_col), F.lit("")).alias("html_"))
-    most, total = keyed.select(F.max("id_"), F.count("*")).first()
+    folder = _whole(spark, folder)
+    most, total = keyed.select(F.max("id_"), F.sum(units(F.col("html_")))).first()
     key = F.coalesce("id_", F.lit((most or 0) + 1))
-    upper = id_ranges(keyed.select(key.alias("key_")), "key_", max(rows, total // MOST_RANGES))
-    bounds = Shared(spark, np.array(upper, np.int64))  # a number a range
-
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, keys.to_numpy(np.int64)), dtype="int32")
-
+    places = Places(spark, weighted_ranges(keyed.withColumn("key_", key), "key_", units(F.col("html_")), max(rows, (total or 0) // MOST_RANGES)))
+    digest = F.when(F.col("kind_") == 0, F.col("url_")).otherwise(F.sha1(F.col("html_").cast("binary")))
+    part = F.when(F.col("p_.parts") == 1, 0).when(F.col("id_").isNull(), F.pmod(F.monotonically_increasing_id(), F.col("p_.parts"))).otherwise(F.pmod(F.xxhash64(digest), F.col("p_.parts")))
     chosen = decisions(pages, id_col, html_col, least).where("refers_to_ is not null").distinct()
     none = F.lit(None)
     sorted_rows = (
         keyed.select(key.alias("key_"), F.lit(1).alias("kind_"), "id_", "url_", "html_", none.cast("bigint").alias("refers_to_"))
         .unionByName(chosen.select(key.alias("key_"), F.lit(0).alias("kind_"), "id_", F.col("digest_").alias("url_"), none.cast("string").alias("html_"), "refers_to_"))
-        .withColumn("range_", range_of("key_"))
-        .repartition("range_")
+        .withColumn("p_", places.of(F.col("key_")))
+        .withColumn("range_", (F.col("p_.base") + part).cast("int"))
+        .drop("p_")
+        .repartitionById(places.total, "range_")
         .sortWithinPartitions("range_", "key_", "kind_", "url_", "html_")
     )
 
@@ -207,6 +212,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     ``payload`` is null for revisits, or for all if ``payloads`` is false.
     """
     small_batches(spark)
+    folder = _whole(spark, folder)
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
