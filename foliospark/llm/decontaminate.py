@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from foliospark.llm.common import Shared, small_batches
+from foliospark.llm.common import Shared, forget, materialize, small_batches
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
-#: Words of benchmark items in one broadcast; more items make further passes over the documents.
-BROADCAST_WORDS = 400_000
+#: Words of benchmark items in one broadcast, of some 40 bytes each and their vocabulary; more items make further passes over the documents.
+BROADCAST_WORDS = 2_000_000
 
 #: Bytes outside words become spaces and A-Z becomes a-z; bytes above 0x7F belong to words.
 _FOLD = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -29,20 +30,38 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of benchmark items: a hash set per window length, and the exact words for verification."""
+    """The windows of benchmark items in a few flat arrays, some 40 bytes a word: for each length, sorted hashes, a place where the window's words stand, for verification, and its items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[tuple[int, ...], set[int | None]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            n = min(window, len(ids))
-            for k in range(len(ids) - n + 1 if n else 0):
-                self.exact.setdefault(tuple(ids[k : k + n]), set()).add(item)
-        self.hashes: dict[int, np.ndarray] = {}
-        for n in sorted({len(w) for w in self.exact}):
-            grams = np.array([w for w in self.exact if len(w) == n], np.uint64)
-            self.hashes[n] = np.unique(self._rolled(grams.T))
+        self.names = [item for item, _ in items]
+        listed = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)), np.uint32) for _, text in items]
+        lengths = np.array([len(x) for x in listed], np.int64)
+        self.words = np.concatenate([*listed, np.zeros(0, np.uint32)])
+        begins = np.cumsum(lengths) - lengths
+        #: By length of window: hashes, places, ends of the lists of items, the lists; and windows whose hash another has.
+        self.known: dict[int, tuple] = {}
+        sizes = np.minimum(lengths, window)
+        for n in sorted({int(x) for x in sizes if x}):
+            own = np.flatnonzero(sizes == n)
+            counts = lengths[own] - n + 1
+            owner = np.repeat(own, counts)
+            place = np.repeat(begins[own], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            h = self._rolled([self.words[place + k].astype(np.uint64) for k in range(n)])
+            order = np.lexsort((owner, h))
+            h, owner, place = h[order], owner[order], place[order]
+            first = np.concatenate(([True], h[1:] != h[:-1]))
+            rep = place[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+            same = np.ones(len(h), bool)
+            for k in range(n):
+                same &= self.words[place + k] == self.words[rep + k]
+            others: dict[tuple, set] = {}
+            for j in np.flatnonzero(~same).tolist():
+                others.setdefault(tuple(self.words[place[j] : place[j] + n].tolist()), set()).add(self.names[owner[j]])
+            keep = same & np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))  # an item once a window
+            h, owner, place = h[keep], owner[keep], place[keep]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            self.known[n] = h[starts], place[starts], np.append(starts, len(h)), owner.astype(np.int32), others
 
     @staticmethod
     def _rolled(columns) -> np.ndarray:
@@ -52,13 +71,14 @@ class Windows:
             h ^= h >> np.uint64(29)
         return h
 
-    def scan(self, found: list[bytes]) -> tuple[np.ndarray, set[int | None]]:
+    def scan(self, found: list[bytes]) -> tuple[np.ndarray, set]:
         """Positions of the words inside occurrences of windows, and the items whose windows occur."""
         lookup = self.vocabulary.get
         ids = np.fromiter((lookup(w, 0) for w in found), np.uint64, len(found))
         hit, items = np.zeros(len(ids) + 1, np.int64), set()
         known = np.concatenate(([0], np.cumsum(ids == 0)))
-        for n, hashes in self.hashes.items():
+        seen: set[tuple[int, int]] = set()
+        for n, (hashes, places, ends, owners, others) in self.known.items():
             if len(ids) < n:
                 break
             at = np.flatnonzero(known[n:] == known[:-n])  # windows of benchmark words only
@@ -66,12 +86,18 @@ class Windows:
                 continue
             h = self._rolled([ids[at + k] for k in range(n)])
             near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for k in at[hashes[near] == h].tolist():
-                owners = self.exact.get(tuple(ids[k : k + n].tolist()))  # a hash alone proves nothing
-                if owners:
-                    items |= owners
-                    hit[k] += 1
-                    hit[k + n] -= 1
+            for k, j in zip(at[hashes[near] == h].tolist(), near[hashes[near] == h].tolist()):
+                own = ids[k : k + n]
+                if (self.words[places[j] : places[j] + n] == own).all():  # a hash alone proves nothing
+                    if (n, j) not in seen:
+                        seen.add((n, j))
+                        items.update(self.names[x] for x in owners[ends[j] : ends[j + 1]].tolist())
+                elif tuple(own.tolist()) in others:
+                    items |= others[tuple(own.tolist())]
+                else:
+                    continue
+                hit[k] += 1
+                hit[k + n] -= 1
         return np.flatnonzero(np.cumsum(hit[:-1]) > 0), items
 
 
@@ -98,7 +124,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Windows of ``window`` item words (an item of fewer, but not none, is one window) are broadcast as a hash
     set; documents are scanned where they lie, without a shuffle, and each hit is verified word by word.
     The benchmark's size is measured first: a broadcast holds about ``most_words`` words, and a larger
-    benchmark is dealt over several passes, whose spans and items are merged, so that the result is the same.
+    benchmark is dealt over several passes, whose spans and items are merged, so that the result is the same. Each pass
+    is written to the shared folder before the next, so that one set at a time is in memory. Item ids may be of any kind.
     A null text has no words, on either side. Items without an id add to spans but not to ``hit_items``;
     repeated items count once. Repeated documents are judged alike; other columns pass through, but the three
     names above are replaced.
@@ -109,11 +136,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     passes = int(total // most_words) + 1
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("words_of"))
+    id_kind = benchmark.schema[item_col].dataType.simpleString()
+    id_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
     out = docs.drop("n_words", "hit_spans", "hit_items")
     names = out.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    schema += ", n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<bigint>"
-    out = out.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "hit_items": F.expr("cast(array() as array<bigint>)")})
+    schema += f", n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<{id_kind}>"
+    out = out.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "hit_items": F.expr(f"cast(array() as array<{id_kind}>)")})
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("words_of"), F.lit(passes)) == k)
         known = Shared(spark, Windows([tuple(r) for r in part.collect()], window))
@@ -128,9 +157,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     count.append(len(found))
                     spans.append([{"start": x, "end": y} for x, y in _merge(_spans(at) + [(x["start"], x["end"]) for x in s])])
                     owners.append(sorted((who - {None}) | set(i)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(owners, pa.list_(pa.int64()))], names=[*names, "n_words", "hit_spans", "hit_items"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(owners, pa.list_(id_arrow))], names=[*names, "n_words", "hit_spans", "hit_items"])
 
-        out = out.mapInArrow(run, schema)
+        before, out = out, out.mapInArrow(run, schema)
+        if k + 1 < passes:
+            out = materialize(out, "pass")
+        forget(before) if k + 1 < passes else None
     return out
 
 
