@@ -65,6 +65,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the columns that an operator needs for itself under other names, and what selects all columns under their own."""
+    taken, moved = {c.lower() for c in df.columns} | set(names), {}
+    for c in df.columns:
+        if c.lower() in names:
+            new = next(f"{c}_{k}" for k in range(len(taken) + 1) if f"{c}_{k}".lower() not in taken)
+            taken.add(new.lower())
+            moved[c] = new
+    return df.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row; what holds maps, which Spark doesn't hash, is hashed as JSON."""
     return F.xxhash64(*(F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields))

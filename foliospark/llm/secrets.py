@@ -101,11 +101,17 @@ def novel_spans(text: str, raw: bytes, found: list[tuple[int, int, int]], novelt
     return out
 
 
+def measured(text: str, start: int, end: int, novelty: Novelty) -> float:
+    """The novelty of a span after the code around it, as a whole or in its best piece."""
+    return novelty.most(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND], float("inf"))
+
+
 def scan(docs: DataFrame, text_col: str = "text", least: float = NOVELTY, dictionary: bytes = DICTIONARY) -> DataFrame:
-    """``docs`` with ``secret_spans``: kind, start and end (code points, end exclusive) by start, then kind.
+    """``docs`` with ``secret_spans``: kind, start and end (code points, end exclusive) and novelty, by start, then kind.
 
     Base kinds are what the fixed patterns match; ``novel`` adds strings of letters and digits near sensitive words
-    that zstandard, primed with an identifier dictionary and the code around them, can hardly compress. Whole texts
+    that zstandard, primed with an identifier dictionary and the code around them, can hardly compress. All spans have
+    their ``novelty``, so that what a base kind matched but zstandard knows (a placeholder, an identifier) can be told. Whole texts
     are scanned where they lie. A null text is an empty one, without spans; repeated rows have the same spans; an
     empty table gives an empty one; other columns pass through, but ``secret_spans`` is replaced.
     """
@@ -116,7 +122,7 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = NOVELTY, dictio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(dictionary)
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64())]))
         for b in batches:
             rows = []
             for text in b.column(k).to_pylist():
@@ -124,16 +130,16 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = NOVELTY, dictio
                 raw = text.encode("utf-8", "surrogatepass")
                 found = base_spans(text, raw)
                 found = sorted(found + novel_spans(text, raw, found, novelty, least), key=lambda s: (s[0], s[2]))
-                rows.append([{"kind": KINDS[n], "start": s, "end": e} for s, e, n in found])
+                rows.append([{"kind": KINDS[n], "start": s, "end": e, "novelty": measured(text, s, e, novelty)} for s, e, n in found])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*names, "secret_spans"])
 
-    return docs.mapInArrow(run, f"{schema}, secret_spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.mapInArrow(run, f"{schema}, secret_spans array<struct<kind:string,start:bigint,end:bigint,novelty:double>>")
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """Counts of base kinds, the digest of base spans, and all spans of every document."""
+    """Counts of base kinds, the digest of base spans, all spans of every document, and the greatest and least novelty of them."""
     out = scan(docs.select("doc_id", "text"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("secret_spans", lambda s: s["kind"] != "novel")
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"), count("novel"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"), count("novel"), F.array_max("secret_spans.novelty").alias("most_novelty"), F.array_min("secret_spans.novelty").alias("least_novelty"))
