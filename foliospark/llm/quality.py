@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import least_hashed, small_batches
+from foliospark.llm.common import aside, least_hashed, small_batches
 
 #: Labelled rows that a model is fitted on at most.
 FIT_ROWS = 20_000
@@ -202,10 +202,10 @@ def score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFram
     """``docs`` and its ``score`` between 0 and 1, which replaces a column of that name.
 
     Every row is scored from the whole of its text alone; a null text scores as an empty one. Repeated rows
-    score alike; an empty table gives an empty one.
+    score alike; an empty table gives an empty one; other columns pass through, whatever their names and kinds.
     """
-    kept = docs.drop("score")
-    return with_statistics(kept, text_col).withColumn("score", model.column()).drop("stats_")
+    kept, own = aside(docs.drop("score"), "stats_")
+    return with_statistics(kept, text_col).select(*own, model.column().alias("score"))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
