@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize
+from foliospark.llm.common import materialize, row_hash
 
 SHARDS = 16
 #: Bits of each dimension: 32 cells a side.
@@ -58,8 +58,8 @@ def _share_cell(df: DataFrame, column: str, bits: int, out: str) -> DataFrame:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("source", "lang"), shards: int = SHARDS, bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, size, text_crc32, curve, ``shard_``, ``slot_`` and the columns of ``keep`` of every row.
 
-    Categories are quantised by their share of the rows and sizes by half octaves; rows are sorted by their cell's
-    place on the Hilbert curve, then crc32 (equal texts of a cell lie together), id, and what is kept; runs of
+    Categories are quantised by their share of the rows and sizes by half octaves from 16 bytes to 740 kB; rows are sorted by
+    their cell's place on the Hilbert curve, then crc32 (equal texts of a cell lie together), id, and a hash of what is kept; runs of
     equal count, at most one apart, are the shards, so that each covers a compact part of the metadata. The sort
     is by ranges of that whole key, which no hot category or group of copies can pile up in one task; rows get
     their places from their place in the partition and the counts of partitions before. ``slot_`` counts from 0
@@ -69,13 +69,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categ
     get slots of their own. An empty table gives an empty one. Extra columns are ignored unless kept.
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + 1
-    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("text_crc32"), *(F.col(f"`{c}`").alias(f"category_{i}") for i, c in enumerate(categories)), F.struct(*([F.col(f"`{k}`") for k in keep] or [F.lit(0).alias("none")])).alias("kept"))
+    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("text_crc32"), *(F.col(f"`{c}`").alias(f"category_{i}") for i, c in enumerate(categories)), F.struct(*([F.col(f"`{k}`") for k in keep] or [F.lit(0).alias("none")])).alias("kept"), row_hash(docs.select(*(f"`{k}`" for k in keep))).alias("hash") if keep else F.lit(0).alias("hash"))
     rows = rows if keep else materialize(rows, "rows")
     for i in range(len(categories)):
         rows = _share_cell(rows, f"category_{i}", bits, f"cell_{i}")
-    octaves = F.least(F.floor(2 * F.log2(F.col("size"))), F.lit((1 << bits) - 1)).cast("int")
+    octaves = F.least(F.greatest(F.floor(2 * F.log2(F.col("size"))) - 8, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
     rows = curve_index(rows.withColumn("cell_size", octaves), [*(f"cell_{i}" for i in range(len(categories))), "cell_size"], bits, "curve")
-    order = ["curve", "text_crc32", F.col("id").asc_nulls_last(), *(f"kept.{k}" for k in keep)]
+    order = ["curve", "text_crc32", F.col("id").asc_nulls_last(), "hash"]
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order)
