@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from foliospark.llm.common import Shared, forget, materialize, small_batches
+from foliospark.llm.common import Shared, aside, forget, materialize, small_batches
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
@@ -177,7 +177,8 @@ def is_contaminated(share: int = 20) -> F.Column:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The documents that aren't contaminated, with the columns of ``docs``."""
-    return contamination(docs, benchmark).where(~is_contaminated(share)).select(*(f"`{c}`" for c in docs.columns))
+    moved, own = aside(docs, "n_words", "hit_spans", "hit_items")
+    return contamination(moved, benchmark).where(~is_contaminated(share)).select(*own)
 
 
 def cut_spans(text: str | None, spans: list) -> str | None:
@@ -197,9 +198,10 @@ def cut_spans(text: str | None, spans: list) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the hit words cut out of their texts."""
-    found = contamination(docs, benchmark, text_col)
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    moved, own = aside(docs, "n_words", "hit_spans", "hit_items")
+    found = contamination(moved, benchmark, text_col)
+    names = moved.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moved.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +209,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             cut = pa.array([cut_spans(t, s) for t, s in zip(b.column(k).to_pylist(), b.column("hit_spans").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([cut if i == k else b.column(i) for i in range(len(names))], names=names)
 
-    return found.select(*(f"`{c}`" for c in names), "hit_spans").mapInArrow(run, schema)
+    return found.select(*(f"`{c}`" for c in names), "hit_spans").mapInArrow(run, schema).select(*own)
 
 
 def items_digest() -> F.Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize
+from foliospark.llm.common import aside, materialize
 
 #: Rules of the query: verdict, host and the path that a url's must start with. Fixed values.
 RULES = (
@@ -50,15 +51,15 @@ def keys_of(host: Column, path: Column, labels: int, lengths: list[int]) -> Colu
 class Level:
     bits: int
     hashes: int
-    words: list[int]
+    data: bytes
 
     def has(self, key: Column, nth: int) -> Column:
         """Whether the filter has a key; false positives occur, false negatives don't."""
-        words = F.array(*map(F.lit, self.words))
+        data = F.lit(bytearray(self.data))  # one literal, whatever its size
         out = F.lit(True)
         for at in _places(key, nth, self.hashes, self.bits):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            out = out & (F.call_function("shiftrightunsigned", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+            byte = F.conv(F.hex(F.substring(data, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            out = out & (F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1)
         return out
 
 
@@ -73,10 +74,10 @@ def _level(keys: DataFrame, count: int, rate: float, nth: int) -> Level:
     bits = -(-max(64, math.ceil(count * hashes / math.log(2))) // 64) * 64
     at = keys.select(F.explode(F.array(*_places(F.col("key"), nth, hashes, bits))).alias("at"))
     found = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63).cast("int"))).alias("bits"))
-    words = [0] * (bits // 64)
-    for r in found.collect():  # no more rows than the filter has words, which is checked before
-        words[r["word"]] = r["bits"]
-    return Level(bits, hashes, words)
+    rows = found.toPandas()  # no more than the filter has words, which is checked before
+    words = np.zeros(bits // 64, "<i8")
+    words[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
+    return Level(bits, hashes, words.tobytes())
 
 
 class Cascade:
@@ -110,7 +111,7 @@ def cascade(listed: DataFrame, universe: DataFrame, rate: float | None = None) -
     listed = materialize(listed.where("key is not null").select("key").distinct(), "listed")
     count = listed.count()
     if not count:
-        return Cascade([Level(64, 1, [0])])
+        return Cascade([Level(64, 1, bytes(8))])
     rate = rate or first_rate(count, universe.count())
     inside, others = listed, universe.select("key").where("key is not null").join(listed, "key", "left_anti")
     levels: list[Level] = []
@@ -133,8 +134,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     A url that no rule fits is not in the list of blocked keys and gets ``default``. A null url, or one without
     ``://``, has an empty host and path, which no rule fits. Rules with a null are ignored; of a key both allowed
     and blocked, the allowing rule holds. Repeated rows are judged alike; an empty table gives an empty one; other
-    columns pass through, but the four names above are replaced.
+    columns pass through, whatever their names, but the four above are replaced.
     """
+    pages, own = aside(pages.drop("host_", "path_", "rule_", "verdict_"), "keys_", "allow_", "block_")
     out = pages.withColumns({"host_": host_of(F.col(url_col)), "path_": path_of(F.col(url_col))})
     listed = materialize(rules.where("verdict is not null and host is not null and path is not null").select("verdict", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")), "rules")
     labels = listed.agg(F.max("labels")).first()[0] or 0
@@ -152,14 +154,14 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
             out = out.withColumn(f"{verdict}_", F.concat(f"{verdict}_", F.filter("keys_", lambda key: part(key) & found.has(key))))
             out = materialize(out, "judged") if parts > 1 else out
     out = out.withColumns({v: F.array_max(F.transform(v, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))) for v in ("allow_", "block_")})
-    return _decide(out, default)
+    return _decide(out, default).select(*own, "host_", "path_", "rule_", "verdict_")
 
 
 def _decide(out: DataFrame, default: str) -> DataFrame:
     block = F.coalesce(F.col("block_.n") > F.coalesce(F.col("allow_.n"), F.lit(0)), F.lit(False))
     rule = F.when(block, F.col("block_.k")).otherwise(F.col("allow_.k"))
     verdict = F.when(block, "block").when(F.col("allow_").isNotNull(), "allow").otherwise(default)
-    return out.withColumns({"rule_": rule, "verdict_": verdict}).drop("keys_", "allow_", "block_")
+    return out.withColumns({"rule_": rule, "verdict_": verdict})
 
 
 def op8(pages: DataFrame) -> DataFrame:

@@ -145,6 +145,46 @@ def test_secrets_edges(clashing, none):
     assert secrets.op2(none).count() == 0
 
 
+def test_added_spans_against_a_loop_of_zstandard(spark):
+    """Planted strings that no base kind matches: those that zstandard, by itself, finds new are added, and no others."""
+    import zstandard
+
+    r = random.Random(12)
+    made = lambda a, n: "".join(r.choices(a, k=n))
+    strong = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for k in range(60):
+        own = [made(strong, r.randint(18, 90)) + "7q", "user_password_reset_token_v2_" + "handler_" * r.randint(1, 5) + "x1", "abc123" * r.randint(4, 20)][k % 3]
+        texts.append(f"{made('abc ', 40)} {r.choice(['the bearer ', 'Authorization - ', 'credential, '])}{own} {made('xyz ', 90)} plain {made(strong, 40)}1a")
+    packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(secrets.DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def marginal(before, own, after):
+        around = f"{before}\n{after}\n".encode()
+        return (len(packer.compress(around + own.encode())) - len(packer.compress(around))) / len(own.encode())
+
+    got = {x.doc_id: x.secret_spans for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=~-]{16,}", text):
+            before, after = text[max(0, m.start() - 64) : m.start()], text[m.end() : m.end() + 64]
+            if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]) or not secrets.CONTEXT.search(f"{before} {after}".lower().encode()) or any(s < m.end() and m.start() < e for s, e, _ in secrets.base_spans(text)):
+                continue
+            pieces = [m[0]] + ([m[0][min(at, len(m[0]) - 28) :][:28] for at in range(0, len(m[0]), 28)] if len(m[0]) > 28 else [])
+            if max(marginal(before, p, after) for p in pieces) >= secrets.NOVELTY:
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in got[i] if s.kind == "novel"] == want
+        assert all(s.novelty >= secrets.NOVELTY for s in got[i] if s.kind == "novel")
+        added += len(want)
+    assert 15 <= added <= 45
+
+
+def test_base_spans_have_their_novelty(spark):
+    rows = spark.createDataFrame([(1, "password=changeme_password"), (2, "password=Zx8Qw2Lr9TnB4vKs7Yd1Hf6Jm3Pc0Ga5")], "doc_id int, text string")
+    a, b = (r.secret_spans[0].novelty for r in secrets.scan(rows).orderBy("doc_id").collect())
+    assert a < 0.6 < b
+
+
 def test_novelty_is_marginal():
     n = secrets.Novelty()
     assert n.of("key ", "qwertyuiopqwertyuiopqwertyuiop1", "") < 0.5
@@ -285,7 +325,31 @@ def test_quality_columns_score_as_the_model(graded):
     x = np.array([quality.statistics(r.text) for r in docs.orderBy("doc_id").collect()])
     got = [r.score for r in quality.score(docs, model).orderBy("doc_id").collect()]
     assert np.allclose(got, model.score(x))
-    assert 0 < len(model.rules) < len(quality.tree_rules(x, np.ones(len(x)) * 0.5 + 0.5 * (x[:, 7] > 0.5)) or [0] * 999) + 999
+    by_hand = []
+    for row in x:  # the rules one by one, without arrays
+        total = model.bias + sum(w for w, rule in model.rules if all((row[k] > bound) if above else (row[k] <= bound) for k, above, bound in rule))
+        by_hand.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(got, by_hand) and len({round(v, 6) for v in by_hand}) > 1
+    assert 0 < len(model.rules) < 200 and all(1 <= len(rule) <= 3 for _, rule in model.rules)
+
+
+def test_statistics_against_plain_counts():
+    text = "Hello, World! 12 the_end\n\nhello  World! | Ünï $x\nHello, World! 12 the_end"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text)))
+    words, raw = text.split(), text.encode()
+    solid = sum(not c.isspace() for c in text.encode().decode("latin-1").replace("\xa0", "x"))
+    assert got["n_bytes_log"] == pytest.approx(np.log1p(len(raw))) and got["n_words_log"] == pytest.approx(np.log1p(len(words))) and got["n_lines_log"] == pytest.approx(np.log1p(3))
+    assert got["word_length"] == pytest.approx(solid / len(words)) and got["digit_share"] == pytest.approx(4 / solid) and got["upper_share"] == pytest.approx(sum("A" <= c <= "Z" for c in text) / solid)
+    assert got["distinct_word_share"] == pytest.approx(len(set(words)) / len(words)) and got["repeated_line_share"] == pytest.approx(1 / 3) and got["pipe_share"] == pytest.approx(1 / solid)
+
+
+def test_quality_of_very_long_texts_and_clashing_columns(spark, graded):
+    docs, labels = graded
+    model = quality.fit(docs, labels)
+    long = spark.createDataFrame([(1, "w1 w2 " * 300_000, "mine", "mine", {"b": 1}), (2, None, "mine", "mine", None)], "doc_id long, text string, stats_ string, STATS__0 string, map map<string,int>")
+    got = quality.score(long, model)
+    assert got.columns == [*long.columns, "score"]
+    assert {(r.stats_, r.STATS__0, 0 <= r.score <= 1) for r in got.collect()} == {("mine", "mine", True)}
 
 
 def test_quality_edges(spark, clashing, none, graded):
@@ -490,6 +554,75 @@ def test_shards(docs, clashing):
     assert key(got) == key(hilbert.op7(docs.repartition(6)).collect()) == key(hilbert.op7(clashing).collect())
 
 
+def brute_curve(x, bits):
+    """The place of coordinates on the Hilbert curve, by exchanging and turning over bits of single numbers."""
+    x, n = list(x), len(x)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_against_brute_force(docs):
+    rows = [(r.doc_id, (r.text or "").encode(), r.source, r.lang) for r in docs.collect()]
+
+    def cells(values):
+        order, before = sorted({v for v in values if v is not None}, key=lambda v: v.encode()) + [None], 0
+        out = {}
+        for v in order:
+            out[v] = before * 32 // len(values)
+            before += values.count(v)
+        return out
+
+    sources, langs = cells([r[2] for r in rows]), cells([r[3] for r in rows])
+    placed = []
+    for i, text, source, lang in rows:
+        size = len(text) + 1
+        placed.append((brute_curve((sources[source], langs[lang], min(31, max(0, int(np.floor(2 * np.log2(size))) - 8))), 5), zlib.crc32(text), i is None, i or 0))
+    placed.sort()
+    n, odd = divmod(len(placed), 16)
+    want, at = Counter(), 0
+    for shard in range(16):
+        for slot in range(n + (shard < odd)):
+            curve, crc, last, i = placed[at]
+            want[None if last else i, crc, curve, shard, slot] += 1
+            at += 1
+    assert Counter((r.doc_id, r.text_crc32, r.curve, r.shard, r.slot) for r in hilbert.op7(docs).collect()) == want
+
+
+def test_shards_prune_files(spark, tmp_path):
+    """Files written by shard hold few values of each dimension, so that their statistics leave most out."""
+    r = random.Random(8)
+    rows = [(k, "x" * r.choice([20, 300, 5000]), r.choice(["en", "de", "fr", "es"]), r.choice("abcdefgh"), 0) for k in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    hilbert.shard(docs, keep=("doc_id", "lang", "source")).select("kept.*", "size", "shard_").write.partitionBy("shard_").parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out")).groupBy("shard_").agg(F.countDistinct("source").alias("s"), F.countDistinct("lang").alias("l"), F.countDistinct("source", "lang").alias("both")).collect()
+    assert len(found) == 16 and sum(x.both for x in found) / 16 < 8 < 32
+    assert max(sum(x.s >= 8 for x in found), sum(x.l >= 4 for x in found)) < 16
+
+
+def test_sharding_keeps_maps_and_clashing_columns(clashing):
+    docs = clashing.withColumn("map", F.create_map(F.lit("b"), F.lit(1)))
+    out = corpus_pipeline.sharded(docs.sparkSession, docs.withColumn("shard", F.lit("mine")), "")
+    assert out.count() == docs.count() and {r.stats_ for r in out.collect()} == {"x"}
+    assert len([c for c in out.columns if c == "shard"]) == 1
+
+
 def test_few_and_no_rows(docs, none):
     assert sorted(r.shard for r in hilbert.op7(docs.limit(3)).collect()) == [0, 1, 2]
     assert hilbert.op7(none).count() == 0
@@ -521,6 +654,22 @@ def test_urls(spark):
     assert url_filter.op8(rows.limit(0)).count() == 0
 
 
+def test_judging_keeps_the_callers_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/x", "mine", "mine", {"a": 1})], "page_id int, url string, keys_ string, allow_ string, map map<string,int>")
+    rules = spark.createDataFrame([("block", "b", "/x")], "verdict string, host string, path string")
+    got = url_filter.judge(rows, rules)
+    assert got.columns == [*rows.columns, "host_", "path_", "rule_", "verdict_"]
+    assert tuple(got.first())[2:4] == ("mine", "mine") and got.first().verdict_ == "block"
+
+
+def test_many_rules_take_bounded_time(spark):
+    rules = spark.range(300_000).selectExpr("'block' AS verdict", "concat('h', id, '.org') AS host", "'/' AS path")
+    pages = spark.range(200_000).selectExpr("id AS page_id", "concat('http://www.h', id * 3, '.org/x') AS url")
+    began = time.time()
+    got = url_filter.judge(pages, rules).groupBy("verdict_").count().collect()
+    assert {r.verdict_: r["count"] for r in got} == {"block": 100_000, "allow": 100_000} and time.time() - began < 90
+
+
 @pytest.mark.parametrize("rate, most", [(0.5, 10**6), (0.9, 10**6), (None, 10**6), (0.5, 60)])
 def test_cascades_are_exact(spark, rate, most):
     r = random.Random(6)
