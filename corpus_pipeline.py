@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, hilbert, mixture, quality, simhash
-from foliospark.llm.common import materialize, table
+from foliospark.llm.common import aside, forget, materialize, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones outside the held-out fold, keeps."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored, own = aside(docs, "score")
+    return quality.score(scored, model).where(F.col("score") >= quality.THRESHOLD).select(*own)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard, and their slot in it, along the Hilbert curve."""
+    """All rows with their ``shard``, their ``slot`` in it, and ``curve``, along the Hilbert curve; these replace columns of their names."""
     out = hilbert.shard(docs, keep=tuple(docs.columns))
-    return out.select("kept.*", F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), "curve")
+    own = [F.col(f"kept.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot", "curve")]
+    return out.select(*own, F.col("shard_").alias("shard"), F.col("slot_").alias("slot"), "curve")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        forget(before)
     return docs
