@@ -142,18 +142,18 @@ def compare(pdf: pd.DataFrame, least: float, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"a_": np.maximum(a, b).astype(np.int64), "b_": np.minimum(a, b).astype(np.int64), "more_": more.astype(bool)})
 
 
-def candidates(met: DataFrame, least: float, limit: int, whole: bool, block: int = BLOCK, joined: int = JOINED) -> DataFrame:
+def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool, block: int = BLOCK, joined: int = JOINED) -> DataFrame:
     """Pairs (a_, b_, more_) of texts that meet under a shingle and may resemble each other, of different roots.
 
     Up to ``joined`` texts under a shingle are joined. Of more, blocks are compared inside tasks: the texts of the
     most frequent root are dealt to blocks once, and the others come to each of these and to blocks of pairs of
     their own. If not ``whole``, each of them only comes to its own block and the first ones: enough to find those near
-    a group's bulk, not all.
+    a group's bulk, not all. If ``hot``, only blocks are compared: joins leave no pair out, so once is enough.
     """
     counts = met.groupBy("token_", "root_").agg(F.count("*").alias("c_"))
     tokens = counts.groupBy("token_").agg(F.sum("c_").alias("total_"), F.count("*").alias("roots_"), F.max(F.struct("c_", "root_")).alias("top_")).where("roots_ > 1")
     tokens = materialize(tokens.select("token_", "total_", F.col("top_.c_").alias("c_"), F.col("top_.root_").alias("top_root_")), "tokens")
-    few = met.join(tokens.where(F.col("total_") <= joined), "token_").select("token_", "digest_", "n_", "at_", "root_")
+    few = met.join(tokens.where((F.col("total_") <= joined) & F.lit(not hot)), "token_").select("token_", "digest_", "n_", "at_", "root_")
     few = materialize(few, "few")
     other = few.toDF("token_", "b_", "bn_", "bat_", "broot_")
     share = (1 - least) / (1 + least)
@@ -186,6 +186,11 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
 
 
+def bounded(numbers: DataFrame, most: int = 250_000) -> DataFrame:
+    """A table of a few numbers a row, broadcast if it has no more than ``most`` rows: some 6 MB."""
+    return F.broadcast(numbers) if numbers.count() <= most else numbers
+
+
 def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame, least: float, nearest: bool) -> DataFrame:
     """Of the pairs (a_, b_) of digests those whose whole sets of shingles resemble each other by ``least``, as links (u, v) of fingerprints.
 
@@ -198,7 +203,8 @@ def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
             apart = np.array([least_apart(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(apart)], names=["a_", "b_", "apart_"]).filter(pa.array(apart <= most))
 
-    known = texts.select("digest_", "n_", "bits_")
+    wanted = materialize(pairs.select(F.col("a_").alias("digest_")).union(pairs.select("b_")).distinct(), "wanted")
+    known = texts.select("digest_", "n_", "bits_").join(bounded(wanted), "digest_", "left_semi")
     both = pairs.select("a_", "b_").join(known.toDF("a_", "an_", "x_"), "a_").join(known.toDF("b_", "bn_", "y_"), "b_")
     left = both.select("a_", "b_", F.col("an_") + F.col("bn_"), "x_", "y_").mapInArrow(possible, "a_ bigint, b_ bigint, apart_ bigint")
     if nearest:
@@ -212,9 +218,8 @@ def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
             sets = [shingle_set(hasher, t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), b.column(2)], names=["digest_", "hashes_", "fp"])
 
-    keys = texts.join(needed, "digest_").select("digest_", "fp", "key_")
-    few = needed.count() <= 250_000  # 6 MB of numbers
-    own = docs.select(F.xxhash64(text_col).alias("key_"), F.col(text_col).alias("text_")).join(F.broadcast(keys) if few else keys, "key_").select("digest_", "text_", "fp")
+    keys = materialize(texts.select("digest_", "fp", "key_").join(bounded(needed), "digest_", "left_semi"), "keys")
+    own = docs.select(F.xxhash64(text_col).alias("key_"), F.col(text_col).alias("text_")).join(bounded(keys), "key_").select("digest_", "text_", "fp")
     # Copies become one row before they are shuffled, by digest alone.
     sets = materialize(own.mapInArrow(hashed, "digest_ bigint, hashes_ array<bigint>, fp bigint").groupBy("digest_").agg(F.first("hashes_").alias("hashes_"), F.first("fp").alias("fp")), "sets")
 
@@ -229,37 +234,42 @@ def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
 
     both = left.join(sets.toDF("a_", "own_", "u"), "a_").join(sets.toDF("b_", "other_", "v"), "b_")
     out = materialize(both.select("u", "v", "own_", "other_").mapInArrow(like, "u bigint, v bigint"), "like")
-    forget(left, needed, sets)
+    forget(wanted, left, needed, keys, sets)
     return out
 
 
 def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: DataFrame, least: float, block: int = BLOCK, joined: int = JOINED, limit: int = 64) -> DataFrame:
     """Links ``(u, v)`` that, with those of ``near``, join the fingerprints of all texts whose sets of five-word shingles resemble each other by ``least`` or more.
 
-    ``rows`` has ``digest_``, ``key_`` (the hash of the text as it is), ``fp`` and the ``marks`` of each row. Two such texts have their first common shingle in
+    ``rows``, which is used up, has ``digest_``, ``key_`` (the hash of the text as it is), ``fp`` and the ``marks`` of each row. Two such texts have their first common shingle in
     both prefixes, so they meet. In a first round each text meets others under a few shingles and is held against its
     nearest one; that joins most. Then all texts of different components that meet are compared, ``limit`` nearest
     ones for a text and block, in rounds of a growing limit, until no text has more: then no pair is left
     that resembles and isn't joined. All is decided on whole sets.
     """
     one = [F.first(c).alias(c) for c in ("fp", "key_", *MARKS)]
-    texts = materialize(rows.select("digest_", "fp", "key_", *MARKS).groupBy("digest_").agg(*one), "texts")
-    held = texts.select("digest_", "n_", F.posexplode("tokens_").alias("at_", "token_"))
-    again = held.groupBy("token_").agg(F.count("*").alias("c_")).where("c_ > 1").select("token_")
-    met = materialize(held.join(again, "token_"), "met")
+    whole_texts = materialize(rows.select("digest_", "fp", "key_", *MARKS).groupBy("digest_").agg(*one), "texts")
+    forget(rows)
+    held = whole_texts.select("digest_", "n_", F.posexplode("tokens_").alias("at_", "token_"))
+    # Of two texts, what comes before the first common shingle is apart: together it can't exceed a share of both sizes.
+    slack = (1 - least) / (1 + least) * F.col("n_") - F.col("at_") + 1e-6
+    again = held.groupBy("token_").agg(F.count("*").alias("c_"), F.max(slack).alias("most_")).where("c_ > 1 AND most_ >= 0").select("token_", "most_")
+    met = materialize(held.join(again, "token_").where(slack + F.col("most_") >= 0).drop("most_"), "met")
+    texts = materialize(whole_texts.drop("tokens_"), "texts")
+    forget(whole_texts)
     nth = F.struct("at_", "token_")
     least_tokens = F.array_sort(F.collect_list(nth))  # as many as a text's prefix has at most
     first = met.groupBy("digest_", "n_").agg(F.slice(least_tokens, 1, FIRST).alias("t_")).select("digest_", "n_", F.explode("t_").alias("t_")).select("digest_", "n_", "t_.at_", "t_.token_")
-    links, whole = near.select("u", "v"), False
+    links, whole, hot = near.select("u", "v"), False, False
     while True:
         roots = materialize(connected_components(links), "roots")
         named = materialize(texts.select("digest_", "fp", "brief_").join(roots.toDF("fp", "root_"), "fp", "left").select("digest_", "brief_", F.coalesce("root_", "fp").alias("root_")), "named")
-        pairs = candidates((met if whole else first).join(named, "digest_"), least, limit, whole, block, joined)
+        pairs = candidates((met if whole else first).join(named, "digest_"), least, limit, whole, hot, block, joined)
         found = verified(docs, text_col, texts, pairs, least, not whole)
         links = links.union(found)
         done = whole and pairs.where("more_").isEmpty()
         forget(roots, named, pairs)
         if done:
-            forget(met)
+            forget(met, texts)
             return links
-        limit, whole = limit * 8 if whole else limit, True
+        limit, whole, hot = limit * 8 if whole else limit, True, whole

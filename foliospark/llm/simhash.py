@@ -223,10 +223,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     rows = fingerprints(docs, id_col, text_col, shingle, keep) if resembling is None else with_marks(docs, id_col, text_col, shingle, keep, resembling)
-    rows = materialize(rows, "fps")
+    marked = rows = materialize(rows, "fps")
+    if resembling is not None:
+        rows = materialize(marked.select(id_col, *keep, "fp"), "fps")
     distinct = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least_")), "distinct")
     near = materialize(fingerprint_links(distinct.select("fp"), radius, sample, shard), "near")
-    links = near if resembling is None else resemblance_links(docs, text_col, rows, near, resembling, block, joined)
+    links = near if resembling is None else resemblance_links(docs, text_col, marked, near, resembling, block, joined)
     roots = materialize(connected_components(links), "roots")
     forget(near)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_", F.coalesce("root", "fp").alias("root"))
