@@ -25,6 +25,8 @@ FIRST = 3
 JOINED = 16
 #: Texts of one kind in a block.
 BLOCK = 2048
+#: Rows of blocks that a task is given, about.
+TASK_ROWS = 65_536
 #: Bits of the parities that blocks are compared by.
 BRIEF = 1024
 
@@ -174,7 +176,11 @@ def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool,
     places = F.when(F.col("total_") <= block, small).when(top, F.array(place(F.lit(-2), nth(theirs), F.lit(1)))).otherwise(F.concat(to_top, to_own))
     dealt = many.select("token_", "digest_", "n_", "at_", "root_", "brief_", F.explode(places).alias("p_"))
     dealt = dealt.select("token_", "digest_", "n_", "at_", "root_", "brief_", "p_.*")
-    found = dealt.groupBy("token_", "i_", "j_").applyInPandas(lambda pdf: compare(pdf, least, limit), "a_ bigint, b_ bigint, more_ boolean")
+    # Blocks are dealt to tasks by their number of rows, whatever the session's number of shuffle partitions.
+    sent = F.when(F.col("total_") <= block, F.col("total_")).otherwise(F.col("c_") + (F.col("total_") - F.col("c_")) * (blocks(F.col("total_") - F.col("c_")) + reach(theirs)))
+    total = tokens.where(F.col("total_") > joined).agg(F.sum(sent)).first()[0] or 0
+    parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_ROWS) + 1)
+    found = dealt.repartition(parts, "token_", "i_", "j_").groupBy("token_", "i_", "j_").applyInPandas(lambda pdf: compare(pdf, least, limit), "a_ bigint, b_ bigint, more_ boolean")
     out = materialize(pairs.union(found).groupBy("a_", "b_").agg(F.max("more_").alias("more_")), "pairs")
     forget(tokens, few)
     return out

@@ -867,6 +867,22 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len({(x.shard, x.slot) for x in out}) == len(out)
 
 
+def test_pipeline_keeps_columns_of_any_name_and_kind(spark, tmp_path):
+    r = random.Random(5)
+    texts = [" ".join(r.choices(WORDS, k=r.randint(30, 90))) for _ in range(80)] + [None, "", "w1"]
+    docs = spark.createDataFrame([(i, t, "en", r.choice("ab"), 0) for i, t in enumerate([*texts, texts[0]])], DOCS)
+    names = ["stats_", "row_", "score", "hit_spans", "n_words", "doc_", "kept", "shard_", "first_id_", "key_"]
+    docs = docs.select("*", *(F.lit(f"my {c}").alias(c) for c in names), F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)).alias("map"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("x", texts[1])], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "shard", "slot", "curve"]
+    rows = out.collect()
+    assert rows and all(x[c] == f"my {c}" for x in rows for c in names) and all(x.map == {"a": 2, "b": 1} for x in rows)
+    assert not {1, 83} & {x.doc_id for x in rows}
+
+
 # helpers
 
 
