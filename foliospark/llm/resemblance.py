@@ -27,8 +27,8 @@ JOINED = 16
 BLOCK = 2048
 #: Rows of blocks that a task is given, about.
 TASK_ROWS = 65_536
-#: Bits of the parities that blocks are compared by.
-BRIEF = 1024
+#: Bytes of the parities that blocks are compared by, at most.
+BRIEF = 512
 
 
 def normal_digest(text: str | None) -> int:
@@ -41,14 +41,15 @@ def shingle_set(hasher: Hasher, text: str | None) -> np.ndarray:
     return np.unique(hasher.hashes(text))
 
 
-def table_of_parities(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A bit for each of ``size`` places, a power of two: whether an odd number of hashes falls there."""
-    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1)
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each place of a table, a power of two over twice the number of hashes: whether an odd number of them falls there."""
+    size = max(128, 1 << (2 * len(hashes)).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """Parities in a table of over twice as many places as there are hashes."""
-    return table_of_parities(hashes, max(128, 1 << (2 * len(hashes)).bit_length())).tobytes()
+def folded(tables: np.ndarray, size: int) -> np.ndarray:
+    """Parities (a row each) in tables of ``size`` bytes: those of the same hashes in fewer places."""
+    return np.bitwise_xor.reduce(tables.reshape(len(tables), -1, size), axis=1)
 
 
 def least_apart(x: bytes, y: bytes) -> int:
@@ -98,11 +99,12 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: flo
 
 def marks(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], least: float) -> list[pa.Array]:
     """``n_``, ``tokens_``, ``bits_`` and ``brief_`` of texts' sets of shingles."""
+    bits = [parities(s) for s in sets]
     return [
         pa.array([len(s) for s in sets], pa.int32()),
         pa.array([prefix(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
-        pa.array([parities(s) for s in sets], pa.binary()),
-        pa.array([table_of_parities(s, BRIEF).tobytes() for s in sets], pa.binary()),
+        pa.array(bits, pa.binary()),
+        pa.array([folded(np.frombuffer(x, np.uint8)[None], min(len(x), BRIEF)).tobytes() for x in bits], pa.binary()),
     ]
 
 
@@ -116,7 +118,10 @@ def compare(pdf: pd.DataFrame, least: float, limit: int) -> pd.DataFrame:
     Sides: rows of side 0 are held against those of side 1, those of side 2 against each other. ``more_`` marks rows that have further pairs.
     """
     digest, n, at, root, side = (pdf[c].to_numpy() for c in ("digest_", "n_", "at_", "root_", "side_"))
-    bits = np.frombuffer(b"".join(pdf["brief_"]), np.uint64).reshape(len(pdf), -1)
+    length = pdf["brief_"].map(len).to_numpy()
+    bits = np.zeros((len(pdf), length.max(initial=0)), np.uint8)
+    for size in np.unique(length):
+        bits[length == size, :size] = np.frombuffer(b"".join(pdf["brief_"][length == size]), np.uint8).reshape(-1, size)
     ys = np.flatnonzero(side != 0)
     xs = np.flatnonzero(side != 1)
     if (side == 2).all():  # any pair of different roots has one that isn't of the most frequent
@@ -131,7 +136,14 @@ def compare(pdf: pd.DataFrame, least: float, limit: int) -> pd.DataFrame:
         fits = (root[x][:, None] != root[ys][None, :]) & (np.minimum(n[x][:, None], n[ys][None, :]) >= least * np.maximum(n[x][:, None], n[ys][None, :]) - 1e-6)
         fits &= at[x][:, None] + at[ys][None, :] <= share * both + 1e-6  # what comes before the first common shingle is apart
         i, j = np.nonzero(fits)
-        apart = np.bitwise_count(bits[x[i]] ^ bits[ys[j]]).sum(axis=1)
+        apart = np.zeros(len(i), np.int64)
+        small, large = np.minimum(length[x[i]], length[ys[j]]), np.maximum(length[x[i]], length[ys[j]])
+        for size in np.unique(small):  # the longer table of a pair is folded
+            for wide in np.unique(large[small == size]):
+                of = np.flatnonzero((small == size) & (large == wide))
+                for start in range(0, len(of), 100_000):
+                    some = of[start : start + 100_000]
+                    apart[some] = np.bitwise_count(folded(bits[x[i[some]], :wide] ^ bits[ys[j[some]], :wide], size)).sum(axis=1)
         near = apart <= share * both[i, j] + 1e-6
         i, j, apart = i[near], j[near], apart[near]
         order = np.lexsort((digest[ys[j]], apart, i))
