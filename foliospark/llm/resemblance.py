@@ -25,6 +25,8 @@ FIRST = 3
 JOINED = 16
 #: Texts of one kind in a block.
 BLOCK = 2048
+#: Nearest ones that a text and block give in the first whole round.
+LIMIT = 64
 #: Rows of blocks that a task is given, about.
 TASK_ROWS = 65_536
 #: Bytes of the parities that blocks are compared by, at most.
@@ -156,8 +158,8 @@ def compare(pdf: pd.DataFrame, least: float, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"a_": np.maximum(a, b).astype(np.int64), "b_": np.minimum(a, b).astype(np.int64), "more_": more.astype(bool)})
 
 
-def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool, block: int = BLOCK, joined: int = JOINED) -> DataFrame:
-    """Pairs (a_, b_, more_) of texts that meet under a shingle and may resemble each other, of different roots.
+def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool, block: int = BLOCK, joined: int = JOINED) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a_, b_) of texts that meet under a shingle and may resemble each other, of different roots, and the shingles (token_) whose blocks have further pairs.
 
     Up to ``joined`` texts under a shingle are joined. Of more, blocks are compared inside tasks: the texts of the
     most frequent root are dealt to blocks once, and the others come to each of these and to blocks of pairs of
@@ -173,7 +175,7 @@ def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool,
     share = (1 - least) / (1 + least)
     both = F.col("n_") + F.col("bn_")
     fits = (F.col("digest_") > F.col("b_")) & (F.col("root_") != F.col("broot_")) & (F.least("n_", "bn_") >= least * F.greatest("n_", "bn_") - 1e-6) & (F.col("at_") + F.col("bat_") <= share * both + 1e-6)
-    pairs = few.join(other, "token_").where(fits).select(F.col("digest_").alias("a_"), "b_", F.lit(False).alias("more_"))
+    pairs = few.join(other, "token_").where(fits).select(F.col("digest_").alias("a_"), "b_")
     many = met.join(tokens.where(F.col("total_") > joined), "token_")
 
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
@@ -192,10 +194,12 @@ def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool,
     sent = F.when(F.col("total_") <= block, F.col("total_")).otherwise(F.col("c_") + (F.col("total_") - F.col("c_")) * (blocks(F.col("total_") - F.col("c_")) + reach(theirs)))
     total = tokens.where(F.col("total_") > joined).agg(F.sum(sent)).first()[0] or 0
     parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_ROWS) + 1)
-    found = dealt.repartition(parts, "token_", "i_", "j_").groupBy("token_", "i_", "j_").applyInPandas(lambda pdf: compare(pdf, least, limit), "a_ bigint, b_ bigint, more_ boolean")
-    out = materialize(pairs.union(found).groupBy("a_", "b_").agg(F.max("more_").alias("more_")), "pairs")
-    forget(tokens, few)
-    return out
+    one = lambda key, pdf: compare(pdf, least, limit).assign(token_=key[0])
+    found = materialize(dealt.repartition(parts, "token_", "i_", "j_").groupBy("token_", "i_", "j_").applyInPandas(one, "a_ bigint, b_ bigint, more_ boolean, token_ bigint"), "found")
+    again = materialize(found.where("more_").select("token_").distinct(), "again")
+    out = materialize(pairs.union(found.select("a_", "b_")).distinct(), "pairs")
+    forget(tokens, few, found)
+    return out, again
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -256,7 +260,7 @@ def verified(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
     return out
 
 
-def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: DataFrame, least: float, block: int = BLOCK, joined: int = JOINED, limit: int = 64) -> DataFrame:
+def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: DataFrame, least: float, block: int = BLOCK, joined: int = JOINED, limit: int = LIMIT) -> DataFrame:
     """Links ``(u, v)`` that, with those of ``near``, join the fingerprints of all texts whose sets of five-word shingles resemble each other by ``least`` or more.
 
     ``rows``, which is used up, has ``digest_``, ``key_`` (the hash of the text as it is), ``fp`` and the ``marks`` of each row. Two such texts have their first common shingle in
@@ -282,12 +286,17 @@ def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: Dat
     while True:
         roots = materialize(connected_components(links), "roots")
         named = materialize(texts.select("digest_", "fp", "brief_").join(roots.toDF("fp", "root_"), "fp", "left").select("digest_", "brief_", F.coalesce("root_", "fp").alias("root_")), "named")
-        pairs = candidates((met if whole else first).join(named, "digest_"), least, limit, whole, hot, block, joined)
+        pairs, again = candidates((met if whole else first).join(named, "digest_"), least, limit, whole, hot, block, joined)
         found = verified(docs, text_col, texts, pairs, least, not whole)
         links = links.union(found)
-        done = whole and pairs.where("more_").isEmpty()
         forget(roots, named, pairs)
-        if done:
-            forget(met, texts)
-            return links
+        if whole:
+            done, before = again.isEmpty(), met
+            if not done:  # shingles without further pairs are settled
+                met = materialize(met.join(again, "token_", "left_semi"), "met")
+            forget(before)
+            if done:
+                forget(texts, again)
+                return links
+        forget(again)
         limit, whole, hot = limit * 8 if whole else limit, True, whole

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import Shared, forget, least_hashed, materialize, row_hash, small_batches
 from foliospark.llm.components import connected_components
-from foliospark.llm.resemblance import BLOCK, JOINED, MARKS, MARKS_SCHEMA, common_shingles, marks, normal_digest, resemblance_links, shingle_set
+from foliospark.llm.resemblance import BLOCK, JOINED, LIMIT, MARKS, MARKS_SCHEMA, common_shingles, marks, normal_digest, resemblance_links, shingle_set
 from foliospark.llm.resemblance import SHINGLE as LIKE_SHINGLE
 from foliospark.llm.sketch import Hasher
 
@@ -210,7 +210,7 @@ def with_marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep:
     return rows.mapInArrow(run, f"{schema}, fp bigint, digest_ bigint, {MARKS_SCHEMA}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), sample: int = SAMPLE, shard: int = SHARD, resembling: float | None = None, block: int = BLOCK, joined: int = JOINED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), sample: int = SAMPLE, shard: int = SHARD, resembling: float | None = None, block: int = BLOCK, joined: int = JOINED, limit: int = LIMIT) -> DataFrame:
     """``id_col``, ``keep``, ``fp``, ``component_id`` and ``root`` of every row of ``docs``.
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space and into shingles, repeats included; a
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = materialize(marked.select(id_col, *keep, "fp"), "fps")
     distinct = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least_")), "distinct")
     near = materialize(fingerprint_links(distinct.select("fp"), radius, sample, shard), "near")
-    links = near if resembling is None else resemblance_links(docs, text_col, marked, near, resembling, block, joined)
+    links = near if resembling is None else resemblance_links(docs, text_col, marked, near, resembling, block, joined, limit)
     roots = materialize(connected_components(links), "roots")
     forget(near)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_", F.coalesce("root", "fp").alias("root"))

@@ -1000,7 +1000,7 @@ def test_resemblance_of_long_texts_is_exact(spark):
     assert 0 < linked_as_brute_force(spark, texts) < 40
 
 
-@pytest.mark.parametrize("sizes", [{"block": 48, "joined": 3}, {"block": 7, "joined": 0}, {}])
+@pytest.mark.parametrize("sizes", [{"block": 48, "joined": 3}, {"block": 7, "joined": 0, "limit": 1}, {}])
 def test_hot_families_are_compared_in_blocks(spark, sizes):
     """A family of copies at all distances from its base, some of which only resemble each other, and texts of a common passage."""
     r = random.Random(2)
