@@ -53,6 +53,41 @@ def blocks(paras: DataFrame, doc: str) -> DataFrame:
     return paras.withColumns({"kind": kind, "level": level, "content": F.when((level == 0) & marker.isNotNull(), bare).otherwise(F.col("text"))})
 
 
+#: Parts of the names of fonts with letters of one width. Fixed values.
+MONO = ("courier", "mono", "consol")
+
+
+def segments(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Parts of each paragraph: by, ``seg_no`` from 1, text, size, mono, marker, indent, n_lines. ``by`` names the paragraph; lines are as ``layout.assemble`` gives them.
+
+    A part begins at a list marker, where most characters change between letters of one width and others, where the size
+    departs by over 1.12 from the part's largest so far, or at a gap of over 1.6 sizes. As the largest so far depends on
+    where the part began, lines are folded in order; a paragraph's lines, at most a page's, are one row for that.
+    """
+    tenths = lambda f: F.floor(f["size"] * 10 + 0.5).cast("int")
+    letters = lambda frags: F.aggregate(frags, F.lit(0), lambda n, f: n + F.length(f["text"]))
+    found = F.col("fragments")
+    sizes = F.array_distinct(F.transform(found, tenths))
+    best = F.array_max(F.transform(sizes, lambda s: F.struct(letters(F.filter(found, lambda f: tenths(f) == s)).alias("w"), (-s).alias("s"))))
+    mono = F.coalesce(2 * letters(F.filter(found, lambda f: F.lower(f["font"]).rlike("|".join(MONO)))) > letters(found), F.lit(False))
+    told = lines.withColumns({"size_": F.coalesce(-best["s"] / 10, F.lit(12.0)), "mono_": mono, "marker_": list_marker(F.col("text")), "x_": F.coalesce(F.try_element_at(found, F.lit(1))["x"], F.lit(0.0)).cast("double")})
+    one = F.struct("line_no", F.col("y").cast("double").alias("y"), "text", "size_", "mono_", "marker_", "x_")
+    whole = told.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("lines_"))
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("size"), F.lit(False).alias("mono"), F.lit(0.0).alias("y"), F.array().cast("array<int>").alias("ks"))
+
+    def step(s: Column, line: Column) -> Column:
+        size = line["size_"]
+        jump = (s["size"] > 0) & (size > 0) & ((size / s["size"] > 1.12) | (s["size"] / size > 1.12))
+        fresh = (s["k"] == 0) | line["marker_"].isNotNull() | (line["mono_"] != s["mono"]) | jump | ((size > 0) & (s["y"] - line["y"] > 1.6 * size))
+        k = F.when(fresh, s["k"] + 1).otherwise(s["k"])
+        return F.struct(k.alias("k"), F.when(fresh, size).otherwise(F.greatest(s["size"], size)).alias("size"), F.when(fresh, line["mono_"]).otherwise(s["mono"]).alias("mono"), line["y"].alias("y"), F.concat(s["ks"], F.array(k)).alias("ks"))
+
+    parts = whole.withColumn("ks_", F.aggregate("lines_", start, step, lambda s: s["ks"])).select(*by, F.explode(F.arrays_zip("lines_", "ks_")).alias("z_")).select(*by, F.col("z_.ks_").alias("seg_no"), "z_.lines_.*")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda t: t["text"]), " ")
+    head = lambda c: F.min_by(c, "line_no")
+    return parts.groupBy(*by, "seg_no").agg(texts.alias("text"), F.max("size_").alias("size"), head("mono_").alias("mono"), head("marker_").alias("marker"), head("x_").alias("indent"), F.count("*").alias("n_lines"))
+
+
 def chapters(flow: DataFrame, doc: str, order: str) -> DataFrame:
     """Adds ``chapter_no``: each heading of level 1 begins one; what comes before the first is chapter 0."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

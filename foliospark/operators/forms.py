@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators.graph import descend
@@ -21,10 +21,32 @@ def export_json(fields: DataFrame, by: list[str], omit_empty: bool = False) -> D
     return last.groupBy(*by).agg(F.to_json(F.map_from_entries(pairs)).alias("form"))
 
 
+def _quoted(c: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
+
+
+def export_typed_json(fields: DataFrame, by: list[str], omit_empty: bool = False) -> DataFrame:
+    """``export_json`` with values of their ``kind``: checkboxes are true or false, list boxes are arrays (items are lines of the value), push buttons are left out."""
+    value = F.coalesce("value", F.lit(""))
+    items = F.filter(F.split(value, "\n"), lambda x: x != "")
+    off = value.isin("", "Off")
+    told = F.when(F.col("kind") == "checkbox", F.when(off, "false").otherwise("true")).when(F.col("kind") == "listbox", F.to_json(items)).otherwise(_quoted(value))
+    empty = F.when(F.col("kind") == "checkbox", off).otherwise(value == "")
+    entry = F.concat(_quoted(F.col("name")), F.lit(':{"type":'), _quoted(F.col("kind")), F.lit(',"value":'), told, F.lit("}"))
+    kept = fields.where(F.col("kind") != "push_button").select(*by, "name", "seq", entry.alias("entry_"), empty.alias("empty_"))
+    last = kept.groupBy(*by, "name").agg(F.max_by("entry_", "seq").alias("entry_"), F.max_by("empty_", "seq").alias("empty_"))
+    last = last.where(~F.col("empty_")) if omit_empty else last
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("name", "entry_"))), lambda p: p["entry_"])
+    return last.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("form"))
+
+
 def import_json(df: DataFrame, by: list[str], json_col: str) -> DataFrame:
-    """A row for each field of a form's JSON: by, name, type, value (an array's items are joined by line feeds)."""
+    """A row for each field of a form's JSON: by, name, type, value. Items of a list box are joined by line feeds; true and false come as such."""
     parsed = F.from_json(json_col, "map<string,struct<type:string,value:string>>")
-    return df.select(*by, F.explode(parsed).alias("name", "v")).select(*by, "name", "v.type", "v.value")
+    rows = df.select(*by, F.explode(parsed).alias("name", "v")).select(*by, "name", "v.type", "v.value")
+    items = F.from_json("value", "array<string>")
+    return rows.withColumn("value", F.when((F.col("type") == "listbox") & F.col("value").startswith("["), F.array_join(items, "\n")).otherwise(F.col("value")))
 
 
 def apply_values(fields: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:

@@ -34,9 +34,17 @@ def reorder(df: DataFrame, order: list[int], page_no: str = "page_no") -> DataFr
     return df.join(F.broadcast(wanted), F.col(page_no) == F.col("wanted")).drop("wanted")
 
 
-def delete(df: DataFrame, pages: list[int], by: list[str], page_no: str = "page_no") -> DataFrame:
-    """Without the given pages (repeats don't matter), numbered anew in ``new_no``."""
-    kept = df.where(~F.col(page_no).isin(*set(pages))) if pages else df
+def delete(df: DataFrame, pages: list[int], by: list[str], page_no: str = "page_no", keep_one: bool = False) -> DataFrame:
+    """Without the given pages (repeats don't matter), numbered anew in ``new_no``.
+
+    With ``keep_one``, a document that would lose all its pages, or has fewer than a given number, is an error as the job runs.
+    """
+    gone = F.col(page_no).isin(*set(pages)) if pages else F.lit(False)
+    if keep_one and pages:
+        w = Window.partitionBy(*by)
+        bad = F.when(F.max(page_no).over(w) < max(pages), "no such page").when(F.count_if(~gone).over(w) == 0, "a document must keep a page")
+        df = df.withColumn("bad_", bad).where(F.when(F.col("bad_").isNotNull(), F.raise_error(F.col("bad_")).cast("boolean")).otherwise(True)).drop("bad_")
+    kept = df.where(~gone)
     return number_pages(kept, by, [page_no], "new_no")
 
 

@@ -149,3 +149,36 @@ def repeated_lines(df: DataFrame, by: str, id_col: str, text_col: str, share: fl
 def stitch(df: DataFrame, by: list[str], page: str, signature: str, order: list[str]) -> DataFrame:
     """Tables on consecutive pages with the same signature belong together: adds ``table_group`` from 1."""
     return sessions(df, by, order, lambda lag: (F.col(page) != lag(page) + 1) | (F.col(signature) != lag(signature)), "table_group")
+
+
+def cluster_rects(df: DataFrame, by: list[str], gap: float = 0.0) -> DataFrame:
+    """Rectangles whose bounds, grown by ``gap``, meet become one, until none meet: by, llx, lly, urx, ury, ``n``. Groups are pages, one to a task.
+
+    What has grown may meet others, so this isn't a matter of components; any order of merging ends in the same boxes.
+    """
+    from pyspark.sql.types import StructType
+
+    kinds = StructType([df.schema[c] for c in by]).add("llx", "double").add("lly", "double").add("urx", "double").add("ury", "double").add("n", "long")
+
+    def run(group):
+        import numpy as np
+        import pandas as pd
+
+        found, counts = np.empty((0, 4)), np.empty(0, int)
+        for box in group[["llx", "lly", "urx", "ury"]].to_numpy(float):
+            n = 1
+            while len(found):
+                hit = (found[:, :2] - gap <= box[2:]).all(1) & (box[:2] - gap <= found[:, 2:]).all(1)
+                if not hit.any():
+                    break
+                n += counts[hit].sum()
+                box = np.concatenate([np.minimum(box[:2], found[hit, :2].min(0)), np.maximum(box[2:], found[hit, 2:].max(0))])
+                found, counts = found[~hit], counts[~hit]
+            found, counts = np.vstack([found, box]), np.append(counts, n)
+        out = pd.DataFrame(found, columns=["llx", "lly", "urx", "ury"]).assign(n=counts)
+        for k, c in enumerate(by):
+            out.insert(k, c, group[c].iloc[0])
+        return out
+
+    whole = [F.col(c).cast("double").alias(c) for c in ("llx", "lly", "urx", "ury")]
+    return df.select(*by, *whole).dropna(subset=["llx", "lly", "urx", "ury"]).groupBy(*by).applyInPandas(run, kinds)

@@ -443,6 +443,40 @@ def form_json(spark, sf):
     return forms.export_json(fields, ["user_id"])
 
 
+@query("""
+WITH f AS (SELECT c_nationkey, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN '"checkbox","value":' || (c_custkey % 8 = 0) WHEN 1 THEN '"listbox","value":["' || c_mktsegment || '","b"]' ELSE '"text","value":"' || c_mktsegment || '"' END AS v FROM customer WHERE c_custkey % 4 < 3)
+SELECT c_nationkey, '{' || string_agg('"' || name || '":{"type":' || v || '}', ',' ORDER BY name) || '}' AS form FROM f GROUP BY c_nationkey
+""")
+def form_typed_json(spark, sf):
+    nth = F.col("c_custkey") % 4
+    kind = F.when(nth == 0, "checkbox").when(nth == 1, "listbox").when(nth == 2, "text").otherwise("push_button")
+    value = F.when(nth == 0, F.when(F.col("c_custkey") % 8 == 0, "Yes").otherwise("Off")).when(nth == 1, F.concat("c_mktsegment", F.lit("\nb"))).otherwise(F.col("c_mktsegment"))
+    fields = read(spark, sf, "customer").select("c_nationkey", F.col("c_name").alias("name"), kind.alias("kind"), value.alias("value"), F.col("c_custkey").alias("seq"))
+    return forms.export_typed_json(fields, ["c_nationkey"])
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, (8 + l_partkey % 4)::DOUBLE AS size, l_suppkey % 5 = 0 AS mono,
+    (700 - 12 * l_linenumber - 5 * (l_partkey % 3))::DOUBLE AS y, l_suppkey % 7 = 0 AS marked FROM lineitem),
+s AS (SELECT l_orderkey, i, size, mono, y, 1 AS seg_no FROM l WHERE i = 1 UNION ALL
+  SELECT l_orderkey, i, CASE WHEN fresh THEN size ELSE greatest(size, top) END, mono, y, seg_no + fresh::INTEGER FROM (
+    SELECT l.*, s.size AS top, s.seg_no, l.marked OR l.mono <> s.mono OR l.size / s.size > 1.12 OR s.size / l.size > 1.12 OR s.y - l.y > 1.6 * l.size AS fresh FROM s JOIN l ON l.l_orderkey = s.l_orderkey AND l.i = s.i + 1))
+SELECT l_orderkey, seg_no, max(size) AS size, any_value(mono) AS mono, count(*) AS n_lines FROM s GROUP BY ALL
+""")
+def paragraph_segments(spark, sf):
+    """Lines of an order as a paragraph's, with sizes, fonts, places and markers by their parts and suppliers."""
+    from pyspark.sql import Window
+
+    from foliospark.operators import flow
+
+    text = F.when(F.col("l_suppkey") % 7 == 0, "- item").otherwise("word")
+    size, y = (8 + F.col("l_partkey") % 4).cast("double"), (700 - 12 * F.col("l_linenumber") - 5 * (F.col("l_partkey") % 3)).cast("double")
+    drawn = F.struct(text.alias("text"), F.lit(72.0).alias("x"), y.alias("y"), F.lit(20.0).alias("width"), F.when(F.col("l_suppkey") % 5 == 0, "Courier").otherwise("Arial").alias("font"), size.alias("size"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = read(spark, sf, "lineitem").select("l_orderkey", F.row_number().over(order).alias("line_no"), y.alias("y"), text.alias("text"), F.array(drawn).alias("fragments"))
+    return flow.segments(lines, ["l_orderkey"]).select("l_orderkey", "seg_no", "size", "mono", "n_lines")
+
+
 @query("""
 SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events
 """)
@@ -744,6 +778,64 @@ def pdf_page_labels(spark, sf):
     return scan.page_labels(_rich_files(spark, sf), ["custkey"])
 
 
+def _layered_files(spark, sf):
+    """Every supplier as a file with two layers, two scripts, a metadata packet and a field of each kind."""
+    from foliospark.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        stream = lambda body: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body)
+        kinds = ["/FT /Btn", "/FT /Btn /Ff 32768", "/FT /Btn /Ff 65536", "/FT /Ch /Ff 131072", "/FT /Ch", "/FT /Tx /Ff 8192", "/FT /Tx /Ff 1048576", "/FT /Tx /Ff 33554432", "/FT /Tx /AA << /F << /S /JavaScript /JS (AFNumber_Format\\(2\\);) >> >>", "/FT /Tx /AA << /F << /JS (AFDate_FormatEx\\(1\\);) >> >>", "/FT /Tx", "/FT /Sig"]
+        packet = '<?xpacket begin=""?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:o="urn:own/" xmp:CreatorTool="tool"><dc:title><rdf:Alt><rdf:li>{name}</rdf:li></rdf:Alt></dc:title><dc:creator><rdf:Seq><rdf:li>a</rdf:li><rdf:li>{key}</rdf:li></rdf:Seq></dc:creator><o:key>{key}</o:key></rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+        for b in batches:
+            out = []
+            for key, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                objects = [
+                    b"<< /Type /OCG /Name (%s) >>" % name.encode(), b"<< /Type /OCG /Name (Draft) >>",
+                    b"<< /S /JavaScript /JS (first) >>", b"<< /S /JavaScript /JS 9 0 R >>", stream(b"show %d" % key),
+                    stream(packet.format(name=name, key=key).encode()), *(f"<< /T (f{k:02d}) {kind} >>".encode() for k, kind in enumerate(kinds)),
+                ]
+                fields = " ".join(f"{11 + k} 0 R" for k in range(len(kinds)))
+                catalog = f"/OCProperties << /OCGs [5 0 R 6 0 R] /D << {'/OFF [6 0 R]' if key % 2 else ''} >> >> /Names << /JavaScript << /Names [(open) 8 0 R (close) 7 0 R] >> >> /Metadata 10 0 R /AcroForm << /Fields [{fields}] >>"
+                out.append(pdf.write([[(40, 700, 10, name)]], objects=objects, catalog=catalog))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["suppkey", "content"])
+
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_name").repartition("suppkey").mapInArrow(made, "suppkey bigint, content binary")
+
+
+@query("SELECT s_suppkey AS suppkey, seq, CASE seq WHEN 0 THEN s_name ELSE 'Draft' END AS name, seq = 0 OR s_suppkey % 2 = 0 AS visible FROM supplier, (VALUES (0), (1)) t(seq)")
+def pdf_layers(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.layers(_layered_files(spark, sf), ["suppkey"])
+
+
+@query("SELECT s_suppkey AS suppkey, name, CASE name WHEN 'close' THEN 'first' ELSE 'show ' || s_suppkey END AS script FROM supplier, (VALUES ('open'), ('close')) t(name)")
+def pdf_scripts(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.scripts(_layered_files(spark, sf), ["suppkey"])
+
+
+@query("SELECT s_suppkey AS suppkey, s_name AS title, 'a|' || s_suppkey AS authors, 'tool' AS creator_tool, CAST(s_suppkey AS VARCHAR) AS own_key FROM supplier")
+def pdf_xmp(spark, sf):
+    from foliospark.sources import scan
+
+    found = scan.xmp(_layered_files(spark, sf), ["suppkey"])
+    return found.select("suppkey", "title", F.array_join("authors", "|").alias("authors"), "creator_tool", F.col("custom")["urn:own/key"].alias("own_key"))
+
+
+@query("""
+SELECT s_suppkey AS suppkey, name, kind FROM supplier, (VALUES ('f00', 'checkbox'), ('f01', 'radio'), ('f02', 'push_button'), ('f03', 'combobox'), ('f04', 'listbox'), ('f05', 'password'), ('f06', 'file'), ('f07', 'rich_text'),
+  ('f08', 'number'), ('f09', 'date'), ('f10', 'text'), ('f11', 'unknown')) k(name, kind)
+""")
+def pdf_field_kinds(spark, sf):
+    from foliospark.sources import scan
+
+    return scan.typed_fields(_layered_files(spark, sf), ["suppkey"]).select("suppkey", "name", "kind")
+
+
 # --- tables
 
 

@@ -623,6 +623,11 @@ class Document:
         for kid in self.resolve(node.get("Kids")) or []:
             yield from self.names(kid, depth + 1)
 
+    def script(self, action: dict) -> str:
+        """The script of an action, which is a string or a stream."""
+        value = self.resolve(action.get("JS"))
+        return self.decode(value).decode("utf-8", "replace") if isinstance(value, Stream) else self.text(value)
+
     def outlines(self) -> list[tuple[int, int | None, int, str, int]]:
         """(id, parent, seq, title, level) in pre-order."""
         out, seen = [], set()
@@ -643,8 +648,8 @@ class Document:
         walk((self.resolve(self.root.get("Outlines")) or {}).get("First"), None, 1)
         return out
 
-    def fields(self) -> list[tuple[str, str, int, str]]:
-        """(dotted name, type, flags, value) of the leaf fields of the form."""
+    def fields(self) -> list[tuple[str, str, int, str, str | None]]:
+        """(dotted name, type, flags, value, formatting script) of the leaf fields of the form."""
         out, seen = [], set()
 
         def walk(ref, name: str, above: dict, depth: int) -> None:
@@ -663,7 +668,9 @@ class Document:
                 value = self.resolve(here.get("V"))
                 text = "\n".join(self.text(v) for v in value) if isinstance(value, list) else self.text(value)
                 flags = self.resolve(here.get("Ff"))
-                out.append((full, self.text(here.get("FT")), flags if isinstance(flags, int) else 0, text))
+                action = self.resolve((self.resolve(node.get("AA")) or {}).get("F"))
+                script = self.script(action) if isinstance(action, dict) else None
+                out.append((full, self.text(here.get("FT")), flags if isinstance(flags, int) else 0, text, script))
 
         for f in self.resolve((self.resolve(self.root.get("AcroForm")) or {}).get("Fields")) or []:
             walk(f, "", {}, 0)

@@ -223,7 +223,7 @@ def outlines(df: DataFrame, by: list[str], content: str = "content", password: s
 
 
 FIELDS = "name string, type string, flags bigint, value string"
-_fields = readable(lambda doc: iter(doc.fields()))
+_fields = readable(lambda doc: (f[:4] for f in doc.fields()))
 
 
 def fields(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
@@ -231,6 +231,134 @@ def fields(df: DataFrame, by: list[str], content: str = "content", password: str
     return layer(df, by, content, FIELDS, _fields, password)
 
 
+#: Bits of fields' flags, from 1. Fixed values.
+FIELD_BITS = {"radio": 16, "push_button": 17, "combobox": 18, "password": 14, "file": 21, "rich_text": 26}
+
+
+def field_kind(type: Column, flags: Column, script: Column) -> Column:
+    """One of eleven kinds of field by its type, flags and formatting script, or ``unknown``."""
+    has = lambda name: flags.bitwiseAND(1 << (FIELD_BITS[name] - 1)) != 0
+    button = F.when(has("push_button"), "push_button").when(has("radio"), "radio").otherwise("checkbox")
+    choice = F.when(has("combobox"), "combobox").otherwise("listbox")
+    entry = F.when(has("file"), "file").when(has("password"), "password").when(has("rich_text"), "rich_text").when(script.contains("AFNumber"), "number").when(script.contains("AFDate"), "date").otherwise("text")
+    return F.when(type == "Btn", button).when(type == "Ch", choice).when(type == "Tx", entry).otherwise("unknown")
+
+
+def typed_fields(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
+    """``fields`` with their formatting ``script`` (or null) and their ``kind``."""
+    found = layer(df, by, content, FIELDS + ", script string", readable(lambda doc: iter(doc.fields())), password)
+    return found.withColumn("kind", field_kind(F.col("type"), F.col("flags"), F.col("script")))
+
+
+LAYERS = "seq int, name string, visible boolean"
+
+
+@readable
+def _layers(doc: Document) -> Iterator[tuple]:
+    about = doc.resolve(doc.root.get("OCProperties"))
+    if not isinstance(about, dict):
+        return
+    usual = doc.resolve(about.get("D"))
+    hidden = {r.num for r in (doc.resolve(usual.get("OFF")) if isinstance(usual, dict) else None) or [] if isinstance(r, Ref)}
+    for k, ref in enumerate(doc.resolve(about.get("OCGs")) or []):
+        group = doc.resolve(ref)
+        if isinstance(group, dict):
+            yield k, doc.text(group.get("Name")), not (isinstance(ref, Ref) and ref.num in hidden)
+
+
+def layers(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
+    """Layers of optional content in the file's order, and whether they show by default."""
+    return layer(df, by, content, LAYERS, _layers, password)
+
+
+SCRIPTS = "name string, script string"
+
+
+@readable
+def _scripts(doc: Document) -> Iterator[tuple]:
+    tree = (doc.resolve(doc.root.get("Names")) or {}).get("JavaScript")
+    found = {name: doc.script(action) if isinstance(action, dict) else "" for name, action in doc.names(tree)}
+    yield from sorted(found.items())
+
+
+def scripts(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
+    """The document's named scripts in order of name; of a repeated name, the last holds. None is run."""
+    return layer(df, by, content, SCRIPTS, _scripts, password)
+
+
+#: Metadata properties and their columns. Fixed values.
+PROPERTIES = {
+    "{http://purl.org/dc/elements/1.1/}title": "title", "{http://purl.org/dc/elements/1.1/}creator": "authors", "{http://purl.org/dc/elements/1.1/}description": "description", "{http://purl.org/dc/elements/1.1/}subject": "keywords",
+    "{http://ns.adobe.com/xap/1.0/}CreatorTool": "creator_tool", "{http://ns.adobe.com/pdf/1.3/}Producer": "producer",
+    "{http://ns.adobe.com/xap/1.0/}CreateDate": "create_date", "{http://ns.adobe.com/xap/1.0/}ModifyDate": "modify_date", "{http://ns.adobe.com/xap/1.0/}MetadataDate": "metadata_date",
+}
+_RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+XMP = "title string, authors array<string>, description string, keywords array<string>, creator_tool string, producer string, create_date string, modify_date string, metadata_date string, custom map<string,string>"
+
+
+@readable
+def _xmp(doc: Document) -> Iterator[tuple]:
+    from xml.etree import ElementTree
+
+    stream = doc.resolve(doc.root.get("Metadata"))
+    if not isinstance(stream, Stream):
+        return
+    try:
+        top = ElementTree.fromstring(doc.decode(stream).strip(b"\x00 \t\r\n"))
+    except (ElementTree.ParseError, ValueError, LookupError):
+        return
+    known: dict[str, list[str]] = {}
+    custom: dict[str, str] = {}
+    for about in top.iter(f"{_RDF}Description"):
+        found = [(k, [v]) for k, v in about.attrib.items() if not k.startswith(_RDF)]
+        for e in about:
+            items = [(i.text or "").strip() for i in e.iter(f"{_RDF}li")]
+            found.append((e.tag, items or [(e.text or "").strip()]))
+        for key, values in found:
+            if key in PROPERTIES:
+                known[PROPERTIES[key]] = values
+            else:
+                custom[key.replace("{", "").replace("}", "")] = "\n".join(values)
+    one = lambda key: known[key][0] if known.get(key) else None
+    yield one("title"), known.get("authors", []), one("description"), known.get("keywords", []), *map(one, ("creator_tool", "producer", "create_date", "modify_date", "metadata_date")), list(custom.items())
+
+
+def xmp(df: DataFrame, by: list[str], content: str = "content", password: str = "") -> DataFrame:
+    """The metadata packet of each file that has a well-formed one; properties without a column are in ``custom``, by their full names."""
+    return layer(df, by, content, XMP, _xmp, password)
+
+
+def resource_names(images: DataFrame, by: list[str], data: str = "data", seq: str = "num") -> DataFrame:
+    """Adds ``sha256`` and ``resource_no``: equal images of a document share the number, which counts from 1 in order of their first.
+
+    Only digests and positions are shuffled; bytes stay where they are until a number is joined to them.
+    """
+    from pyspark.sql import Window
+
+    digested = images.withColumn("sha256", F.sha2(data, 256))
+    first = digested.groupBy(*by, "sha256").agg(F.min(seq).alias("first_"))
+    numbers = first.select(*by, "sha256", F.row_number().over(Window.partitionBy(*by).orderBy("first_", "sha256")).alias("resource_no"))
+    return digested.join(numbers, [*by, "sha256"])
+
+
+def optimise_report(objs: DataFrame, by: list[str]) -> DataFrame:
+    """What could be saved in each document: by, n_objects, n_streams, duplicate_streams, duplicate_bytes, uncompressed_streams, uncompressed_bytes.
+
+    Of equal streams, one is kept. Bytes are of decoded streams. Two aggregations by the same prefix of keys; nothing is collected.
+    """
+    stream = F.col("kind") == "stream"
+    plain = stream & F.get_json_object("value", "$.Filter").isNull()
+    alike = objs.withColumn("value", F.when(stream, F.sha2("value", 256))).groupBy(*by, "value", "stream_sha256").agg(
+        F.count("*").alias("n_"), F.count_if(stream).alias("s_"), F.count_if(plain).alias("p_"), F.sum(F.when(plain, F.col("stream_bytes"))).alias("pb_"), F.max("stream_bytes").alias("one_"),
+    )
+    extra = F.greatest(F.col("s_") - 1, F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return alike.groupBy(*by).agg(
+        total("n_").alias("n_objects"), total("s_").alias("n_streams"), total(extra).alias("duplicate_streams"), total(extra * F.coalesce("one_", F.lit(0))).alias("duplicate_bytes"),
+        total("p_").alias("uncompressed_streams"), total("pb_").alias("uncompressed_bytes"),
+    )
+
+
 ANNOTATIONS = "page_no int, seq int, subtype string, llx double, lly double, urx double, ury double, contents string, uri string, flags bigint"
 
 

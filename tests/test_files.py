@@ -313,3 +313,30 @@ def test_full_page_grid(spark):
     texts = [(1, k, x, 700.0 - 20 * row, x + 30, 10.0, "F", f"{row}-{x:g}") for k, (row, x) in enumerate([(0, 50.0), (0, 200.0), (1, 52.0), (1, 203.0), (1, 400.0)])]
     df = spark.createDataFrame(texts, "page int, seq int, x double, y double, end_x double, size double, font string, text string")
     assert [tuple(r)[1:3] for r in tables.full_page(df, ["page"]).collect()] == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]
+
+
+def test_metadata_layers_and_scripts_of_plain_files_are_empty(spark):
+    df = spark.createDataFrame([("a", bytearray(sample())), ("b", bytearray(b"no file")), ("c", None)], "file string, content binary")
+    for rows in (scan.layers, scan.scripts, scan.xmp):
+        assert rows(df, ["file"]).collect() == []
+
+
+def test_damaged_metadata_has_no_row(spark):
+    packet = b"<x><unclosed>"
+    data = pdf.write([[(10, 10, 9, "x")]], objects=[b"<< /Length %d >>\nstream\n%s\nendstream" % (len(packet), packet)], catalog="/Metadata 5 0 R")
+    assert scan.xmp(spark.createDataFrame([("a", bytearray(data))], "file string, content binary"), ["file"]).collect() == []
+
+
+def test_reports_count_equal_and_plain_streams(spark):
+    objs = scan.objects(spark.createDataFrame([("a", bytearray(sample(compress=False)))], "file string, content binary"), ["file"])
+    row = scan.optimise_report(objs, ["file"]).first()
+    streams = objs.where("kind = 'stream'").collect()
+    assert row["n_objects"] == objs.count() and row["n_streams"] == len(streams)
+    assert (row["duplicate_streams"], row["duplicate_bytes"]) == (1, 5)  # "hello" is there twice
+    assert row["uncompressed_streams"] == len(streams) and row["uncompressed_bytes"] == sum(s["stream_bytes"] for s in streams)
+
+
+def test_equal_images_share_a_resource(spark):
+    images = spark.createDataFrame([("a", 7, b"x"), ("a", 3, b"y"), ("a", 9, b"y"), ("b", 1, b"x")], "file string, num int, data binary")
+    got = {(r["file"], r["num"]): r["resource_no"] for r in scan.resource_names(images, ["file"]).collect()}
+    assert got == {("a", 3): 1, ("a", 9): 1, ("a", 7): 2, ("b", 1): 1}

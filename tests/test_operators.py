@@ -388,3 +388,55 @@ def test_fields_of_many_documents(spark):
 def test_packing_keeps_groups_without_a_key(spark):
     df = spark.createDataFrame([(None, 1, 6), (None, 2, 6), ("a", 1, 20), ("a", 2, 1), ("a", 3, None)], "doc string, seq int, n int")
     assert {(r.doc, r.seq, r.chunk_no) for r in models.pack(df, ["doc"], "seq", "n", 10).collect()} == {(None, 1, 1), (None, 2, 2), ("a", 1, 1), ("a", 2, 2), ("a", 3, 2)}
+
+
+def test_a_document_keeps_a_page(spark):
+    from foliospark.operators import pages
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)], "doc string, page_no int")
+    assert {(r["doc"], r["page_no"], r["new_no"]) for r in pages.delete(df, [1, 1], ["doc"], keep_one=True).collect()} == {("a", 2, 1), ("a", 3, 2), ("b", 2, 1)}
+    for wrong in ([1, 2], [3]):  # b would lose both, or has no third
+        with pytest.raises(Exception, match="keep a page|no such page"):
+            pages.delete(df, wrong, ["doc"], keep_one=True).collect()
+
+
+def test_rectangles_cluster_as_by_pairs(spark):
+    import random
+
+    from foliospark.operators import rows
+
+    rng = random.Random(5)
+    boxes = {p: [(x, y, x + rng.randint(1, 9), y + rng.randint(1, 9)) for x, y in ((rng.randint(0, 90), rng.randint(0, 90)) for _ in range(40))] for p in range(4)}
+
+    def merged(found, gap):
+        found = [(*b, 1) for b in found]
+        while True:
+            pair = next(((i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if all(found[i][k] - gap <= found[j][k + 2] and found[j][k] - gap <= found[i][k + 2] for k in (0, 1))), None)
+            if pair is None:
+                return sorted(found)
+            b, a = found.pop(pair[1]), found.pop(pair[0])
+            found.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]))
+
+    df = spark.createDataFrame([(p, *map(float, b)) for p, found in boxes.items() for b in found], "page int, llx double, lly double, urx double, ury double")
+    got = rows.cluster_rects(df, ["page"], 1.0).collect()
+    for p, found in boxes.items():
+        assert sorted(tuple(r)[1:] for r in got if r["page"] == p) == merged(found, 1.0)
+
+
+def test_typed_forms_come_back(spark):
+    from foliospark.operators import forms
+
+    df = spark.createDataFrame([("d", "a\"b", "listbox", "x\ny", 1), ("d", "c", "checkbox", "Off", 2), ("d", "c", "checkbox", "On", 3), ("d", "e", "text", None, 4), ("d", "p", "push_button", "z", 5)], "doc string, name string, kind string, value string, seq int")
+    form = forms.export_typed_json(df, ["doc"])
+    assert form.first()["form"] == '{"a\\"b":{"type":"listbox","value":["x","y"]},"c":{"type":"checkbox","value":true},"e":{"type":"text","value":""}}'
+    assert {(r["name"], r["value"]) for r in forms.import_json(form, ["doc"], "form").collect()} == {('a"b', "x\ny"), ("c", "true"), ("e", "")}
+    assert forms.export_typed_json(df, ["doc"], omit_empty=True).first()["form"].count("type") == 2
+
+
+def test_segments_without_fragments(spark):
+    from foliospark.operators import flow
+
+    kind = "par int, line_no int, y double, text string, fragments array<struct<text:string,x:double,size:double,font:string>>"
+    df = spark.createDataFrame([(1, 1, 50.0, "a", []), (1, 2, 40.0, "1. b", [("1. b", 9.0, 12.0, "F")]), (1, 3, 30.0, "c", [("c", 5.0, 12.0, None)])], kind)
+    got = [(r["seg_no"], r["text"], r["size"], r["marker"], r["indent"]) for r in flow.segments(df, ["par"]).orderBy("seg_no").collect()]
+    assert got == [(1, "a", 12.0, None, 0.0), (2, "1. b c", 12.0, "ordered", 9.0)]
