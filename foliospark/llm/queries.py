@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, hilbert, html_text, mixture, quality, secrets, simhash, sketch, url_filter, warc
+from foliospark.llm import decontaminate, filter_audit, fim, hilbert, html_text, language, mixture, quality, secrets, simhash, sketch, url_filter, warc
 from foliospark.llm.common import table
 
 
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": _on("pages", url_filter.op8),
     "op9_warc": _on("pages", warc.op9),
     "op10_decontaminate": _on("documents", decontaminate.op10, "benchmark"),
+    "op11_language": _on("documents", language.op11),
+    "op12_fim": _on("documents", fim.op12),
+    "op13_filter_audit": _on("documents", filter_audit.op13, "labels"),
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +35,6 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": url_filter.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_fim": fim.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
