@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.rows import weighted_median
+from foliospark.operators import spatial
+from foliospark.operators.rows import sessions, weighted_median
 from foliospark.operators.text import collapse, heading_level, list_marker
 
 #: Share of a page's height, from either end, in which running heads and feet stand.
@@ -53,6 +54,48 @@ def blocks(paras: DataFrame, doc: str) -> DataFrame:
     return paras.withColumns({"kind": kind, "level": level, "content": F.when((level == 0) & marker.isNotNull(), bare).otherwise(F.col("text"))})
 
 
+#: How far a table's edges are moved out before text is looked for in it. Fixed value.
+TABLE_SLACK = 2.0
+
+
+def outside_tables(frags: DataFrame, tables: DataFrame, by: list[str], line: list[str]) -> DataFrame:
+    """Fragments (by, line, seq, llx, lly, urx, ury) of lines that lie in no table (by, table_no, box): one leaves the flow with most of its fragments' middles in one table."""
+    grown = tables.select(*by, "table_no", *((F.col(c) + (TABLE_SLACK if c.startswith("u") else -TABLE_SLACK)).alias(f"{c}_t_") for c in spatial.BOX))
+    keys = [*by, *line]
+    points = frags.select(*keys, ((F.col("llx") + F.col("urx")) / 2).alias("mx_"), ((F.col("lly") + F.col("ury")) / 2).alias("my_"))
+    inside = spatial.meets(points, grown, ("mx_", "my_", "mx_", "my_"), tuple(f"{c}_t_" for c in spatial.BOX), by, touching=True)
+    held = inside.groupBy(*keys, "table_no").agg(F.count("*").alias("in_"))
+    gone = held.join(frags.groupBy(*keys).agg(F.count("*").alias("all_")), keys).where("2 * in_ > all_").select(*keys).distinct()
+    return frags.join(gone, keys, "left_anti").select(*frags.columns)
+
+
+def parts_outside(lines: DataFrame, by: list[str], par: str, line: str, kept: DataFrame) -> DataFrame:
+    """``lines`` that are ``kept`` (by, par, line), with ``part_no``: what is left of a paragraph on the two sides of a table are parts of their own."""
+    keys = [*by, par, line]
+    marked = lines.join(kept.select(*keys).distinct().withColumn("kept_", F.lit(True)), keys, "left")
+    runs = sessions(marked, [*by, par], [line], lambda lag: ~F.coalesce(lag("kept_"), F.lit(False)) & F.coalesce("kept_", F.lit(False)), "part_no")
+    return runs.where("kept_").select(*lines.columns, "part_no")
+
+
+def interleave(paras: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
+    """One order of unlike blocks: ``by``, ``place`` from 1, ``kind``, ``id``. ``paras`` (by, nth, id, top) are in reading order; ``others`` (by, nth, id, kind, top) are images, graphics and tables.
+
+    A block goes before the first paragraph in reading order whose top is below its own, after blocks of a lower ``nth`` that go there
+    too, or to the end. Reading order isn't sorted by tops, but least tops so far are: among the paragraphs that lower them, the
+    first one below a block is the one with the greatest top below it, so one sort of tops finds it for all blocks of a page.
+    """
+    w = Window.partitionBy(*by).orderBy("nth")
+    least = F.min("top").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    lower = paras.withColumn("least_", least).where("least_ IS NULL OR top < least_")
+    steps = lower.select(*by, F.col("top").alias("t_"), F.lit(1).alias("side_"), F.col("nth").alias("at_"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(others.schema["id"].dataType).alias("id"), F.lit(None).cast(others.schema["nth"].dataType).alias("nth"))
+    asked = others.select(*by, F.col("top").alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast(paras.schema["nth"].dataType).alias("at_"), "kind", "id", "nth")
+    upto = Window.partitionBy(*by).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    found = steps.unionByName(asked).withColumn("at_", F.last("at_", ignorenulls=True).over(upto)).where("side_ = 0")
+    both = found.select(*by, F.col("at_").isNull().alias("end_"), "at_", F.lit(0).alias("own_"), "nth", "kind", "id")
+    both = both.unionByName(paras.select(*by, F.lit(False).alias("end_"), F.col("nth").alias("at_"), F.lit(1).alias("own_"), F.lit(0).cast(others.schema["nth"].dataType).alias("nth"), F.lit("paragraph").alias("kind"), "id"))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("end_", "at_", "own_", "nth", "id"))).select(*by, "place", "kind", "id")
+
+
 #: Parts of the names of fonts with letters of one width. Fixed values.
 MONO = ("courier", "mono", "consol")
 

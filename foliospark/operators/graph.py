@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"foliospark-{uuid.uuid4().hex}-"))
     return df.checkpoint()
@@ -92,6 +92,116 @@ def outline(df: DataFrame, dot: str = " / ", by: list[str] | None = None) -> Dat
     return descend(df.select(*by, "id", "parent", "seq", "title"), by, top, step)
 
 
+def counted(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Trees given as (by, id, parent, seq, title, open) with ``level``, ``place``, their interval and their counts.
+
+    ``pre`` is a node's place in pre-order, from 1, and ``last`` that of its last descendant: what lies below it is the interval
+    between. ``below`` counts its descendants and ``visible`` those that show when it is opened: what lies below a closed one
+    doesn't. ``count`` is ``visible``, negative for a closed node. A node is told to each of its ancestors, by the part of its place
+    that is theirs, and summed there, so sums are partial before the shuffle and no tree is walked up.
+    """
+    place = lambda seq: F.lpad(seq.cast("string"), 19, "0")
+    shut = F.when(~F.coalesce("open", F.lit(False)), F.lit(1)).otherwise(0)
+    kept = ["id", "title", "open"]
+    top = nodes.where("parent IS NULL").select(*by, *kept, F.lit(1).alias("level"), place(F.col("seq")).alias("place"), F.lit(0).alias("shut_"), shut.alias("own_"))
+
+    def step(both: DataFrame) -> DataFrame:
+        level = F.col("t.level") + 1
+        own = F.when(~F.coalesce("c.open", F.lit(False)), level).otherwise(F.greatest("t.own_", F.lit(0)))
+        return both.select(*(F.col(f"c.{c}").alias(c) for c in by), *(f"c.{c}" for c in kept), level.alias("level"), F.concat("t.place", F.lit("."), place(F.col("c.seq"))).alias("place"), F.col("t.own_").alias("shut_"), own.alias("own_"))
+
+    rows = descend(nodes.select(*by, *kept, "parent", "seq"), by, top, step)
+    rows = rows.drop("own_").withColumn("pre", F.row_number().over(Window.partitionBy(*by).orderBy("place", "id")))
+    told = rows.where("level > 1").withColumn("at_", F.explode(F.sequence(F.lit(1), F.col("level") - 1)))
+    told = told.select(*by, F.substring("place", F.lit(1), F.col("at_") * 20 - 1).alias("place"), "pre", (F.col("at_") >= F.col("shut_")).alias("shows_"))
+    sums = told.groupBy(*by, "place").agg(F.max("pre").alias("last"), F.count("*").alias("below"), F.count_if("shows_").alias("visible"))
+    sums = sums.select(*(F.col(c).alias(f"{c}_of_") for c in by), F.col("place").alias("place_of_"), "last", "below", "visible")
+    out = rows.join(sums, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by] + [F.col("place") == F.col("place_of_")], "left")
+    visible = F.coalesce("visible", F.lit(0))
+    return out.select(*by, *kept, "level", "place", "pre", F.coalesce("last", "pre").alias("last"), F.coalesce("below", F.lit(0)).alias("below"), visible.alias("visible"), F.when(F.coalesce("open", F.lit(False)), visible).otherwise(-visible).alias("count"))
+
+
+def without_subtrees(spans: DataFrame, removed: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``counted`` that lie in no interval of a ``removed`` node (by, id); intervals nest, so the furthest end so far tells."""
+    marks = removed.select(*(F.col(c).alias(f"{c}_of_") for c in by), F.col("id").alias("id_of_")).distinct().withColumn("gone_", F.lit(True))
+    out = spans.join(marks, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by] + [F.col("id") == F.col("id_of_")], "left")
+    reach = F.max(F.when(F.col("gone_"), F.col("last"))).over(Window.partitionBy(*by).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("reach_", reach).where("reach_ IS NULL OR pre > reach_").select(*spans.columns)
+
+
+#: Tables of a loop's rounds from which they are written as one.
+ROUNDS = 16
+
+
+def _known_edges(edges: DataFrame, by: list[str], barred: DataFrame | None) -> DataFrame:
+    """Distinct edges that lead to no barred node (by, node)."""
+    known = edges.select(*by, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    return known if barred is None else known.join(barred.select(*by, F.col("node").alias("dst")).distinct(), [*by, "dst"], "left_anti").select(*by, "src", "dst")
+
+
+def dependencies(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, barred: DataFrame | None = None) -> DataFrame:
+    """``by, root, node, depth``: what each of the ``roots`` (by, node) reaches along ``edges`` (by, src, dst), itself at depth 0, for all roots in one loop.
+
+    ``barred`` nodes (by, node), such as other pages or the page tree, are neither entered nor given, save as a root of their own. A
+    round joins the pairs that are new, by their node, and leaves out those known; it ends when none is new. A root's pairs are spread
+    by (root, node), so one that reaches much is no task's.
+    """
+    by = by or []
+    known = _checkpoint(_known_edges(edges, by, barred))
+    out = known.select(*(F.col(c).alias(f"{c}_e_") for c in by), "src", "dst")
+    frontier = _checkpoint(roots.where("node IS NOT NULL").select(*by, F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
+    parts = [frontier]
+    for depth in range(1, 2**31):
+        step = frontier.join(out, [F.col(c) == F.col(f"{c}_e_") for c in by] + [F.col("node") == F.col("src")])
+        step = step.select(*by, "root", F.col("dst").alias("node")).distinct()
+        seen = parts[0]
+        for p in parts[1:]:
+            seen = seen.unionByName(p)
+        frontier = _checkpoint(step.join(seen, [*by, "root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return seen
+        parts = [*parts, frontier] if len(parts) < ROUNDS else [_checkpoint(seen), frontier]
+
+
+#: What uses an object besides pages, as bits. The first page is told apart from the others.
+FIRST_PAGE, OUTLINES, OPENING, OTHER = 1, 2, 4, 8
+
+
+def ownership(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, barred: DataFrame | None = None) -> DataFrame:
+    """``by, node, least, most, users``: who reaches each node that the ``roots`` (by, node, owner, users) reach along ``edges`` (by, src, dst).
+
+    A root has an ``owner`` (a page's number, or null) and ``users``, bits that it passes on. Of the owners that reach a node
+    only the least and the most are kept: equal, it has one; unequal, it has several; null, none. So the state of a node is of
+    constant size, however many roots reach it, and what comes in is merged by minimum, maximum and or, in partial sums. Nodes whose
+    state has changed tell those behind them, until none does. ``barred`` nodes aren't entered.
+    """
+    by = by or []
+    known = _checkpoint(_known_edges(edges, by, barred))
+    out = known.select(*(F.col(c).alias(f"{c}_e_") for c in by), "src", "dst")
+    merged = [F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("users").alias("users")]
+    given = roots.where("node IS NOT NULL").select(*by, "node", F.col("owner").alias("least"), F.col("owner").alias("most"), F.coalesce("users", F.lit(0)).cast("int").alias("users"))
+    state = _checkpoint(given.groupBy(*by, "node").agg(*merged).withColumn("moved_", F.lit(True)))
+    while True:
+        moved = state.where("moved_").select(*by, "node", "least", "most", "users")
+        told = moved.join(out, [F.col(c) == F.col(f"{c}_e_") for c in by] + [F.col("node") == F.col("src")])
+        told = told.groupBy(*by, F.col("dst").alias("node")).agg(*merged)
+        told = told.select(*(F.col(c).alias(f"{c}_n_") for c in by), F.col("node").alias("node_n_"), F.col("least").alias("l_"), F.col("most").alias("m_"), F.col("users").alias("u_"))
+        both = state.drop("moved_").join(told, [F.col(c) == F.col(f"{c}_n_") for c in by] + [F.col("node") == F.col("node_n_")], "full")
+        new = [F.least("least", "l_").alias("least"), F.greatest("most", "m_").alias("most"), F.coalesce("users", F.lit(0)).bitwiseOR(F.coalesce("u_", F.lit(0))).alias("users")]
+        same = F.col("node").isNotNull() & F.least("least", "l_").eqNullSafe(F.col("least")) & F.greatest("most", "m_").eqNullSafe(F.col("most")) & (F.col("users").bitwiseOR(F.coalesce("u_", F.lit(0))) == F.col("users"))
+        state = _checkpoint(both.select(*(F.coalesce(c, f"{c}_n_").alias(c) for c in by), F.coalesce("node", "node_n_").alias("node"), *new, (~same).alias("moved_")))
+        if state.where("moved_").isEmpty():
+            return state.drop("moved_")
+
+
+def placed(owned: DataFrame) -> DataFrame:
+    """The rows of ``ownership`` with the ``part`` of a file for the web that each belongs to: 4 with the opening, 6 the first page's own, 7 another page's own, 8 shared by pages, 9 the rest; outlines are 6."""
+    has = lambda bit: F.col("users").bitwiseAND(F.lit(bit)) != 0
+    alone = F.col("least").isNotNull() & (F.col("least") == F.col("most"))
+    part = F.when(has(OUTLINES), 6).when(has(OPENING), 4).when(has(FIRST_PAGE), 6).when(alone & ~has(OTHER), 7).when(F.col("least") < F.col("most"), 8).otherwise(9)
+    return owned.withColumn("part", part.cast("int"))
+
+
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of rows with the same key, the one that comes last."""
     rest = [c for c in df.columns if c not in key]

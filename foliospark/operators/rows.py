@@ -104,18 +104,10 @@ def gutters(df: DataFrame, by: list[str], value: str, lo: float, hi: float, bins
 
 
 def overlaps(df: DataFrame, x0: str, y0: str, x1: str, y1: str, regions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows with each of the ``regions`` (region_id, llx, lly, urx, ury: the caller's) that they overlap by a positive area."""
-    cond = (F.col(x0) < F.col("urx")) & (F.col(x1) > F.col("llx")) & (F.col(y0) < F.col("ury")) & (F.col(y1) > F.col("lly"))
-    if by:
-        return df.join(regions, [*by], "inner").where(cond)
-    return df.join(F.broadcast(checked(regions)), cond)
-
-
-def checked(small: DataFrame, most: int = 100_000) -> DataFrame:
-    """The frame itself, if it has at most ``most`` rows; it may then be broadcast."""
-    if small.limit(most + 1).count() > most:
-        raise ValueError(f"a side of over {most} rows can't be matched by position alone; give a key in by")
-    return small
+    """Rows with each of the ``regions`` (region_id, llx, lly, urx, ury) that they overlap by a positive area, found by their place and the keys ``by``."""
+    from foliospark.operators import spatial
+
+    return spatial.meets(df, regions, (x0, y0, x1, y1), by=by)
 
 
 def cell_of(df: DataFrame, x: str, y: str, xs: list[float], ys: list[float]) -> DataFrame:

@@ -2,32 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import forms, graph, layout, models, pages, rows, tables, text
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLES[key] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+from foliospark.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 
 # --- search and replacement
 
@@ -996,3 +974,6 @@ def scanned_pages(spark, sf):
     web = read(spark, sf, "pages").select("page_id").join(docs, "page_id", "left").withColumn("page_area", F.lit(1000.0))
     images = read(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), (F.col("o_totalprice") / 200).alias("area"))
     return models.needs_ocr(web, images, ["page_id"], "text", "page_area", "area").select("page_id", "needs_ocr")
+
+
+from foliospark.plans import structure  # noqa: E402, F401  registers its queries
