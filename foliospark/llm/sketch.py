@@ -160,11 +160,10 @@ def edited(text: str, following: str) -> str:
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Rows (range_, guest_, key_, id, text) so placed and sorted that each document is followed by the next one
-    in descending id, null last, equal ids by text.
+    in descending id, null last, equal ids by the hash of their text and then by the text, whatever the ranges.
 
     Ranges of ids get about ``rows`` rows each, long ones counting as several, or more once there are ``MOST_RANGES``. An
-    id that outweighs two ranges, as that of all nulls may, is dealt to several by the hash of the text, which is then its
-    order. The first rows of each range also come, as guests, to the end of the range before, those of the first range to
+    id that outweighs two ranges, as that of all nulls may, is dealt to several by the hash of the text. The first rows of each range also come, as guests, to the end of the range before, those of the first range to
     the last's. So whole texts are shuffled once, and no window runs over all documents.
     """
     spark = docs.sparkSession
@@ -173,7 +172,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = RANGE_ROW
     keyed = keyed.withColumn("key_", F.coalesce("id", F.lit((least or 0) - 1)))
     places = Places(spark, weighted_ranges(keyed, "key_", units(F.col("text")), max(rows, (total or 0) // MOST_RANGES)))
     keyed = keyed.withColumn("p_", places.of(F.col("key_")))
-    keyed = keyed.withColumn("h_", F.when(F.col("p_.parts") > 1, F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
+    keyed = keyed.withColumn("h_", F.xxhash64("text"))
     part = F.least(F.floor((F.col("h_") / float(2**64) + 0.5) * F.col("p_.parts")), F.col("p_.parts") - 1)  # grows with the hash
     range_ = F.when(F.col("p_.parts") > 1, part).otherwise(0) + F.lit(places.total) - F.col("p_.base") - F.col("p_.parts")
     keyed = keyed.withColumn("range_", range_.cast("int"))
@@ -197,7 +196,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The edited text has its last third replaced by the start of the next document's, in descending id; after the
     last comes the first. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next of every row. A null text is an empty one; null ids come last; repeated rows come back as often,
-    equal ids in order of text, or of its hash where they fill several ranges (only whole rows that repeat share a task). Ids are numbers. A document alone is its own next. An empty
+    equal ids in order of their texts' hashes, however many there are (only whole rows that repeat share a task). Ids are numbers. A document alone is its own next. An empty
     table gives an empty one; other columns are ignored.
     """
     small_batches(docs.sparkSession)
