@@ -121,32 +121,33 @@ class _Roller:
             self.sink, self.nth = None, self.nth + 1
 
 
+#: Parts that rows of one payload and no id may be dealt to.
+SALTS = 16
 MANIFEST = "file string, bytes bigint, records bigint, first_id bigint, last_id bigint, sha256 string"
 
 
 def decisions(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
     """``id_``, ``digest_`` (hex) and ``refers_to_`` of every row: of equal payloads of ``least`` bytes or more, the least
-    id is the response and others refer to it. Payloads are hashed where they lie; digests alone are shuffled."""
+    id is the response and others refer to it, those without an id too; where none has an id, all are responses. Payloads are hashed where they lie; digests alone are shuffled."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id_"), F.sha1(payload).alias("digest_"), (F.octet_length(payload) >= least).alias("whole_"))
     rows = materialize(rows, "digests")
     first = rows.where("whole_").groupBy("digest_").agg(F.min("id_").alias("first_"))
     found = rows.join(first, "digest_", "left")
-    return found.select("id_", "digest_", F.when(F.col("whole_") & (F.col("id_") != F.col("first_")), F.col("first_")).alias("refers_to_"))
+    return found.select("id_", "digest_", F.when(F.col("whole_") & (F.col("id_").isNull() | (F.col("id_") != F.col("first_"))), F.col("first_")).alias("refers_to_"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, file_bytes: int = FILE_BYTES, rows: int = RANGE_ROWS) -> DataFrame:
     """Writes a record for each row of ``pages`` to ``folder`` and returns the manifest.
 
     Records are ordered by id in ranges cut by ids and bytes, null last, so files have the same names and bytes in
-    every run. An id that outweighs two ranges is dealt to several by its payloads' digests; rows without an id, which
-    refer to none, by their place in the table, so that their files depend on its partitions. Payloads are shuffled once,
-    next to their decision; each is at most one row in memory. Files
+    every run and with any partitions. An id that outweighs two ranges is dealt to several by its payloads' digests; rows without an id by
+    their urls too, in ``SALTS`` parts a payload, each of which gets its decision. Payloads are shuffled once, next to their decision; each is at most one row in memory. Files
     are written under temporary names and renamed when whole; a repeated attempt replaces a file by an equal one.
     The manifest, written last, commits: a folder without it is no archive.
 
     A null html is an empty payload; a null url has an empty target. Rows repeated under one id are all written:
-    the first is the response, and those equal to it too; only equal payloads under one id share a task. Ids are numbers. An empty table makes an empty manifest. Other columns
+    those of the least id and equal payloads are all responses; only equal payloads under one id, or under none with urls of one hash, share a task. Ids are numbers. An empty table makes an empty manifest. Other columns
     are ignored.
     """
     spark = pages.sparkSession
@@ -157,15 +158,17 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     key = F.coalesce("id_", F.lit((most or 0) + 1))
     places = Places(spark, weighted_ranges(keyed.withColumn("key_", key), "key_", units(F.col("html_")), max(rows, (total or 0) // MOST_RANGES)))
     digest = F.when(F.col("kind_") == 0, F.col("url_")).otherwise(F.sha1(F.col("html_").cast("binary")))
-    part = F.when(F.col("p_.parts") == 1, 0).when(F.col("id_").isNull(), F.pmod(F.monotonically_increasing_id(), F.col("p_.parts"))).otherwise(F.pmod(F.xxhash64(digest), F.col("p_.parts")))
+    part = F.when(F.col("p_.parts") == 1, 0).otherwise(F.pmod(F.xxhash64(digest, "salt_"), F.col("p_.parts")))
+    salt = F.when(F.col("id_").isNull(), F.pmod(F.xxhash64("url_"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("id_").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     chosen = decisions(pages, id_col, html_col, least).where("refers_to_ is not null").distinct()
     none = F.lit(None)
     sorted_rows = (
-        keyed.select(key.alias("key_"), F.lit(1).alias("kind_"), "id_", "url_", "html_", none.cast("bigint").alias("refers_to_"))
-        .unionByName(chosen.select(key.alias("key_"), F.lit(0).alias("kind_"), "id_", F.col("digest_").alias("url_"), none.cast("string").alias("html_"), "refers_to_"))
+        keyed.select(key.alias("key_"), F.lit(1).alias("kind_"), "id_", "url_", "html_", none.cast("bigint").alias("refers_to_"), salt.alias("salt_"))
+        .unionByName(chosen.select(key.alias("key_"), F.lit(0).alias("kind_"), "id_", F.col("digest_").alias("url_"), none.cast("string").alias("html_"), "refers_to_", F.explode(salts).alias("salt_")))
         .withColumn("p_", places.of(F.col("key_")))
         .withColumn("range_", (F.col("p_.base") + part).cast("int"))
-        .drop("p_")
+        .drop("p_", "salt_")
         .repartitionById(places.total, "range_")
         .sortWithinPartitions("range_", "key_", "kind_", "url_", "html_")
     )
@@ -257,5 +260,5 @@ d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest, min
 b AS (SELECT page_id, n, first, list_transform(range(0, 32), lambda i:
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || digest[1 + 10 * (i // 8):10 + 10 * (i // 8)] AS BIGINT) >> (35 - 5 * (i % 8))) & 31)]) AS chars FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(chars, '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+       CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b
 """
