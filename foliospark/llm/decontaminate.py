@@ -32,9 +32,10 @@ def words(text: str | None) -> list[bytes]:
 class Windows:
     """The windows of benchmark items in a few flat arrays, some 40 bytes a word: for each length, sorted hashes, a place where the window's words stand, for verification, and its items."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[list, str | None]], window: int = WINDOW):
+        """``items`` are texts, each with the ids that have it."""
         self.vocabulary: dict[bytes, int] = {}
-        self.names = [item for item, _ in items]
+        self.names = [names for names, _ in items]
         listed = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)), np.uint32) for _, text in items]
         lengths = np.array([len(x) for x in listed], np.int64)
         self.words = np.concatenate([*listed, np.zeros(0, np.uint32)])
@@ -57,7 +58,7 @@ class Windows:
                 same &= self.words[place + k] == self.words[rep + k]
             others: dict[tuple, set] = {}
             for j in np.flatnonzero(~same).tolist():
-                others.setdefault(tuple(self.words[place[j] : place[j] + n].tolist()), set()).add(self.names[owner[j]])
+                others.setdefault(tuple(self.words[place[j] : place[j] + n].tolist()), set()).update(self.names[owner[j]])
             keep = same & np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))  # an item once a window
             h, owner, place = h[keep], owner[keep], place[keep]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -91,7 +92,8 @@ class Windows:
                 if (self.words[places[j] : places[j] + n] == own).all():  # a hash alone proves nothing
                     if (n, j) not in seen:
                         seen.add((n, j))
-                        items.update(self.names[x] for x in owners[ends[j] : ends[j + 1]].tolist())
+                        for x in owners[ends[j] : ends[j + 1]].tolist():
+                            items.update(self.names[x])
                 elif tuple(own.tolist()) in others:
                     items |= others[tuple(own.tolist())]
                 else:
@@ -118,52 +120,115 @@ def _spans(positions: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(positions[np.r_[0, breaks + 1]].tolist(), (positions[np.r_[breaks, len(positions) - 1]] + 1).tolist()))
 
 
+def pieces(benchmark: DataFrame, item_col: str, item_text: str, window: int, most_words: int) -> DataFrame:
+    """The benchmark as ``words`` (normalised, space-joined) with the ``items`` that have them, and ``weight``: words and ids.
+
+    Equal texts are one row with all their ids. Long ones are cut into ranges of windows, and long lists of ids into several, of a quarter of ``most_words`` at most,
+    so that each window of each item stands in one row.
+    """
+    most = max(1, most_words // 4)
+    kind = benchmark.schema[item_col].dataType.simpleString()
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(words(t)).decode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()], pa.string())], names=["item", "words"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, parts = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                found = text.split(" ")
+                for at in range(0, max(1, len(found) - window + 1), most):
+                    rows.append(k)
+                    parts.append(" ".join(found[at : at + most + window - 1]))
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), pa.array(parts, pa.string())], names=["items", "words"])
+
+    known = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("words")).mapInArrow(normal, f"item {kind}, words string").where("words <> ''")
+    texts = known.groupBy("words", F.pmod(F.xxhash64("item"), F.lit(64)).alias("nth")).agg(F.collect_set("item").alias("items"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("items") - 1, F.lit(0)), F.lit(most)), lambda k: F.slice("items", k + 1, F.lit(most)))
+    merged = texts.groupBy("words").agg(F.flatten(F.collect_list("items")).alias("items")).select(F.explode(chunks).alias("items"), "words")
+    out = merged.mapInArrow(cut, f"items array<{kind}>, words string")
+    return out.withColumn("weight", F.size(F.split("words", " ")) + F.size("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = BROADCAST_WORDS) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (word positions, end exclusive) and ``hit_items``.
 
     Windows of ``window`` item words (an item of fewer, but not none, is one window) are broadcast as a hash
     set; documents are scanned where they lie, without a shuffle, and each hit is verified word by word.
-    The benchmark's size is measured first: a broadcast holds about ``most_words`` words, and a larger
-    benchmark is dealt over several passes, whose spans and items are merged, so that the result is the same. Each pass
-    is written to the shared folder before the next, so that one set at a time is in memory. Item ids may be of any kind.
+    The benchmark's ``pieces`` are weighed first: a broadcast holds about ``most_words`` words and ids, whatever repeats and however long an item is, and a larger
+    benchmark is dealt over several passes, one set at a time. Then documents are written once, with a number; each pass writes the numbers and hits of
+    those that it hits, and these are joined to the documents in the end, so their texts are written and shuffled once, whatever the passes. The
+    result is the same. Item ids may be of any kind.
     A null text has no words, on either side. Items without an id add to spans but not to ``hit_items``;
-    repeated items count once. Repeated documents are judged alike; other columns pass through, but the three
+    repeated items count once. Repeated documents are judged alike; very long texts are scanned whole, each in one task; other columns pass through, but the three
     names above are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    size = F.coalesce(F.length(item_text), F.lit(0)) / 2 + 1  # a word and its separator take two characters at least
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    passes = int(total // most_words) + 1
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("words_of"))
+    cut = materialize(pieces(benchmark, item_col, item_text, window, most_words), "pieces")
+    total = cut.agg(F.sum("weight")).first()[0] or 0
+    passes = -(-total // most_words) or 1
     id_kind = benchmark.schema[item_col].dataType.simpleString()
     id_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
-    out = docs.drop("n_words", "hit_spans", "hit_items")
-    names = out.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    schema += f", n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<{id_kind}>"
-    out = out.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "hit_items": F.expr(f"cast(array() as array<{id_kind}>)")})
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("words_of"), F.lit(passes)) == k)
-        known = Shared(spark, Windows([tuple(r) for r in part.collect()], window))
+    span_arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    own, names = aside(docs.drop("n_words", "hit_spans", "hit_items"), "row_", "spans_", "items_")
+    out = own
+    found_kinds = f"n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<{id_kind}>"
+
+    def columns_of(df: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+    def hits(df: DataFrame, known: Shared, every: bool) -> DataFrame:
+        """The columns of ``df`` with what a set finds; not ``every`` row, but those with a hit."""
+        left, at_text = df.columns, df.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                text = b.schema.get_field_index(text_col)
                 count, spans, owners = [], [], []
-                for t, s, i in zip(b.column(text).to_pylist(), b.column(len(names) + 1).to_pylist(), b.column(len(names) + 2).to_pylist()):
+                for t in b.column(at_text).to_pylist():
                     found = words(t)
                     at, who = known.value.scan(found)
                     count.append(len(found))
-                    spans.append([{"start": x, "end": y} for x, y in _merge(_spans(at) + [(x["start"], x["end"]) for x in s])])
-                    owners.append(sorted((who - {None}) | set(i)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(owners, pa.list_(id_arrow))], names=[*names, "n_words", "hit_spans", "hit_items"])
-
-        before, out = out, out.mapInArrow(run, schema)
-        if k + 1 < passes:
-            out = materialize(out, "pass")
-        forget(before) if k + 1 < passes else None
-    return out
+                    spans.append([{"start": x, "end": y} for x, y in _spans(at)])
+                    owners.append(sorted(who))
+                out = pa.RecordBatch.from_arrays([*b.columns, pa.array(count, pa.int64()), pa.array(spans, span_arrow), pa.array(owners, pa.list_(id_arrow))], names=[*left, "n_words", "hit_spans", "hit_items"])
+                yield out if every else out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
+
+        return df.mapInArrow(run, f"{columns_of(df)}, {found_kinds}")
+
+    def windows(k: int) -> Shared | None:
+        part = cut.where(F.pmod(F.xxhash64("words", "items"), F.lit(passes)) == k).select("items", "words").collect()  # about most_words
+        return Shared(spark, Windows([(r["items"], r["words"]) for r in part], window)) if part or passes == 1 else None
+
+    if passes == 1:
+        known = windows(0)
+        forget(cut)
+        return hits(out, known, True).select(*names, "n_words", "hit_spans", "hit_items")
+    numbered = materialize(out.withColumn("row_", F.monotonically_increasing_id()), "numbered")  # fixed once it is written
+    parts = []
+    for k in range(passes):
+        known = windows(k)
+        if known:
+            parts.append(materialize(hits(numbered.select("row_", text_col), known, False).select("row_", "hit_spans", "hit_items"), "pass"))
+    forget(cut)
+    all_hits = parts[0]
+    for p in parts[1:]:
+        all_hits = all_hits.unionByName(p)
+    merged = materialize(all_hits.groupBy("row_").agg(F.flatten(F.collect_list("hit_spans")).alias("spans_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("items_")), "hits")
+    forget(*parts)
+    both = numbered.join(merged, "row_", "left").select(*out.columns, "spans_", "items_")
+    rest, at_text = out.columns, out.columns.index(text_col)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = [len(words(t)) for t in b.column(at_text).to_pylist()]
+            spans = [[{"start": x, "end": y} for x, y in _merge([(x["start"], x["end"]) for x in s or []])] for s in b.column(len(rest)).to_pylist()]
+            owners = [x or [] for x in b.column(len(rest) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(count, pa.int64()), pa.array(spans, span_arrow), pa.array(owners, pa.list_(id_arrow))], names=[*rest, "n_words", "hit_spans", "hit_items"])
+
+    return both.mapInArrow(whole, f"{columns_of(out)}, {found_kinds}").select(*names, "n_words", "hit_spans", "hit_items")
 
 
 def n_hit() -> F.Column:

@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -195,9 +196,16 @@ def test_novelty_is_marginal():
 # 3
 
 
-def test_sketch(docs):
-    rows = sorted(texts_of(docs), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
-    got = sketch.neighbours(docs, rows=7).collect()
+def by_hash(row):
+    """Descending id, null last, then the hash of the text as Spark has it."""
+    h = xxhash.xxh64_intdigest(row[1].encode(), 42)
+    return -(row[0] if row[0] is not None else -1), h - (h >> 63 << 64), row[1]
+
+
+@pytest.mark.parametrize("size", [2, 7, 4096])
+def test_sketch(docs, size):
+    rows = sorted(texts_of(docs), key=by_hash)
+    got = sketch.neighbours(docs, rows=size).collect()
     assert len(got) == len(rows)
     want = Counter()
     for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
@@ -265,6 +273,14 @@ def test_sketch_of_a_hot_id_is_dealt_to_several_ranges(spark, hot):
     assert [r.near_next for r in got if r.id == least + 1] == [0.0]
 
 
+@pytest.mark.parametrize("hot", [None, 5])
+def test_sketch_of_ties_does_not_depend_on_ranges(spark, hot):
+    rows = [(hot, f"text {k} " * (k % 4 + 2), None, None, 0) for k in range(6)] + [(9, "nine " * 9, None, None, 0), (1, "one " * 7, None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = [Counter((r.id, r.edited_sha256, r.near_next) for r in sketch.neighbours(df.repartition(p), rows=n).collect()) for n, p in ((2, 1), (3, 4), (4096, 2))]
+    assert found[0] == found[1] == found[2]
+
+
 def test_sketch_merges_across_parts(docs):
     prints = sketch.fingerprints(docs).join(docs.select("doc_id", "source").distinct(), "doc_id")
     got = {r.source: r.fingerprint for r in sketch.merged(prints, ["source"]).collect()}
@@ -755,8 +771,25 @@ def test_warc_of_a_hot_id_is_dealt_to_several_files(spark, tmp_path, hot):
     manifest = warc.write(df, str(tmp_path / "hot"), rows=10)
     assert manifest.where("records > 60").count() == 0 and manifest.count() > 10
     first = {h: min((i for i, _, x in rows if x == h and i is not None), default=None) for _, _, h in rows}
-    want = Counter((i, u, first[h] if i is not None and i != first[h] else None) for i, u, h in rows)
+    want = Counter((i, u, first[h] if i != first[h] else None) for i, u, h in rows)
     assert Counter((r.page_id, r.url, r.refers_to) for r in warc.read(spark, str(tmp_path / "hot")).collect()) == want
+    sums = {r.file: r.sha256 for r in manifest.collect()}
+    again = warc.write(df.repartition(7, "url"), str(tmp_path / "again"), rows=10)
+    assert {r.file: r.sha256 for r in again.collect()} == sums  # whatever the partitions
+
+
+def test_warc_of_pages_without_an_id(spark, tmp_path):
+    rows = [(1, "a", "<p>x</p>"), (None, "b", "<p>x</p>"), (None, None, "<p>x</p>"), (None, "c", "<p>own</p>"), (None, "d", "<p>own</p>"), (2, "e", None), (None, "f", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for n in (1, 4096):
+        warc.write(df, str(tmp_path / f"n{n}"), rows=n)
+        got = Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / f"n{n}")).collect())
+        assert got == Counter([(1, "a", "response", None), (None, "b", "revisit", 1), (None, "", "revisit", 1), (None, "c", "response", None), (None, "d", "response", None), (2, "e", "response", None), (None, "f", "revisit", 2)])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.execute(warc.ORACLE).fetchall()
+    assert Counter(tuple(r) for r in warc.op9(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == Counter(want)
 
 
 # 10
@@ -771,6 +804,22 @@ def test_contamination_with_text_ids_and_repeated_windows(spark):
         assert got == {1: (["a", "b"], [(1, 41)], 42), 2: (["c"], [(1, 3)], 4), 3: ([], [(0, 3)], 3), 4: ([], [], 0)}
 
 
+def test_the_bound_of_a_broadcast_holds_for_repeated_and_long_items(spark, monkeypatch):
+    text = " ".join(f"k{i % 70}" for i in range(100))
+    long = " ".join(f"m{i}" for i in range(5_000))
+    rows = [(k, text) for k in range(200)] + [(900, long), (901, "k1 k2"), (902, None)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
+    df = spark.createDataFrame([(1, f"x {text} y"), (2, long[2000:9000]), (3, "k1 k2"), (4, "none at all"), (5, None)], "doc_id int, text string")
+    sizes = []
+    made = decontaminate.Windows.__init__
+    monkeypatch.setattr(decontaminate.Windows, "__init__", lambda self, given, window=13: (sizes.append(sum(len((t or "").split()) + len(n) for n, t in given)), made(self, given, window))[1])
+    whole = {r.doc_id: (r.n_words, r.hit_spans, r.hit_items) for r in decontaminate.contamination(df, items).collect()}
+    assert len(sizes) == 1 and len(whole[1][2]) == 201 and whole[2][2] == [900]
+    sizes.clear()
+    some = {r.doc_id: (r.n_words, r.hit_spans, r.hit_items) for r in decontaminate.contamination(df, items, most_words=1000).collect()}
+    assert some == whole and 5 <= len(sizes) <= 8 and max(sizes) <= 2500
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     words, hit, who = split(text), set(), set()
