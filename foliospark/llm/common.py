@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -41,23 +42,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/foliospark-{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that ``materialize`` wrote and nobody has deleted yet.
+_WRITTEN: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _WRITTEN.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path_ = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes what ``materialize`` wrote for tables that nothing reads any more."""
     for df in tables:
         path = getattr(df, "scratch_path_", None)
         if path:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` gives, written; all other tables that were written for it are deleted then."""
+    before = set(_WRITTEN)
+    out = materialize(build(), name)
+    for path in _WRITTEN - before - {out.scratch_path_}:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -23,8 +23,8 @@ ORDER_TEXTS, ORDER_SHINGLES = 8192, 262_144
 FIRST = 3
 #: Texts under one shingle from which they are compared in blocks instead of joined.
 JOINED = 16
-#: Texts of one kind in a block.
-BLOCK = 2048
+#: Texts of one kind in a block, at least, and blocks that they are dealt to before blocks grow, to ``LARGEST`` times as many texts.
+BLOCK, GRID, LARGEST = 2048, 32, 32
 #: Nearest ones that a text and block give in the first whole round.
 LIMIT = 64
 #: Rows of blocks that a task is given, about.
@@ -77,11 +77,10 @@ def common_shingles(docs: DataFrame, text_col: str) -> Shared:
         hasher = Hasher(SHINGLE, 64)
         for b in batches:
             sets = [shingle_set(hasher, t).view(np.int64) for t in b.column(1).to_pylist()]
-            lengths = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["digest_", "h_"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["h_"])
 
-    hashed = some.mapInArrow(run, "digest_ bigint, h_ bigint").distinct()
-    counts = hashed.groupBy("h_").agg(F.count("*").alias("n_")).where("n_ > 1")
+    once = some.groupBy("digest_").agg(F.first("text_").alias("text_"))
+    counts = once.mapInArrow(run, "h_ bigint").groupBy("h_").agg(F.count("*").alias("n_")).where("n_ > 1")
     found = np.array([r["h_"] for r in counts.orderBy(F.col("n_").desc(), "h_").limit(ORDER_SHINGLES).collect()], np.int64).view(np.uint64)
     by_hash = np.argsort(found)
     return Shared(docs.sparkSession, (found[by_hash], len(found) - by_hash))
@@ -100,13 +99,13 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: flo
 
 
 def marks(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], least: float) -> list[pa.Array]:
-    """``n_``, ``tokens_``, ``bits_`` and ``brief_`` of texts' sets of shingles."""
+    """``n_``, ``tokens_``, ``bits_`` and ``brief_`` of texts' sets of shingles; those whose ``bits_`` are brief have no others."""
     bits = [parities(s) for s in sets]
     return [
         pa.array([len(s) for s in sets], pa.int32()),
         pa.array([prefix(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
         pa.array(bits, pa.binary()),
-        pa.array([folded(np.frombuffer(x, np.uint8)[None], min(len(x), BRIEF)).tobytes() for x in bits], pa.binary()),
+        pa.array([folded(np.frombuffer(x, np.uint8)[None], BRIEF).tobytes() if len(x) > BRIEF else None for x in bits], pa.binary()),
     ]
 
 
@@ -178,7 +177,8 @@ def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool,
     pairs = few.join(other, "token_").where(fits).select(F.col("digest_").alias("a_"), "b_")
     many = met.join(tokens.where(F.col("total_") > joined), "token_")
 
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    # A text comes to each block of its shingle once, so that rows grow with the texts until blocks are of the largest size.
+    blocks = lambda n: F.greatest(F.lit(1), F.least(F.ceil(n / block), F.greatest(F.lit(GRID), F.ceil(n / (LARGEST * block))))).cast("int")
     nth = lambda n: F.pmod(F.xxhash64("digest_", F.lit(7)), n).cast("int")
     place = lambda i, j, side: F.struct(i.cast("int").alias("i_"), j.cast("int").alias("j_"), side.cast("int").alias("side_"))
     small = F.array(place(F.lit(-1), F.lit(-1), F.lit(2)))
@@ -277,19 +277,19 @@ def resemblance_links(docs: DataFrame, text_col: str, rows: DataFrame, near: Dat
     slack = (1 - least) / (1 + least) * F.col("n_") - F.col("at_") + 1e-6
     again = held.groupBy("token_").agg(F.count("*").alias("c_"), F.max(slack).alias("most_")).where("c_ > 1 AND most_ >= 0").select("token_", "most_")
     met = materialize(held.join(again, "token_").where(slack + F.col("most_") >= 0).drop("most_"), "met")
-    texts = materialize(whole_texts.drop("tokens_"), "texts")
-    forget(whole_texts)
+    texts = whole_texts
     nth = F.struct("at_", "token_")
     least_tokens = F.array_sort(F.collect_list(nth))  # as many as a text's prefix has at most
     first = met.groupBy("digest_", "n_").agg(F.slice(least_tokens, 1, FIRST).alias("t_")).select("digest_", "n_", F.explode("t_").alias("t_")).select("digest_", "n_", "t_.at_", "t_.token_")
-    links, whole, hot = near.select("u", "v"), False, False
+    links, whole, hot, stars = near.select("u", "v"), False, False, []
     while True:
         roots = materialize(connected_components(links), "roots")
-        named = materialize(texts.select("digest_", "fp", "brief_").join(roots.toDF("fp", "root_"), "fp", "left").select("digest_", "brief_", F.coalesce("root_", "fp").alias("root_")), "named")
+        named = materialize(texts.select("digest_", "fp", F.coalesce("brief_", "bits_").alias("brief_")).join(roots.toDF("fp", "root_"), "fp", "left").select("digest_", "brief_", F.coalesce("root_", "fp").alias("root_")), "named")
         pairs, again = candidates((met if whole else first).join(named, "digest_"), least, limit, whole, hot, block, joined)
         found = verified(docs, text_col, texts, pairs, least, not whole)
-        links = links.union(found)
-        forget(roots, named, pairs)
+        forget(*stars, named, pairs)
+        stars = [roots, found]  # what was joined so far is a link a node
+        links = roots.where("node <> root").toDF("u", "v").union(found)
         if whole:
             done, before = again.isEmpty(), met
             if not done:  # shingles without further pairs are settled
