@@ -56,8 +56,8 @@ def pack(df: DataFrame, by: list[str], order: str, size: str, limit: int = CHUNK
 
 
 def conversation(df: DataFrame, by: list[str], order: str, role: str, text: str, limit: int = CONTEXT) -> DataFrame:
-    """Each conversation's turns in order, as one text cut at ``limit`` characters: by, n_turns, history, truncated."""
-    turns = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.concat(F.col(role), F.lit(": "), F.col(text)).alias("line")))), lambda t: t["line"])
+    """Each conversation's turns in order, as one text cut at ``limit`` characters: by, n_turns, history, truncated. A turn with a null text is an empty turn of its role."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.concat(F.coalesce(F.col(role), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit(""))).alias("line")))), lambda t: t["line"])
     out = df.groupBy(*by).agg(F.count("*").alias("n_turns"), F.array_join(turns, "\n").alias("whole"))
     return out.select(*by, "n_turns", F.substring("whole", 1, limit).alias("history"), (F.length("whole") > limit).alias("truncated"))
 

@@ -58,28 +58,60 @@ def nearest(df: DataFrame, value: str, marks: DataFrame, mark: str, tolerance: f
     return df.withColumn("nearest", near)
 
 
-def as_of(df: DataFrame, at: str, table: DataFrame, key: str, values: list[str], by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+#: Rows of a table that are looked through for each row instead of being put in one order with them.
+FEW = 64
+
+
+def as_of(df: DataFrame, at: str, table: DataFrame, key: str, values: list[str], by: list[str] | None = None, buckets: int = 256, few: int = FEW) -> DataFrame:
     """Adds ``values`` of the last row of ``table`` with ``key`` not beyond ``at``, within ``by``; null before the first.
 
-    Both sides are put in one order and the last known values are carried on, so there is no range join. Keys are cut
+    A table of up to ``few`` rows, which are counted, is told to all tasks as a sorted list for each ``by``. Of a larger one,
+    both sides are put in one order and the last known values are carried on, so there is no range join. Keys are cut
     into ranges of about equal numbers of rows, each ordered by itself, and what is known at a range's end goes on to
-    those behind it: no task holds a whole group. Of equal keys, the row with the greatest values holds.
+    those behind it: no task holds a whole group, and a value that fills several ranges is dealt to as many, since all its rows find the same. Of
+    equal keys, the row with the greatest values holds. The result is the same either way.
     """
     by = by or []
     known = F.struct(*(F.col(v) for v in values))
+    some = table.where(F.col(key).isNotNull())
+    if some.limit(few + 1).count() <= few:
+        listed = some.groupBy(*(F.col(c).alias(f"{c}_by_") for c in by)).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), known.alias("v")))).alias("known_"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_by_")) for c in by]
+        both = df.join(F.broadcast(listed), same or F.lit(True), "left")
+        upto = F.filter("known_", lambda x: x["k"] <= F.col(at))
+        best = F.try_element_at(upto, F.lit(-1))["v"]
+        return both.withColumn("best_", best).select(*(f"`{c}`" for c in df.columns), *(F.col(f"best_.{v}").alias(v) for v in values))
     numeric = buckets > 1 and df.schema[at].dataType.simpleString() not in ("string", "binary")
-    cuts = df.select(F.col(at).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if numeric else []
-    ends = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else None  # one number a range
-    bucket = lambda k: F.size(F.filter(ends, lambda e: e < F.col(k).cast("double"))) if cuts else F.lit(0)
+    cuts = sorted(df.select(F.col(at).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets)) if numeric else []
+    ends = sorted(set(cuts))
+    times = [cuts.count(e) for e in ends]
+    listed = F.array(*map(F.lit, ends)) if ends else None  # one number a range
+    wide = 16
+
+    def bucket(k: str) -> Column:
+        """How many ends lie below: first by steps of 16, then among 16."""
+        if not ends:
+            return F.lit(0)
+        value = F.col(k).cast("double")
+        coarse = F.size(F.filter(F.array(*map(F.lit, ends[::wide])), lambda e: e < value))
+        start = F.greatest(coarse - 1, F.lit(0)) * wide
+        return start + F.size(F.filter(F.slice(listed, start + 1, F.lit(wide)), lambda e: e < value))
+
+    most = max(times, default=1) + 1
     here = df.select(*by, F.col(at).alias("k_"), bucket(at).alias("b_"), F.lit(1).alias("side_"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row_"), F.lit(None).cast(table.select(known.alias("v")).schema["v"].dataType).alias("v_"))
-    there = table.select(*by, F.col(key).alias("k_"), bucket(key).alias("b_"), F.lit(0).alias("side_"), F.lit(None).cast(here.schema["row_"].dataType).alias("row_"), known.alias("v_"))
-    ends_of = there.where("k_ IS NOT NULL").groupBy(*by, "b_").agg(F.max(F.struct("k_", "v_")).alias("e_"))
+    salt = F.lit(0)
+    if most > 2:  # rows of a value that fills several ranges: the bucket ends with it, so what they find is known at its end
+        own = F.try_element_at(F.array(*map(F.lit, times)), F.col("b_") + 1)
+        salt = F.when(F.col("k_").cast("double") == F.try_element_at(listed, F.col("b_") + 1), F.pmod(F.xxhash64("row_"), own)).otherwise(0)
+    here = here.withColumn("b_", (F.col("b_") * most + salt).cast("bigint"))
+    there = some.select(*by, F.col(key).alias("k_"), (bucket(key) * most).cast("bigint").alias("b_"), F.lit(0).alias("side_"), F.lit(None).cast(here.schema["row_"].dataType).alias("row_"), known.alias("v_"))
+    ends_of = there.groupBy(*by, "b_").agg(F.max(F.struct("k_", "v_")).alias("e_"))
     steps = here.select(*by, "b_").distinct().withColumn("e_", F.lit(None).cast(ends_of.schema["e_"].dataType)).unionByName(ends_of)
     steps = steps.groupBy(*by, "b_").agg(F.max("e_").alias("e_"))
     over = Window.partitionBy(*by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     before = steps.withColumn("e_", F.last("e_", ignorenulls=True).over(over)).select(*(F.col(c).alias(f"{c}_by_") for c in by), F.col("b_").alias("b_of_"), F.col("e_.v_").alias("first_"))
     w = Window.partitionBy(*by, "b_").orderBy("k_", "side_", "v_").rowsBetween(Window.unboundedPreceding, 0)
-    own = here.unionByName(there.where("k_ IS NOT NULL")).withColumn("c_", F.last("v_", ignorenulls=True).over(w)).where("side_ = 1")
+    own = here.unionByName(there).withColumn("c_", F.last("v_", ignorenulls=True).over(w)).where("side_ = 1")
     found = own.join(before, [own[c].eqNullSafe(before[f"{c}_by_"]) for c in by] + [F.col("b_") == F.col("b_of_")], "left")
     value = F.when(F.col("k_").isNotNull(), F.coalesce("c_", "first_"))
     return found.withColumn("c_", value).select("row_.*", *(F.col(f"c_.{v}").alias(v) for v in values))

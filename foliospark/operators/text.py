@@ -9,23 +9,78 @@ from pyspark.sql import functions as F
 
 #: White space that is trimmed at the ends of a text: Unicode's, not spaces alone.
 SPACE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: What linear-time engines refuse: look-around, back-references, possessive and atomic groups.
-_REFUSED = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+)")
-
-
-_BOUNDARY = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+#: What linear-time engines refuse outside classes: look-around, atomic groups, back-references, and quantifiers of quantifiers.
+_REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k|[*+?}]\+")
+#: Parts of a pattern: a quotation, an escape, a class, or a character.
+_PART = re.compile(r"\\Q.*?(?:\\E|\Z)|\\[pPx]\{[^}]*\}|\\.|\[\^?\]?(?:\[:\^?\w+:\]|\\[pPx]\{[^}]*\}|\\.|[^\]\\])*\]|.", re.S)
+_IN_CLASS = re.compile(r"\[:(\^?)(\w+):\]|\\[pP]\{[^}]*\}|\\.|.", re.S)
+#: Named classes and their Java forms. Fixed values.
+_NAMED = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
+_WORD, _NO_WORD = r"(?<!\w)", r"(?!\w)"
+_EDGE = {r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"\B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+#: Patterns of these parts alone match no line feed and ask for no end of a line, so a text needn't be parted for them.
+_INSIDE_LINES = re.compile(r"(?:\\[bBdw]|\\[.*+?|()\[\]{}\\/-]|\[[\w .,;:!#%/-]+\]|\((?:\?:)?|\)|[\w ,;:!\"'#%&=@~<>/|*+?-]|\{\d+(?:,\d*)?\})+\Z")
+
+
+def _java_class(part: str) -> str:
+    """A class with the meaning that it has where classes don't nest."""
+    negated = part.startswith("[^")
+    body, out = part[2 if negated else 1 : -1], []
+    for m in _IN_CLASS.finditer(body):
+        x = m[0]
+        if m[2]:
+            name = r"\w" if m[2] == "word" else r"\p{%s}" % _NAMED.get(m[2], m[2])
+            x = (r"\W" if m[2] == "word" else name.replace("\\p", "\\P")) if m[1] else name
+        elif x.startswith(("\\p{", "\\P{")):
+            x = _script(x)
+        elif x in "[&]" or (x == "^" and not out):
+            x = "\\" + x
+        out.append(r"\x0B" if x == r"\v" else x)
+    return ("[^" if negated else "[") + "".join(out) + "]"
+
+
+def _script(part: str) -> str:
+    """``\\p{Greek}`` as Java names it."""
+    name = part[3:-1].lstrip("^")
+    turned = part[3:4] == "^"
+    letter = {"p": "P", "P": "p"}[part[1]] if turned else part[1]
+    return rf"\{letter}{{{'Is' if len(name) > 2 else ''}{name}}}"
+
+
+def _sure_word(part: str, then: str) -> bool:
+    """Whether a part, followed by another, surely begins with a word character."""
+    return (re.fullmatch(r"(?a)\w|\\[wd]", part) is not None) and then not in ("*", "?", "{", "")
 
 
 def compile_pattern(query: str, regex: bool = False, ignore_case: bool = False) -> str:
-    """The pattern of a query; a literal is quoted. An empty query is an error, as is a pattern with look-around or back-references."""
+    """The pattern of a query, as Java reads it; a literal is quoted. An empty query is an error, as is a pattern with look-around or back-references.
+
+    Classes don't nest, and know names such as ``[:alpha:]``; word boundaries are those of ASCII words, as classes are (Java's differ by
+    version): beside a word character one look suffices, elsewhere two are tried.
+    """
     if not query:
         raise ValueError("the query is empty")
-    if regex and _REFUSED.search(query):
+    if not regex:
+        return ("(?diu)" if ignore_case else "") + "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    parts = _PART.findall(query)
+    if _REFUSED.search("".join("x" if len(p) > 1 and p[0] in "[\\" and not re.fullmatch(r"\\[1-9k]", p) else p for p in parts)):
         raise ValueError("look-around, back-references and possessive quantifiers aren't supported")
-    # Word boundaries are those of ASCII words, as classes are; Java's differ by version.
-    query = re.sub(r"(?<!\\)((?:\\\\)*)\\([bB])", lambda m: m[1] + _BOUNDARY[m[2]], query) if regex else query
-    body = query if regex else "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return ("(?diu)" if ignore_case else "(?d)" if regex else "") + body  # lines end at line feeds alone
+    out = []
+    for k, p in enumerate(parts):
+        before, after = parts[k - 1] if k else "", parts[k + 1] if k + 1 < len(parts) else ""
+        if p in _EDGE:
+            ends = before in ("+",) and k > 1 and re.fullmatch(r"(?a)\w|\\[wd]", parts[k - 2]) or re.fullmatch(r"(?a)\w|\\[wd]", before)
+            if p == r"\b" and _sure_word(after, parts[k + 2] if k + 2 < len(parts) else "end"):
+                p = _WORD
+            else:
+                p = _NO_WORD if p == r"\b" and ends else _EDGE[p]
+        elif p.startswith("[") and len(p) > 1:
+            p = _java_class(p)
+        elif p.startswith(("\\p{", "\\P{")):
+            p = _script(p)
+        out.append(r"\x0B" if p == r"\v" else p)
+    body = re.sub(r"\(\?P<\w+>", "(", "".join(out))
+    return ("(?diu)" if ignore_case else "(?d)") + body  # lines end at line feeds alone
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,10 +105,13 @@ def search(df: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
 def replace(df: DataFrame, query: str, by: str, text_col: str = "text", regex: bool = False, ignore_case: bool = False) -> DataFrame:
     """``df`` with the replaced text and ``n_replaced``, line by line (no match spans lines); the replacement is literal."""
     pattern = compile_pattern(query, regex, ignore_case)
-    parts = F.split(F.col(text_col), "\n", -1)
     quoted = by.replace("\\", "\\\\").replace("$", "\\$")
-    count = F.aggregate(parts, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(pattern)))
-    text = F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, pattern, quoted)), "\n")
+    if _INSIDE_LINES.match(query) if regex else "\n" not in query:
+        count, text = F.regexp_count(text_col, F.lit(pattern)), F.regexp_replace(text_col, pattern, quoted)
+    else:
+        parts = F.split(F.col(text_col), "\n", -1)
+        count = F.aggregate(parts, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(pattern)))
+        text = F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, pattern, quoted)), "\n")
     return df.withColumns({"n_replaced": F.coalesce(count, F.lit(0)), text_col: text})
 
 
@@ -167,10 +225,7 @@ def roman(n: Column) -> Column:
 
 
 def alphabetic(n: Column) -> Column:
-    """a to z, aa, ab and so on; empty below 1. Up to six letters: numbers to 321,272,406; null beyond."""
-    out, before = F.lit(""), 0  # how many have fewer letters
-    for letters in range(1, 7):
-        place = lambda k: F.char((97 + F.floor((n - 1 - before) / 26**k) % 26).cast("int"))  # noqa: E731, B023
-        out = F.when(n > before, F.concat(*(place(k) for k in range(letters - 1, -1, -1)))).otherwise(out)
-        before += 26**letters
-    return F.when(n <= before, out)
+    """a to z, aa, ab and so on; empty below 1. Letters are taken from behind, for as many as the number has."""
+    more = lambda s: F.struct(F.floor((s["n"] - 1).cast("decimal(20,0)") / 26).cast("bigint").alias("n"), F.concat(F.char((97 + (s["n"] - 1) % 26).cast("int")), s["t"]).alias("t"))
+    start = F.struct(F.greatest(n.cast("bigint"), F.lit(0)).alias("n"), F.lit("").alias("t"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, lambda s, _: F.when(s["n"] > 0, more(s)).otherwise(s), lambda s: s["t"])

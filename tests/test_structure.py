@@ -353,3 +353,70 @@ def test_graph_folder_is_local_for_any_local_master():
     import inspect
 
     assert "local-cluster" in inspect.getsource(graph._checkpoint)
+
+
+# --- patterns, dates of rates, labels
+
+
+@pytest.mark.parametrize("pattern, text, found", [
+    ("[*+]x", "*x +x", ["*x", "+x"]), ("[+*+/-]", "a+b/c-d", ["+", "/", "-"]), (r"\d[?+]", "1? 2+ 3", ["1?", "2+"]), ("[[:alpha:]]+", "ab1cd", ["ab", "cd"]), ("[^[:digit:]]+", "1ab2", ["ab"]), ("[]a]+", "x]a]", ["]a]"]),
+    ("[a[b]+", "[ab]", ["[ab"]), ("[x&&y]+", "x&y", ["x&y"]), (r"\p{Greek}+", "abγδ", ["γδ"]), ("(?P<name>a)b", "ab", ["ab"]), (r"\Qa+[\E+", "a+[[", ["a+[["]), (r"\bof\b", "of offer of", ["of", "of"]), (r"\b\w+ing\b", "sing singer king", ["sing", "king"]),
+    (r"\ba*b", "aab xb b", ["aab", "b"]), (r"x\bé", "xé", ["xé"]), (r"\Bb", "ab b", ["b"]), (r"(a|é)\b", "a é éa", ["a", "é", "a"]), (r"[\]\[]+", "a][b", ["]["]), (r"\v", "a\x0bb", ["\x0b"]), ("a{2}?", "aaa", ["aa"]),
+])
+def test_patterns(spark, pattern, text, found):
+    from foliospark.operators.text import search
+
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert [x.match for x in search(df, pattern, regex=True).orderBy("match_no").collect()] == found
+
+
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?!a)b", "(?<=a)b", "(?<!a)b", r"(a)\1", "a++", "a*+", "x?+", "a{2}+", "(?>a)", r"(?<n>a)\k<n>"])
+def test_refused_patterns(pattern):
+    from foliospark.operators.text import compile_pattern
+
+    with pytest.raises(ValueError):
+        compile_pattern(pattern, True)
+
+
+@pytest.mark.parametrize("pattern", [r"\bof\b", "o[a-z]+", r"of\s", "^of", "f$", "[^x]f"])
+def test_replacement_by_line_and_by_text_agree(spark, pattern):
+    from foliospark.operators.text import replace
+
+    texts = ["of of\noffer of", "of\n\nof", "", None, "x\nOf of$1"]
+    got = {x.id: (x.text, x.n_replaced) for x in replace(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), pattern, r"$1\z", regex=True).collect()}
+    for k, t in enumerate(texts):
+        done = [re.subn(pattern, lambda m: r"$1\z", x, flags=re.A) for x in (t or "").split("\n")]
+        assert got[k] == (("\n".join(x for x, _ in done), sum(n for _, n in done)) if t is not None else (None, 0))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("buckets", [1, 8, 64])
+def test_as_of_with_hot_values(spark, few, buckets):
+    r = random.Random(11)
+    table = [(r.choice("xy"), float(r.randint(0, 50)), r.randint(0, 9)) for _ in range(60)] + [("x", 25.0, 3), ("x", 25.0, 7), (None, 10.0, 1), ("x", None, 5)]
+    data = [(k, r.choice("xyz"), 25.0 if k % 3 else float(r.randint(-5, 60))) for k in range(600)] + [(900, None, 12.0), (901, "x", None)]
+    got = rows.as_of(spark.createDataFrame(data, "id long, g string, at double"), "at", spark.createDataFrame(table, "g string, k double, v long"), "k", ["v"], ["g"], buckets, few)
+    want = {i: max(((k, v) for h, k, v in table if h == g and k is not None and at is not None and k <= at), default=(0, None))[1] for i, g, at in data}
+    assert {x.id: x.v for x in got.collect()} == want and got.count() == len(data)
+
+
+def test_alphabetic_labels_of_any_length(spark):
+    from foliospark.operators.text import alphabetic
+
+    def plain(n):
+        out = ""
+        while n > 0:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+        return out
+
+    numbers = [0, -3, 1, 26, 27, 52, 703, 321_272_406, 321_272_407, 2**40, 2**62]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", alphabetic(F.col("n")).alias("t")).collect()
+    assert {x.n: x.t for x in got} == {n: plain(n) for n in numbers}
+
+
+def test_a_turn_without_a_text_stays(spark):
+    from foliospark.operators.models import conversation
+
+    df = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "bot", None), (1, 3, "user", "so")], "c long, turn long, role string, text string")
+    assert conversation(df, ["c"], "turn", "role", "text").first().history == "user: hi\nbot: \nuser: so"
