@@ -40,6 +40,8 @@ SIGMA = 1.0
 CUT = 0.5
 #: Lines below the cut that a cluster closes over.
 GAP = 2
+#: Share of a page's content from which a kind of block is usual.
+KIND = 0.25
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
@@ -54,6 +56,8 @@ class Line:
     #: Whether it is in an element that holds no main text; such text weighs nothing.
     outside: bool
     element: int
+    #: The tag of the innermost block around it.
+    kind: str
 
 
 @dataclass(slots=True)
@@ -82,12 +86,12 @@ class Events(HTMLParser):
         self.open_articles: list[int] = []  # their places on the stack
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.dropped = self.silent = 0
-        self.heading = False
+        self.heading = self.paragraph = False
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.heading, self.dropped > 0, self.stack[-1].number if self.stack else 0))
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.heading, self.dropped > 0, self.stack[-1].number if self.stack else 0, "p" if self.paragraph else self.stack[-1].tag if self.stack else ""))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -114,6 +118,7 @@ class Events(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
             self.heading = tag[0] == "h" and tag[1:] in "123456" and len(tag) == 2
+            self.paragraph = tag == "p"
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -158,7 +163,7 @@ class Events(HTMLParser):
         found = places and (places[-1] >= (self.open_articles[-1] if self.open_articles else 0) or tag in ("body", "html", "main", "article"))
         if tag in BLOCKS or found and any(self.stack[k].dropped for k in range(places[-1], len(self.stack))):
             self._end_line()
-            self.heading = False
+            self.heading = self.paragraph = False
         if tag == "a":
             self.links = max(0, self.links - 1)
         if found:
@@ -213,35 +218,43 @@ def clusters(content: np.ndarray, lines: list[Line], gap: int = GAP) -> list[tup
 def select(lines: list[Line], content: np.ndarray, parents: list[int], last: list[int], articles: set[int]) -> list[Line]:
     """The lines of the main region, given which are content.
 
-    Content lines vote, by their length, for the elements around them. The marked article with most votes is the
+    Content lines in blocks of the usual kinds, those that hold a quarter of all content or more, vote, by their length, for the elements around them. The marked article with most votes is the
     region, if it has half of all, else it is the innermost element with nine tenths of them. The clusters that lie in the
-    region, at least in part, are taken whole, if no article bounds them, and so are headings right before them. Of the
-    region's other lines, unlinked ones come too (in an unmarked region those between its clusters and those of the last
+    region, at least in part, are taken, if no article bounds them, and so are headings right before them; of what they have beyond the region,
+    only headings and lines in blocks of a usual kind (a lead in a paragraph comes, a notice in a bare element doesn't). Of the
+    region's other lines, unlinked ones come too (in an unmarked region those between its clusters, those of usual kinds before the first, and those of the last
     one's own element); runs of links and lines in elements without main text don't.
     """
     if not lines or not content.any():
         return []
-    votes = [0] * len(parents)
+    weights: dict[str, int] = {}
+    for k in np.flatnonzero(content).tolist():
+        weights[lines[k].kind] = weights.get(lines[k].kind, 0) + len(lines[k].text) - lines[k].linked
+    usual = {kind for kind, n in weights.items() if n >= KIND * sum(weights.values())}
+    votes, all_votes = [0] * len(parents), 0
     for x, is_content in zip(lines, content):
-        votes[x.element] += (len(x.text) - x.linked) * bool(is_content)
+        weight = (len(x.text) - x.linked) * bool(is_content)
+        votes[x.element] += weight * (x.kind in usual)
+        all_votes += weight
     total = sum(votes)
     for n in range(len(parents) - 1, 0, -1):  # numbers grow inwards
         votes[parents[n]] += votes[n]
     found = clusters(content, lines)
     plain = lambda k: content[k] or not lines[k].outside and 2 * lines[k].linked < len(lines[k].text)
     best = max(articles, key=lambda n: (votes[n], n), default=0)  # the inner one, if all content of the outer is in it
-    if best and 2 * votes[best] >= total:
+    if best and 2 * votes[best] >= all_votes:
         return [x for k, x in enumerate(lines) if best <= x.element <= last[best] and plain(k)]
     region = max(n for n, v in enumerate(votes) if v >= 0.9 * total)
     inside = np.array([region <= x.element <= last[region] for x in lines])
+    fits = np.array([x.heading or x.kind in usual for x in lines])
     taken = np.zeros(len(lines), bool)
     for first, end in found:
         if inside[first : end + 1].any():
-            taken[first : end + 1] = True
+            taken[first : end + 1] = (inside | fits)[first : end + 1]
     where = np.flatnonzero(taken)
     first, end = int(where[0]), int(where[-1])
     taken[first:end] |= inside[first:end]
-    while first and lines[first - 1].heading and not lines[first - 1].outside:
+    while first and (lines[first - 1].heading and not lines[first - 1].outside or inside[first - 1] and fits[first - 1] and plain(first - 1)):
         first -= 1
         taken[first] = True
     while end + 1 < len(lines) and lines[end + 1].element == lines[end].element and plain(end + 1):
@@ -264,8 +277,8 @@ def main_text(html: str | None, cut: float = CUT) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of the whole of each page in ``out``, which replaces a column of that name.
 
-    Broken markup is read as it comes: unclosed elements end with those around them. Repeated rows give equal
-    texts; an empty table gives an empty one; other columns pass through.
+    A null html, an empty one and one without content have an empty text. Very long pages are read whole, in time that grows with them. Broken markup
+    is read as it comes: unclosed elements end with those around them. Repeated rows give equal texts; an empty table gives an empty one; other columns pass through.
     """
     small_batches(pages.sparkSession)
     kept = pages.drop(out) if out != html_col else pages

@@ -437,8 +437,9 @@ def test_ratios_find_the_text_of_unmarked_pages(spark):
             found[name, "right"] += len(got & want)
             found[name, "wrong"] += len(got - want)
             found[name, "lost"] += len(want - got)
-    assert found["method", "right"] > 0.97 * (found["method", "right"] + found["method", "lost"])
-    assert found["method", "wrong"] < 0.12 * found["method", "right"] < 0.5 * found["all", "wrong"]
+    right = found["method", "right"]
+    assert right >= 0.98 * (right + found["method", "lost"]) and right >= 0.98 * (right + found["method", "wrong"])
+    assert found["all", "wrong"] > 3 * found["method", "wrong"]  # without the ratios it is another result
 
 
 def test_clusters_inside_articles():
