@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import aside, materialize
+from foliospark.llm.common import aside, forget, materialize
 
 #: Rules of the query: verdict, host and the path that a url's must start with. Fixed values.
 RULES = (
@@ -115,11 +115,15 @@ def cascade(listed: DataFrame, universe: DataFrame, rate: float | None = None) -
     rate = rate or first_rate(count, universe.count())
     inside, others = listed, universe.select("key").where("key is not null").join(listed, "key", "left_anti")
     levels: list[Level] = []
+    made = [listed]
     while count:
         levels.append(_level(inside, count, rate, len(levels)))
         wrong = others.where(levels[-1].has(F.col("key"), len(levels) - 1)).distinct()
-        inside, others = materialize(wrong, "mistaken"), inside
+        wrong = materialize(wrong, "mistaken")
+        made.append(wrong)
+        inside, others = wrong, inside
         count, rate = inside.count(), 0.5
+    forget(*made)
     return Cascade(levels)
 
 
@@ -129,30 +133,41 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     A rule fits its host and all subdomains where the url's path starts with its own; the longest that fits
     decides. Allowed and blocked keys have a cascade each, over all keys that the urls of ``pages`` could be listed
     under, so membership is exact and urls are judged where they lie, without a join. A list whose filters would
-    exceed ``most_bytes`` is dealt out by hash over several cascades, which are applied one after the other.
+    exceed ``most_bytes`` is dealt out by hash over several cascades, which are applied one after the other, not to pages but to the distinct keys: each
+    writes the keys that it lists alone, and the pages' distinct hosts and paths meet them in one join in the end.
 
     A url that no rule fits is not in the list of blocked keys and gets ``default``. A null url, or one without
-    ``://``, has an empty host and path, which no rule fits. Rules with a null are ignored; of a key both allowed
+    ``://``, has an empty host and path, which no rule fits. Very long urls are judged whole. Rules with a null are ignored; of a key both allowed
     and blocked, the allowing rule holds. Repeated rows are judged alike; an empty table gives an empty one; other
     columns pass through, whatever their names, but the four above are replaced.
     """
-    pages, own = aside(pages.drop("host_", "path_", "rule_", "verdict_"), "keys_", "allow_", "block_")
+    pages, own = aside(pages.drop("host_", "path_", "rule_", "verdict_"), "allow_", "block_", "of_host_", "of_path_")
     out = pages.withColumns({"host_": host_of(F.col(url_col)), "path_": path_of(F.col(url_col))})
     listed = materialize(rules.where("verdict is not null and host is not null and path is not null").select("verdict", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")), "rules")
     labels = listed.agg(F.max("labels")).first()[0] or 0
     lengths = sorted(r[0] for r in listed.select("length").distinct().collect())  # as many as paths have lengths
     keys = F.array_distinct(keys_of(F.col("host_"), F.col("path_"), labels, lengths)) if lengths else F.array().cast("array<string>")
     universe = materialize(out.select(F.explode(keys).alias("key")).groupBy("key").count(), "universe")
-    out = out.withColumn("keys_", keys)
-    for verdict in ("allow", "block"):
+    sizes = {v: int(bytes_needed(listed.where(F.col("verdict") == v).count(), universe.count(), rate) // most_bytes) + 1 for v in ("allow", "block")}
+    members = []
+    for verdict, parts in sizes.items():
         mine = listed.where(F.col("verdict") == verdict)
-        parts = int(bytes_needed(mine.count(), universe.count(), rate) // most_bytes) + 1
-        out = out.withColumn(f"{verdict}_", F.array().cast("array<string>"))
         for k in range(parts):
-            part = lambda key, k=k: F.pmod(F.xxhash64(key), F.lit(parts)) == k
+            part = lambda key, k=k: F.pmod(F.xxhash64(key), F.lit(parts)) == k  # noqa: E731, B023
             found = cascade(mine.where(part(F.col("key"))), universe.where(part(F.col("key"))), rate)
-            out = out.withColumn(f"{verdict}_", F.concat(f"{verdict}_", F.filter("keys_", lambda key: part(key) & found.has(key))))
-            out = materialize(out, "judged") if parts > 1 else out
+            if max(sizes.values()) == 1:
+                out = out.withColumn(f"{verdict}_", F.filter(keys, found.has))
+            else:
+                members.append(materialize(universe.where(part(F.col("key")) & found.has(F.col("key"))).select("key", F.lit(verdict).alias("verdict")), "members"))
+    forget(listed, universe)
+    if members:
+        known = members[0]
+        for m in members[1:]:
+            known = known.unionByName(m)
+        places = out.select("host_", "path_").distinct()
+        met = places.withColumn("key", F.explode(keys)).join(known, "key").groupBy(F.col("host_").alias("of_host_"), F.col("path_").alias("of_path_"))
+        listed_keys = lambda v: F.collect_set(F.when(F.col("verdict") == v, F.col("key"))).alias(f"{v}_")  # noqa: E731  no more than a url has keys
+        out = out.join(met.agg(listed_keys("allow"), listed_keys("block")), (F.col("host_") == F.col("of_host_")) & (F.col("path_") == F.col("of_path_")), "left").drop("of_host_", "of_path_")
     out = out.withColumns({v: F.array_max(F.transform(v, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))) for v in ("allow_", "block_")})
     return _decide(out, default).select(*own, "host_", "path_", "rule_", "verdict_")
 
