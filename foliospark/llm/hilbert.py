@@ -55,13 +55,17 @@ def _share_cell(df: DataFrame, column: str, bits: int, out: str) -> DataFrame:
     return df.join(cells, F.col(column).eqNullSafe(F.col(f"{out}_key"))).drop(f"{out}_key")
 
 
+#: Bytes of text of a range, about, where whole rows are sorted.
+RANGE_BYTES = 64 << 20
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("source", "lang"), shards: int = SHARDS, bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, size, text_crc32, curve, ``shard_``, ``slot_`` and the columns of ``keep`` of every row.
 
     Categories are quantised by their share of the rows and sizes by half octaves from 16 bytes to 740 kB; rows are sorted by
     their cell's place on the Hilbert curve, then crc32 (equal texts of a cell lie together), id, and a hash of what is kept; runs of
     equal count, at most one apart, are the shards, so that each covers a compact part of the metadata. The sort
-    is by ranges of that whole key, which no hot category or group of copies can pile up in one task; rows get
+    is by ranges of that whole key, of ``RANGE_BYTES`` of text or less where rows are kept, which no hot category or group of copies can pile up in one task; rows get
     their places from their place in the partition and the counts of partitions before. ``slot_`` counts from 0
     in each shard.
 
@@ -78,6 +82,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categ
     order = ["curve", "text_crc32", F.col("id").asc_nulls_last(), "hash"]
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if keep:  # whole rows are sorted
+        parts = max(parts, -(-(docs.agg(F.sum(size)).first()[0] or 0) // RANGE_BYTES))
     placed = rows.repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order)
     placed = placed.withColumns({"part_": F.spark_partition_id(), "nth_": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     placed = materialize(placed.drop(*(f"cell_{i}" for i in range(len(categories))), "cell_size"), "placed")

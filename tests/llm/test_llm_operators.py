@@ -701,6 +701,26 @@ def test_cascades_are_exact(spark, rate, most):
         assert (row.rule_, row.verdict_) == (rule, verdict)
 
 
+def test_a_list_of_several_cascades_copies_no_page(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h{k % 40}.example{k % 9}.com/p{k % 7}/x") for k in range(400)] + [(900, None), (901, "none")], "page_id long, url string").withColumn("html", F.lit("x" * 50))
+    rules = spark.createDataFrame([("block" if k % 3 else "allow", f"h{k}.example{k % 9}.com", "/" if k % 2 else f"/p{k % 7}/") for k in range(40)] + [("allow", f"unseen{k}.org", "/") for k in range(200)], "verdict string, host string, path string")
+    want = {r.page_id: (r.rule_, r.verdict_) for r in url_filter.judge(pages, rules).collect()}
+    wrote, write = [], url_filter.materialize
+    monkeypatch.setattr(url_filter, "materialize", lambda df, name: (wrote.append((name, df.columns)), write(df, name))[1])
+    got = url_filter.judge(pages, rules, most_bytes=20)
+    assert {r.page_id: (r.rule_, r.verdict_) for r in got.collect()} == want and "block" in {v for _, v in want.values()}
+    assert sum(n == "members" for n, _ in wrote) >= 10 and not any("html" in c or "url" in c for _, c in wrote)
+
+
+def test_ranges_of_shards_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "RANGE_BYTES", 2_000)
+    rows = spark.createDataFrame([(k, "word " * 20, "en", "s", 0) for k in range(400)], DOCS)
+    parts = []
+    monkeypatch.setattr(hilbert, "materialize", lambda df, name, write=hilbert.materialize: (parts.append(df.rdd.getNumPartitions()) if name == "placed" else None, write(df, name))[1])
+    got = hilbert.shard(rows, keep=("doc_id", "text")).collect()
+    assert sorted((r.shard_, r.slot_) for r in got) == [(s, k) for s in range(16) for k in range(25)] and parts[0] > 15
+
+
 def test_cascade_has_further_levels(spark):
     keys = spark.range(2000).selectExpr("cast(id as string) AS key")
     found = url_filter.cascade(keys.where("cast(key as int) % 10 = 0"), keys, rate=0.5)
