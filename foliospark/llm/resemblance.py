@@ -29,8 +29,8 @@ BLOCK, GRID, LARGEST = 2048, 32, 32
 LIMIT = 64
 #: Rows of blocks that a task is given, about.
 TASK_ROWS = 65_536
-#: Bytes of the parities that blocks are compared by, at most.
-BRIEF = 512
+#: Bytes of the parities that blocks are compared by, at most, and of those of the pairs that are compared at once.
+BRIEF, PAIR_BYTES = 512, 4 << 20
 
 
 def normal_digest(text: str | None) -> int:
@@ -142,8 +142,9 @@ def compare(pdf: pd.DataFrame, least: float, limit: int) -> pd.DataFrame:
         for size in np.unique(small):  # the longer table of a pair is folded
             for wide in np.unique(large[small == size]):
                 of = np.flatnonzero((small == size) & (large == wide))
-                for start in range(0, len(of), 100_000):
-                    some = of[start : start + 100_000]
+                few = max(1, PAIR_BYTES // int(wide))
+                for start in range(0, len(of), few):
+                    some = of[start : start + few]
                     apart[some] = np.bitwise_count(folded(bits[x[i[some]], :wide] ^ bits[ys[j[some]], :wide], size)).sum(axis=1)
         near = apart <= share * both[i, j] + 1e-6
         i, j, apart = i[near], j[near], apart[near]

@@ -22,7 +22,7 @@ SHINGLE = 5
 #: Bits of a hash.
 BITS = 48
 #: Words whose hashes a worker remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Rows of one range of ids; those of over 6 kB count as several, so this is about 24 MB at most.
 RANGE_ROWS = 4096
 #: Ranges at most; their bounds are sent to all tasks.
