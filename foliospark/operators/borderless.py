@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import spatial
+from foliospark.operators.graph import _checkpoint as checkpointed
 from foliospark.operators.rows import mode, sessions
 from foliospark.operators.text import trim
 
@@ -73,7 +74,7 @@ def tables(frags: DataFrame, by: list[str], rules: DataFrame | None = None, rule
     go. Its columns span their cells in those lines and lie apart, and each border between them is crossed in few lines. These are no
     tables: dot leaders, more than three sizes, a horizontal rule (``rules``: by, vertical, pos, lo, hi) for each line or so but not quite,
     numbered lines, lists by their markers, columns of prose, contents, code, and few lines amid flowing text. Fragments inside
-    ``ruled`` tables (by, box) are left out.
+    ``ruled`` tables (by, box) are left out. Lines, cells and runs are checkpointed, since many sums are made of them.
     """
     if ruled is not None:
         numbered = frags.withColumn("at_", F.struct("x", "y"))
@@ -81,21 +82,21 @@ def tables(frags: DataFrame, by: list[str], rules: DataFrame | None = None, rule
         boxes = ruled.select(*by, *(F.col(c).alias(f"{c}_r_") for c in spatial.BOX))
         held = spatial.meets(points, boxes, ("px_", "py_", "px_", "py_"), tuple(f"{c}_r_" for c in spatial.BOX), by, touching=True)
         frags = numbered.join(held.select(*by, F.struct(F.col("px_").alias("x"), F.col("py_").alias("y")).alias("at_")).distinct(), [*by, "at_"], "left_anti").drop("at_")
-    parted = _parted(frags, by)
-    whole, every = _cells(parted, by), _lines(parted, by)
+    parted = checkpointed(_parted(frags, by))
+    whole, every = checkpointed(_cells(parted, by)), checkpointed(_lines(parted, by))
     key = [*by, "run"]
     rows = runs(every, by)
 
     usual = mode(rows, key, "cells", high=True, out="modal").where((F.col("n") >= LEAST_LINES) & F.col("modal").between(2, MOST_COLUMNS)).drop("n")
     rows = rows.join(usual, key).withColumn("full", F.col("cells") == F.col("modal"))
     ends = rows.where("full").groupBy(*key).agg(F.min("line").alias("from_"), F.max("line").alias("to_"))
-    rows = rows.join(ends, key).where("line BETWEEN from_ AND to_").drop("from_", "to_")
+    rows = checkpointed(rows.join(ends, key).where("line BETWEEN from_ AND to_").drop("from_", "to_"))
     sums = rows.groupBy(*key, "modal").agg(
         F.count("*").alias("n"), F.count_if("full").alias("n_full"), F.count_if("leader").alias("leaders"), F.sum("mono").alias("mono"), F.sum("chars").alias("chars"),
         (F.max_by(F.col("y") + F.col("size"), -F.col("line"))).alias("ury"), F.max_by("y", "line").alias("lly"),
     ).where(F.col("n") >= LEAST_LINES)
 
-    inside = rows.select(*key, "line", "full", "modal").join(whole, [*by, "line"])
+    inside = checkpointed(rows.select(*key, "line", "full", "modal").join(whole, [*by, "line"]))
     full = inside.where("full").withColumn("col", F.col("cell") - 1)
     words = F.size(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)))
     ranked = full.withColumns({"words_": words, "rank_": F.row_number().over(Window.partitionBy(*key, "col").orderBy(words)), "of_": F.count("*").over(Window.partitionBy(*key, "col"))})

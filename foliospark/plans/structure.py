@@ -328,3 +328,125 @@ def bidi_documents(spark, sf):
 
     text = F.when(F.col("lang") == "de", F.translate("text", "abcdefghijklmnopqrstuv", _HEBREW)).otherwise(F.col("text"))
     return bidi.visual(lines(read(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text"), ["doc_id", "line_no"], "line")
+
+
+# --- tables without rulings
+
+
+def _part_pages(spark, sf):
+    """Twenty parts a page, in two or three columns; kinds of pages by turns: a table, numbered lines, a list, prose, leaders, a table of two columns, code, contents."""
+    p = read(spark, sf, "part").selectExpr("div(p_partkey, 20) AS page", "cast(p_partkey % 20 as int) AS row", "div(p_partkey, 20) % 8 AS kind", "p_partkey", "p_name", "p_brand", "cast(p_size as string) AS size_")
+    first = "CASE kind WHEN 1 THEN cast(p_partkey as string) WHEN 2 THEN concat('• ', p_name) WHEN 3 THEN concat(p_name, ' and then some') WHEN 4 THEN concat(p_name, ' .....') WHEN 7 THEN concat('Chapter on the ', p_name) ELSE p_name END"
+    second = "CASE kind WHEN 3 THEN 'words of a text here' WHEN 7 THEN concat('see page ', size_) ELSE p_brand END"
+    placed = p.selectExpr("page", "row", "kind", f"posexplode(CASE WHEN kind = 0 THEN array({first}, {second}, concat(size_, '.50')) ELSE array({first}, {second}) END) AS (col, text)")
+    return placed.selectExpr("page", "cast(row * 3 + col as long) AS seq", "cast(60 + 220 * col as double) AS x", "cast(740 - 16 * row as double) AS y", "cast(60 + 220 * col + 5 * length(text) as double) AS end_x", "10.0D AS size", "CASE kind WHEN 6 THEN 'Courier' ELSE 'Sans' END AS font", "text", "kind", "row", "col")
+
+
+_PART_PAGES = """
+WITH q AS (SELECT p_partkey // 20 AS page, CAST(p_partkey % 20 AS INTEGER) AS row, (p_partkey // 20) % 8 AS kind, p_partkey, p_name, p_brand, p_size FROM part),
+c AS (
+  SELECT page, row, kind, 0 AS col, CASE kind WHEN 1 THEN p_partkey::VARCHAR WHEN 2 THEN '• ' || p_name WHEN 3 THEN p_name || ' and then some' WHEN 4 THEN p_name || ' .....' WHEN 7 THEN 'Chapter on the ' || p_name ELSE p_name END AS text FROM q
+  UNION ALL SELECT page, row, kind, 1, CASE kind WHEN 3 THEN 'words of a text here' WHEN 7 THEN 'see page ' || p_size ELSE p_brand END FROM q UNION ALL SELECT page, row, kind, 2, p_size || '.50' FROM q WHERE kind = 0)
+"""
+
+
+@query(_PART_PAGES + "SELECT page, CAST(row - min(row) OVER (PARTITION BY page) AS INTEGER) AS row, col, text FROM c WHERE kind IN (0, 5) QUALIFY count(*) FILTER (col = 0) OVER (PARTITION BY page) >= 3")
+def borderless_tables(spark, sf):
+    """Pages of parts with their columns found; lists, prose, leaders, code and contents are no tables."""
+    from foliospark.operators import borderless
+
+    return borderless.tables(_part_pages(spark, sf), ["page"]).select("page", "row", "col", "text")
+
+
+@query(_PART_PAGES + "SELECT page, row AS line, col + 1 AS cell, text FROM c")
+def borderless_cells(spark, sf):
+    """The cells of all pages of parts, by line, from the first part on a page."""
+    from foliospark.operators import borderless
+
+    found = borderless.cells(_part_pages(spark, sf), ["page"])
+    first = _part_pages(spark, sf).groupBy("page").agg(F.min("row").alias("first_"))
+    return found.join(first, "page").select("page", (F.col("line") - 1 + F.col("first_")).cast("int").alias("line"), F.col("cell").cast("int").alias("cell"), "text")
+
+
+@query(_PART_PAGES + "SELECT page, CAST(row - min(row) OVER (PARTITION BY page) AS INTEGER) AS row, col, text FROM c")
+def full_page_grid(spark, sf):
+    from foliospark.operators import tables
+
+    return tables.full_page(_part_pages(spark, sf), ["page"])
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderpriority AS signature, o_orderkey FROM orders),
+s AS (SELECT *, CASE WHEN lag(signature) OVER (PARTITION BY doc ORDER BY page) = signature THEN 0 ELSE 1 END AS starts FROM t),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY doc ORDER BY page) AS sheet_no FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, sheet_no ORDER BY page) AS nth FROM n)
+SELECT doc, CAST(page AS INTEGER) AS page, CAST(sheet_no AS BIGINT) AS sheet_no, CAST(CASE WHEN nth = 1 THEN r ELSE 1 + 2 * (nth - 1) + r - 1 END AS BIGINT) AS sheet_row, CASE r WHEN 0 THEN 'head' ELSE o_orderkey || '/' || r END AS text
+FROM k, range(0, 3) g(r) WHERE r > 0 OR nth = 1
+""")
+def stitched_sheets(spark, sf):
+    """A customer's orders as tables on consecutive pages: those of one shape become a sheet, with one head."""
+    from foliospark.operators import tables
+
+    pages = read(spark, sf, "orders").selectExpr("o_custkey AS doc", "row_number() over (partition by o_custkey order by o_orderkey) AS page", "1 AS table_no", "o_orderpriority AS signature", "0 AS col", "o_orderkey").withColumn("row", F.explode(F.array(*map(F.lit, range(3)))))
+    cells = pages.withColumn("text", F.when(F.col("row") == 0, F.lit("head")).otherwise(F.concat_ws("/", "o_orderkey", "row"))).drop("o_orderkey")
+    return tables.stitched(cells, "doc", "page").select("doc", "page", "sheet_no", F.col("sheet_row").cast("long").alias("sheet_row"), "text")
+
+
+# --- forms, boxes of matches, clusters, components
+
+
+@query("""
+WITH w AS (SELECT s_nationkey, s_suppkey FROM supplier),
+l AS (
+  SELECT n_regionkey::BIGINT AS doc, 1000 + s_suppkey AS id, n_name || '.s' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'Ch' WHEN n_nationkey % 2 = 0 THEN 'Tx' END AS type, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE n_nationkey % 4 END AS flags, s_name AS value
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'Tx' END, n_nationkey % 4, NULL FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM w))
+SELECT doc, id, name, type, CAST(flags AS BIGINT) AS flags, value FROM l
+""")
+def form_leaves(spark, sf):
+    """Nations as fields with their suppliers below, which take over kinds and flags; some suppliers have widgets without a name."""
+    from foliospark.operators import forms
+
+    nation, supplier = read(spark, sf, "nation"), read(spark, sf, "supplier")
+    top = nation.selectExpr("cast(n_regionkey as long) AS doc", "cast(n_nationkey as long) AS id", "cast(null as long) AS parent", "cast(n_nationkey as long) AS seq", "n_name AS partial", "CASE WHEN n_nationkey % 2 = 0 THEN 'Tx' END AS type", "cast(n_nationkey % 4 as long) AS flags", "cast(null as string) AS value")
+    home = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    below = home.selectExpr("cast(n_regionkey as long) AS doc", "1000 + s_suppkey AS id", "cast(n_nationkey as long) AS parent", "s_suppkey AS seq", "concat('s', s_suppkey) AS partial", "CASE WHEN s_suppkey % 3 = 0 THEN 'Ch' END AS type", "CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS flags", "s_name AS value")
+    widgets = below.where("seq % 5 = 0").selectExpr("doc", "id + 100000000 AS id", "id AS parent", "1L AS seq", "cast(null as string) AS partial", "cast(null as string) AS type", "cast(null as long) AS flags", "cast(null as string) AS value")
+    return forms.leaf_fields(top.unionByName(below).unionByName(widgets), ["doc"])
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, (20 + (l_partkey % 5) * 70)::DOUBLE AS x, (700 - (l_suppkey % 6) * 14)::DOUBLE AS y, l_returnflag || l_linenumber AS text FROM lineitem),
+l AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY y DESC) AS line_no FROM f)
+SELECT page, CAST(line_no AS INTEGER) AS line_no, CAST(row_number() OVER (PARTITION BY page, line_no ORDER BY x, seq) AS INTEGER) AS match_no, text AS match, x AS llx, y AS lly, x + 20 AS urx, y + 8 AS ury FROM l WHERE text LIKE 'R%'
+""")
+def match_boxes(spark, sf):
+    """Matches within the lines of orders as pages, with the boxes that they take."""
+    from foliospark.operators import layout
+
+    frags = read(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS page", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq", "cast(20 + (l_partkey % 5) * 70 as double) AS x", "cast(700 - (l_suppkey % 6) * 14 as double) AS y",
+        "cast(40 + (l_partkey % 5) * 70 as double) AS end_x", "8.0D AS size", "'Sans' AS font", "concat(l_returnflag, cast(l_linenumber as string)) AS text", "0.0D AS rotation",
+    )
+    return layout.search(layout.assemble(layout.with_lines(frags, ["page"]), ["page"]), ["page"], r"R\d")
+
+
+@query("""
+WITH b AS (SELECT o_custkey AS page, (o_orderkey * 37 % 5000)::DOUBLE AS llx, (o_orderkey * 37 % 5000 + o_orderkey % 400)::DOUBLE AS urx FROM orders),
+m AS (SELECT *, CASE WHEN llx <= max(urx) OVER (PARTITION BY page ORDER BY llx, urx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS starts FROM b),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY page ORDER BY llx, urx ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT page, min(llx) AS llx, 0::DOUBLE AS lly, max(urx) AS urx, 10::DOUBLE AS ury, count(*) AS n FROM r GROUP BY page, run
+""")
+def rect_clusters(spark, sf):
+    """Each customer's orders as rectangles in one row, so that what grows together are merged intervals."""
+    from foliospark.operators import rows
+
+    boxes = read(spark, sf, "orders").selectExpr("o_custkey AS page", "cast(o_orderkey * 37 % 5000 as double) AS llx", "0.0D AS lly", "cast(o_orderkey * 37 % 5000 + o_orderkey % 400 as double) AS urx", "10.0D AS ury")
+    return rows.cluster_rects(boxes, ["page"], 1.0)
+
+
+@query("WITH e AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey > 0 AND o_orderkey % 2 = 0), n AS (SELECT k FROM e UNION SELECT k // 2 FROM e) SELECT k AS node, k // (k & -k) AS component FROM n")
+def component_halves(spark, sf):
+    """Orders joined to those of half their number: a component is an odd number times the powers of two."""
+    even = read(spark, sf, "orders").where("o_orderkey > 0 AND o_orderkey % 2 = 0")
+    return graph.components(even.selectExpr("o_orderkey AS src", "div(o_orderkey, 2) AS dst"))
