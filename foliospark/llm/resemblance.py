@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import Shared, forget, materialize
@@ -158,6 +158,32 @@ def compare(pdf: pd.DataFrame, least: float, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"a_": np.maximum(a, b).astype(np.int64), "b_": np.minimum(a, b).astype(np.int64), "more_": more.astype(bool)})
 
 
+def blocks(n: Column, block: int) -> Column:
+    """Blocks that ``n`` texts are dealt to: each of ``block`` texts, up to ``GRID`` of them, which then grow, to ``LARGEST`` times as many texts."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / block), F.greatest(F.lit(GRID), F.ceil(n / (LARGEST * block))))).cast("int")
+
+
+def to_blocks(many: DataFrame, whole: bool, block: int = BLOCK) -> DataFrame:
+    """Texts under a shingle (token_, digest_, root_, total_, c_, top_root_) with the blocks (i_, j_) that they come to, and their ``side_`` there.
+
+    Texts of the most frequent root are dealt to blocks, and the others to blocks of their own; each block of the others meets each of these, and each
+    of its own kind, so that any two texts meet once, and a text comes to no more than all blocks: rows grow with the texts until blocks are of the largest size.
+    If not ``whole``, texts meet the first block of either kind alone, and their own.
+    """
+    nth = lambda n: F.pmod(F.xxhash64("digest_", F.lit(7)), n).cast("int")
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i_"), j.cast("int").alias("j_"), side.cast("int").alias("side_"))
+    small = F.array(place(F.lit(-1), F.lit(-1), F.lit(2)))
+    top, mine, theirs = F.col("root_") == F.col("top_root_"), blocks(F.col("total_") - F.col("c_"), block), blocks(F.col("c_"), block)
+    own = nth(mine)
+    reach = theirs if whole else F.least(theirs, F.lit(1))
+    to_top = F.transform(F.sequence(F.lit(0), reach - 1), lambda j: place(-2 - own, j, F.lit(0)))
+    from_top = F.transform(F.sequence(F.lit(0), mine - 1), lambda i: place(-2 - i, nth(theirs), F.lit(1)))
+    from_top = from_top if whole else F.when(nth(theirs) == 0, from_top)
+    to_own = F.transform(F.filter(F.sequence(F.lit(0), mine - 1), lambda i: F.lit(whole) | (i == own) | (i == 0) | (own == 0)), lambda i: place(F.least(i, own), F.greatest(i, own), F.when(i == own, 2).when(own < i, 0).otherwise(1)))
+    places = F.when(F.col("total_") <= block, small).when(top, from_top).otherwise(F.concat(to_top, to_own))
+    return many.select("token_", "digest_", "n_", "at_", "root_", "brief_", F.explode(places).alias("p_")).select("token_", "digest_", "n_", "at_", "root_", "brief_", "p_.*")
+
+
 def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool, block: int = BLOCK, joined: int = JOINED) -> tuple[DataFrame, DataFrame]:
     """Pairs (a_, b_) of texts that meet under a shingle and may resemble each other, of different roots, and the shingles (token_) whose blocks have further pairs.
 
@@ -178,21 +204,10 @@ def candidates(met: DataFrame, least: float, limit: int, whole: bool, hot: bool,
     pairs = few.join(other, "token_").where(fits).select(F.col("digest_").alias("a_"), "b_")
     many = met.join(tokens.where(F.col("total_") > joined), "token_")
 
-    # A text comes to each block of its shingle once, so that rows grow with the texts until blocks are of the largest size.
-    blocks = lambda n: F.greatest(F.lit(1), F.least(F.ceil(n / block), F.greatest(F.lit(GRID), F.ceil(n / (LARGEST * block))))).cast("int")
-    nth = lambda n: F.pmod(F.xxhash64("digest_", F.lit(7)), n).cast("int")
-    place = lambda i, j, side: F.struct(i.cast("int").alias("i_"), j.cast("int").alias("j_"), side.cast("int").alias("side_"))
-    small = F.array(place(F.lit(-1), F.lit(-1), F.lit(2)))
-    top, mine, theirs = F.col("root_") == F.col("top_root_"), blocks(F.col("total_") - F.col("c_")), blocks(F.col("c_"))
-    own = nth(mine)
-    reach = (lambda n: n) if whole else (lambda n: F.least(n, F.lit(1)))
-    to_top = F.transform(F.sequence(F.lit(0), reach(theirs) - 1), lambda i: place(F.lit(-2), i, F.lit(0)))
-    to_own = F.transform(F.filter(F.sequence(F.lit(0), mine - 1), lambda i: F.lit(whole) | (i == own) | (i == 0) | (own == 0)), lambda i: place(F.least(i, own), F.greatest(i, own), F.when(i == own, 2).when(own < i, 0).otherwise(1)))
-    places = F.when(F.col("total_") <= block, small).when(top, F.array(place(F.lit(-2), nth(theirs), F.lit(1)))).otherwise(F.concat(to_top, to_own))
-    dealt = many.select("token_", "digest_", "n_", "at_", "root_", "brief_", F.explode(places).alias("p_"))
-    dealt = dealt.select("token_", "digest_", "n_", "at_", "root_", "brief_", "p_.*")
+    dealt = to_blocks(many, whole, block)
     # Blocks are dealt to tasks by their number of rows, whatever the session's number of shuffle partitions.
-    sent = F.when(F.col("total_") <= block, F.col("total_")).otherwise(F.col("c_") + (F.col("total_") - F.col("c_")) * (blocks(F.col("total_") - F.col("c_")) + reach(theirs)))
+    off = F.col("total_") - F.col("c_")
+    sent = F.when(F.col("total_") <= block, F.col("total_")).otherwise(F.col("c_") * blocks(off, block) + off * (blocks(off, block) + (blocks(F.col("c_"), block) if whole else 1)))
     total = tokens.where(F.col("total_") > joined).agg(F.sum(sent)).first()[0] or 0
     parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_ROWS) + 1)
     one = lambda key, pdf: compare(pdf, least, limit).assign(token_=key[0])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, hilbert, html_text, mixture, quality, queries, secrets, simhash, sketch, url_filter, warc
+from foliospark.llm import common, components, decontaminate, hilbert, html_text, mixture, quality, queries, resemblance, secrets, simhash, sketch, url_filter, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside, as columns of the input.
@@ -937,6 +937,106 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len({(x.shard, x.slot) for x in out}) == len(out)
 
 
+def test_pipeline_of_nothing_and_of_a_very_long_text(spark, tmp_path, none):
+    """Empty tables give an empty result; a text of some 2 MB goes through; what stages wrote for themselves is gone."""
+    none.write.parquet(str(tmp_path / "none/documents.parquet"))
+    none.selectExpr("doc_id", "cast(1 as int) quality", "cast(0 as int) toxic").write.parquet(str(tmp_path / "none/labels.parquet"))
+    none.selectExpr("doc_id AS item_id", "text").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    before = set(common._WRITTEN)
+    out = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert out.collect() == [] and out.columns == [*none.columns, "shard", "slot", "curve"]
+    assert len(common._WRITTEN - before) == 1
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(WORDS, k=60)), "en", "a", 0) for i in range(30)] + [(90, " ".join(f"q{r.randint(0, 10**6)}" for _ in range(300_000)), "en", "a", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "long/documents.parquet"))
+    none.selectExpr("doc_id", "cast(1 as int) quality", "cast(0 as int) toxic").write.parquet(str(tmp_path / "long/labels.parquet"))
+    none.selectExpr("doc_id AS item_id", "text").write.parquet(str(tmp_path / "long/benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "long"))
+    assert {x.text for x in out.where("doc_id = 90").collect()} <= {rows[-1][1]} and out.count() >= 30
+    assert len(common._WRITTEN - before) == 2
+
+
+@pytest.mark.parametrize("n, top", [(400, 100), (1600, 400), (6400, 5000)])
+def test_texts_meet_once_in_blocks_and_rows_grow_with_them(spark, n, top):
+    root = F.when(F.col("id") < top, F.lit(0)).otherwise(F.col("id"))
+    many = spark.range(n).select(F.lit(1).alias("token_"), F.col("id").alias("digest_"), F.lit(9).alias("n_"), F.lit(0).alias("at_"), root.alias("root_"), F.lit(b"x").alias("brief_"), F.lit(n).alias("total_"), F.lit(top).alias("c_"), F.lit(0).alias("top_root_"))
+    dealt = resemblance.to_blocks(many, True, 20).select("digest_", "i_", "j_", "side_").toPandas()
+    assert len(dealt) <= 64 * n  # 32 blocks of the top root's texts and 32 of the others'
+    met = np.zeros((n, n), int)
+    for _, g in dealt.groupby(["i_", "j_"]):
+        zero, one, two = (g["digest_"][g["side_"] == s].to_numpy() for s in (0, 1, 2))
+        met[np.ix_(zero, one)] += 1
+        met[np.ix_(one, zero)] += 1
+        met[np.ix_(two, two)] += 1
+        assert len(g) <= 2 * 20 * resemblance.LARGEST
+    off = np.arange(n) >= top
+    apart = off[:, None] | off[None, :]
+    np.fill_diagonal(apart, False)
+    assert (met[apart] == 1).all()
+
+
+def test_stars_of_edges_against_union_find():
+    for seed in range(100):
+        r = random.Random(seed)
+        edges = [(r.randint(0, 40), r.randint(0, 40)) for _ in range(r.randint(1, 60))]
+        root = {x: x for e in edges for x in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        half = len(edges) // 2
+        parts = [tuple(np.array(e).T) for e in (edges[:half], edges[half:]) if e]
+        nodes, least = components.contracted(parts)
+        assert dict(zip(nodes.tolist(), least.tolist())) == {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("local", [3, 200_000])
+def test_components_with_and_without_contraction_alone(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    edges = [(k, k + 1) for k in range(0, 20)] + [(30, 31), (31, 32), (32, 30), (5, 5), (40, 41), (40, 41), (60, 20)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
+    assert got == {**{k: 0 for k in range(21)}, 60: 0, 30: 30, 31: 30, 32: 30, 40: 40, 41: 40}
+
+
+def test_lasso_is_optimal():
+    """At the minimum, a rule's slope is the penalty against its weight's sign, and no more where the weight is zero."""
+    r = np.random.default_rng(5)
+    z = (r.random((600, 12)) < r.random(12) * 0.6 + 0.2).astype(np.float32)
+    y = (r.random(600) < 1 / (1 + np.exp(-(2.5 * z[:, 0] - 2 * z[:, 1] + 0.7 * z[:, 2] - 0.3)))).astype(float)
+    penalty = 0.02
+    bias, weights = quality.lasso_logistic(z, y, penalty, steps=4000)
+    p = 1 / (1 + np.exp(-(z @ weights + bias)))
+    scale = z.std(axis=0)
+    slope = ((z - z.mean(axis=0)) / scale).T @ (p - y) / len(y)
+    on = np.abs(weights) > 1e-6
+    assert on[:2].all() and not on.all()
+    assert np.allclose(slope[on], -penalty * np.sign(weights[on]), atol=2e-4) and (np.abs(slope[~on]) <= penalty + 2e-4).all()
+    assert abs((p - y).mean()) < 1e-4
+
+
+def test_the_first_split_of_a_tree_is_the_best():
+    """The first tree's first condition against every bound of every statistic, tried one by one."""
+    r = np.random.default_rng(6)
+    x = r.random((300, 4))
+    y = ((x[:, 2] > 0.61) ^ (r.random(300) < 0.1)).astype(float)
+    rules = quality.tree_rules(x, y, trees=1, depth=1, bins=20)
+    p = np.full(300, 1 / (1 + np.exp(-np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))))
+    g, h = y - p, p * (1 - p)
+    best = None
+    for k in range(4):
+        for cut in np.unique(np.quantile(x[:, k], np.linspace(0, 1, 21)[1:-1])):
+            low = x[:, k] <= cut
+            if 10 <= low.sum() <= 290:
+                gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best or (gain, k, cut), (gain, k, cut))
+    assert set(rules) == {frozenset({(best[1], False, float(best[2]))}), frozenset({(best[1], True, float(best[2]))})} and best[1] == 2
+
+
 def test_pipeline_keeps_columns_of_any_name_and_kind(spark, tmp_path):
     r = random.Random(5)
     texts = [" ".join(r.choices(WORDS, k=r.randint(30, 90))) for _ in range(80)] + [None, "", "w1"]
