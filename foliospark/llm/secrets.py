@@ -110,7 +110,8 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = NOVELTY, dictio
     """``docs`` with ``secret_spans``: kind, start and end (code points, end exclusive) and novelty, by start, then kind.
 
     Base kinds are what the fixed patterns match; ``novel`` adds strings of letters and digits near sensitive words
-    that zstandard, primed with an identifier dictionary and the code around them, can hardly compress. All spans have
+    that zstandard, primed with an identifier dictionary and the code around them, can hardly compress. A string of letters alone or of digits alone
+    isn't measured, since words and numbers of that length are common, so a secret of either kind is found by the base patterns or not at all. All spans have
     their ``novelty``, so that what a base kind matched but zstandard knows (a placeholder, an identifier) can be told. Whole texts
     are scanned where they lie. A null text is an empty one, without spans; repeated rows have the same spans; an
     empty table gives an empty one; other columns pass through, but ``secret_spans`` is replaced.
