@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``df`` in partitions by ``keys``, one for each ``least`` rows, which are counted, but one a core at least.
+
+    So what a task holds stays as it is while the input grows, and work that costs far more than its bytes isn't put on few cores.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // least))
+    return df.repartition(n, *keys)
+
+
 def sessions(df: DataFrame, by: list[str], order: list[str], breaks, out: str = "run_no") -> DataFrame:
     """Numbers runs from 1: a row begins a run where ``breaks(lag)`` holds; ``lag(column)`` gives the row before's value."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -527,9 +527,14 @@ def permission_bits(spark, sf):
 # --- layout: order lines as fragments of a page
 
 
+def order_lines(spark, sf):
+    """Order lines, those of an order together, a tenth of a million to a task: what follows by page needs no other shuffle."""
+    return rows.dealt(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag"), ["l_orderkey"], 100_000)
+
+
 def _fragments(spark, sf):
     """Each order is a page; its lines are fragments on a grid with some jitter."""
-    return read(spark, sf, "lineitem").selectExpr(
+    return order_lines(spark, sf).selectExpr(
         "l_orderkey AS page", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq",
         "cast(20 + (l_partkey % 5) * 70 as double) AS x", "cast(700 - (l_suppkey % 6) * 14 + (l_linenumber % 2) * 0.25 as double) AS y", "cast(20 + (l_partkey % 5) * 70 + 20 + l_quantity as double) AS end_x",
         "cast(8 + (l_linenumber % 3) * 2 as double) AS size", "'/ABCDEF+Sans' AS font", "concat(l_returnflag, cast(l_linenumber as string)) AS text", "0.0D AS rotation",
@@ -586,6 +591,10 @@ def layout_paragraphs(spark, sf):
 # --- files
 
 
+#: Files that a task makes and reads.
+FILES = 2000
+
+
 def _as_files(spark, sf):
     """Every document as a file of its own: a text line a line, fifty to a page."""
     from foliospark.sources import pdf
@@ -602,7 +611,7 @@ def _as_files(spark, sf):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
     # Reading a file costs far more than its bytes do, so files are dealt over all cores.
-    return read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").mapInArrow(made, "doc_id bigint, content binary")
+    return rows.dealt(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], FILES).mapInArrow(made, "doc_id bigint, content binary")
 
 
 @query("""
@@ -643,7 +652,7 @@ def _uneven_files(spark, sf):
                 out.append(b"no file " + str(doc).encode() if kind == 1 else data[: data.rindex(b"\nxref")] if kind == 2 else data)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
-    return read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").mapInArrow(made, "doc_id bigint, content binary")
+    return rows.dealt(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], FILES).mapInArrow(made, "doc_id bigint, content binary")
 
 
 @query("""
@@ -685,7 +694,7 @@ def _rich_files(spark, sf):
                 out.append(pdf.write([[(40, 700, 10, name)], [(40, 700, 10, segment)]], objects=objects, catalog=catalog, page=f"/Rotate {90 * (key % 4)} /Annots [5 0 R 6 0 R]"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["custkey", "content"])
 
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name", "c_mktsegment").repartition("custkey").mapInArrow(made, "custkey bigint, content binary")
+    return rows.dealt(read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name", "c_mktsegment"), ["custkey"], FILES).mapInArrow(made, "custkey bigint, content binary")
 
 
 _PAGES_OF = "SELECT c_custkey AS custkey, p AS page_no, c_name, c_mktsegment FROM customer, (VALUES (1), (2)) t(p)"
@@ -779,7 +788,7 @@ def _layered_files(spark, sf):
                 out.append(pdf.write([[(40, 700, 10, name)]], objects=objects, catalog=catalog))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["suppkey", "content"])
 
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_name").repartition("suppkey").mapInArrow(made, "suppkey bigint, content binary")
+    return rows.dealt(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_name"), ["suppkey"], FILES).mapInArrow(made, "suppkey bigint, content binary")
 
 
 @query("SELECT s_suppkey AS suppkey, seq, CASE seq WHEN 0 THEN s_name ELSE 'Draft' END AS name, seq = 0 OR s_suppkey % 2 = 0 AS visible FROM supplier, (VALUES (0), (1)) t(seq)")
@@ -929,7 +938,8 @@ def markdown_blocks(spark, sf):
     from foliospark.functions import markdown
 
     text_of = F.concat(F.lit("## "), "p_name", F.lit("\n- *"), "p_type", F.lit("*\n- `"), "p_brand", F.lit("`\n\n> "), F.col("p_size").cast("string"), F.lit("\nlazy\n"))
-    return markdown.blocks(read(spark, sf, "part").select("p_partkey", text_of.alias("md")), ["p_partkey"], "md").select("p_partkey", "seq", "depth", "kind", "level", "block_text")
+    texts = rows.dealt(read(spark, sf, "part").select("p_partkey", text_of.alias("md")), ["p_partkey"], 10 * FILES)  # a small file, much work
+    return markdown.blocks(texts, ["p_partkey"], "md").select("p_partkey", "seq", "depth", "kind", "level", "block_text")
 
 
 @query()

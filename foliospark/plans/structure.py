@@ -423,8 +423,9 @@ SELECT page, CAST(line_no AS INTEGER) AS line_no, CAST(row_number() OVER (PARTIT
 def match_boxes(spark, sf):
     """Matches within the lines of orders as pages, with the boxes that they take."""
     from foliospark.operators import layout
+    from foliospark.plans.catalogue import order_lines
 
-    frags = read(spark, sf, "lineitem").selectExpr(
+    frags = order_lines(spark, sf).selectExpr(
         "l_orderkey AS page", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq", "cast(20 + (l_partkey % 5) * 70 as double) AS x", "cast(700 - (l_suppkey % 6) * 14 as double) AS y",
         "cast(40 + (l_partkey % 5) * 70 as double) AS end_x", "8.0D AS size", "'Sans' AS font", "concat(l_returnflag, cast(l_linenumber as string)) AS text", "0.0D AS rotation",
     )

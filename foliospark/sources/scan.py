@@ -22,8 +22,8 @@ def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-#: Files in one Arrow batch.
-BATCH = 16
+#: Files in one Arrow batch that is written, and in one that is handed to Python.
+BATCH, HANDED = 16, 64
 
 
 def layer(df: DataFrame, by: list[str], content: str, schema: str, rows: Callable[[Document], Iterator[tuple]], password: str = "") -> DataFrame:
@@ -31,6 +31,7 @@ def layer(df: DataFrame, by: list[str], content: str, schema: str, rows: Callabl
     kinds = StructType.fromDDL(schema)
     if clash := {*by} & {*kinds.names}:
         raise ValueError(f"the layer has columns {sorted(clash)} of its own; rename the key")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HANDED))  # a worker holds a batch whole
     wanted = df.select(*by, content)
     full = StructType([wanted.schema[c] for c in by] + list(kinds))
     arrow = to_arrow_schema(full)

@@ -24,3 +24,35 @@ def test_thin_and_small_rectangles_are_tried_by_their_place(spark):
     assert sorted((r.id, r.k) for r in both.collect()) == sorted((r.id, r.k) for r in want.collect())
     rows = [{0: None, "count": 5}, {0: 2, "count": 3}, {0: 6, "count": 4}]
     assert spatial._middle(rows, 0) == 6 and spatial._middle(rows[:1], 0) == 0
+
+
+def test_partitions_grow_with_rows_and_stay_on_all_cores(spark):
+    from foliospark.operators import rows
+
+    cores = spark.sparkContext.defaultParallelism
+    assert rows.dealt(spark.range(1000), ["id"], 10).rdd.getNumPartitions() == 100
+    assert rows.dealt(spark.range(3), ["id"], 10).rdd.getNumPartitions() == cores
+
+
+def test_files_and_texts_are_on_all_cores_and_in_small_batches(spark):
+    from foliospark.plans import catalogue
+    from foliospark.sources import scan
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for name in ("pdf_field_kinds", "pdf_fields", "pdf_text", "pdf_issues", "markdown_blocks", "layout_text", "match_boxes"):
+        assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == scan.HANDED
+
+
+def test_outlines_of_files_are_read_once(spark):
+    """Levels below the first come from a checkpoint, not from the files again."""
+    from foliospark.plans import catalogue
+
+    assert "MapInArrow" not in plan(catalogue.QUERIES["pdf_outlines"](spark, "/root/testdata/sf0.001"))
+
+
+def test_strings_with_and_without_escapes():
+    from foliospark.sources.pdf import Lexer
+
+    for raw, want in ((b"(plain)x", b"plain"), (b"(a(b)c\\051\\n\\\r\nd\\0501)", b"a(b)c)\nd(1"), (b"(open", b"open"), (b"(a\\", b"a"), (b"()", b"")):
+        assert Lexer(raw).next() == want
