@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.rows import sessions, upper_median
+from foliospark.operators.rows import merge_intervals, sessions, upper_median
 from foliospark.operators.text import font_family, trim
 
 
@@ -77,17 +77,23 @@ def columns(frags: DataFrame, by: list[str], width: Column) -> DataFrame:
     """Columns of each page: by, ``col_no`` from the left, ``x0``, ``x1``.
 
     Bins count distinct lines; on pages of six lines or more, those of one line are empty. Empty runs of 4.5 hundredths
-    of the page, two bins at least, part columns.
+    of the page, two bins at least, part columns. A bin is never a row: the spans of a line are merged, and where they
+    begin and end is summed along the page.
     """
     bin_w = width / BINS
     cut = lambda x: F.least(F.greatest(F.floor(x / bin_w), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    spread = frags.select(*by, width.alias("w_"), F.floor(F.col("y") + 0.5).alias("line_"), F.explode(F.sequence(cut(F.col("x")), F.greatest(cut(F.col("x")), cut(F.col("end_x"))))).alias("bin_"))
-    lines = spread.groupBy(*by).agg(F.countDistinct("line_").alias("lines_"))
-    full = spread.distinct().groupBy(*by, "w_", "bin_").agg(F.count("*").alias("n_")).join(lines, by)
+    spans = frags.select(*by, width.alias("w_"), F.floor(F.col("y") + 0.5).alias("line_"), cut(F.col("x")).alias("a_"), F.greatest(cut(F.col("x")), cut(F.col("end_x"))).alias("b_")).where("a_ IS NOT NULL AND b_ IS NOT NULL")
+    merged = merge_intervals(spans, [*by, "w_", "line_"], "a_", "b_", gap=1)
+    whole = Window.partitionBy(*by)
+    merged = merged.withColumn("new_", F.when(F.row_number().over(Window.partitionBy(*by, "line_").orderBy("w_", "a_")) == 1, 1).otherwise(0))
+    edges = merged.select(*by, "w_", F.explode(F.array(F.struct(F.col("a_").alias("bin_"), F.lit(1).alias("d_"), F.col("new_").alias("new_")), F.struct((F.col("b_") + 1).alias("bin_"), F.lit(-1).alias("d_"), F.lit(0).alias("new_")))).alias("e_"))
+    steps = edges.groupBy(*by, "w_", "e_.bin_").agg(F.sum("e_.d_").alias("d_"), F.sum("e_.new_").alias("new_"))
+    w = Window.partitionBy(*by, "w_").orderBy("bin_")
+    full = steps.withColumns({"n_": F.sum("d_").over(w.rowsBetween(Window.unboundedPreceding, 0)), "to_": F.lead("bin_").over(w) - 1, "lines_": F.sum("new_").over(whole)})
     full = full.where(F.col("n_") >= F.when(F.col("lines_") >= 6, 2).otherwise(1))
     wide = F.greatest(F.lit(2), F.floor(F.lit(GUTTER * BINS)))
-    runs = sessions(full, by, ["bin_"], lambda lag: F.col("bin_") - lag("bin_") - 1 >= wide, "col_no")
-    return runs.groupBy(*by, "col_no").agg((F.min("bin_") * F.first("w_") / BINS).alias("x0"), ((F.max("bin_") + 1) * F.first("w_") / BINS).alias("x1"))
+    runs = sessions(full, by, ["bin_"], lambda lag: F.col("bin_") - lag("to_") - 1 >= wide, "col_no")
+    return runs.groupBy(*by, "col_no").agg((F.min("bin_") * F.first("w_") / BINS).alias("x0"), ((F.max("to_") + 1) * F.first("w_") / BINS).alias("x1"))
 
 
 def in_columns(frags: DataFrame, cols: DataFrame, by: list[str]) -> DataFrame:

@@ -56,3 +56,40 @@ def test_strings_with_and_without_escapes():
 
     for raw, want in ((b"(plain)x", b"plain"), (b"(a(b)c\\051\\n\\\r\nd\\0501)", b"a(b)c)\nd(1"), (b"(open", b"open"), (b"(a\\", b"a"), (b"()", b"")):
         assert Lexer(raw).next() == want
+
+
+def test_columns_shuffle_once_and_make_no_row_of_a_bin(spark):
+    from foliospark.plans import catalogue
+
+    text = plan(catalogue.QUERIES["layout_columns"](spark, "/root/testdata/sf0.001"))
+    assert text.count("Exchange") == 1 and "sequence(" not in text
+
+
+def test_loops_follow_what_roots_share_once(spark, monkeypatch):
+    """A thousand pages that name one object: the rounds hold that object's pairs, not the pages'."""
+    from foliospark.operators import graph
+
+    pages = spark.range(1000).selectExpr("id AS node")
+    edges = pages.selectExpr("node AS src", "5000L AS dst").unionByName(spark.range(5).selectExpr("5000 + id AS src", "5001 + id AS dst"))
+    rows, kept = [], graph._checkpoint
+
+    def counted(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_checkpoint", counted)
+    got = graph.dependencies(edges, pages, barred=pages)
+    assert got.count() == 7000 and got.where("node = 5005").first().depth == 6
+    assert max(rows) <= 1005 and sorted(rows)[-2] <= 6
+    rows.clear()
+    owned = graph.ownership(edges, pages.selectExpr("node", "node AS owner", "0 AS users"), barred=pages)
+    assert owned.count() == 1006 and sorted(rows)[-2] <= 6
+
+
+def test_rectangles_are_merged_without_a_frame_a_page(spark):
+    from foliospark.operators import rows
+
+    boxes = spark.range(40).selectExpr("id % 10 AS page", "cast(id as double) AS llx", "0D AS lly", "cast(id + 12 as double) AS urx", "1D AS ury")
+    got = rows.cluster_rects(boxes, ["page"])
+    assert "FlatMapGroupsInPandas" not in plan(got) and sorted((r.page, r.n) for r in got.collect()) == [(k, 4) for k in range(10)]
