@@ -185,33 +185,31 @@ def stitch(df: DataFrame, by: list[str], page: str, signature: str, order: list[
 
 
 def cluster_rects(df: DataFrame, by: list[str], gap: float = 0.0) -> DataFrame:
-    """Rectangles whose bounds, grown by ``gap``, meet become one, until none meet: by, llx, lly, urx, ury, ``n``. Groups are pages, one to a task.
+    """Rectangles whose bounds, grown by ``gap``, meet become one, until none meet: by, llx, lly, urx, ury, ``n``.
 
-    What has grown may meet others, so this isn't a matter of components; any order of merging ends in the same boxes.
+    A page is of one task, and of one batch of pages that are handed over together. What has grown may meet others, so this
+    isn't a matter of components; any order of merging ends in the same boxes.
     """
-    from pyspark.sql.types import StructType
-
-    kinds = StructType([df.schema[c] for c in by]).add("llx", "double").add("lly", "double").add("urx", "double").add("ury", "double").add("n", "long")
-
-    def run(group):
-        import numpy as np
-        import pandas as pd
-
-        found, counts = np.empty((0, 4)), np.empty(0, int)
-        for box in group[["llx", "lly", "urx", "ury"]].to_numpy(float):
+    names = ("llx", "lly", "urx", "ury")
+    whole = df.select(*by, F.array(*(F.col(c).cast("double") for c in names)).alias("b_")).where(F.forall("b_", lambda v: v.isNotNull() & ~F.isnan(v)))
+    held = whole.groupBy(*by).agg(F.collect_list("b_").alias("boxes_"))
+
+    @F.udf("array<struct<llx:double,lly:double,urx:double,ury:double,n:bigint>>", useArrow=True)
+    def merged(boxes):
+        found: list[tuple] = []
+        for x0, y0, x1, y1 in boxes:
             n = 1
-            while len(found):
-                hit = (found[:, :2] - gap <= box[2:]).all(1) & (box[:2] - gap <= found[:, 2:]).all(1)
-                if not hit.any():
+            while True:
+                apart = []
+                for f in found:
+                    if f[0] - gap <= x1 and f[1] - gap <= y1 and x0 - gap <= f[2] and y0 - gap <= f[3]:
+                        x0, y0, x1, y1, n = min(x0, f[0]), min(y0, f[1]), max(x1, f[2]), max(y1, f[3]), n + f[4]
+                    else:
+                        apart.append(f)
+                if len(apart) == len(found):
                     break
-                n += counts[hit].sum()
-                box = np.concatenate([np.minimum(box[:2], found[hit, :2].min(0)), np.maximum(box[2:], found[hit, 2:].max(0))])
-                found, counts = found[~hit], counts[~hit]
-            found, counts = np.vstack([found, box]), np.append(counts, n)
-        out = pd.DataFrame(found, columns=["llx", "lly", "urx", "ury"]).assign(n=counts)
-        for k, c in enumerate(by):
-            out.insert(k, c, group[c].iloc[0])
-        return out
-
-    whole = [F.col(c).cast("double").alias(c) for c in ("llx", "lly", "urx", "ury")]
-    return df.select(*by, *whole).dropna(subset=["llx", "lly", "urx", "ury"]).groupBy(*by).applyInPandas(run, kinds)
+                found = apart
+            found.append((x0, y0, x1, y1, n))
+        return found
+
+    return held.select(*by, F.inline(merged("boxes_")))
