@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,25 +79,84 @@ def levels(lines: DataFrame, keys: list[str], text: str, rtl: Column | None = No
     return out.select(*keys, "base", "at", "ch", level.alias("level"))
 
 
+#: Lines that are looked at in one array.
+LINES = 1000
+_NO = {name: k for k, name in enumerate(["L", *dict.fromkeys(name for name, _ in CLASSES)])}
+_TABLE = np.zeros(0x10000, np.int8)
+for _name, _spans in reversed(CLASSES):  # of several classes the first holds
+    for _a, _b in _spans:
+        _TABLE[_a : _b + 1] = _NO[_name]
+
+
+def drawn(texts: list[str], turned: list[bool]) -> list[str]:
+    """Lines in the order in which they are drawn, all of them at once: the rules of ``levels`` as passes over one array of characters."""
+    no, table = _NO, _TABLE
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").copy()
+    sizes = np.array([len(t) for t in texts])
+    n, at = len(codes), np.arange(len(codes))
+    line = np.repeat(np.arange(len(texts)), sizes)
+    begin, end = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.cumsum(sizes), sizes)
+    is_in = lambda c, *of: np.isin(c, [no[x] for x in of])
+
+    def last(where, upto):
+        """Of each character, the place of the last one of its line where it holds, up to itself or before; -1 if none."""
+        found = np.maximum.accumulate(np.where(where, at, -1))
+        found = found if upto else np.concatenate([[-1], found[:-1]])
+        return np.where(found >= begin, found, -1)
+
+    def following(where, upto):
+        found = np.minimum.accumulate(np.where(where, at, n)[::-1])[::-1]
+        found = found if upto else np.concatenate([found[1:], [n]])
+        return np.where(found < end, found, -1)
+
+    value = lambda c, place, other: np.where(place < 0, other, c[place])
+    c = table[np.minimum(codes, 0xFFFF)].astype(np.int64)
+    first = following(is_in(c, "L", "R", "AL"), True)[begin]
+    base = np.array(turned, bool)[line] | ((first >= 0) & is_in(c[first], "R", "AL"))
+    edge = np.where(base, no["R"], no["L"])
+    c = value(c, last(~is_in(c, "NSM"), True), edge)
+    c = np.where(is_in(c, "EN") & (value(c, last(is_in(c, "L", "R", "AL"), False), -1) == no["AL"]), no["AN"], c)
+    c = np.where(is_in(c, "AL"), no["R"], c)
+    every = np.ones(n, bool)
+    left, right = value(c, last(every, False), -1), value(c, following(every, False), -1)
+    between = lambda x: (left == no[x]) & (right == no[x])
+    c = np.where(is_in(c, "ES", "CS") & between("EN"), no["EN"], np.where(is_in(c, "CS") & between("AN"), no["AN"], c))
+    other = ~is_in(c, "ET")
+    c = np.where(~other & ((value(c, last(other, False), -1) == no["EN"]) | (value(c, following(other, False), -1) == no["EN"])), no["EN"], c)
+    c = np.where(is_in(c, "ES", "ET", "CS"), no["ON"], c)
+    c = np.where(is_in(c, "EN") & (value(c, last(is_in(c, "L", "R"), False), edge) == no["L"]), no["L"], c)
+    neutral, side = is_in(c, "ON", "WS"), np.where(c == no["L"], no["L"], no["R"])
+    before, behind = value(side, last(~neutral, False), edge), value(side, following(~neutral, False), edge)
+    c = np.where(neutral, np.where(before == behind, before, edge), c)
+    level = np.where(c == no["R"], 1, np.where(~base & (c == no["L"]), 0, 2))
+    ahead = value(level, last(every, False), 0)
+    run = lambda least: last((level < least) | (ahead < least), True)
+    mirror = {ord(a): ord(b) for a, b in zip(MIRRORED, MIRRORS)}
+    odd = np.flatnonzero((level == 1) & np.isin(codes, list(mirror)))
+    codes[odd] = [mirror[x] for x in codes[odd]]
+    text = codes[np.lexsort((at, -run(2), run(1), line))].tobytes().decode("utf-32-le")
+    ends = np.cumsum(sizes)
+    return [text[b - k : b] for b, k in zip(ends, sizes)]
+
+
 def visual(lines: DataFrame, keys: list[str], text: str, out: str = "visual", rtl: Column | None = None) -> DataFrame:
     """``lines`` with their text in the order in which it is drawn from left to right, mirrored where it runs the other way.
 
     Lines without a right-to-left letter, and that don't run from right to left, stay as they are and are not
-    taken apart. Of the others the characters of level 1 and more make runs, which are turned round, and those of level 2 make runs inside
+    handed over. Of the others the characters of level 1 and more make runs, which are turned round, and those of level 2 make runs inside
     them, which keep their order: so a character's place is its run's start, then its inner run's start from behind, then
-    its own. A line is put together from its own characters.
+    its own. Lines stay where they are: nothing is shuffled, and no character is a row.
     """
-    turned = lines.where(has_right_to_left(F.col(text)) | (rtl if rtl is not None else F.lit(False)))
-    given = levels(turned, keys, text, rtl)
-    w = Window.partitionBy(*keys).orderBy("at")
 
-    def run(least: int) -> Column:
-        """Where the run of characters of a level or more began; a lower character is a run of its own."""
-        starts = (F.col("level") < least) | (F.coalesce(F.lag("level").over(w), F.lit(0)) < least)
-        return F.last(F.when(starts, F.col("at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    @F.pandas_udf("string")
+    def turn(texts: pd.Series, turned: pd.Series) -> pd.Series:
+        made = texts.astype(object).where(texts.notna(), None)
+        some = [k for k, t in enumerate(made) if t]
+        for k in range(0, len(some), LINES):
+            part = some[k : k + LINES]
+            made.iloc[part] = drawn([made.iloc[x] for x in part], [bool(turned.iloc[x]) for x in part])
+        return made
 
-    mirrored = F.when(F.col("level") % 2 == 1, F.translate("ch", MIRRORED, MIRRORS)).otherwise(F.col("ch"))
-    placed = given.select(*keys, F.struct(run(1).alias("a"), (-run(2)).alias("b"), F.col("at").alias("c"), mirrored.alias("ch")).alias("p_"))
-    joined = placed.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_")), lambda p: p["ch"]), "").alias("v_"))
-    named = joined.select(*(F.col(k).alias(f"{k}_k_") for k in keys), "v_")
-    return lines.drop(out).join(named, [F.col(k) == F.col(f"{k}_k_") for k in keys], "left").select(*(f"`{c}`" for c in lines.columns if c != out), F.coalesce("v_", text).alias(out))
+    turned = F.coalesce(rtl, F.lit(False)) if rtl is not None else F.lit(False)
+    mine = F.when(has_right_to_left(F.col(text)) | turned, F.col(text))
+    return lines.select(*(f"`{c}`" for c in lines.columns if c != out), F.coalesce(turn(mine, turned), text).alias(out))

@@ -93,3 +93,12 @@ def test_rectangles_are_merged_without_a_frame_a_page(spark):
     boxes = spark.range(40).selectExpr("id % 10 AS page", "cast(id as double) AS llx", "0D AS lly", "cast(id + 12 as double) AS urx", "1D AS ury")
     got = rows.cluster_rects(boxes, ["page"])
     assert "FlatMapGroupsInPandas" not in plan(got) and sorted((r.page, r.n) for r in got.collect()) == [(k, 4) for k in range(10)]
+
+
+def test_lines_are_turned_where_they_are(spark):
+    from foliospark.operators import bidi
+
+    lines = spark.createDataFrame([(1, "abc (\u05d0\u05d1 12) x"), (2, "plain"), (3, None), (4, "\u05d0 \U0001f600 b")], "k int, t string")
+    got = bidi.visual(lines, ["k"], "t")
+    assert "Exchange" not in plan(got) and "Window" not in plan(got)
+    assert [r.visual for r in got.orderBy("k").collect()] == ["abc (12 \u05d1\u05d0) x", "plain", None, "b \U0001f600 \u05d0"]
