@@ -1,5 +1,7 @@
 """What must not grow with the input: broadcasts, rows that are shuffled, groups of one task, batches."""
 
+from pyspark.sql import functions as F
+
 from foliospark.operators import spatial
 
 
@@ -115,3 +117,28 @@ def test_outlines_order_siblings_alone(spark):
     found = {r.id: r for r in spans.collect()}
     assert [k for k in sorted(found, key=lambda k: found[k].pre)][:6] == [0, 1, 4, 13, 14, 15] and found[0].last == 40
     assert {r.id for r in kept.collect()} == {k for k in range(40) if not found[2].pre <= found[k].pre <= found[2].last}
+
+
+def test_regions_below_a_cover_are_not_tried(spark):
+    """On one plane many regions lie above each other: a point meets few of them, and gets what the cross join finds."""
+    from foliospark.operators import spatial as s
+
+    points = spark.range(400).selectExpr("id", "cast(id * 37 % 200 as double) AS x", "cast(id * 91 % 200 as double) AS y")
+    regions = spark.range(3000).selectExpr("id AS nth", "cast(id * 53 % 190 - 40 as double) AS llx", "cast(id * 29 % 190 - 40 as double) AS lly", "cast(id * 53 % 190 + 20 + id % 40 as double) AS urx", "cast(id * 29 % 190 + 20 + id % 30 as double) AS ury")
+    got = s.first_containing(points, ["id"], "x", "y", regions, "nth", ["nth"])
+    want = points.join(regions, F.expr("x BETWEEN llx AND urx AND y BETWEEN lly AND ury")).groupBy("id").agg(F.min("nth").alias("nth"))
+    assert {r.id: r.nth for r in got.where("nth IS NOT NULL").collect()} == {r.id: r.nth for r in want.collect()} and got.count() == 400
+    named = s._scaled(regions.withColumn("v_", F.struct("nth")), s.BOX)
+    assert "until_" in plan(got) and s._cut(named, s.BOX, s._grid(named)).count() <= s.PIECES * 3000
+
+
+def test_rectangles_inside_one_region_are_looked_up(spark):
+    """Rectangles whose cells one region covers, of any number of cells, meet no region; results are those of the cross join."""
+    from foliospark.operators import spatial as s
+
+    boxes = spark.range(600).selectExpr("id", "cast(id * 37 % 200 as double) AS llx", "cast(id * 91 % 200 as double) AS lly", "cast(id * 37 % 200 + CASE WHEN id % 9 = 0 THEN 60 ELSE id % 5 END as double) AS urx", "cast(id * 91 % 200 + id % 7 as double) AS ury")
+    regions = spark.range(300).selectExpr("cast(id * 53 % 190 - 40 as double) AS llx", "cast(id * 29 % 190 - 40 as double) AS lly", "cast(id * 53 % 190 + 20 + id % 40 as double) AS urx", "cast(id * 29 % 190 + 20 + id % 30 as double) AS ury")
+    got = s.mostly_inside(boxes, ["id"], regions)
+    other = regions.toDF("a", "b", "c", "d")
+    want = boxes.join(other, F.expr("llx < c AND urx > a AND lly < d AND ury > b AND (least(urx, c) - greatest(llx, a)) * (least(ury, d) - greatest(lly, b)) >= 0.9 * (urx - llx) * (ury - lly)")).where("urx > llx AND ury > lly")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.select("id").distinct().collect()) and "sure_" in plan(got)
