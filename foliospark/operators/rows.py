@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Partitions up to which a shuffle writes each row at once to its partition's file; for more it holds a task's whole input.
+WRITTEN = 200
+
+
 def dealt(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     """``df`` in partitions by ``keys``, one for each ``least`` rows, which are counted, but one a core at least.
 
     So what a task holds stays as it is while the input grows, and work that costs far more than its bytes isn't put on few cores.
+    More than ``WRITTEN`` partitions are made in two steps, the first of as many, so that a task that writes many holds but its share.
     """
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // least))
+    if n > WRITTEN:  # the column keeps the two steps apart
+        df = df.withColumn("deal_", F.xxhash64(*keys)).repartition(WRITTEN, "deal_").drop("deal_")
     return df.repartition(n, *keys)
 
 

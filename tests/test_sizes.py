@@ -36,6 +36,15 @@ def test_partitions_grow_with_rows_and_stay_on_all_cores(spark):
     assert rows.dealt(spark.range(3), ["id"], 10).rdd.getNumPartitions() == cores
 
 
+def test_many_partitions_are_written_in_two_steps(spark):
+    """A shuffle into more than 200 partitions holds what a task reads: a first one into 200 leaves each task its share."""
+    from foliospark.operators import rows
+
+    few, many = (rows.dealt(spark.range(n).withColumn("v", F.col("id") * 2), ["id"], 10) for n in (2000, 2010))
+    assert plan(few).count("Exchange hashpartitioning") == 1 and plan(many).count("Exchange hashpartitioning") == 2
+    assert many.columns == ["id", "v"] and many.rdd.getNumPartitions() == 201 and many.where("v = 2 * id").count() == 2010
+
+
 def test_files_and_texts_are_on_all_cores_and_in_small_batches(spark):
     from foliospark.plans import catalogue
     from foliospark.sources import scan
