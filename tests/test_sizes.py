@@ -1,5 +1,7 @@
 """What must not grow with the input: broadcasts, rows that are shuffled, groups of one task, batches."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from foliospark.operators import spatial
@@ -151,3 +153,27 @@ def test_rectangles_inside_one_region_are_looked_up(spark):
     other = regions.toDF("a", "b", "c", "d")
     want = boxes.join(other, F.expr("llx < c AND urx > a AND lly < d AND ury > b AND (least(urx, c) - greatest(llx, a)) * (least(ury, d) - greatest(lly, b)) >= 0.9 * (urx - llx) * (ury - lly)")).where("urx > llx AND ury > lly")
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.select("id").distinct().collect()) and "sure_" in plan(got)
+
+
+def test_files_are_read_with_few_steps(monkeypatch):
+    """Rows of a cross-reference table that are as they should be aren't read token by token; others are, with the same result."""
+    from foliospark.sources import pdf
+
+    made = pdf.write([[(40, 700, 10, "a")]], objects=[b"<< /A#42 (x) % note\n /C 5 >>"] * 40)
+    seen, step = [], pdf.Lexer.next
+    monkeypatch.setattr(pdf.Lexer, "next", lambda self: seen.append(1) or step(self))
+    doc = pdf.Document(made)
+    assert doc.status == "ok" and len(seen) < 100 and doc.get(5) == {"AB": b"x", "C": 5}
+    odd = pdf.Document(made.replace(b" 00000 n ", b"  0000 n "))
+    assert odd.status == "ok" and odd.where == doc.where and odd.get(5) == doc.get(5)
+
+
+def test_the_reader_of_files_is_pickled_whole():
+    """Executors need no copy of the package: nothing in the module is named by it."""
+    import subprocess
+    import sys
+
+    here = "import sys; sys.path.insert(0, %r); import __spark_entry__; from pyspark import cloudpickle; from foliospark.sources import pdf; sys.stdout.buffer.write(cloudpickle.dumps(lambda: pdf.write([[(40, 700, 10, 'a')]])))" % str(Path(__file__).parents[1])
+    away = "import sys, pickle; print(len(pickle.load(sys.stdin.buffer)()))"
+    sent = subprocess.run([sys.executable, "-c", here], capture_output=True, check=True, cwd="/").stdout
+    assert int(subprocess.run([sys.executable, "-c", away], input=sent, capture_output=True, check=True, cwd="/").stdout) > 500
