@@ -30,6 +30,26 @@ def test_thin_and_small_rectangles_are_tried_by_their_place(spark):
     assert spatial._middle(rows, 0) == 6 and spatial._middle(rows[:1], 0) == 0
 
 
+def _stacked(spark, n):
+    """``n`` cells and ``n`` covers in a few places each."""
+    place = lambda w: ["cast(id % 3 as double) AS llx", "0D AS lly", f"cast(id % 3 + {w} as double) AS urx", f"{w}D AS ury"]
+    return spark.range(n).selectExpr("id", *place(4)), spark.range(n).selectExpr("id AS nth", "concat('l', id % 2) AS label", *place(2))
+
+
+def test_shares_of_equal_rectangles_are_worked_out_once(spark, monkeypatch):
+    """Pairs of equal rectangles grow with the square of their number; rows that share their keys are added up."""
+    rows, meets = [], spatial.meets
+    monkeypatch.setattr(spatial, "meets", lambda left, right, *a, **b: [rows.append((left.count(), right.count())), meets(left, right, *a, **b)][1])
+    cells, covers = _stacked(spark, 6000)
+    got = {(r.id, r.label): (r.area, r.share) for r in spatial.area_shares(cells, ["id"], covers, "label").collect()}
+    wide = lambda a, b: 2 * max(0, min(a + 4, b + 2) - max(a, b))
+    want = {(k, f"l{m}"): sum(1000 * wide(k % 3, b) for b in range(3)) for k in range(6000) for m in range(2)}
+    assert got == {k: (area, area / 16) for k, area in want.items()}
+    assert max(map(max, rows), default=0) <= 6
+    twice = spatial.area_shares(cells.limit(0).unionByName(cells.where("id < 6")).withColumn("id", F.expr("id % 3")), ["id"], covers, "label")
+    assert {(r.id, r.label): r.share for r in twice.collect()} == {(k, m): 2 * want[k, m] / 16 for k in range(3) for m in ("l0", "l1")}
+
+
 def test_partitions_grow_with_rows_and_stay_on_all_cores(spark):
     from foliospark.operators import rows
 
