@@ -50,6 +50,28 @@ def test_shares_of_equal_rectangles_are_worked_out_once(spark, monkeypatch):
     assert {(r.id, r.label): r.share for r in twice.collect()} == {(k, m): 2 * want[k, m] / 16 for k in range(3) for m in ("l0", "l1")}
 
 
+def test_cells_that_the_least_colour_covers_are_not_held_against_all_fills(spark, monkeypatch):
+    """Shades as a plain loop finds them, with few cells tried; rows that share a key have one shade, those without a key none."""
+    import random
+
+    tried, meets = [], spatial.meets
+    monkeypatch.setattr(spatial, "meets", lambda left, right, *a, **b: [tried.append((left.count(), right.count())), meets(left, right, *a, **b)][1])
+    r = random.Random(4)
+    at = lambda n, wide: [(k, *(v := [float(r.randint(0, 200)) for _ in range(2)]), v[0] + r.randint(1, wide), v[1] + r.randint(1, wide)) for k in range(n)]
+    cells = [(k % 350 if k % 50 else None, *c) for k, *c in at(400, 12)] * 5
+    fills = [(*f, c / 10, 0.5, 0.25) for k, *f in at(250, 120) for c in [k % 5]] * 4 + [(0.0, 0.0, 900.0, 900.0, 0.98, 0.99, 1.0)]
+    best = {}
+    for k, x0, y0, x1, y1 in cells:
+        for a, b, c, d, red, green, _ in fills:
+            w, h = min(x1, c) - max(x0, a), min(y1, d) - max(y0, b)
+            if k is not None and w > 0 and h > 0 and w * h >= 0.6 * (x1 - x0) * (y1 - y0) and green < 0.97:
+                best[k] = min(best.get(k, (0, 0)), (-w * h, red))
+    names = "llx double, lly double, urx double, ury double"
+    got = spatial.shades(spark.createDataFrame(cells, f"id long, {names}"), ["id"], spark.createDataFrame(fills, f"{names}, r double, g double, b double")).collect()
+    assert len(got) == len(cells) and all((x.shade and x.shade.r) == (best[x.id][1] if x.id in best else None) for x in got)
+    assert len(tried) == 1 and tried[0][0] < 200 and tried[0][1] <= 250
+
+
 def test_partitions_grow_with_rows_and_stay_on_all_cores(spark):
     from foliospark.operators import rows
 
