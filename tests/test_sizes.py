@@ -50,6 +50,32 @@ def test_shares_of_equal_rectangles_are_worked_out_once(spark, monkeypatch):
     assert {(r.id, r.label): r.share for r in twice.collect()} == {(k, m): 2 * want[k, m] / 16 for k in range(3) for m in ("l0", "l1")}
 
 
+def test_pairs_of_equal_rectangles_are_rows_in_the_result_alone(spark, monkeypatch):
+    """Each place meets each place once, whatever the keys there, null ones included; lists of keys are cut."""
+    rows, meets = [], spatial.meets
+    monkeypatch.setattr(spatial, "meets", lambda left, right, *a, **b: [rows.append((left.count(), right.count())), meets(left, right, *a, **b)][1])
+    monkeypatch.setattr(spatial, "LISTED", 7, raising=False)
+    cells, covers = _stacked(spark, 90)
+    cells, covers = cells.withColumn("id", F.when(F.col("id") != 5, F.col("id"))), covers.withColumnsRenamed({c: f"r_{c}" for c in spatial.BOX})
+    other = tuple(f"r_{c}" for c in spatial.BOX)
+    got = spatial.meeting_keys(cells, "id", covers, "nth", spatial.BOX, other)
+    want = cells.crossJoin(covers).where("llx < r_urx AND urx > r_llx").select("id", "nth", spatial.common_area(spatial.BOX, other).alias("area"))
+    assert got.columns == want.columns and got.count() == want.count() == 7200 and got.exceptAll(want).isEmpty()
+    assert rows == [(15, 15)]
+
+
+def test_wide_rectangles_come_to_small_cells_where_that_makes_fewer_rows(spark):
+    """Many small rectangles come to one cell size each, not to one for each width of the few others, unless these are very wide."""
+    class Shape(tuple):
+        def __getitem__(self, key):
+            return tuple.__getitem__(self, 2 if key == "count" else key)
+
+    small, wide = [Shape((4, 4, 9_000_000))], [Shape((x, y, 1000)) for x in (10, 12) for y in (8, 10)]
+    assert spatial._widest(small, wide, [10, 8], 2) == [10, 8]
+    assert spatial._widest([Shape((4, 4, 10))], [Shape((4, 4, 10)), Shape((30, 30, 1))], [4, 4], 2) == [30, 30]
+    assert spatial._widest([], [], [0, 0], 2) == [0, 0]
+
+
 def test_cells_that_the_least_colour_covers_are_not_held_against_all_fills(spark, monkeypatch):
     """Shades as a plain loop finds them, with few cells tried; rows that share a key have one shade, those without a key none."""
     import random
